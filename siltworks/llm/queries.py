@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality
+from . import chat, mixing, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,13 +24,19 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), (F.col("m_size") * F.col("m_copies")).alias("taken"))
 
 
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # its files come with the installation; the path is the operator's parameter
+
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = quality.judge(table(spark, sf_dir, "documents"))
     names = {"q_words": "n_words", "q_chars": "word_chars", "q_symbols": "n_symbols", "q_dups": "n_dup_lines", "q_repeat": "n_repeat_words"}
     return j.select("doc_id", *[F.col(a).alias(b) for a, b in names.items()], "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_mixing, op7_quality)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_mixing, op6_tokens, op7_quality)}
 
 _WORDS = r"string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+')"
 _WORDS = f"list_filter({_WORDS}, lambda w: w <> '')"
