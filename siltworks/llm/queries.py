@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality, tokens
+from . import chat, language, mixing, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,12 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(turns.unionByName(extra)))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    p = language.predict(docs, language.fit(docs))
+    return p.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return p.select("doc_id", F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), (F.col("m_size") * F.col("m_copies")).alias("taken"))
@@ -36,7 +42,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("doc_id", *[F.col(a).alias(b) for a, b in names.items()], "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_mixing, op6_tokens, op7_quality)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language, op3_mixing, op6_tokens, op7_quality)}
 
 _WORDS = r"string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+')"
 _WORDS = f"list_filter({_WORDS}, lambda w: w <> '')"
