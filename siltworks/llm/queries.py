@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, mixing, quality, tokens
+from . import chat, language, mixing, neardup, quality, tokens, words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), (F.col("m_size") * F.col("m_copies")).alias("taken"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers  # its files come with the installation; the path is the operator's parameter
 
@@ -42,7 +46,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("doc_id", *[F.col(a).alias(b) for a, b in names.items()], "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language, op3_mixing, op6_tokens, op7_quality)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language, op3_mixing, op4_minhash, op6_tokens, op7_quality)}
 
 _WORDS = r"string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+')"
 _WORDS = f"list_filter({_WORDS}, lambda w: w <> '')"
@@ -140,4 +144,18 @@ FROM m LEFT JOIN g ON m.lang IS NOT DISTINCT FROM g.lang AND m.source IS NOT DIS
 """
 
 
-ORACLES = {"op1_chat_format": _OP1, "op3_mixing": _OP3, "op7_quality": _op7()}
+_OP4 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{words.UPPER}', '{words.LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2]))) AS g FROM w WHERE len(w) >= 3
+  UNION ALL SELECT doc_id, array_to_string(w, chr(10)) FROM w WHERE len(w) BETWEEN 1 AND 2
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+r AS (SELECT a AS id, b AS to_id FROM l UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.to_id),
+c AS (SELECT id, min(to_id) AS m FROM r GROUP BY id)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(c.m, w.doc_id)) AS component_id, w.doc_id = least(w.doc_id, coalesce(c.m, w.doc_id)) AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.id = w.doc_id
+"""
+
+ORACLES = {"op4_minhash": _OP4, "op1_chat_format": _OP1, "op3_mixing": _OP3, "op7_quality": _op7()}
