@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, mixing, neardup, quality, tokens, words
+from . import chat, decontam, language, mixing, neardup, pii, quality, spans, tokens, words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +46,20 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("doc_id", *[F.col(a).alias(b) for a, b in names.items()], "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language, op3_mixing, op4_minhash, op6_tokens, op7_quality)}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pii.redact(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return p.select("doc_id", "text", *[F.get("pii_n", F.lit(i)).alias(f"n_{k}") for i, k in enumerate(pii.TYPES)])
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language, op3_mixing, op4_minhash, op6_tokens, op7_quality, op8_decontamination, op9_sentence_spans, op10_pii)}
 
 _WORDS = r"string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+')"
 _WORDS = f"list_filter({_WORDS}, lambda w: w <> '')"
@@ -158,4 +171,15 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesc
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.id = w.doc_id
 """
 
-ORACLES = {"op4_minhash": _OP4, "op1_chat_format": _OP1, "op3_mixing": _OP3, "op7_quality": _op7()}
+_SHINGLES = rf"""
+  SELECT id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], chr(10))))) AS g FROM w WHERE len(w) >= 5
+  UNION ALL SELECT id, array_to_string(w, chr(10)) FROM w WHERE len(w) BETWEEN 1 AND 4"""
+_LOWER = rf"list_filter(string_split_regex(translate(coalesce(text, ''), '{words.UPPER}', '{words.LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w"
+_OP8 = f"""
+WITH d AS (WITH w AS (SELECT doc_id AS id, {_LOWER} FROM documents) {_SHINGLES}),
+b AS (WITH w AS (SELECT item_id AS id, {_LOWER} FROM benchmark) {_SHINGLES}),
+n AS (SELECT id, count(*) AS n FROM b GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, count(*)::BIGINT AS n_shared, max(n.n)::BIGINT AS n_item FROM d JOIN b ON d.g = b.g JOIN n ON n.id = b.id GROUP BY d.id, b.id HAVING count(*) >= 0.8 * max(n.n)
+"""
+
+ORACLES = {"op8_decontamination": _OP8, "op4_minhash": _OP4, "op1_chat_format": _OP1, "op3_mixing": _OP3, "op7_quality": _op7()}
