@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, language, mixing, neardup, pii, quality, spans, tokens, words
+from . import chat, decontam, language, mixing, neardup, pii, quality, spans, suffixes, tokens, words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated(table(spark, sf_dir, "documents"))
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers  # its files come with the installation; the path is the operator's parameter
 
@@ -59,7 +63,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "text", *[F.get("pii_n", F.lit(i)).alias(f"n_{k}") for i, k in enumerate(pii.TYPES)])
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language, op3_mixing, op4_minhash, op6_tokens, op7_quality, op8_decontamination, op9_sentence_spans, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language, op3_mixing, op4_minhash, op5_suffixes, op6_tokens, op7_quality, op8_decontamination, op9_sentence_spans, op10_pii)}
 
 _WORDS = r"string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+')"
 _WORDS = f"list_filter({_WORDS}, lambda w: w <> '')"
