@@ -86,26 +86,26 @@ def blocks(bench: DataFrame, share: float, k: int, id_col: str, text_col: str) -
 
 
 def search(docs: DataFrame, index: Index, carry: list[str], item_type: str, k: int = K, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` (columns ``carry``) with dc_items: array of struct (item, shared, size), empty where nothing matches."""
+    """Rows of ``docs`` (columns ``carry``) with __dc_items: array of struct (item, shared, size), empty where nothing matches."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    rows = docs.select(*carry, F.col(text_col).alias("dc_text"))
-    rows = with_words(rows, "dc_text", "dc_w").select(*carry, shingle_hashes(F.col("dc_w"), k).alias("dc_s"))
-    schema = rows.select(*carry).withColumn("dc_items", F.expr(f"cast(array() as array<struct<item:{item_type},shared:bigint,size:bigint>>)")).schema
+    rows = docs.select(*carry, F.col(text_col).alias("__dc_text"))
+    rows = with_words(rows, "__dc_text", "__dc_w").select(*carry, shingle_hashes(F.col("__dc_w"), k).alias("__dc_s"))
+    schema = rows.select(*carry).withColumn("__dc_items", F.expr(f"cast(array() as array<struct<item:{item_type},shared:bigint,size:bigint>>)")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = shared.value
         for b in batches:
-            s = b.column(b.schema.get_field_index("dc_s"))
+            s = b.column(b.schema.get_field_index("__dc_s"))
             lens = np.diff(s.offsets.to_numpy())
             h = s.flatten().to_numpy()
             out: list[list] = [[] for _ in range(b.num_rows)]
             for d, i, n in x.search(h, np.repeat(np.arange(lens.size), lens)):
                 out[d].append({"item": x.ids[i], "shared": n, "size": int(x.sets[i].size)})
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, kinds)], names=[*b.schema.names[:-1], "dc_items"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, kinds)], names=[*b.schema.names[:-1], "__dc_items"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kinds = to_arrow_type(schema["dc_items"].dataType)
+    kinds = to_arrow_type(schema["__dc_items"].dataType)
     return rows.mapInArrow(run, schema)
 
 
@@ -115,7 +115,7 @@ def matches(docs: DataFrame, bench: DataFrame, k: int = K, share: float = SHARE,
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = docs.sparkSession.createDataFrame([], f"doc_id {own.dtypes[0][1]}, item_id {kind}, n_shared bigint, n_item bigint")
     for index in blocks(bench, share, k, item_col, text_col):
-        found = search(own, index, ["doc_id"], kind, k).select("doc_id", F.explode("dc_items").alias("x"))
+        found = search(own, index, ["doc_id"], kind, k).select("doc_id", F.explode("__dc_items").alias("x"))
         out = out.unionByName(found.select("doc_id", F.col("x.item").alias("item_id"), F.col("x.shared").alias("n_shared"), F.col("x.size").alias("n_item")))
     return out
 
@@ -124,5 +124,5 @@ def clean(docs: DataFrame, bench: DataFrame, k: int = K, share: float = SHARE, i
     """``docs`` without the rows that contain an item; one narrow pass a block, nothing is shuffled."""
     kind, names = bench.select(item_col).dtypes[0][1], docs.columns
     for index in blocks(bench, share, k, item_col, text_col):
-        docs = search(docs, index, names, kind, k, text_col).filter(F.size("dc_items") == 0).select(*names)
+        docs = search(docs, index, names, kind, k, text_col).filter(F.size("__dc_items") == 0).select(*names)
     return docs

@@ -168,14 +168,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model({k: v for k, v in samples.items() if any(map(str.isalpha, v))})
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of every row; the model's table has a fixed bound and goes to the workers once."""
+def tagged(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with __lid_pred and __lid_score; one narrow pass. The model's table has a fixed bound and goes to the workers once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, scores, part, size = [], [], [], 0
-            for t in [*b.column("text").to_pylist(), ...]:
+            for t in [*b.column(at).to_pylist(), ...]:
                 if part and (t is ... or size > 2_000_000):
                     x, y = shared.value.predict(part)
                     langs += x
@@ -184,7 +185,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 if t is not ...:
                     part.append(t)
                     size += len(t or "")
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "__lid_pred", "__lid_score"])
+
+    schema = docs.select("*", F.lit("").alias("__lid_pred"), F.lit(0.0).alias("__lid_score")).schema
+    return docs.mapInArrow(run, schema)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score) of every row."""
+    return tagged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model).select("doc_id", F.col("__lid_pred").alias("lang_pred"), F.col("__lid_score").alias("score"))

@@ -23,25 +23,25 @@ WEIGHTS, CAP, SEED = (5, 2, 1), 3, "mix-1"
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(m_src, m_source_size, m_target) from rows (m_src, m_size).
+    """(__mix_src, __mix_source_size, __mix_target) from rows (__mix_src, __mix_size).
 
     A source's target is min(cap * size, level * weight); the level is the one at which all targets add up to all
     sizes, which is where sharing out the excess again and again ends. In order of cap/weight the capped sources
     come first, so prefix sums over the aggregated sources find it; comparisons are exact.
     """
     big, many = "decimal(20,0)", lcm(*weights)
-    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.pmod(F.col("m_rank") - 1, F.lit(len(weights))) + 1).cast("int")).cast("long")
-    per = sized.groupBy("m_src").agg(F.sum("m_size").alias("m_source_size"))
-    per = per.withColumn("m_rank", F.row_number().over(Window.orderBy(F.col("m_src").asc_nulls_last()))).withColumn("m_w", w).withColumn("m_c", F.lit(cap) * F.col("m_source_size"))
-    rows = Window.orderBy(F.col("m_c") * (F.lit(many) / F.col("m_w")).cast("long"), "m_rank")
+    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.pmod(F.col("__mix_rank") - 1, F.lit(len(weights))) + 1).cast("int")).cast("long")
+    per = sized.groupBy("__mix_src").agg(F.sum("__mix_size").alias("__mix_source_size"))
+    per = per.withColumn("__mix_rank", F.row_number().over(Window.orderBy(F.col("__mix_src").asc_nulls_last()))).withColumn("__mix_w", w).withColumn("__mix_c", F.lit(cap) * F.col("__mix_source_size"))
+    rows = Window.orderBy(F.col("__mix_c") * (F.lit(many) / F.col("__mix_w")).cast("long"), "__mix_rank")
     before, whole = rows.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     part = lambda c, over: F.coalesce(F.sum(c).over(over), F.lit(0))
-    per = per.select("*", part("m_source_size", whole).alias("m_all"), part("m_w", whole).alias("m_all_w"), part("m_c", before).alias("m_pc"), part("m_w", before).alias("m_pw"))
-    per = per.withColumn("m_capped", F.col("m_c").cast(big) * (F.col("m_all_w") - F.col("m_pw")).cast("decimal(18,0)") <= F.col("m_w").cast("decimal(18,0)") * (F.col("m_all") - F.col("m_pc")).cast(big))
-    used = lambda c: part(F.when(F.col("m_capped"), F.col(c)).otherwise(0), whole)
-    per = per.select("*", used("m_c").alias("m_uc"), used("m_w").alias("m_uw"))
-    share = (F.col("m_w") * (F.col("m_all") - F.col("m_uc"))).cast("double") / F.nullif(F.col("m_all_w") - F.col("m_uw"), F.lit(0)).cast("double")
-    return per.select("m_src", "m_source_size", F.when(F.col("m_capped"), F.col("m_c").cast("double")).otherwise(share).alias("m_target"))
+    per = per.select("*", part("__mix_source_size", whole).alias("__mix_all"), part("__mix_w", whole).alias("__mix_all_w"), part("__mix_c", before).alias("__mix_pc"), part("__mix_w", before).alias("__mix_pw"))
+    per = per.withColumn("__mix_capped", F.col("__mix_c").cast(big) * (F.col("__mix_all_w") - F.col("__mix_pw")).cast("decimal(18,0)") <= F.col("__mix_w").cast("decimal(18,0)") * (F.col("__mix_all") - F.col("__mix_pc")).cast(big))
+    used = lambda c: part(F.when(F.col("__mix_capped"), F.col(c)).otherwise(0), whole)
+    per = per.select("*", used("__mix_c").alias("__mix_uc"), used("__mix_w").alias("__mix_uw"))
+    share = (F.col("__mix_w") * (F.col("__mix_all") - F.col("__mix_uc"))).cast("double") / F.nullif(F.col("__mix_all_w") - F.col("__mix_uw"), F.lit(0)).cast("double")
+    return per.select("__mix_src", "__mix_source_size", F.when(F.col("__mix_capped"), F.col("__mix_c").cast("double")).otherwise(share).alias("__mix_target"))
 
 
 def draw(doc_id: Column, seed: str = SEED) -> Column:
@@ -50,15 +50,15 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """``docs`` with m_size, m_source_size, m_target and m_copies; every row stays."""
-    per = cut(source_targets(docs.select(F.col(source_col).alias("m_src"), word_count(F.col(text_col)).alias("m_size")), weights, cap))
-    out = join_checked(docs.withColumn("m_size", word_count(F.col(text_col))), per, [(source_col, "m_src")], F.struct(F.col(id_col), F.col("m_size")))
-    rate = F.coalesce(F.col("m_target") / F.nullif(F.col("m_source_size"), F.lit(0)).cast("double"), F.lit(0.0))
+    """``docs`` with __mix_size, __mix_source_size, __mix_target and __mix_copies; every row stays."""
+    per = cut(source_targets(docs.select(F.col(source_col).alias("__mix_src"), word_count(F.col(text_col)).alias("__mix_size")), weights, cap))
+    out = join_checked(docs.withColumn("__mix_size", word_count(F.col(text_col))), per, [(source_col, "__mix_src")], F.struct(F.col(id_col), F.col("__mix_size")))
+    rate = F.coalesce(F.col("__mix_target") / F.nullif(F.col("__mix_source_size"), F.lit(0)).cast("double"), F.lit(0.0))
     copies = F.floor(rate) + F.when(draw(F.col(id_col), seed) < rate - F.floor(rate), 1).otherwise(0)
-    return out.withColumn("m_copies", copies.cast("long"))
+    return out.withColumn("__mix_copies", copies.cast("long"))
 
 
 def mix(docs: DataFrame, **kw) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs`` alone."""
     chosen = plan(docs, **kw)
-    return chosen.filter("m_copies > 0").withColumn("m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m_copies")))).select(*[chosen[c] for c in docs.columns])
+    return chosen.filter("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).select(*[chosen[c] for c in docs.columns])

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import cut, stored
@@ -214,3 +214,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     out = base.select("doc_id", *key).join(found, key, "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without near copies: of each group the rows of the smallest id stay (one of rows that repeat it); null ids stay."""
+    groups = near_duplicates(docs, k, percent, id_col, text_col)
+    lost = groups.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__lost")).distinct()
+    out = docs.join(lost, docs[id_col] == lost["__lost"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
+    return out.withColumn("__rank", rank).filter((F.col("__rank") == 1) | F.col(id_col).isNull()).drop("__rank")

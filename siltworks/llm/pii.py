@@ -221,16 +221,16 @@ def replaced(text: str | None, key: bytes) -> tuple[str | None, list[int]]:
 
 
 def redact(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
-    """``docs`` with surrogates in ``text_col`` and pii_n (array of bigint by TYPES); one narrow pass."""
+    """``docs`` with surrogates in ``text_col`` and __pii_n (array of bigint by TYPES); one narrow pass."""
     names = docs.columns
     at = names.index(text_col)
-    schema = docs.withColumn("pii_n", F.array().cast("array<bigint>")).schema
+    schema = docs.withColumn("__pii_n", F.array().cast("array<bigint>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done = [replaced(t, key) for t in b.column(at).to_pylist()]
             cols = list(b.columns)
             cols[at] = pa.array([t for t, _ in done], b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([n for _, n in done], pa.list_(pa.int64()))], names=[*b.schema.names, "pii_n"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([n for _, n in done], pa.list_(pa.int64()))], names=[*b.schema.names, "__pii_n"])
 
     return docs.mapInArrow(run, schema)

@@ -27,7 +27,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return p.select("doc_id", F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), (F.col("m_size") * F.col("m_copies")).alias("taken"))
+    return p.select("doc_id", F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), (F.col("__mix_size") * F.col("__mix_copies")).alias("taken"))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pii.redact(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return p.select("doc_id", "text", *[F.get("pii_n", F.lit(i)).alias(f"n_{k}") for i, k in enumerate(pii.TYPES)])
+    return p.select("doc_id", "text", *[F.get("__pii_n", F.lit(i)).alias(f"n_{k}") for i, k in enumerate(pii.TYPES)])
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language, op3_mixing, op4_minhash, op5_suffixes, op6_tokens, op7_quality, op8_decontamination, op9_sentence_spans, op10_pii)}
