@@ -128,9 +128,10 @@ class Model:
             np.add.at(out, of[i : i + LANES], count + (state != self.roots))
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score and strangeness: the best language's phrases beyond the first, per letter."""
         if not self.langs:
-            return [UND] * len(texts), [0.0] * len(texts)
+            return [UND] * len(texts), [0.0] * len(texts), [1.0] * len(texts)
         c, lens, letters_of = self.encode([t or "" for t in texts])
         p = self.phrases(c, lens)
         best = p.argmin(1)
@@ -140,7 +141,7 @@ class Model:
         else:
             score = np.ones(len(texts))
         some = letters_of > 0
-        return [self.langs[b] if s else UND for b, s in zip(best, some, strict=True)], np.where(some, score, 0.0).tolist()
+        return [self.langs[b] if s else UND for b, s in zip(best, some, strict=True)], np.where(some, score, 0.0).tolist(), np.where(some, np.maximum(p.min(1) - 1, 0) / np.maximum(letters_of, 1), 1.0).tolist()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -169,25 +170,26 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def tagged(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with __lid_pred and __lid_score; one narrow pass. The model's table has a fixed bound and goes to the workers once."""
+    """``docs`` with __lid_pred, __lid_score and __lid_odd (near 1 where no learned language has even pairs of the letters); one narrow pass. The model's table has a fixed bound and goes to the workers once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores, part, size = [], [], [], 0
+            langs, scores, odd, part, size = [], [], [], [], 0
             for t in [*b.column(at).to_pylist(), ...]:
                 if part and (t is ... or size > 2_000_000):
-                    x, y = shared.value.predict(part)
+                    x, y, z = shared.value.predict(part)
                     langs += x
                     scores += y
+                    odd += z
                     part, size = [], 0
                 if t is not ...:
                     part.append(t)
                     size += len(t or "")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "__lid_pred", "__lid_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(odd, pa.float64())], names=[*b.schema.names, "__lid_pred", "__lid_score", "__lid_odd"])
 
-    schema = docs.select("*", F.lit("").alias("__lid_pred"), F.lit(0.0).alias("__lid_score")).schema
+    schema = docs.select("*", F.lit("").alias("__lid_pred"), F.lit(0.0).alias("__lid_score"), F.lit(0.0).alias("__lid_odd")).schema
     return docs.mapInArrow(run, schema)
 
 
