@@ -102,8 +102,8 @@ class Model:
         c = self.classes[points]
         of = np.repeat(np.arange(len(texts)), lens)
         gap = c == GAP
-        keep = ~gap
-        keep[1:] |= gap[1:] & ~gap[:-1]
+        keep = np.ones(c.size, bool)
+        keep[1:] = ~(gap[1:] & gap[:-1]) | (of[1:] != of[:-1])
         c, of = c[keep], of[keep]
         return c, np.bincount(of, minlength=len(texts)), np.bincount(of[c != GAP], minlength=len(texts))
 
