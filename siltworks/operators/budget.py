@@ -100,11 +100,11 @@ def cyclic_fill(pool: DataFrame, budget, key: str, value: str, order: list[str],
     return out.filter(F.col("rep") * F.col("__one") + F.col("__cum") < F.col("goal")).drop("__cum", "__one", "goal")
 
 
-@query("replay_mix", f"WITH k AS (SELECT doc_id, length(text) // 4 AS tok, {_H} AS h FROM documents WHERE doc_id % 10 = 0), g AS (SELECT floor(sum(length(text) // 4) * 0.25) AS goal FROM documents), c AS (SELECT *, coalesce(sum(tok) OVER (ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum, sum(tok) OVER () AS one FROM k), r AS (SELECT doc_id, cum, one, goal, unnest(range(0, 51)) AS rep FROM c, g) SELECT doc_id, rep::INT AS rep FROM r WHERE rep * one + cum < goal")
+@query("replay_mix", f"WITH k AS (SELECT doc_id, length(text) // 4 AS tok, {_H} AS h FROM documents WHERE source = 'src0'), g AS (SELECT floor(sum(length(text) // 4) * 0.25) AS goal FROM documents), c AS (SELECT *, coalesce(sum(tok) OVER (ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum, sum(tok) OVER () AS one FROM k), r AS (SELECT doc_id, cum, one, goal, unnest(range(0, 51)) AS rep FROM c, g) SELECT doc_id, rep::INT AS rep FROM r WHERE rep * one + cum < goal")
 def _replay(t):
-    d = t("documents").select("doc_id", X.est_tokens(F.col("text")).alias("tok"), hashed("0", F.col("doc_id")).alias("h"))
+    d = t("documents").select("doc_id", "source", X.est_tokens(F.col("text")).alias("tok"), hashed("0", F.col("doc_id")).alias("h"))
     goal = d.agg(F.floor(F.sum("tok") * F.lit(0.25)).alias("goal"))
-    return cyclic_fill(d.filter("doc_id % 10 = 0"), goal, "h", "tok", ["h", "doc_id"]).select("doc_id", "rep")
+    return cyclic_fill(d.filter("source = 'src0'"), goal, "h", "tok", ["h", "doc_id"]).select("doc_id", "rep")
 
 
 @query("curriculum_order", f"WITH {DATED} SELECT doc_id, date, row_number() OVER (PARTITION BY date ORDER BY md5('7:' || doc_id), doc_id) AS place FROM d")
@@ -133,16 +133,16 @@ def _robin(t):
     return t("conversations").select("conv_id", "turn", F.element_at(kinds, F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(5)).cast("int") + 1).alias("kind"))
 
 
-@query("group_chunk", f"WITH {DATED}, a AS (SELECT doc_id, date, row_number() OVER (PARTITION BY date ORDER BY doc_id) - 1 AS i FROM d WHERE doc_id % 9 <> 0) SELECT date, (i // 2)::BIGINT AS chunk, count(*)::BIGINT AS n, min(doc_id) AS first_id FROM a GROUP BY 1, 2")
+@query("group_chunk", f"WITH {DATED}, a AS (SELECT doc_id, date, row_number() OVER (PARTITION BY date ORDER BY doc_id) - 1 AS i FROM d WHERE stream <> 'deaths') SELECT date, (i // 2)::BIGINT AS chunk, count(*)::BIGINT AS n, min(doc_id) AS first_id FROM a GROUP BY 1, 2")
 def _chunk(t):
-    a = ranked(dated(t("documents")).filter("doc_id % 9 <> 0").select("doc_id", "date"), ["date"], ["doc_id"])
+    a = ranked(dated(t("documents")).filter("stream <> 'deaths'").select("doc_id", "date"), ["date"], ["doc_id"])
     return a.withColumn("chunk", F.expr("cast((rank - 1) div 2 as bigint)")).groupBy("date", "chunk").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
-@query("group_context", f"WITH {DATED} SELECT date, md5(string_agg(CASE WHEN doc_id % 9 = 0 THEN substr(text, 1, 250) ELSE substr(text, 1, 200) END, chr(10) || '---' || chr(10) ORDER BY doc_id % 9 <> 0, doc_id)) AS context_md5, count(*)::BIGINT AS n FROM d GROUP BY date")
+@query("group_context", f"WITH {DATED} SELECT date, md5(string_agg(CASE WHEN doc_id % 9 = 0 THEN substr(text, 1, 2500) ELSE substr(text, 1, 2000) END, chr(10) || '---' || chr(10) ORDER BY doc_id % 9 <> 0, doc_id)) AS context_md5, count(*)::BIGINT AS n FROM d GROUP BY date")
 def _context(t):
     """Context of a day: its summary first, then its articles, cut and joined in order."""
-    d = dated(t("documents")).select("date", (F.col("doc_id") % 9 != 0).alias("o"), "doc_id", F.when(F.col("doc_id") % 9 == 0, F.substring("text", 1, 250)).otherwise(F.substring("text", 1, 200)).alias("x"))
+    d = dated(t("documents")).select("date", (F.col("doc_id") % 9 != 0).alias("o"), "doc_id", F.when(F.col("doc_id") % 9 == 0, F.substring("text", 1, 2500)).otherwise(F.substring("text", 1, 2000)).alias("x"))
     g = d.groupBy("date").agg(F.sort_array(F.collect_list(F.struct("o", "doc_id", "x"))).alias("xs"), F.count("*").alias("n"))
     return g.select("date", F.md5(F.array_join(F.transform("xs", lambda s: s["x"]), "\n---\n")).alias("context_md5"), "n")
 

@@ -37,12 +37,12 @@ def overlap(pairs: DataFrame, grams: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.sum(F.least(F.col("ca"), F.coalesce("cb", F.lit(0)))).alias("hits"), F.sum("ca").alias("n"))
 
 
-@query("self_bleu", f"WITH {_T.format(' WHERE doc_id % 4 = 0')}, g AS (SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, unnest({_G.format(m=3)}) AS g FROM t) GROUP BY ALL), p AS (SELECT doc_id AS a, coalesce(lead(doc_id) OVER (ORDER BY md5('9:' || doc_id), doc_id), first_value(doc_id) OVER (ORDER BY md5('9:' || doc_id), doc_id)) AS b FROM t), o AS (SELECT a, sum(least(x.c, coalesce(y.c, 0)))::DOUBLE / sum(x.c) AS s FROM p JOIN g x ON x.doc_id = a LEFT JOIN g y ON y.doc_id = b AND y.g = x.g GROUP BY a) SELECT round((SELECT sum(s) FROM o) / (SELECT count(*) FROM t), 6) AS self_bleu, (SELECT count(*) FROM t)::BIGINT AS n")
+@query("self_bleu", f"WITH {_T.format('')}, g AS (SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, unnest({_G.format(m=3)}) AS g FROM t) GROUP BY ALL), p AS (SELECT doc_id AS a, coalesce(lead(doc_id) OVER (ORDER BY md5('9:' || doc_id), doc_id), first_value(doc_id) OVER (ORDER BY md5('9:' || doc_id), doc_id)) AS b FROM t), o AS (SELECT a, sum(least(x.c, coalesce(y.c, 0)))::DOUBLE / sum(x.c) AS s FROM p JOIN g x ON x.doc_id = a LEFT JOIN g y ON y.doc_id = b AND y.g = x.g GROUP BY a) SELECT round((SELECT sum(s) FROM o) / (SELECT count(*) FROM t), 6) AS self_bleu, (SELECT count(*) FROM t)::BIGINT AS n")
 def _bleu(t):
     """Four-gram precision against one hashed partner each, over all documents, those too short included."""
     from ..plans.prefix import hashed, prefix_sum
 
-    d = t("documents").filter("doc_id % 4 = 0").select(F.col("doc_id").alias("id"), X.tokens(F.col("text"), WORDS).alias("k"), hashed("9", F.col("doc_id")).alias("h"), F.lit(1).alias("one"))
+    d = t("documents").select(F.col("doc_id").alias("id"), X.tokens(F.col("text"), WORDS).alias("k"), hashed("9", F.col("doc_id")).alias("h"), F.lit(1).alias("one"))
     place = prefix_sum(d.select("id", "h", "one"), "h", "one", ["h", "id"], "i").select("id", "i")
     n = place.agg(F.count("*").alias("n"))
     here = place.crossJoin(F.broadcast(n))  # one row
@@ -52,10 +52,10 @@ def _bleu(t):
     return o.crossJoin(n).select(F.round(F.col("s") / F.col("n"), 6).alias("self_bleu"), "n")
 
 
-@query("jaccard_pairs", f"WITH {_T.format(' WHERE doc_id % 25 = 0')}, s AS (SELECT doc_id, list_distinct(k) AS k FROM t) SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.k, b.k))::DOUBLE / greatest(len(list_distinct(list_concat(a.k, b.k))), 1), 6) AS jaccard FROM s a JOIN s b ON b.doc_id = a.doc_id + 25 OR b.doc_id = a.doc_id + 50")
+@query("jaccard_pairs", f"WITH {_T.format('')}, s AS (SELECT doc_id, list_distinct(k) AS k FROM t) SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.k, b.k))::DOUBLE / greatest(len(list_distinct(list_concat(a.k, b.k))), 1), 6) AS jaccard FROM s a JOIN s b ON b.doc_id = a.doc_id + 1 OR b.doc_id = a.doc_id + 2")
 def _jaccard(t):
-    """Pairs of a sample by rule (each with its next two), a sampling operator; joined on the partner's id."""
-    s = t("documents").filter("doc_id % 25 = 0").select("doc_id", F.array_distinct(X.tokens(F.col("text"), WORDS)).alias("k"))
-    a = s.select(F.col("doc_id").alias("a"), F.col("k").alias("ka"), F.explode(F.array(F.col("doc_id") + 25, F.col("doc_id") + 50)).alias("b"))
+    """Sampled pairs, each document with its next two by id; joined on the partner's id, so pairs grow with the documents."""
+    s = t("documents").select("doc_id", F.array_distinct(X.tokens(F.col("text"), WORDS)).alias("k"))
+    a = s.select(F.col("doc_id").alias("a"), F.col("k").alias("ka"), F.explode(F.array(F.col("doc_id") + 1, F.col("doc_id") + 2)).alias("b"))
     p = a.join(s.select(F.col("doc_id").alias("b"), F.col("k").alias("kb")), "b")
     return p.select("a", "b", F.round(F.size(F.array_intersect("ka", "kb")) / F.greatest(F.size(F.array_union("ka", "kb")), F.lit(1)), 6).alias("jaccard"))

@@ -222,7 +222,7 @@ def _gap(t):
     return m.groupBy("source").agg(F.round(a(0), 6).alias("think"), F.round(a(1), 6).alias("plain"), F.round(a(1) - a(0), 6).alias("gap"))
 
 
-_IC = "CASE doc_id % 6 WHEN 0 THEN 'Paris' WHEN 1 THEN ' 43. ' WHEN 2 THEN '```json' || chr(10) || '{\"city\": \"Paris\", \"country\": \"France\"}' || chr(10) || '```' WHEN 3 THEN 'apple' || chr(10) || 'pear' || chr(10) || chr(10) || 'plum' WHEN 4 THEN 'Acknowledged.' ELSE substr(text, 1, 80) END"
+_IC = "CASE doc_id % 6 WHEN 0 THEN 'Paris' WHEN 1 THEN ' 43. ' WHEN 2 THEN '```json' || chr(10) || '{\"city\": \"Paris\", \"country\": \"France\"}' || chr(10) || '```' WHEN 3 THEN 'apple' || chr(10) || 'pear' || chr(10) || chr(10) || 'plum' WHEN 4 THEN 'Acknowledged.' ELSE text END"
 _IV = r"regexp_replace(a, '^\s+|\s+$', '', 'g')"
 
 
@@ -235,9 +235,9 @@ def _instruct(t):
     return a.select("doc_id", (F.size(F.filter(F.split("a", r"\s+"), lambda x: x != "")) == 1).alias("one_word"), (stop == "43").alias("number"), (stop == "B").alias("letter"), F.coalesce(F.try_parse_json(bare).isNotNull() & F.startswith(bare, F.lit("{")), F.lit(False)).alias("json"), (F.size(F.filter(F.split("a", "\n"), lambda x: x.rlike(r"\S"))) == 3).alias("three_lines"), ((F.length(v) - F.length(F.replace(v, F.lit("."), F.lit(""))) <= 1) & (F.size(F.split(v, r"\s+")) < 60)).alias("one_sentence"), (F.upper(stop) == "ACKNOWLEDGED").alias("exact_word"))
 
 
-@query("agent_protocol", r"WITH m AS (SELECT conv_id, turn, CASE turn % 4 WHEN 1 THEN 'ANSWER: ' || substr(text, 1, 10) WHEN 2 THEN 'SEARCH:  ' || substr(text, 1, 10) WHEN 3 THEN 'SEARCH: x ANSWER: ' || substr(text, 1, 5) ELSE text END AS t FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(t, 'ANSWER:\s*(.+)') THEN 'answer' WHEN regexp_matches(t, 'SEARCH:\s*(.+)') THEN 'search' ELSE 'no-protocol' END AS act, CASE WHEN regexp_matches(t, 'ANSWER:\s*(.+)') THEN regexp_extract(t, 'ANSWER:\s*(.+)', 1) ELSE regexp_extract(t, 'SEARCH:\s*(.+)', 1) END AS arg FROM m")
+@query("agent_protocol", r"WITH m AS (SELECT conv_id, turn, CASE turn % 4 WHEN 1 THEN 'ANSWER: ' || text WHEN 2 THEN 'SEARCH:  ' || text WHEN 3 THEN 'SEARCH: x ANSWER: ' || text ELSE text END AS t FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(t, 'ANSWER:\s*(.+)') THEN 'answer' WHEN regexp_matches(t, 'SEARCH:\s*(.+)') THEN 'search' ELSE 'no-protocol' END AS act, CASE WHEN regexp_matches(t, 'ANSWER:\s*(.+)') THEN regexp_extract(t, 'ANSWER:\s*(.+)', 1) ELSE regexp_extract(t, 'SEARCH:\s*(.+)', 1) END AS arg FROM m")
 def _protocol(t):
-    m = t("conversations").select("conv_id", "turn", F.when(F.col("turn") % 4 == 1, F.concat(F.lit("ANSWER: "), F.substring("text", 1, 10))).when(F.col("turn") % 4 == 2, F.concat(F.lit("SEARCH:  "), F.substring("text", 1, 10))).when(F.col("turn") % 4 == 3, F.concat(F.lit("SEARCH: x ANSWER: "), F.substring("text", 1, 5))).otherwise(F.col("text")).alias("t"))
+    m = t("conversations").select("conv_id", "turn", F.when(F.col("turn") % 4 == 1, F.concat(F.lit("ANSWER: "), F.col("text"))).when(F.col("turn") % 4 == 2, F.concat(F.lit("SEARCH:  "), F.col("text"))).when(F.col("turn") % 4 == 3, F.concat(F.lit("SEARCH: x ANSWER: "), F.col("text"))).otherwise(F.col("text")).alias("t"))
     a, s = r"(?d)ANSWER:\s*(.+)", r"(?d)SEARCH:\s*(.+)"
     return m.select("conv_id", "turn", F.when(F.col("t").rlike(a), "answer").when(F.col("t").rlike(s), "search").otherwise("no-protocol").alias("act"), F.when(F.col("t").rlike(a), F.regexp_extract("t", a, 1)).otherwise(F.regexp_extract("t", s, 1)).alias("arg"))
 
@@ -281,15 +281,15 @@ def _delta(t):
     return j.select("vec_id", F.round(l2(F.zip_with("b", "a", lambda x, y: x.cast("double") - y.cast("double"))) / F.greatest(l2(F.col("a")), F.lit(1e-12)), 5).alias("delta"))
 
 
-@query("name_intersection", "SELECT count(*) FILTER (a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL)::BIGINT AS shared, count(*) FILTER (b.doc_id IS NULL)::BIGINT AS only_a, count(*) FILTER (a.doc_id IS NULL)::BIGINT AS only_b FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) a FULL JOIN (SELECT doc_id FROM labels) b ON a.doc_id = b.doc_id")
+@query("name_intersection", "SELECT count(*) FILTER (a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL)::BIGINT AS shared, count(*) FILTER (b.doc_id IS NULL)::BIGINT AS only_a, count(*) FILTER (a.doc_id IS NULL)::BIGINT AS only_b FROM (SELECT doc_id FROM documents WHERE lang = 'en') a FULL JOIN (SELECT doc_id FROM labels) b ON a.doc_id = b.doc_id")
 def _names(t):
-    a, b = t("documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("a")), t("labels").select(F.col("doc_id").alias("b"))
+    a, b = t("documents").filter("lang = 'en'").select(F.col("doc_id").alias("a")), t("labels").select(F.col("doc_id").alias("b"))
     j = a.join(b, F.col("a") == F.col("b"), "full")
     return j.agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"), F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"))
 
 
-@query("failed_every_sample", "SELECT doc_id FROM documents WHERE source IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE doc_id % 5 = 0 GROUP BY source HAVING max(quality) = 0)")
+@query("failed_every_sample", "SELECT doc_id FROM documents WHERE source || lang IN (SELECT source || lang FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING max(quality) = 0)")
 def _failed(t):
     """Semi-join: rows whose question the base failed in every sample."""
-    bad = t("documents").select("doc_id", "source").join(t("labels"), "doc_id").filter("doc_id % 5 = 0").groupBy("source").agg(F.max("quality").alias("q")).filter("q = 0")
-    return t("documents").select("doc_id", "source").join(bad, "source", "left_semi").select("doc_id")
+    bad = t("documents").select("doc_id", "source", "lang").join(t("labels"), "doc_id").groupBy("source", "lang").agg(F.max("quality").alias("q")).filter("q = 0")
+    return t("documents").select("doc_id", "source", "lang").join(bad, ["source", "lang"], "left_semi").select("doc_id")

@@ -16,7 +16,7 @@ def _html(t):
     return t("pages").select("page_id", X.html_title(F.col("html")).alias("title"), X.html_text(F.col("html")).alias("text"))
 
 
-_WIKI = "concat('{{Current events|x}}', chr(10), '* [[Foo bar|', substr(text, 1, 20), ']] said ''''''so'''''' {{ship|HMS|Ark|x}} [https://news.example.org/a', CAST(doc_id AS STR), ', (Wire)] <ref>z</ref>', chr(10), '<!-- gone -->', chr(10), '[https://medium.com/p] [https://b.example/', CAST(doc_id % 7 AS STR), ').] [https://b.example/', CAST(doc_id % 7 AS STR), '] {{a{{b}}c}} [[', coalesce(source, ''), ']]')"
+_WIKI = "concat('{{Current events|x}}', chr(10), '* [[Foo bar|', text, ']] said ''''''so'''''' {{ship|HMS|Ark|x}} [https://news.example.org/a', CAST(doc_id AS STR), ', (Wire)] <ref>z</ref>', chr(10), '<!-- gone -->', chr(10), '[https://medium.com/p] [https://b.example/', CAST(doc_id % 7 AS STR), ').] [https://b.example/', CAST(doc_id % 7 AS STR), '] {{a{{b}}c}} [[', coalesce(source, ''), ']]')"
 
 
 def _duck_wiki() -> str:
@@ -49,7 +49,7 @@ def carry_forward(lines: DataFrame, page: str, order: str, header: Column, value
     return lines.withColumn(value, F.last(header, ignorenulls=True).over(w)).filter(header.isNull() & F.col(value).isNotNull())
 
 
-_CF = "CASE WHEN doc_id % 13 = 3 THEN concat('=== ', cast(doc_id % 28 + 1 AS STR), ' ===') ELSE concat('* ', substr(text, 1, 30)) END"
+_CF = "CASE WHEN doc_id % 13 = 3 THEN concat('=== ', cast(doc_id % 28 + 1 AS STR), ' ===') ELSE concat('* ', text) END"
 
 
 @query("carry_forward", rf"WITH l AS (SELECT doc_id % 5 AS page, doc_id AS line_no, {_CF.replace('STR', 'VARCHAR')} AS line FROM documents), h AS (SELECT *, nullif(regexp_extract(line, '^===?\s*(\d{{1,2}})\s*===?\s*$', 1), '') AS hd FROM l), w AS (SELECT *, last_value(hd IGNORE NULLS) OVER (PARTITION BY page ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS day FROM h) SELECT page, line_no, day, line FROM w WHERE hd IS NULL AND day IS NOT NULL")
@@ -65,7 +65,7 @@ def split_docs(df: DataFrame, text: str, sep: str = P.DOC_SEP, least: int = 250)
     return out.filter(F.length("doc") > least)
 
 
-_SD = "concat('Document 1: ', text, chr(10), '<<<DOC>>>', chr(10), 'document 2. ', substr(text, 1, 400), '<<<DOC>>>stub')"
+_SD = "concat('Document 1: ', text, chr(10), '<<<DOC>>>', chr(10), 'document 2. ', text, '<<<DOC>>>stub')"
 
 
 @query("split_docs", rf"WITH p AS (SELECT doc_id, unnest(string_split({_SD}, '<<<DOC>>>')) AS x, generate_subscripts(string_split({_SD}, '<<<DOC>>>'), 1) - 1 AS ix FROM documents), q AS (SELECT doc_id, ix, regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '(?i)^(?:Document\s*\d+\s*[:.\-]?\s*)', '') AS d FROM p) SELECT doc_id, ix::INT AS ix, length(d)::BIGINT AS n, md5(d) AS doc_md5 FROM q WHERE length(d) > 250")
@@ -82,7 +82,7 @@ def parse_qa(df: DataFrame, text: str, sep: str = P.QA_SEP) -> DataFrame:
     return out.filter((F.length("q") > 10) & (F.size(F.split("a", r"\s+")) >= 4)).drop("p")
 
 
-_QA = "concat('Q: what is ', cast(item_id AS STR), ' about?', chr(10), 'A: ', substr(text, 1, 60), '<<<QA>>> Q: short', chr(10), 'A: no', '<<<QA>>>nothing', '<<<QA>>>Q: is this one kept too?', chr(10), ' A: it is four words', chr(10))"
+_QA = "concat('Q: what is ', cast(item_id AS STR), ' about?', chr(10), 'A: ', text, '<<<QA>>> Q: short', chr(10), 'A: no', '<<<QA>>>nothing', '<<<QA>>>Q: is this one kept too?', chr(10), ' A: it is four words', chr(10))"
 _QS = _QA.replace("STR", "VARCHAR")
 
 

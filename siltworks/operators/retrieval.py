@@ -54,7 +54,7 @@ def _bm(k: int) -> str:
     return rf"""
 t AS (SELECT doc_id AS i, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
 p AS (SELECT term, i, count(*) AS tf FROM t GROUP BY ALL), l AS (SELECT doc_id AS i, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS len FROM documents), w AS (SELECT count(*) AS n, avg(len) AS mean FROM l),
-q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(substr(text, 1, 80)), '[a-z0-9]+')) AS term FROM benchmark) GROUP BY ALL),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) GROUP BY ALL),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 s AS (SELECT item_id, p.i AS doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean)) * times), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term) JOIN l ON l.i = p.i CROSS JOIN w GROUP BY item_id, p.i),
 r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id DESC)::INT AS rank FROM s WHERE score > 0 QUALIFY rank <= {k})"""
@@ -62,13 +62,13 @@ r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORD
 
 @query("bm25_topk", f"WITH {_bm(5).strip()} SELECT * FROM r")
 def _topk(t):
-    return bm25(t("documents"), t("benchmark").select("item_id", F.substring("text", 1, 80).alias("qt")), "doc_id", "text", "item_id", "qt", 5)
+    return bm25(t("documents"), t("benchmark").select("item_id", F.col("text").alias("qt")), "doc_id", "text", "item_id", "qt", 5)
 
 
 @query("leak_rate", rf"WITH {_bm(3).strip()}, h AS (SELECT r.item_id, bool_or(contains(lower(d.text), lower(substr(b.text, 1, 40)))) AS leaks FROM r JOIN documents d ON d.doc_id = r.doc_id JOIN benchmark b ON b.item_id = r.item_id GROUP BY 1) SELECT count(*)::BIGINT AS n, count(*) FILTER (leaks)::BIGINT AS leaked, round(avg(leaks::INT), 6) AS rate FROM h")
 def _leak(t):
     """Share of naive queries whose top hits already hold the leak term."""
-    b = t("benchmark").select("item_id", F.substring("text", 1, 80).alias("qt"), F.lower(F.substring("text", 1, 40)).alias("term"))
+    b = t("benchmark").select("item_id", F.col("text").alias("qt"), F.lower(F.substring("text", 1, 40)).alias("term"))
     top = bm25(t("documents"), b, "doc_id", "text", "item_id", "qt", 3).select("item_id", "doc_id")
     hit = top.join(t("documents").select("doc_id", "text"), "doc_id").join(b.select("item_id", "term"), "item_id")
     h = hit.groupBy("item_id").agg(F.bool_or(F.contains(F.lower("text"), F.col("term"))).alias("leaks"))
