@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.catalog import query
-from ..plans.prefix import hashed, prefix_sum
+from ..plans.prefix import DIGITS, hashed, prefix_sum
 from ..sources.derived import DATED, dated
 from .dedup import priority
 
@@ -79,7 +79,7 @@ def budget_trim(rows: DataFrame, budget: int, token: str = "est_tokens", stream:
     """
     k = rows.withColumn("__h", hashed(seed, F.col("doc_id"))).withColumn("__p", priority(F.col(stream)))
     total = k.agg(F.coalesce(F.sum(token), F.lit(0)).alias("__all"))
-    k = k.withColumn("__key", F.concat(F.lpad((9 - F.col("__p")).cast("string"), 1, "0"), F.substring("__h", 1, 2)))
+    k = k.withColumn("__key", F.concat(F.lpad((9 - F.col("__p")).cast("string"), 1, "0"), F.substring("__h", 1, DIGITS)))
     may = prefix_sum(k.filter(F.col(stream) != never), "__key", token, ["__h", "doc_id"], "__cum", bucket=F.col("__key"))
     may = may.crossJoin(F.broadcast(total)).filter(F.col("__cum") >= F.col("__all") - budget)  # the total is one row
     return k.filter(F.col(stream) == never).select(*rows.columns).unionByName(may.select(*rows.columns))
@@ -139,12 +139,13 @@ def _chunk(t):
     return a.withColumn("chunk", F.expr("cast((rank - 1) div 2 as bigint)")).groupBy("date", "chunk").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
-@query("group_context", f"WITH {DATED} SELECT date, md5(string_agg(CASE WHEN doc_id % 9 = 0 THEN substr(text, 1, 2500) ELSE substr(text, 1, 2000) END, chr(10) || '---' || chr(10) ORDER BY doc_id % 9 <> 0, doc_id)) AS context_md5, count(*)::BIGINT AS n FROM d GROUP BY date")
+@query("group_context", f"WITH {DATED} SELECT date, chunk::BIGINT AS chunk, md5(string_agg(x, chr(10) || '---' || chr(10) ORDER BY o, doc_id)) AS context_md5, count(*)::BIGINT AS n FROM (SELECT date, doc_id, doc_id % 9 <> 0 AS o, (row_number() OVER (PARTITION BY date ORDER BY doc_id % 9 <> 0, doc_id) - 1) // 4 AS chunk, CASE WHEN doc_id % 9 = 0 THEN substr(text, 1, 2500) ELSE substr(text, 1, 2000) END AS x FROM d) GROUP BY date, chunk")
 def _context(t):
-    """Context of a day: its summary first, then its articles, cut and joined in order."""
+    """Contexts of a day, four texts each: its summaries first, then its articles, cut and joined in order."""
     d = dated(t("documents")).select("date", (F.col("doc_id") % 9 != 0).alias("o"), "doc_id", F.when(F.col("doc_id") % 9 == 0, F.substring("text", 1, 2500)).otherwise(F.substring("text", 1, 2000)).alias("x"))
-    g = d.groupBy("date").agg(F.sort_array(F.collect_list(F.struct("o", "doc_id", "x"))).alias("xs"), F.count("*").alias("n"))
-    return g.select("date", F.md5(F.array_join(F.transform("xs", lambda s: s["x"]), "\n---\n")).alias("context_md5"), "n")
+    d = ranked(d, ["date"], ["o", "doc_id"]).withColumn("chunk", F.expr("cast((rank - 1) div 4 as bigint)"))
+    g = d.groupBy("date", "chunk").agg(F.sort_array(F.collect_list(F.struct("o", "doc_id", "x"))).alias("xs"), F.count("*").alias("n"))
+    return g.select("date", "chunk", F.md5(F.array_join(F.transform("xs", lambda s: s["x"]), "\n---\n")).alias("context_md5"), "n")
 
 
 @query("regroup", "WITH r AS (SELECT unnest([0, 1]) AS rd), k AS (SELECT rd, doc_id, source, row_number() OVER (PARTITION BY rd, source ORDER BY md5('5:' || rd || ':' || doc_id), doc_id) - 1 AS i FROM documents, r) SELECT rd::INT AS rd, source, doc_id, (i // 4)::BIGINT AS grp FROM k")

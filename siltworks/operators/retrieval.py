@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.catalog import query
+from ..plans.shared import BROADCAST_ROWS, cut
 from ..sources.derived import DATED, dated
 
 SIZE, OVERLAP, LEAST = 500, 100, 120
@@ -34,18 +35,20 @@ def _chunk(t):
 def bm25(items: DataFrame, queries: DataFrame, item: str, text: str, qid: str, qtext: str, k: int, k1: float = K1, b: float = B) -> DataFrame:
     """(qid, item, score, rank): the k best of each query, ties to the later item, only scores above 0.
 
-    Postings (term, item, tf) are aggregated before any join; only those of query terms are kept, found by a semi-join.
-    A repeated query term counts each time.
+    Only occurrences of query terms become postings (term, item, tf), so that what is shuffled follows from the queries.
+    Queries are a stated set: while their terms are within the checked bound they are broadcast, and with them what is
+    known per term; beyond it the same joins shuffle. A repeated query term counts each time.
     """
-    post = items.select(F.col(item).alias("i"), F.explode(X.tokens(F.col(text))).alias("term")).groupBy("i", "term").agg(F.count("*").alias("tf"))
+    asked = cut(queries.select(F.col(qid).alias("q"), F.explode(X.tokens(F.col(qtext))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("times")))
+    small = F.broadcast if asked.count() <= BROADCAST_ROWS else lambda x: x
+    said = items.select(F.col(item).alias("i"), F.explode(X.tokens(F.col(text))).alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
+    post = said.groupBy("i", "term").agg(F.count("*").alias("tf"))
     size = items.select(F.col(item).alias("li"), F.size(X.tokens(F.col(text))).alias("len"))
     whole = size.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    asked = queries.select(F.col(qid).alias("q"), F.explode(X.tokens(F.col(qtext))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("times"))
-    post = post.join(asked.select("term").distinct(), "term", "left_semi")
     df = post.groupBy("term").agg(F.count("*").alias("df"))
-    t = post.join(df, "term").join(size, F.col("i") == F.col("li")).crossJoin(F.broadcast(whole))  # one row
+    t = post.join(small(df), "term").join(size, F.col("i") == F.col("li")).crossJoin(F.broadcast(whole))  # one row
     weight = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    scored = t.select("term", "i", weight.alias("w")).join(asked, "term").groupBy("q", "i").agg(F.round(F.sum(F.col("w") * F.col("times")), 6).alias("score")).filter("score > 0")
+    scored = t.select("term", "i", weight.alias("w")).join(small(asked), "term").groupBy("q", "i").agg(F.round(F.sum(F.col("w") * F.col("times")), 6).alias("score")).filter("score > 0")
     w = Window.partitionBy("q").orderBy(F.desc("score"), F.desc("i"))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("q").alias(qid), F.col("i").alias(item), "score", "rank")
 

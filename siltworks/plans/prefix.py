@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of a hashed order: the first two hex digits.
-DIGITS = 2
+#: Buckets of a hashed order: the first three hex digits, so 4,096 tasks' worth of rows and as many totals.
+DIGITS = 3
 
 
 def hashed(seed: str, *ids: Column) -> Column:
