@@ -19,6 +19,8 @@ from ..plans.shared import cut, join_checked, stored
 from .words import shingle_hashes, word_array
 
 MIN_GROUP = 30
+#: Repeated lines and words that any text may have, as a heading given twice; only what exceeds them counts as a share.
+DUPS, REPEATS = 2, 30
 #: Measure: least slack above the upper quartile, and below the lower one where that counts; in the measure's unit.
 SLACK = {"q_sym": (300, None), "q_dup": (2000, None), "q_rep": (2000, None), "q_len": (150, 150)}
 
@@ -72,8 +74,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     base = (F.col("q_words") < 50) | (100 * F.col("q_repeat") > 50 * F.col("q_words"))
     share = lambda a, b, unit: F.expr(f"{unit} * {a} div greatest({b}, 1)")
     m = stored(measured(docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))).select(
-        "*", base.alias("base_failed"), share("q_symbols", "q_chars", 10000).alias("q_sym"), share("q_dups", "q_lines", 10000).alias("q_dup"),
-        share("q_repeat", "q_words", 10000).alias("q_rep"), share("q_chars", "q_words", 100).alias("q_len"),
+        "*", base.alias("base_failed"), share("q_symbols", "q_chars", 10000).alias("q_sym"), share(f"greatest(q_dups - {DUPS}, 0)", "q_lines", 10000).alias("q_dup"),
+        share(f"greatest(q_repeat - {REPEATS}, 0)", "q_words", 10000).alias("q_rep"), share("q_chars", "q_words", 100).alias("q_len"),
     ))
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("m"), bucket(F.col(k)).alias("b")) for k in SLACK]))
     sketch = m.filter(~F.col("base_failed")).select("lang", "source", each.alias("x")).groupBy("lang", "source", F.col("x.m").alias("m"), F.col("x.b").alias("b")).agg(F.count("*").alias("n"))

@@ -151,8 +151,8 @@ m0 AS (
     length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
   FROM w0 LEFT JOIN cov USING (doc_id)
 ), m AS (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 10000 * n_symbols // greatest(word_chars, 1) AS q_sym, 10000 * n_dup_lines // greatest(n_lines, 1) AS q_dup,
-    10000 * n_repeat_words // greatest(n_words, 1) AS q_rep, 100 * word_chars // greatest(n_words, 1) AS q_len FROM m0
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 10000 * n_symbols // greatest(word_chars, 1) AS q_sym, 10000 * greatest(n_dup_lines - {quality.DUPS}, 0) // greatest(n_lines, 1) AS q_dup,
+    10000 * greatest(n_repeat_words - {quality.REPEATS}, 0) // greatest(n_words, 1) AS q_rep, 100 * word_chars // greatest(n_words, 1) AS q_len FROM m0
 ), sk AS (
   {' UNION ALL '.join(f"SELECT lang, source, '{k}' AS m, {b(k)} AS b, count(*) AS n FROM m WHERE NOT base_failed GROUP BY ALL" for k in slack)}
 ), {', '.join(fences)}
