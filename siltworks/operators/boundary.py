@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.catalog import query
-from ..plans.shared import cut
+from ..plans.shared import cut, ship
 
 
 class StubClient:
@@ -22,6 +22,7 @@ class StubClient:
 
 def ai_map(df: DataFrame, prompt: str, client: Callable[[], Callable[[str], str]] = StubClient, retries: int = 3, wait: float = 0.0) -> DataFrame:
     """Adds reply and error: one client a partition, bounded retries with growing waits; what fails becomes a dead letter."""
+    ship(df.sparkSession)
     empty = F.lit(None).cast("string")
     schema = df.select("*", empty.alias("reply"), empty.alias("error")).schema
 

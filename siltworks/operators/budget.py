@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..plans.catalog import query
 from ..plans.prefix import DIGITS, hashed, prefix_sum
+from ..plans.shared import ship
 from ..sources.derived import DATED, dated
 from .dedup import priority
 
@@ -50,6 +51,7 @@ def _pick(t):
     """Order-dependent: a repeated title doesn't use up its domain's places. A topic's candidates are a search result, so small."""
     d = dated(t("documents")).select((F.col("doc_id") % 25).alias("topic"), "doc_id", F.substring("text", 1, 12).alias("title"), F.col("source").alias("domain"), (F.col("doc_id") % 3 == 0).alias("preferred"), "date")
     schema = d.schema
+    ship(d.sparkSession)
 
     def pick(pdf):
         return capped_pick(pdf.sort_values(["preferred", "date", "doc_id"], ascending=[False, True, True]))

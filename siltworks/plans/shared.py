@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,20 @@ BROADCAST_ROWS = 50_000
 SALTS = 32
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package's modules to the executors, once a context: their Python need not have it installed, nor share a folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_siltworks", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="siltworks-")) / "siltworks_modules.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(path))
+    sc._siltworks = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or the context's own; set only where neither is (local tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

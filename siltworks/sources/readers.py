@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import ship
+
 #: Fields of a crawled document, in the order of the record.
 DOCUMENT = "tier STRING, date STRING, url STRING, domain STRING, title STRING, text STRING, est_tokens BIGINT, src STRING"
 LINKED = DOCUMENT + ", points BIGINT, hn_url STRING"
@@ -82,4 +84,5 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(u, d[:10], b.decode("utf-8", "replace")) for u, d, b in records(bytes(blob))]
                 yield pd.DataFrame(rows, columns=["url", "date", "html"])
 
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "url string, date string, html string")
