@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import cut
+from ..plans.shared import cut, ship
 from .neardup import mixed, with_words
 from .words import shingle_hashes
 
@@ -87,6 +87,7 @@ def blocks(bench: DataFrame, share: float, k: int, id_col: str, text_col: str) -
 
 def search(docs: DataFrame, index: Index, carry: list[str], item_type: str, k: int = K, text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` (columns ``carry``) with __dc_items: array of struct (item, shared, size), empty where nothing matches."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     rows = docs.select(*carry, F.col(text_col).alias("__dc_text"))
     rows = with_words(rows, "__dc_text", "__dc_w").select(*carry, shingle_hashes(F.col("__dc_w"), k).alias("__dc_s"))

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import ship
+
 SAMPLE_CHARS, TOTAL_CHARS, DOC_CHARS, SAMPLE_DOCS = 40_000, 1_000_000, 2_000, 200
 #: The table's cells and the letters it tells apart are bounded too, however many languages and scripts there are.
 CELLS, LETTERS = 40_000_000, 250
@@ -171,6 +173,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def tagged(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with __lid_pred, __lid_score and __lid_odd (near 1 where no learned language has even pairs of the letters); one narrow pass. The model's table has a fixed bound and goes to the workers once."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import ship
+
 TYPES = ("email", "secret", "ip", "phone", "card", "ssn", "person")
 KEY = b"siltworks-surrogates"
 #: Titles by gender. Fixed values.
@@ -222,6 +224,7 @@ def replaced(text: str | None, key: bytes) -> tuple[str | None, list[int]]:
 
 def redact(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
     """``docs`` with surrogates in ``text_col`` and __pii_n (array of bigint by TYPES); one narrow pass."""
+    ship(docs.sparkSession)
     names = docs.columns
     at = names.index(text_col)
     schema = docs.withColumn("__pii_n", F.array().cast("array<bigint>")).schema

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import stored
+from ..plans.shared import ship, stored
 from .neardup import mixed
 
 UNIT_WORDS, RUN_UNITS, RUN_WORDS = 16, 3, 24
@@ -101,6 +101,7 @@ def run_rows(docs: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans): for documents with a repeated run that isn't the first; spans: sorted (i, k, first_id), units i to i + k."""
+    ship(docs.sparkSession)
     rows = stored(run_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
     first = rows.groupBy("h").agg(F.min(F.struct("doc_id", "i")).alias("f"), F.max(F.struct("doc_id", "i")).alias("l")).filter(~F.col("f").eqNullSafe(F.col("l"))).select("h", "f")
     late = rows.join(first, "h").filter(~F.struct("doc_id", "i").eqNullSafe(F.col("f")))

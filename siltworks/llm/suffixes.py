@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.shared import stored
+from ..plans.shared import ship, stored
 from .neardup import mixed, with_words
 
 GRAM, WINDOW, PREFIX, MIN_WORDS = 8, 16, 32, 50
@@ -128,6 +128,7 @@ def equal_ahead(a: Column, b: Column) -> Column:
 
 def matches(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, start, length, other_id, other_start): maximal matches of a later copy, in words."""
+    ship(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     near = neighbours(stored(suffix_rows(own)))
     diag = Window.partitionBy("doc_id", "q_id", "g").orderBy("p")

@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import ship
+
 #: The byte-level pre-token pattern, with white space spelt out as Unicode's White_Space. Fixed values.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\sWS\p{L}\p{N}]+|[\sWS]+(?![^\sWS])|[\sWS]+".replace(r"\sWS", r"\t-\r \x85\xa0  -     　")
 KEPT, BATCH_CHARS, BATCH_BYTES, SLICE = 600_000, 2_000_000, 1 << 20, 1_000_000
@@ -171,6 +173,7 @@ class Counter:
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row; the vocabulary's arrays, of a fixed size, go to the workers."""
     spark = docs.sparkSession
+    ship(spark)
     shared = spark.sparkContext.broadcast(RankMerger(path))
     state: dict = {}
 
