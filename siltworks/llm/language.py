@@ -162,8 +162,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not n:
         return Model({})
     chars = min(SAMPLE_CHARS, TOTAL_CHARS // len(n))
-    limit = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1 << 30, 1 + (SAMPLE_DOCS << 30) // v))])
+    limit = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1 << 30, 1 + (min(SAMPLE_DOCS, 20 + 4 * chars // DOC_CHARS) << 30) // v))])
     picked = may.withColumn("d", draw).filter(F.col("d") < limit[F.col("l")]).select("l", "d", F.crc32(F.col("t").cast("binary")).alias("x"), F.substring("t", 1, DOC_CHARS).alias("t")).filter(F.col("t").isNotNull())
+    picked = picked.groupBy("l", "d").agg(F.min(F.struct("x", "t")).alias("m")).select("l", "d", "m.*")  # rows that repeat an id count once
     samples: dict[str, str] = {}
     for r in sorted(picked.collect(), key=lambda r: (r["l"], r["d"], r["x"])):
         if len(had := samples.get(r["l"], "")) < chars:
