@@ -53,9 +53,23 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables that stored() wrote in this process.
+_tables: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables stored() wrote; to be called once the results that read them are written. Returns how many."""
+    n = 0
+    while _tables:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        n += bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
+    return n
+
+
 def same(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]) -> Column:
     return reduce(lambda a, b: a & b, (left[a].eqNullSafe(right[b]) for a, b in keys))
 

@@ -10,7 +10,7 @@ from siltworks.operators.assembly import pack_stream
 from siltworks.operators.dedup import first_by, greedy_priority
 from siltworks.operators.parsing import parse_qa, split_docs
 from siltworks.plans.prefix import hashed, prefix_sum
-from siltworks.plans.shared import join_checked
+from siltworks.plans.shared import join_checked, release, stored
 
 
 def greedy(rows):
@@ -108,3 +108,9 @@ def test_join_checked_both_ways(spark, limit):
     right = spark.createDataFrame([(None, 0), ("s1", 1), ("s2", 2)], "rs string, n int")
     got = join_checked(left, right, [("s", "rs")], F.col("i"), limit=limit).collect()
     assert sorted((r["i"], r["n"]) for r in got) == [(i, i % 3) for i in range(30)]
+
+
+def test_stored_tables_can_be_released(spark):
+    t = stored(spark.range(5))
+    assert t.count() == 5
+    assert release(spark) >= 1 and release(spark) == 0
