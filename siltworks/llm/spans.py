@@ -104,6 +104,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ship(docs.sparkSession)
     rows = stored(run_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
     first = rows.groupBy("h").agg(F.min(F.struct("doc_id", "i")).alias("f"), F.max(F.struct("doc_id", "i")).alias("l")).filter(~F.col("f").eqNullSafe(F.col("l"))).select("h", "f")
+    first = stored(first)  # so that the join on a hot passage's hash can be split
     late = rows.join(first, "h").filter(~F.struct("doc_id", "i").eqNullSafe(F.col("f")))
     return late.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("i", "k", F.col("f.doc_id").alias("first_id")))).alias("spans"))
 
