@@ -184,7 +184,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # densest member of each larger bucket
     large = member.filter(F.col("c") > SMALL)
     dense = large.groupBy("rep").agg(F.sum("c").alias("dense"))
-    pivot = large.join(dense, "rep").groupBy("key").agg(F.max(F.struct("dense", (-F.col("rep")).alias("neg"))).alias("x")).select("key", (-F.col("x.neg")).alias("b"))
+    pivot = large.join(cut(dense), "rep").groupBy("key").agg(F.max(F.struct("dense", (-F.col("rep")).alias("neg"))).alias("x")).select("key", (-F.col("x.neg")).alias("b"))
+    pivot = cut(pivot)  # one row a large bucket; cut, so that the join with a hot bucket's members can be split
     star = large.join(pivot, "key").filter("rep <> b").select(F.col("rep").alias("a"), "b")
     few = member.filter(F.col("c") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("xs"))  # at most SMALL ids
     few = few.select(F.posexplode("xs").alias("i", "a"), "xs").select("a", F.explode(F.slice("xs", F.col("i") + 2, SMALL)).alias("b"))
