@@ -45,16 +45,22 @@ def url_canonical(url: Column) -> Column:
     return F.regexp_replace(F.substring_index(url, "?", 1), "/+$", "")
 
 
+def let(value: Column, fn) -> Column:
+    """fn of a value that is evaluated once, however often fn uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _peeled(lines: Column) -> Column:
+    """Without blank lines at the top, and without the first line if that is a scaffold's."""
+    full = F.array_position(F.transform(lines, lambda x: x.rlike(r"\S")), True)  # first line with content, 0 if none
+    body = let(full, lambda n: F.when(n > 0, F.slice(lines, F.greatest(n, F.lit(1)).cast("int"), F.size(lines))).otherwise(F.array().cast("array<string>")))
+    lead = lambda x: x.rlike(P.LEAD_HEADER) | (x.rlike(P.LEAD_TITLE) & x.rlike(P.FORMAT_WORDS))
+    return let(body, lambda ls: F.when(let(F.coalesce(F.get(ls, F.lit(0)), F.lit("")), lead), F.slice(ls, 2, F.greatest(F.size(ls), F.lit(1)))).otherwise(ls))
+
+
 def strip_scaffold(text: Column) -> Column:
     """Peels at most two leading scaffold lines, blank lines before each, and outer white space."""
-    lines = F.split(text, "\n")
-    for _ in range(2):
-        full = F.array_position(F.transform(lines, lambda x: x.rlike(r"\S")), True)  # first line with content, 0 if none
-        lines = F.when(full > 0, F.slice(lines, F.greatest(full, F.lit(1)).cast("int"), F.size(lines))).otherwise(F.array().cast("array<string>"))
-        first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
-        lead = first.rlike(P.LEAD_HEADER) | (first.rlike(P.LEAD_TITLE) & first.rlike(P.FORMAT_WORDS))
-        lines = F.when(lead, F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))).otherwise(lines)
-    return strip(F.array_join(lines, "\n"))
+    return strip(F.array_join(let(let(F.split(text, "\n"), _peeled), _peeled), "\n"))
 
 
 def strip_boilerplate(text: Column) -> tuple[Column, Column]:
