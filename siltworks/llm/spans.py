@@ -1,10 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
-A text is a row of units: sentences, those of more than UNIT_WORDS words in pieces of so many. From every unit starts one
-run, the shortest of at least RUN_UNITS units and RUN_WORDS words; its hash joins globally with all others. Of runs with
-equal hashes the first by (doc_id, place) stays; units covered by any other are removed. Hashes are aggregated before they
-are joined, the least (doc_id, place) per hash, so a passage in a third of all documents is no hot group; what remains is
-joined by equi-joins that adaptive execution may split.
+A text is a row of units: sentences, cut before each word that has the least hash (the first of equals) in some window of
+CUT_WINDOW words of its sentence, so that a passage is cut alike wherever in a sentence it starts. From every unit starts one
+run, the shortest of at least RUN_UNITS units and RUN_WORDS words; its hash joins globally with all others. A passage of 48
+words or more holds a whole run: both its first and its last CUT_WINDOW words hold a cut or a sentence's start, all cuts
+between them agree, and a run takes at most 36 words from its first. Of runs with equal hashes the first by (doc_id, place)
+stays; units covered by any other are removed. Hashes are aggregated before they are joined, the least (doc_id, place) per
+hash, so a passage in a third of all documents is no hot group; what remains is joined by equi-joins that adaptive execution
+may split.
 
 Comparison ignores ASCII case and the white space between words. Run hashes have 64 bits.
 
@@ -26,26 +29,56 @@ from pyspark.sql import functions as F
 from ..plans.shared import ship, stored
 from .neardup import mixed
 
-UNIT_WORDS, RUN_UNITS, RUN_WORDS = 16, 3, 24
+CUT_WINDOW, RUN_UNITS, RUN_WORDS = 12, 3, 24
 SENTENCE = re.compile(r"[^\n.!?]+[.!?]*|[.!?]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 U = np.uint64
 _C = U(0x9E3779B97F4A7C15)
 
 
-def units(text: str | None, size: int = UNIT_WORDS) -> list[tuple[int, int, int]]:
-    """(start, end, words) of each unit in code points."""
-    out = []
-    for s in SENTENCE.finditer(text or ""):
-        w = [m.span() for m in WORD.finditer(text, s.start(), s.end())]
-        for i in range(0, len(w), size):
-            part = w[i : i + size]
-            out.append((part[0][0], part[-1][1], len(part)))
-    return out
+class Hashes(dict):
+    """Hashes of words, those of late kept."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass").lower())
+        return h
+
+
+known = Hashes()
+
 
+def hashed(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(known.__getitem__, words), U, len(words))
 
-def unit_hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(" ".join(WORD.findall(text)).encode("utf-8", "surrogatepass").lower())
+
+def cut(h: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places in a row of word hashes where units start; ``lens``: words of each sentence, none of them 0."""
+    start = np.zeros(h.size, bool)
+    start[np.cumsum(lens) - lens] = True
+    at = np.arange(max(h.size - CUT_WINDOW + 1, 0))
+    at = at[at + CUT_WINDOW <= np.repeat(np.cumsum(lens), lens)[: at.size]]  # windows within one sentence
+    best, least = at.copy(), h[at]
+    for j in range(1, CUT_WINDOW):
+        less = h[at + j] < least
+        best[less], least = (at + j)[less], np.minimum(least, h[at + j])
+    start[best] = True
+    return np.flatnonzero(start)
+
+
+def units(text: str | None) -> list[tuple[int, int, int]]:
+    """(start, end, words) of each unit in code points."""
+    w, lens = [], []
+    for s in SENTENCE.finditer(text or ""):
+        own = [m.span() for m in WORD.finditer(text, s.start(), s.end())]
+        if own:
+            w += own
+            lens.append(len(own))
+    if not w:
+        return []
+    at = [*cut(hashed([text[a:b] for a, b in w]), np.array(lens)).tolist(), len(w)]
+    return [(w[a][0], w[b - 1][1], b - a) for a, b in zip(at, at[1:], strict=False)]
 
 
 def runs(hashes: np.ndarray, words: np.ndarray, doc: np.ndarray, least_units: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,21 +113,26 @@ def run_rows(docs: DataFrame) -> DataFrame:
         for b in batches:
             texts, ids, i = b.column("text").to_pylist(), b.column("doc_id"), 0
             while i < len(texts):
-                hashes, words, doc, first, size = [], [], [], [], 0
+                w, lens, doc, size = [], [], [], 0
                 while i < len(texts) and (size == 0 or size + len(texts[i] or "") < 2_000_000):
-                    t = texts[i]
-                    u = units(t)
-                    first.append(len(hashes))
-                    hashes += [unit_hash(t[x:y]) for x, y, _ in u]
-                    words += [n for _, _, n in u]
-                    doc += [i] * len(u)
-                    size += len(t or "") + 1
+                    t, before = texts[i] or "", len(w)
+                    for s in SENTENCE.findall(t):
+                        if own := WORD.findall(s):
+                            w += own
+                            lens.append(len(own))
+                    doc.append(np.full(len(w) - before, i))
+                    size += len(t) + 1
                     i += 1
-                if hashes:
-                    doc = np.array(doc)
-                    at, k, h = runs(np.array(hashes, U), np.array(words), doc, RUN_UNITS, RUN_WORDS)
-                    begin = np.array(first)[doc[at] - (i - len(first))]
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(doc[at])), pa.array((at - begin).astype(np.int32)), pa.array(k.astype(np.int32))], names=["h", "doc_id", "i", "k"])
+                if w:
+                    h = hashed(w)
+                    first = cut(h, np.array(lens))
+                    words = np.diff(first, append=h.size)
+                    place = np.arange(h.size) - np.repeat(first, words)
+                    units_h = mixed(np.add.reduceat(mixed(h * _C + place.astype(U) + U(1)), first))
+                    of = np.concatenate(doc)[first]
+                    at, k, h = runs(units_h, words, of, RUN_UNITS, RUN_WORDS)
+                    begin = np.searchsorted(of, of[at])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(of[at])), pa.array((at - begin).astype(np.int32)), pa.array(k.astype(np.int32))], names=["h", "doc_id", "i", "k"])
 
     return docs.mapInArrow(run, f"h bigint, doc_id {kind}, i int, k int")
 

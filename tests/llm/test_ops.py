@@ -318,6 +318,16 @@ def test_sentence_spans_equal_brute_force(spark, passages):
     assert spans.dedup(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("stop", [0, 0.03, 0.15])
+def test_sentence_spans_find_passages_inside_sentences(spark, stop):
+    r = random.Random(17)
+    text = lambda n: [f"u{r.randrange(900)}" + ("." if r.random() < stop else "") for _ in range(n)]
+    shared = [text(n) for n in (51, 51, 55, 64, 90)]
+    texts = [" ".join(text(r.randrange(0, 60)) + shared[i % 5] + text(r.randrange(0, 60))) for i in range(100)]
+    got = {x["doc_id"] for x in spans.dedup(docs(spark, texts)).select("doc_id").collect()}
+    assert got == set(covered(texts, 51)) == set(range(5, 100))
+
+
 # ---- 6 tokens ----------------------------------------------------------------------------------------
 def test_tokens_equal_the_library(spark):
     P = pytest.importorskip("public_tokenizers")
