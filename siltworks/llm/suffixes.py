@@ -4,10 +4,14 @@ Suffixes of word sequences are kept only at content-selected places: a place is
 least hash in some window of WINDOW k-grams. Any match of WINDOW - 1 + PREFIX words or more holds such a place with PREFIX
 words after it, so MIN_WORDS (50) loses none. Suffixes sort over the whole cluster by (hash of their first PREFIX words,
 doc_id, place), range partitioned, so that a frequent passage spreads over many tasks; each is compared with its
-neighbour, across partition borders too. Neighbours on one diagonal of two documents chain; the chain's ends extend left
-and right word by word, by fewer than WINDOW words, as a longer extension would hold a further kept place.
+neighbour, across partition borders too. Neighbours on one diagonal of two documents chain.
 
-A match is reported for its later copy, against the neighbour before it; the first copy of a passage stays untouched.
+A chain of MIN_WORDS words or more is a match as it stands. The neighbour need not share the longest match, so wherever a
+suffix has a neighbour and a window of MIN_WORDS words around it is within no such chain, these windows and those around the
+first suffix of its hash are compared by hashes of their own with the first copy of each: as no first copy lies within a
+chain, every repeated window is found, and the matches cover exactly the words of repeated windows.
+
+A match is reported for its later copy, against an earlier one; the first copy of a passage stays untouched.
 Comparison ignores ASCII case and the white space between words; prefixes and words compare by 64-bit hashes.
 
 Defined results: null, blank or short texts have no suffixes; a null doc_id sorts first; rows that repeat an id are one
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import ship, stored
@@ -82,7 +86,7 @@ def hashed(docs: DataFrame) -> DataFrame:
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """(doc_id, p, q_id, q): each suffix whose neighbour before it in the sorted array has the same first words."""
+    """(h, doc_id, p, q_id, q): each suffix whose neighbour before it in the sorted array has the same first words."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -116,42 +120,96 @@ def neighbours(rows: DataFrame) -> DataFrame:
     # borders: one first and one last row a partition
     w = Window.orderBy("part", "edge")
     border = found.filter("edge > 0").select("edge", "part", "h", "doc_id", "p", F.lag(F.struct("h", "doc_id", "p")).over(w).alias("b")).filter("edge = 1 and b.h = h")
-    both = found.filter("edge = 0").select("doc_id", "p", "q_id", "q").unionByName(border.select("doc_id", "p", F.col("b.doc_id").alias("q_id"), F.col("b.p").alias("q")))
+    both = found.filter("edge = 0").select("h", "doc_id", "p", "q_id", "q").unionByName(border.select("h", "doc_id", "p", F.col("b.doc_id").alias("q_id"), F.col("b.p").alias("q")))
     return both.filter(~(F.col("doc_id").eqNullSafe(F.col("q_id")) & (F.col("p") == F.col("q"))))
 
 
-def equal_ahead(a: Column, b: Column) -> Column:
-    """How many leading elements two arrays share."""
-    at = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
-    return F.when(at > 0, at - 1).otherwise(F.least(F.size(a), F.size(b))).cast("int")
+def within(a: np.ndarray, z: np.ndarray, spans: pa.Array) -> np.ndarray:
+    """Which ranges a to z lie in one of the spans (a, z)."""
+    if not len(spans):
+        return np.zeros(a.size, bool)
+    x, y = (spans.field(k).to_numpy(zero_copy_only=False) for k in ("a", "z"))
+    order = np.argsort(x, kind="stable")
+    far, at = np.maximum.accumulate(y[order]), np.searchsorted(x[order], a, "right")
+    return (at > 0) & (far[at - 1] >= z)
+
+
+def open_places(near: DataFrame, done: DataFrame, min_words: int) -> DataFrame:
+    """(h, doc_id, p): neighbours with a window around them that no span of ``done`` (doc_id, spans) holds."""
+    kind = near.schema["doc_id"].dataType.simpleString()
+    own = near.groupBy("doc_id").agg(F.collect_list(F.struct("p", "h")).alias("at"))
+    both = own.join(done.withColumnRenamed("doc_id", "d_id"), F.col("doc_id").eqNullSafe(F.col("d_id")), "left").select("doc_id", "at", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hs, ps, ns = [], [], []
+            for at, spans in zip(b.column("at"), b.column("spans"), strict=True):
+                p, h = (at.values.field(k).to_numpy() for k in ("p", "h"))
+                open_ = ~within(np.maximum(p - WINDOW + 1, 0), p + min_words, spans.values if spans.is_valid else pa.array([]))
+                hs.append(h[open_])
+                ps.append(p[open_])
+                ns.append(int(open_.sum()))
+            if hs:
+                doc = np.repeat(np.arange(len(ns)), ns)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), b.column("doc_id").take(pa.array(doc)), pa.array(np.concatenate(ps))], names=["h", "doc_id", "p"])
+
+    return both.mapInArrow(run, f"h bigint, doc_id {kind}, p int")
+
+
+def window_rows(own: DataFrame, places: DataFrame, done: DataFrame, min_words: int) -> DataFrame:
+    """(x, doc_id, a): hash of the windows around ``places`` (doc_id, p) that no span of ``done`` holds; x null: a is the number of words."""
+    kind, power = own.schema["doc_id"].dataType.simpleString(), 1 << (min_words.bit_length() - 1)
+    at = places.groupBy("doc_id").agg(F.collect_set("p").alias("at")).withColumnRenamed("doc_id", "p_id")
+    at = at.join(done.withColumnRenamed("doc_id", "d_id"), F.col("p_id").eqNullSafe(F.col("d_id")), "left").drop("d_id")
+    text = with_words(own.join(at, own["doc_id"].eqNullSafe(at["p_id"]))).select("doc_id", F.transform("w", lambda x: F.xxhash64(x)).alias("s"), "at", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (s, at, spans) in enumerate(zip(b.column("s"), b.column("at"), b.column("spans"), strict=True)):
+                h, p = s.values.to_numpy().view(U), at.values.to_numpy()
+                near = np.zeros(h.size + 1, np.int64)
+                np.add.at(near, np.maximum(p - WINDOW + 1, 0), 1)
+                np.add.at(near, p + 1, -1)
+                a = np.flatnonzero(np.cumsum(near))
+                a = a[a + min_words <= h.size]
+                a = a[~within(a, a + min_words, spans.values if spans.is_valid else pa.array([]))]
+                part = rolled(h, power)
+                x = mixed(part[a] * _C + mixed(part[a + min_words - power] + U(min_words)))
+                n = a.size + 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[x.view(np.int64), 0], mask=np.arange(n) == n - 1), b.column("doc_id").take(pa.array(np.full(n, i))), pa.array(np.r_[a, h.size].astype(np.int32))], names=["x", "doc_id", "a"])
+
+    return text.mapInArrow(run, f"x bigint, doc_id {kind}, a int")
+
+
+def merged_spans(pieces: DataFrame) -> DataFrame:
+    """(doc_id, q_id, g, a, z): pieces on one diagonal that touch or overlap, as one."""
+    w = Window.partitionBy("doc_id", "q_id", "g").orderBy("a", "z")
+    pieces = pieces.withColumn("new", F.coalesce((F.col("a") > F.max("z").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1)))
+    pieces = pieces.withColumn("c", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return pieces.groupBy("doc_id", "q_id", "g", "c").agg(F.min("a").alias("a"), F.max("z").alias("z")).drop("c")
 
 
 def matches(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, start, length, other_id, other_start): maximal matches of a later copy, in words."""
+    """(doc_id, n_words, start, length, other_id, other_start): matches of a later copy, in words, that cover all it repeats."""
     ship(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     near = neighbours(stored(suffix_rows(own)))
-    diag = Window.partitionBy("doc_id", "q_id", "g").orderBy("p")
-    near = near.distinct().withColumn("g", F.col("p") - F.col("q"))
-    near = near.withColumn("new", F.coalesce((F.col("p") - F.lag("p").over(diag) > WINDOW).cast("int"), F.lit(1)))
-    near = near.withColumn("c", F.sum("new").over(diag.rowsBetween(Window.unboundedPreceding, 0)))
-    chain = near.groupBy("doc_id", "q_id", "g", "c").agg(F.min("p").alias("a"), (F.max("p") + PREFIX).alias("z"))
-    chain = stored(chain.select(F.struct("doc_id", "q_id", "g", "a", "z").alias("m")))
-    ask = chain.select(F.explode(F.array(
-        F.struct(F.col("m.doc_id").alias("id"), F.col("m.a").alias("a"), F.col("m.z").alias("z"), F.lit(0).alias("side"), F.col("m")),
-        F.struct(F.col("m.q_id").alias("id"), (F.col("m.a") - F.col("m.g")).alias("a"), (F.col("m.z") - F.col("m.g")).alias("z"), F.lit(1).alias("side"), F.col("m")),
-    )).alias("x")).select("x.*")
-    ask = ask.groupBy("id").agg(F.collect_list(F.struct("a", "z", "side", "m")).alias("asks"))
-    text = with_words(own.join(ask, own["doc_id"].eqNullSafe(ask["id"])).select("text", "asks")).select("w", F.explode("asks").alias("x"))
-    left = F.reverse(F.slice("w", F.greatest(F.col("x.a") - WINDOW + 1, F.lit(1)), F.least(F.col("x.a"), F.lit(WINDOW))))
-    side = text.select("x.side", "x.m", F.size("w").alias("n"), left.alias("l"), F.slice("w", F.col("x.z") + 1, WINDOW).alias("r"))
-    key = F.struct(F.coalesce(F.col("m.doc_id").cast("string"), F.lit("")), F.coalesce(F.col("m.q_id").cast("string"), F.lit("")), "m.g", "m.a", "m.z")
-    side = side.withColumn("key", F.xxhash64(key))
-    x, y = side.filter("side = 0"), side.filter("side = 1").select("key", F.col("m").alias("m2"), F.col("l").alias("l2"), F.col("r").alias("r2"))
-    both = x.join(y, "key").filter(F.col("m").eqNullSafe(F.col("m2")))
-    both = both.select("m", "n", equal_ahead(F.col("l"), F.col("l2")).alias("el"), equal_ahead(F.col("r"), F.col("r2")).alias("er"))
-    out = both.select(F.col("m.doc_id").alias("doc_id"), F.col("n").cast("long").alias("n_words"), (F.col("m.a") - F.col("el")).cast("long").alias("start"), (F.col("m.z") - F.col("m.a") + F.col("el") + F.col("er")).cast("long").alias("length"), F.col("m.q_id").alias("other_id"), (F.col("m.a") - F.col("m.g") - F.col("el")).cast("long").alias("other_start"))
-    return out.filter(F.col("length") >= min_words).distinct()
+    chain = merged_spans(near.select("doc_id", "q_id", (F.col("p") - F.col("q")).alias("g"), F.col("p").alias("a"), (F.col("p") + PREFIX).alias("z")).distinct())
+    chain = stored(chain.filter(F.col("z") - F.col("a") >= min_words))
+    done = chain.groupBy("doc_id").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
+    opened = stored(open_places(near, done, min_words))
+    # of a hash's other suffixes only the first, which is nobody's later neighbour, may start a first copy
+    least = near.groupBy("h").agg(F.min(F.struct(F.col("q_id").alias("doc_id"), F.col("q").alias("p"))).alias("x"))
+    places = opened.select("doc_id", "p").unionByName(least.join(opened.select("h").distinct(), "h").select("x.*"))
+    rows = stored(window_rows(own, places, done, min_words))
+    windows = rows.filter("x is not null")
+    first = windows.groupBy("x").agg(F.min(F.struct("doc_id", "a")).alias("f"), F.max(F.struct("doc_id", "a")).alias("l")).filter(~F.col("f").eqNullSafe(F.col("l"))).select("x", "f")
+    late = windows.join(stored(first), "x").filter(~F.struct("doc_id", "a").eqNullSafe(F.col("f")))
+    late = late.select("doc_id", F.col("f.doc_id").alias("q_id"), (F.col("a") - F.col("f.a")).alias("g"), "a", (F.col("a") + min_words).alias("z")).distinct()
+    both = merged_spans(chain.select(*late.columns).unionByName(late))
+    size = rows.filter("x is null").groupBy(F.col("doc_id").alias("n_id")).agg(F.max("a").cast("long").alias("n_words"))
+    both = both.join(size, F.col("doc_id").eqNullSafe(F.col("n_id")))
+    return both.select("doc_id", "n_words", F.col("a").cast("long").alias("start"), (F.col("z") - F.col("a")).cast("long").alias("length"), F.col("q_id").alias("other_id"), (F.col("a") - F.col("g")).cast("long").alias("other_start"))
 
 
 def repeated(docs: DataFrame, **kw) -> DataFrame:

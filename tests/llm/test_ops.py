@@ -289,6 +289,18 @@ def test_suffix_matches_equal_brute_force(spark, passages):
     assert suffixes.repeated(docs(spark, [])).count() == 0
 
 
+def test_suffix_matches_are_not_shadowed(spark):
+    r = random.Random(23)
+    text = lambda n: [f"y{r.randrange(20000)}" for _ in range(n)]
+    texts = []
+    for _ in range(40):  # a quote too short to count between the copies
+        p, q = text(60), text(200)
+        for part in (p, p[:49], p, q, *(q[i : i + 48] for i in range(0, 150, 30)), q):
+            texts.append(" ".join(text(r.randrange(0, 30)) + part + text(r.randrange(0, 30))))
+    got = {x["doc_id"]: x["n_dup_words"] for x in suffixes.repeated(docs(spark, texts)).collect()}
+    assert got == {d: len(w) for d, w in covered(texts, suffixes.MIN_WORDS).items()}
+
+
 def run_keys(t):
     u = [" ".join(words(t[a:b])) for a, b, _ in spans.units(t)]
     n = [len(x.split()) for x in u]
