@@ -1,11 +1,14 @@
 """PII surrogates: detected entities become keyed, type-consistent stand-ins.
 
 Each type has a keyed permutation of its own format: letters stay letters of their script and case (vowels and
-consonants apart in names, with the final letter of a name kept, as it carries the gender; the title stays), digits stay
+consonants apart in names, each part of a name by itself with its final letter kept, as it carries the gender; titles and
+particles stay), digits stay
 digits, punctuation stays; a card number keeps its checksum's state, an address its class (private, public, other), a
 phone its country code, an e-mail its top-level domain. Being permutations, they keep distinct entities distinct and
 equal ones equal over the whole corpus with no table of names, and none maps to itself: the permutation is a shift
 conjugated by a keyed Feistel cipher, which has no fixed point. A check within each text still compares surrogates.
+Coreference: a name is found after its title, and wherever in the text one of its parts stands by itself, with or without
+title, that mention gets the same stand-in.
 
 Defined results: null text stays null, with no entities; texts of any length are scanned whole; overlapping finds go to
 the first and then the longest; repeated rows give equal results; other columns pass through ``redact`` untouched.
@@ -28,7 +31,12 @@ TYPES = ("email", "secret", "ip", "phone", "card", "ssn", "person")
 KEY = b"siltworks-surrogates"
 #: Titles by gender. Fixed values.
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame", "Mme", "Don", "Doña", "Sr", "Sra", "г-н", "г-жа")
-NAME = r"[^\W\d_a-zß-öø-ÿа-я][^\W\d_A-ZА-Я]+"
+LETTER, UPPER = r"[^\W\d_]", r"[^\W\d_a-zß-öø-ÿа-я]"
+#: A part of a name: inner capitals, and apostrophes before a capital or after the first letter; not a possessive's.
+PART = rf"{UPPER}(?:['’](?={LETTER}{LETTER}))?(?:{LETTER}|['’](?={UPPER}))+"
+PARTICLES = ("van", "von", "der", "den", "de", "da", "di", "del", "della", "dos", "du", "la", "le", "bin", "al", "el")
+NAME = rf"(?:(?:{'|'.join(PARTICLES)}) )*{PART}(?:-{LETTER}+)*"
+MENTION = re.compile(rf"(?<!\w){PART}")
 RULES = {
     "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     "secret": re.compile(r"""(?:(?<=["'= :])|(?<![0-9A-Za-z]))(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])|(?<=[tTyYdD][ =:]["'])[^"'\s]{8,}(?=["'])|(?<=[nNyYtTdD] = ["'])[^"'\s]{8,}(?=["'])"""),
@@ -38,7 +46,7 @@ RULES = {
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     "person": re.compile(rf"(?<=\b(?:XX)\b )XX"),
 }
-RULES["person"] = re.compile(rf"\b(?:{'|'.join(TITLES)})\b\.? ({NAME}(?: {NAME})?)")
+RULES["person"] = re.compile(rf"\b(?:{'|'.join(TITLES)})\b\.? ((?:{UPPER}\. ?)*{NAME}(?: (?:{UPPER}\. ?)*{NAME}){{0,3}})")
 ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "àáâãäåæèéêëìíîïòóôõöøùúûüýÿ", "çñðþšžœß"]
 VOWELS = set("aeiouyаеиоуыэюяαεηιουω")
 #: Values up to which a permutation is a table.
@@ -145,6 +153,11 @@ def ip_class(x: int) -> tuple:
     return ("public",) if 1 <= x >> 24 < 224 else ("other",)
 
 
+def named(part: str, key: bytes) -> str:
+    """A name's part with its last letter kept; initials have no other."""
+    return formatted(part, key, "person", True, frozenset((len(part) - 1,) if len(part) > 1 else ()))
+
+
 @lru_cache(65536)
 def surrogate(kind: str, text: str, key: bytes) -> str:
     """The stand-in of an entity."""
@@ -179,8 +192,7 @@ def surrogate(kind: str, text: str, key: bytes) -> str:
         code = re.match(r"\+\d{1,3}(?=\D)|\+\d", text)
         return formatted(text, key, "phone", keep=frozenset(range(code.end() if code else 0)))
     if kind == "person":
-        ends = frozenset(i for i in range(len(text)) if i + 1 == len(text) or text[i + 1] == " ")
-        return formatted(text, key, "person", True, ends)
+        return re.sub(r"[^\s.-]+", lambda m: m[0] if m[0] in PARTICLES else named(m[0], key), text)
     if kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
         out = "".join("0123456789abcdef"[d] for d in permuted([int(c, 16) for c in text], 16, key, "hex"))
         return out.upper() if re.search("[A-F]", text) else out
@@ -203,7 +215,28 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     for x in found:
         if not out or x[0] >= out[-1][1]:
             out.append(x)
-    return out
+    return mentions(text, out)
+
+
+def mentions(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans, and between them every other mention of the persons' name parts."""
+    parts = {m[0] for a, b, kind in spans if kind == "person" for m in MENTION.finditer(text, a, b)}
+    if not parts:
+        return spans
+    parts |= {x.upper() for x in parts} | {x.capitalize() for x in parts if x.isupper()}
+    out, i = list(spans), 0
+    for m in MENTION.finditer(text):
+        if m[0] not in parts:
+            continue
+        while i < len(spans) and spans[i][1] <= m.start():
+            i += 1
+        if i < len(spans) and spans[i][0] < m.end():
+            continue
+        if len(out) > len(spans) and text[out[-1][1] : m.start()] in (" ", "-"):
+            out[-1] = (out[-1][0], m.end(), "person")
+        else:
+            out.append((*m.span(), "person"))
+    return sorted(out)
 
 
 def replaced(text: str | None, key: bytes) -> tuple[str | None, list[int]]:

@@ -413,6 +413,17 @@ def test_surrogates():
     assert pii.replaced(new.replace("x", "x"), key)[1] == n  # types hold
 
 
+def test_later_mentions_of_names_get_the_same_surrogate():
+    text = "Mr. John Smith met Mrs McDonald, Mr O'Brien and Mr John Paul Smith-Jones. Smith's friend John Smith wrote to smith@x.org; SMITH saw McDonald, Dr O'Brien, Ms J. van der Berg and Mr Smith."
+    new, n = pii.replaced(text, pii.KEY)
+    for gone in ("Smith", "SMITH", "John", "Paul", "Jones", "Donald", "Brien", "Berg", "J. ", "smith@"):
+        assert gone not in new
+    john, smith, mc = (pii.surrogate("person", x, pii.KEY) for x in ("John", "Smith", "McDonald"))
+    assert new.startswith(f"Mr. {john} {smith} met Mrs {mc}, ") and f" {smith}'s friend {john} {smith} wrote" in new
+    assert f"; {smith.upper()} saw {mc}, Dr " in new and new.endswith(f"Mr {smith}.") and " van der " in new
+    assert n[pii.TYPES.index("person")] == 11 and len({john, smith, mc}) == 3
+
+
 def test_surrogates_stay_distinct():
     r = random.Random(6)
     for kind, make in (("card", lambda: str(r.randrange(10**15, 10**16))), ("ip", lambda: f"{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}"), ("email", lambda: f"{''.join(r.choice('abc1') for _ in range(3))}@x{r.randrange(9)}.org"), ("person", lambda: "".join(r.choice("ABC") for _ in range(1)) + "".join(r.choice("aeibd") for _ in range(3)))):
