@@ -6,7 +6,8 @@ particles stay), digits stay
 digits, punctuation stays; a card number keeps its checksum's state, an address its class (private, public, other), a
 phone its country code, an e-mail its top-level domain. Being permutations, they keep distinct entities distinct and
 equal ones equal over the whole corpus with no table of names, and none maps to itself: the permutation is a shift
-conjugated by a keyed Feistel cipher, which has no fixed point. A check within each text still compares surrogates.
+conjugated by a keyed Feistel cipher, which has no fixed point. Entities compare by their normal form (10.0.0.01 is 10.0.0.1); should two in
+a text still share a surrogate, the later takes the next one.
 Coreference: a name is found after its title, and wherever in the text one of its parts stands by itself, with or without
 title, that mention gets the same stand-in.
 
@@ -51,6 +52,8 @@ ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрс
 VOWELS = set("aeiouyаеиоуыэюяαεηιουω")
 #: Values up to which a permutation is a table.
 FEW = 5000
+#: Further surrogates tried where one is another entity's already.
+TRIES = 16
 CJK = (0x4E00, 0x9FFF)
 
 
@@ -239,6 +242,11 @@ def mentions(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, in
     return sorted(out)
 
 
+def normal(kind: str, text: str) -> str:
+    """What tells entities of a type apart: addresses by their numbers, the rest without case."""
+    return ".".join(str(int(x)) for x in text.split(".")) if kind == "ip" else text.lower()
+
+
 def replaced(text: str | None, key: bytes) -> tuple[str | None, list[int]]:
     """The text with surrogates, and its entities by type in the order of TYPES."""
     n = [0] * len(TYPES)
@@ -246,9 +254,11 @@ def replaced(text: str | None, key: bytes) -> tuple[str | None, list[int]]:
         return text, n
     out, at, of = [], 0, {}
     for a, b, kind in spans:
-        new = surrogate(kind, text[a:b], key)
-        if of.setdefault((kind, new), text[a:b].lower()) != text[a:b].lower():
-            raise ValueError("two entities share a surrogate")
+        new, own = surrogate(kind, text[a:b], key), normal(kind, text[a:b])
+        for _ in range(TRIES):
+            if of.setdefault((kind, normal(kind, new)), own) == own:
+                break
+            new = surrogate(kind, new, key)
         out += [text[at:a], new]
         at = b
         n[TYPES.index(kind)] += 1

@@ -434,6 +434,16 @@ def test_surrogates_stay_distinct():
     assert [pii.luhn([*map(int, x[:-1])]) == int(x[-1]) for x in cards] == [pii.luhn([*map(int, y[:-1])]) == int(y[-1]) for y in (pii.surrogate("card", x, pii.KEY) for x in cards)]
 
 
+def test_collisions_are_resolved(monkeypatch):
+    new, n = pii.replaced("10.0.0.1 and 10.0.0.01 and 10.0.0.2", pii.KEY)
+    a, b, c = new.split(" and ")
+    assert a == b != c and n[pii.TYPES.index("ip")] == 3
+    real = pii.surrogate
+    monkeypatch.setattr(pii, "surrogate", lambda kind, text, key: "5.5.5.5" if text in ("8.8.8.8", "9.9.9.9") else real(kind, text, key))
+    a, b, c = pii.replaced("8.8.8.8 9.9.9.9 9.9.9.9", pii.KEY)[0].split()
+    assert a == "5.5.5.5" != b == c
+
+
 def test_redact_edges(spark):
     d = docs(spark, [*ODD, "write to a@b.org"], True)
     got = pii.redact(d).orderBy("doc_id").collect()
