@@ -2,20 +2,22 @@
 
 Each language has a suffix automaton of labelled text. A text is parsed into the longest phrases that occur in the
 language's text (a phrase ends where its longest match does); the language that needs the fewest phrases per character
-wins. All automata stand in one table state x character -> state, in which a failed match already leads to where the
-next phrase starts, so that numpy parses thousands of pieces of texts in step, PIECE characters each; whole texts count.
+wins. The edges of all automata stand in one hash table (state, character) -> state, so the model grows with the sample
+and not with the number of scripts; numpy parses thousands of pieces of texts in step, PIECE characters each, so that a
+piece's end adds at most one phrase; whole texts count.
 
-Fit: per language a bounded sample of SAMPLE_CHARS characters (and no more than TOTAL_CHARS over all languages), taken
-whole or cut to DOC_CHARS from the labelled documents that come first by a hash of their id.
+Fit: per language a bounded sample of SAMPLE_CHARS characters, for many languages TOTAL_CHARS over all, but MIN_CHARS each
+at least; taken whole or cut to DOC_CHARS from the labelled documents that come first by a hash of their id. Every
+labelled language is learned, and every letter of its sample.
 
 Defined results: `und` with score 0 for a null text or one without a letter; a text of characters that no language knows
 goes to the first of equals with score 0, as do other ties; with one language learned, its score is 1; with none, `und`.
-Null doc_ids are never learned from; repeated rows give equal results; empty tables give empty results.
+Null doc_ids are never learned from; repeated rows give equal results; empty tables give empty results; columns of any
+name pass through.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,14 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import ship
+from .words import free
 
-SAMPLE_CHARS, TOTAL_CHARS, DOC_CHARS, SAMPLE_DOCS = 40_000, 1_000_000, 2_000, 200
-#: The table's cells and the letters it tells apart are bounded too, however many languages and scripts there are.
-CELLS, LETTERS = 40_000_000, 250
-PIECE, LANES = 512, 4096
-#: Character classes besides the letters of the sample: nothing left, what is no letter, a letter that no sample has.
-PAD, GAP, OTHER = 0, 1, 2
+SAMPLE_CHARS, TOTAL_CHARS, MIN_CHARS, DOC_CHARS, SAMPLE_DOCS = 40_000, 2_000_000, 2_000, 2_000, 200
+#: Characters of a piece; (piece, language) pairs parsed in step; characters of texts held at once.
+PIECE, LANES, BATCH = 512, 1 << 14, 1_000_000
+#: Character classes besides the letters of the sample: what is no letter, a letter that no sample has.
+GAP, OTHER = 0, 1
 UND = "und"
+U = np.uint64
+_MUL = U(0x9E3779B97F4A7C15)
 
 
 @cache
@@ -40,8 +44,8 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def automaton(classes: list[int], width: int) -> np.ndarray:
-    """Suffix automaton of a sequence as a dense table; entries are next state * 4 + phrases ended by the step."""
+def automaton(classes: list[int]) -> list[dict[int, int]]:
+    """Suffix automaton of a sequence: each state's edges, class to state; state 0 is the root."""
     nxt, link, length, last = [{}], [-1], [0], 0
     for c in classes:
         cur = len(nxt)
@@ -66,35 +70,65 @@ def automaton(classes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    root = np.full(width, 1, np.int32)  # an unknown character is a phrase of its own
-    for c, s in nxt[0].items():
-        root[c] = s * 4
-    table = np.empty((len(nxt), width), np.int32)
-    for s, row in enumerate(nxt):
-        table[s] = root + 1 if s else root  # the phrase so far ends, the next one starts
-        for c, to in row.items():
-            table[s, c] = to * 4
-        table[s, PAD] = s * 4
-    return table
+    return nxt
+
+
+class Edges:
+    """Hash table from int64 keys to int32 values; keys whose place is taken stand in a next, smaller table."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.uint64]] = []
+        while keys.size:
+            bits = max(4, int(2 * keys.size - 1).bit_length())
+            shift = U(64 - bits)
+            slot, own = np.unique((keys.view(U) * _MUL) >> shift, return_index=True)
+            k, v = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+            k[slot], v[slot] = keys[own], values[own]
+            self.levels.append((k, v, shift))
+            rest = np.ones(keys.size, bool)
+            rest[own] = False
+            keys, values = keys[rest], values[rest]
+
+    def into(self, out: np.ndarray, keys: np.ndarray) -> None:
+        """Puts the values of the keys that are there into ``out``."""
+        at = None
+        for k, v, shift in self.levels:
+            slot = ((keys.view(U) * _MUL) >> shift).astype(np.int64)
+            found = k[slot]
+            hit = found == keys
+            where = np.flatnonzero(hit)
+            out[where if at is None else at[where]] = v[slot[where]]
+            more = np.flatnonzero(~hit & (found >= 0))
+            if not more.size:
+                return
+            keys, at = keys[more], more if at is None else at[more]
 
 
 class Model:
-    """Automata of all languages in one table, and the class of every character."""
+    """Automata of all languages, and the class of every character."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        seen = Counter(c for t in samples.values() for c in t.lower() if c.isalpha())
-        known = sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])
-        self.classes = np.where(letters(), OTHER, GAP).astype(np.uint16)
+        known = sorted({c for t in samples.values() for c in t.lower() if c.isalpha()})
+        self.classes = np.where(letters(), OTHER, GAP).astype(np.int32)
         for i, c in enumerate(known):
             for form in {c, c.upper()}:
                 if len(form) == 1:
                     self.classes[ord(form)] = OTHER + 1 + i
         self.width = OTHER + 1 + len(known)
-        bound = CELLS // (2 * self.width * max(1, len(samples)))
-        tables = [automaton(self.encode([samples[x][:bound]])[0].tolist(), self.width) for x in self.langs]
-        self.roots = np.cumsum([0, *map(len, tables)])[:-1].astype(np.int32)
-        self.table = np.concatenate([t + 4 * r for t, r in zip(tables, self.roots, strict=True)]).ravel() if tables else None
+        self.roots = np.zeros(len(self.langs), np.int32)
+        self.first = np.zeros((len(self.langs), self.width), np.int32)  # from the roots; entries are next state * 4 + phrases ended by the step
+        keys, values, n = [], [], 0
+        for j, x in enumerate(self.langs):
+            nxt = automaton(self.encode([samples[x]])[0].tolist())
+            self.roots[j] = n
+            self.first[j] = n * 4 + 1  # an unknown character is a phrase of its own
+            for c, to in nxt[0].items():
+                self.first[j, c] = (n + to) * 4
+            keys.append(np.fromiter(((n + s) * self.width + c for s, row in enumerate(nxt) if s for c in row), np.int64))
+            values.append(np.fromiter(((n + to) * 4 for s, row in enumerate(nxt) if s for to in row.values()), np.int32))
+            n += len(nxt)
+        self.edges = Edges(np.concatenate(keys), np.concatenate(values)) if keys else None
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Classes of all texts in a row, each between gaps, runs of non-letters as one; the length and the letters of each text."""
@@ -102,7 +136,7 @@ class Model:
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         c = self.classes[points]
-        of = np.repeat(np.arange(len(texts)), lens)
+        of = np.repeat(np.arange(len(texts), dtype=np.int32), lens)
         gap = c == GAP
         keep = np.ones(c.size, bool)
         keep[1:] = ~(gap[1:] & gap[:-1]) | (of[1:] != of[:-1])
@@ -110,24 +144,31 @@ class Model:
         return c, np.bincount(of, minlength=len(texts)), np.bincount(of[c != GAP], minlength=len(texts))
 
     def phrases(self, c: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        """Phrases of each text in each language: texts in pieces of PIECE, LANES pieces at a time."""
+        """Phrases of each text in each language: texts in pieces of PIECE, the longest pieces first, so that those that end leave the row."""
         pieces = -(-lens // PIECE)
         of = np.repeat(np.arange(lens.size), pieces)
         first = np.repeat(np.cumsum(lens) - lens, pieces) + (np.arange(of.size) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
         left = np.minimum(np.repeat(np.cumsum(lens), pieces) - first, PIECE)
-        out = np.zeros((lens.size, len(self.langs)), np.int64)
-        for i in range(0, of.size, LANES):
-            a, n = first[i : i + LANES], left[i : i + LANES]
-            long = int(n.max())
-            at = a[:, None] + np.arange(long)
-            grid = np.where(np.arange(long) < n[:, None], c[np.minimum(at, c.size - 1)], PAD).T.astype(np.int32)
+        order = np.argsort(-left, kind="stable")
+        of, first, left = of[order], first[order], left[order]
+        n_lang = len(self.langs)
+        rows, lanes = np.arange(n_lang) * self.width, max(64, LANES // n_lang)
+        table = self.first.ravel()
+        out = np.zeros((lens.size, n_lang), np.int64)
+        for i in range(0, of.size, lanes):
+            a, n = first[i : i + lanes], left[i : i + lanes]
             state = np.repeat(self.roots[None, :], n.size, 0)
             count = np.zeros_like(state)
-            for step in grid:
-                to = self.table[state * self.width + step[:, None]]
-                count += to & 3
-                state = to >> 2
-            np.add.at(out, of[i : i + LANES], count + (state != self.roots))
+            ends = np.searchsorted(-n, -np.arange(int(n[0])), "left")  # pieces longer than each step
+            for step, m in enumerate(ends.tolist()):
+                x = c[a[:m] + step][:, None]
+                own = state[:m]
+                to = (table[x + rows] + (own != self.roots)).ravel()  # the phrase so far ends, the next one starts
+                self.edges.into(to, (own.astype(np.int64) * self.width + x).ravel())
+                to = to.reshape(own.shape)
+                count[:m] += to & 3
+                state[:m] = to >> 2
+            np.add.at(out, of[i : i + lanes], count + (state != self.roots))
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
@@ -156,14 +197,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     The count per language reads two narrow columns; its hash threshold then picks about SAMPLE_DOCS documents each.
     """
+    spark = docs.sparkSession
     may = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).filter(F.col("i").isNotNull() & F.col("l").isNotNull() & ~held_out(F.col("i")))
     draw = F.pmod(F.xxhash64(F.lit("fit"), F.col("i")), F.lit(1 << 30))
-    n = {r["l"]: r["n"] for r in may.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(TOTAL_CHARS // 2000).collect()}
+    n = {r["l"]: r["n"] for r in may.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not n:
         return Model({})
-    chars = min(SAMPLE_CHARS, TOTAL_CHARS // len(n))
-    limit = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1 << 30, 1 + (min(SAMPLE_DOCS, 20 + 4 * chars // DOC_CHARS) << 30) // v))])
-    picked = may.withColumn("d", draw).filter(F.col("d") < limit[F.col("l")]).select("l", "d", F.crc32(F.col("t").cast("binary")).alias("x"), F.substring("t", 1, DOC_CHARS).alias("t")).filter(F.col("t").isNotNull())
+    chars = min(SAMPLE_CHARS, max(MIN_CHARS, TOTAL_CHARS // len(n)))
+    most = min(SAMPLE_DOCS, 20 + 4 * chars // DOC_CHARS)
+    bounds = spark.createDataFrame([(k, min(1 << 30, 1 + (most << 30) // v)) for k, v in n.items()], f"l {may.schema['l'].dataType.simpleString()}, bound bigint")
+    picked = may.withColumn("d", draw).join(F.broadcast(bounds), "l").filter(F.col("d") < F.col("bound"))
+    picked = picked.select("l", "d", F.crc32(F.col("t").cast("binary")).alias("x"), F.substring("t", 1, DOC_CHARS).alias("t")).filter(F.col("t").isNotNull())
     picked = picked.groupBy("l", "d").agg(F.min(F.struct("x", "t")).alias("m")).select("l", "d", "m.*")  # rows that repeat an id count once
     samples: dict[str, str] = {}
     for r in sorted(picked.collect(), key=lambda r: (r["l"], r["d"], r["x"])):
@@ -172,8 +216,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model({k: v for k, v in samples.items() if any(map(str.isalpha, v))})
 
 
-def tagged(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with __lid_pred, __lid_score and __lid_odd (near 1 where no learned language has even pairs of the letters); one narrow pass. The model's table has a fixed bound and goes to the workers once."""
+def tagged(docs: DataFrame, model: Model, into: tuple[str, str, str], text_col: str = "text") -> DataFrame:
+    """``docs`` with three columns more: language, score and strangeness (near 1 where no learned language has even pairs of the letters); one narrow pass."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
@@ -182,7 +226,7 @@ def tagged(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for b in batches:
             langs, scores, odd, part, size = [], [], [], [], 0
             for t in [*b.column(at).to_pylist(), ...]:
-                if part and (t is ... or size > 2_000_000):
+                if part and (t is ... or size + len(t or "") > BATCH):
                     x, y, z = shared.value.predict(part)
                     langs += x
                     scores += y
@@ -191,12 +235,18 @@ def tagged(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 if t is not ...:
                     part.append(t)
                     size += len(t or "")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(odd, pa.float64())], names=[*b.schema.names, "__lid_pred", "__lid_score", "__lid_odd"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(odd, pa.float64())], names=[*b.schema.names, *into])
 
-    schema = docs.select("*", F.lit("").alias("__lid_pred"), F.lit(0.0).alias("__lid_score"), F.lit(0.0).alias("__lid_odd")).schema
+    schema = docs.select("*", F.lit("").alias(into[0]), F.lit(0.0).alias(into[1]), F.lit(0.0).alias(into[2])).schema
     return docs.mapInArrow(run, schema)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every row."""
-    return tagged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model).select("doc_id", F.col("__lid_pred").alias("lang_pred"), F.col("__lid_score").alias("score"))
+    return tagged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model, ("lang_pred", "score", "odd")).select("doc_id", "lang_pred", "score")
+
+
+def identified(docs: DataFrame, model: Model, most_odd: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text is of a learned language, that is, not `und` and at most ``most_odd`` strange."""
+    lang, score, odd = free(docs.columns, "lid_pred", "lid_score", "lid_odd")
+    return tagged(docs, model, (lang, score, odd), text_col).filter((F.col(lang) != UND) & (F.col(odd) <= most_odd)).select(*docs.columns)

@@ -33,3 +33,14 @@ def shingle_hashes(words: Column, k: int) -> Column:
     hashed = F.transform(runs, lambda r: F.xxhash64(*[r[f"w{i}"] for i in range(k)]))
     short = F.array(F.xxhash64(F.concat_ws("\n", words)))
     return F.when(F.size(words) >= k, hashed).when(F.size(words) > 0, short).otherwise(F.array().cast("array<bigint>"))
+
+
+def free(names: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores after it as keep it apart from ``names``, whatever their case."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
