@@ -5,15 +5,18 @@ one slot. A slot keeps its least value, so once all slots of a document hold les
 cannot matter and it stops early: long documents need a few rounds, not SLOTS. The permutation is an affine one modulo a
 prime, so each rank goes to each slot alike and P(equal slot) is the similarity.
 
-Copies: documents with equal shingle sets (a 128-bit sum over the set) are one class; only its smallest id goes on.
-Banding: BANDS x ROWS slots; at a similarity of 0.85 a pair is missed with a chance below 1e-6. Candidates of small
+Copies: documents with equal shingle sets (a 128-bit sum over the set) are one class; only its first (id, text hash) goes
+on. Banding: BANDS x ROWS slots; at a similarity of 0.85 a pair is missed with a chance below 1e-6. Candidates of small
 buckets are compared pairwise (below SMALL members, a constant). In larger ones every member is compared with the
 bucket's densest member (the one with most company over all bands), and what the grouping still leaves apart is compared
 exactly in blocks of bounded size, links alone leaving the task; so no group is expanded into pairs of rows, and none is
-cut off. A signature estimate more than five standard deviations below the threshold saves a comparison.
+cut off. A bucket of more than BLOCK shingles is first dealt out by a second common band (a pair at 0.85 has two with a
+chance of all but 1e-5), so that members which share but a passage don't meet. A signature estimate more than five
+standard deviations below the threshold saves a comparison. Shingle sets, not words, go through joins.
 
-Defined results: null or blank text has an empty set, is linked with nothing and is kept; a null doc_id is its own, null
-component and is not kept; rows that repeat a doc_id are the same document; order and further columns don't matter.
+Defined results: null or blank text has an empty set, is linked with nothing and is kept; rows that repeat a doc_id go by
+their own texts; a null doc_id links nothing, gets the group of its equals, if any, and is not kept; ids are of any
+ordered type; order and further columns don't matter.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import cut, ship, stored
+from ..plans.shared import BROADCAST_ROWS, cut, ship, stored
 from .graph import components
 from .words import ascii_lower, shingle_hashes, word_array
 
@@ -81,8 +84,8 @@ def with_words(docs: DataFrame, text: str = "text", to: str = "w") -> DataFrame:
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, d1, d2, sig, bands) of every row; d1, d2 identify the set."""
-    names, kind = ["doc_id", "n", "d1", "d2", "sig", "bands"], docs.schema["doc_id"].dataType.simpleString()
+    """(doc_id, x, n, d1, d2, sig, bands) of every row; x is a hash of the text, d1 and d2 identify the set."""
+    names, kind = ["doc_id", "x", "n", "d1", "d2", "sig", "bands"], docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,12 +106,12 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                 bands = bands_of(sig)
                 bytes_ = mixed(sig).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(lens.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
+                    part.column("doc_id"), part.column("x"), pa.array(lens.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
                     pa.array([x.tobytes() for x in bytes_], pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())),
                 ], names=names)
 
-    rows = with_words(docs.select("doc_id", "text")).select("doc_id", shingles(F.col("w"), k).alias("s"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n bigint, d1 bigint, d2 bigint, sig binary, bands array<bigint>")
+    rows = with_words(docs.select("doc_id", F.xxhash64("text").alias("x"), "text")).select("doc_id", "x", shingles(F.col("w"), k).alias("s"))
+    return rows.mapInArrow(run, f"doc_id {kind}, x bigint, n bigint, d1 bigint, d2 bigint, sig binary, bands array<bigint>")
 
 
 def alike(a: str, b: str) -> Column:
@@ -117,12 +120,10 @@ def alike(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(part(a), part(b), lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are similar enough; ``texts`` has (doc_id, w)."""
-    a, b = (texts.select(F.col("doc_id").alias(x), F.col("w").alias(f"w{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", shingles(F.col("wa"), k).alias("sa"), shingles(F.col("wb"), k).alias("sb"))
-    inter = F.size(F.array_intersect("sa", "sb"))
-    both = both.select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets are similar enough; ``sets`` has (rep, s)."""
+    a, b = (sets.select(F.col("rep").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
     return both.filter(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b")
 
 
@@ -131,97 +132,115 @@ def linked_within(percent: int, floor: int):
 
     def run(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
-        ids, comp, side = t["rep"].to_pylist(), t["comp"].to_pylist(), t["side"].to_numpy()
-        band, other = int(t["band"][0].as_py()), int(t["pair"][0].as_py()) != 0
+        ids, side = t["rep"].combine_chunks(), t["side"].to_numpy()
+        band, before, other = (int(t[c][0].as_py()) for c in ("band", "before", "pair"))
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(ids), SLOTS)
-        bands = np.array(t["bands"].to_pylist(), np.int64)
-        sets = [np.sort(np.asarray(x, np.int64)) for x in t["s"].to_numpy(zero_copy_only=False)]
+        bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)[:, :band]
+        sets = [x.values.to_numpy() for x in t["s"].combine_chunks()]  # sorted
         size = np.array([len(x) for x in sets])
-        root: dict = {}
+        names: dict = {}
+        group = np.array([names.setdefault(tuple(c.values()), len(names)) for c in t["comp"].to_pylist()])
+        root = list(range(len(names)))
 
         def find(x):
-            while root.setdefault(x, x) != x:
+            while root[x] != x:
                 root[x] = root[root[x]]
                 x = root[x]
             return x
 
-        group = np.unique(np.array([str(c) for c in comp]), return_inverse=True)[1]
         most = np.argmax(np.bincount(group))
-        found = []
+        a, b = [], []
         for x in np.flatnonzero(group != most):  # members of the largest group meet each other in no other way
             y = np.flatnonzero((group != group[x]) & ((side != side[x]) if other else True) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])))
             y = y[(group[y] == most) | (y > x)]
             y = y[(sig[y] == sig[x]).sum(1) >= floor]
-            y = y[(bands[y, :band] != bands[x, :band]).all(1)]  # pairs that share an earlier band are compared there
+            y = y[(bands[y] == bands[x]).sum(1) == before]  # pairs that share earlier bands are compared there
             for z in y:
-                if find(comp[x]) == find(comp[z]):
+                if find(group[x]) == find(group[z]):
                     continue
                 at = np.searchsorted(sets[x], sets[z])
                 at[at == sets[x].size] = 0
                 i = int((sets[x][at] == sets[z]).sum())
                 if 100 * i >= percent * (size[x] + size[z] - i):
-                    root[find(comp[x])] = find(comp[z])
-                    found.append((ids[x], ids[z]))
-        return pa.table({"a": pa.array([f[0] for f in found], t["rep"].type), "b": pa.array([f[1] for f in found], t["rep"].type)})
+                    root[find(group[x])] = find(group[z])
+                    a.append(x)
+                    b.append(z)
+        return pa.table({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64()))})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of ``docs``."""
+def links_in_blocks(at: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, floor: int) -> DataFrame:
+    """Links (a, b) between members of large buckets, ``at`` (key, band, rep, n, all, comp), that are in different components."""
+    apart = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    at = at.join(apart, "key").join(nodes.select("rep", "sig", "bands"), "rep")
+    one = at.filter(F.col("all") <= BLOCK).withColumn("before", F.lit(0))
+    two = at.filter(F.col("all") > BLOCK).select("*", F.posexplode("bands").alias("band2", "key2")).filter("band2 > band")
+    two = two.withColumns({"key": F.xxhash64("key", "key2"), "band": F.col("band2"), "before": F.lit(1)}).drop("band2", "key2")
+    met = two.groupBy("key").agg(F.sum("n").alias("all"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", "all")
+    rest = one.unionByName(two.drop("all").join(met, "key")).withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int"))
+    rest = rest.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("key", "band", "before", "rep", "comp", "sig", "bands", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), (F.col("own") <= F.col("with")).cast("int").alias("side"), (F.col("own") != F.col("with")).cast("int").alias("pair"))
+    kind = nodes.schema["rep"].dataType.simpleString()
+    return rest.join(sets, "rep").groupBy("key", "lo", "hi").applyInArrow(linked_within(percent, floor), f"a {kind}, b {kind}")
+
+
+def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, x, n_shingles, first) per row of ``docs`` (doc_id, text): first is the least (doc_id, x) of its group, null in an empty set."""
     ship(docs.sparkSession)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
     share = percent / 100
     floor = max(0, int(SLOTS * share - 5 * (SLOTS * share * (1 - share)) ** 0.5))
-    base = stored(signed(docs, k))
-    key = ["n", "d1", "d2"]
-    classes = cut(base.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")))
-    reps = base.filter("n > 0").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *key]).dropDuplicates(["doc_id"])
-    keys = reps.select(F.col("doc_id").alias("rep"), "n", F.posexplode("bands").alias("band", "key"))
+    base, key = stored(signed(docs, k)), ["n", "d1", "d2"]
+    node = F.struct("doc_id", "x")
+    nodes = stored(base.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min(node).alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    keys = nodes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("all")).filter("c > 1")
     member = stored(keys.join(buckets, "key"))
     # densest member of each larger bucket
     large = member.filter(F.col("c") > SMALL)
     dense = large.groupBy("rep").agg(F.sum("c").alias("dense"))
-    pivot = large.join(cut(dense), "rep").groupBy("key").agg(F.max(F.struct("dense", (-F.col("rep")).alias("neg"))).alias("x")).select("key", (-F.col("x.neg")).alias("b"))
+    pivot = large.join(dense, "rep").groupBy("key").agg(F.min(F.struct((-F.col("dense")).alias("dense"), "rep")).alias("x")).select("key", F.col("x.rep").alias("b"))
     pivot = cut(pivot)  # one row a large bucket; cut, so that the join with a hot bucket's members can be split
     star = large.join(pivot, "key").filter("rep <> b").select(F.col("rep").alias("a"), "b")
     few = member.filter(F.col("c") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("xs"))  # at most SMALL ids
     few = few.select(F.posexplode("xs").alias("i", "a"), "xs").select("a", F.explode(F.slice("xs", F.col("i") + 2, SMALL)).alias("b"))
     pairs = few.unionByName(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sigs = reps.join(member.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "n", "sig", "bands")
-    sigs = stored(sigs)
     for x in "ab":
-        pairs = pairs.join(sigs.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")), x)
+        pairs = pairs.join(nodes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")), x)
     near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (alike("sa", "sb") >= floor)
     pairs = cut(pairs.filter(near).select("a", "b"))
-    # whole texts of what may be linked or lies in a larger bucket
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(large.select(F.col("rep").alias("doc_id"))).distinct()
-    texts = stored(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    words = with_words(texts).select("doc_id", "w")
-    links = cut(verified(pairs, words, k, percent))
-    comp = components(links)
+    # whole sets of what may be linked or lies in a larger bucket
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(large.select("rep")).distinct()
+    texts = docs.select(F.struct("doc_id", F.xxhash64("text").alias("x")).alias("rep"), "text").join(needed, "rep", "left_semi").dropDuplicates(["rep"])
+    sets = stored(with_words(texts).select("rep", F.sort_array(shingles(F.col("w"), k)).alias("s")))
+    comp = components(verified(pairs, sets, percent))
     at = large.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    apart = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    rest = at.join(apart, "key").withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int"))
-    rest = rest.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", "band", "rep", "comp", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), (F.col("own") <= F.col("with")).cast("int").alias("side"), (F.col("own") != F.col("with")).cast("int").alias("pair"))
-    sets = words.select(F.col("doc_id").alias("rep"), shingles(F.col("w"), k).alias("s")).join(sigs.select(F.col("doc_id").alias("rep"), "sig", "bands"), "rep")
-    more = rest.join(sets, "rep").groupBy("key", "lo", "hi").applyInArrow(linked_within(percent, floor), f"a {kind}, b {kind}")
-    more = cut(more)
+    more = cut(links_in_blocks(at, nodes, sets, percent, floor))
     if more.limit(1).count():
         comp = components(comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more))
-    found = classes.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select(*key, F.coalesce("comp", "rep").alias("component_id"))
-    out = base.select("doc_id", *key).join(found, key, "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    found = nodes.select(*key, "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(*key, F.coalesce("comp", "rep").alias("first"))
+    return base.select("doc_id", "x", *key).join(found, key, "left").select("doc_id", "x", F.col("n").alias("n_shingles"), "first")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row of ``docs``."""
+    g = grouped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), k, percent)
+    g = g.select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
+    return g.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without near copies: of each group the rows of the smallest id stay (one of rows that repeat it); null ids stay."""
-    groups = near_duplicates(docs, k, percent, id_col, text_col)
-    lost = groups.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__lost")).distinct()
-    out = docs.join(lost, docs[id_col] == lost["__lost"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    return out.withColumn("__rank", rank).filter((F.col("__rank") == 1) | F.col(id_col).isNull()).drop("__rank")
+    """``docs`` without near copies: of each group its first (id, text hash) stays, once; rows of one id and one empty set stay once too; null ids stay."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    g = grouped(own, k, percent).filter("doc_id is not null").groupBy("doc_id", "x").agg(F.count("*").alias("c"), F.max(F.struct("doc_id", "x").eqNullSafe(F.coalesce("first", F.struct("doc_id", "x")))).alias("stays"))
+    other = cut(g.filter("not stays or c > 1").select(F.col("doc_id").alias("o_id"), F.col("x").alias("o_x"), "stays"))
+    n = other.groupBy("stays").count().collect()  # two rows at most
+    if sum(r["count"] for r in n) <= BROADCAST_ROWS:
+        other = F.broadcast(other)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("x"))
+    rows = rows.join(other, (F.col("id") == F.col("o_id")) & (F.col("x") == F.col("o_x")), "left").filter("stays is null or stays")
+    if any(r["stays"] for r in n):  # rows that repeat an id and a text: the first by a hash of all columns, by a combining aggregate
+        told = F.xxhash64(*[F.col("row")[c] for c, kind in docs.dtypes if "map<" not in kind])
+        once = rows.filter("stays").groupBy("id", "x").agg(F.min_by("row", told).alias("row")).select("row")
+        rows = rows.filter("stays is null").select("row").unionByName(once)
+    return rows.select("row.*")

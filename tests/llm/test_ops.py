@@ -97,7 +97,7 @@ def test_phrases_equal_brute_force():
     r = random.Random(5)
     samples = {"a": "".join(r.choice("abc ") for _ in range(300)), "b": "".join(r.choice("bcd ") for _ in range(300))}
     m = language.Model(samples)
-    texts = ["".join(r.choice("abcdZ ") for _ in range(r.randrange(1, 400))) for _ in range(60)]
+    texts = ["".join(r.choice("abcdZ ") for _ in range(r.randrange(1, 1800))) for _ in range(60)]
     c, lens, _ = m.encode(texts)
     got = m.phrases(c, lens)
     import re
@@ -105,7 +105,23 @@ def test_phrases_equal_brute_force():
     clean = lambda t: re.sub(r"[^a-z]+", " ", f" {t} ".lower())
     for t, row in zip(texts, got, strict=True):
         for lang, n in zip(m.langs, row, strict=True):
-            assert n == phrases(clean(t), clean(samples[lang])) or len(clean(t)) > language.PIECE
+            pieces = [clean(t)[i : i + language.PIECE] for i in range(0, len(clean(t)), language.PIECE)]
+            assert n == sum(phrases(x, clean(samples[lang])) for x in pieces)
+
+
+def test_every_language_and_letter_is_learned(spark):
+    r = random.Random(12)
+    scripts = [[chr(0x4E00 + 700 * j + i) for i in range(600)] for j in range(3)]  # more letters than any alphabet has
+    vocab = [["".join(x[i : i + 4]) for i in range(0, 600, 4)] for x in scripts]
+    rows = [(3 * i, "".join(r.choice(vocab[i % 3]) for _ in range(40)), f"cjk{i % 3}") for i in range(240)]
+    rows += [(10_000 + 7 * i, f"lang{i:04d} ".translate({48 + d: "bdfgklmnpr"[d] for d in range(10)}) * 30, f"l{i}") for i in range(700)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = language.fit(d)
+    may = {x["lang"] for x in d.filter(~language.held_out(F.col("doc_id"))).select("lang").distinct().collect()}
+    assert set(m.langs) == may and len(may) > 450
+    assert m.width > 1000  # no letter is folded into another
+    got = language.predict(d.filter(d.lang.isin([f"cjk{j}" for j in range(3)])), m).join(d, "doc_id")
+    assert got.filter("lang_pred <> lang").count() == 0
 
 
 def test_language_held_out_accuracy_and_edges(spark):
@@ -209,13 +225,35 @@ def test_near_duplicates_equal_brute_force(spark, k, percent, each):
     assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in got)
 
 
+@pytest.mark.parametrize(("block", "small"), [(2_000, 3), (1_000_000, 2), (300, 100)])
+def test_large_buckets_equal_brute_force(spark, monkeypatch, block, small):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "SMALL", small)
+    texts = copies(21, 3, 45) + [f"{' '.join(f'p{i}' for i in range(60))} {' '.join(f'x{j}y{i}' for i in range(20 + j % 30))}" for j in range(40)]
+    want = components_of([shingle_set(t, 3) for t in texts], 85)
+    d = docs(spark, texts).withColumn("doc_id", F.format_string("id-%05d", "doc_id"))
+    got = neardup.near_duplicates(d, 3, 85).orderBy("doc_id").collect()
+    assert [x["component_id"] for x in got] == [f"id-{c:05d}" for c in want]
+    assert len(set(want)) > 45
+
+
 def test_near_duplicates_edges(spark):
     d = docs(spark, ["a b c", "a b c", None]).unionByName(docs(spark, ["a b c"])).unionByName(docs(spark, ["a b c"]).withColumn("doc_id", F.lit(None).cast("long")))
     got = sorted(((x["doc_id"], x["component_id"], x["kept"]) for x in neardup.near_duplicates(d).collect()), key=str)
     assert got == sorted([(0, 0, True), (0, 0, True), (1, 0, False), (2, 2, True), (None, 0, False)], key=str)
     assert sorted((x["doc_id"] for x in neardup.deduplicated(d).collect()), key=str) == sorted([0, 2, None], key=str)
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
-    assert neardup.deduplicated(docs(spark, ["a"], True)).columns == docs(spark, ["a"], True).columns
+    assert neardup.deduplicated(docs(spark, [])).count() == 0
+    clash = docs(spark, ["a"], True).withColumns({c: F.lit(1) for c in ("x", "row", "id", "stays", "o_id", "o_x", "first", "n", "d1", "rep")})
+    assert neardup.deduplicated(clash).columns == clash.columns
+
+
+def test_rows_of_one_id_go_by_their_own_texts(spark):
+    long = " ".join(f"k{i}" for i in range(80))
+    rows = [(1, long), (2, long), (2, "quite another text that no other document has"), (2, long), (3, "unique words of the third"), (3, "unique words of the third"), (None, long), (None, None), (4, ""), (4, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    got = sorted(((x["doc_id"], x["text"]) for x in neardup.deduplicated(d).collect()), key=str)
+    assert got == sorted([rows[0], rows[2], rows[4], rows[6], rows[7], rows[8]], key=str)
 
 
 def test_signature_estimates_similarity():
