@@ -17,8 +17,17 @@ BROADCAST_ROWS = 50_000
 SALTS = 32
 
 
+#: Arrow batches between the JVM and Python workers, which both hold several of them outside the heap; Spark's own bound.
+BATCH_BYTES, SPARK_BATCH_BYTES = "4m", "67108864b"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package's modules to the executors, once a context: their Python need not have it installed, nor share a folder."""
+    """Sends this package's modules to the executors, once a context: their Python need not have it installed, nor share a folder.
+
+    Bounds the session's Arrow batches too, unless it has its own bound.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", SPARK_BATCH_BYTES) == SPARK_BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_siltworks", False):
         return
