@@ -11,8 +11,9 @@ may split.
 
 Comparison ignores ASCII case and the white space between words. Run hashes have 64 bits.
 
-Defined results: null, blank or short texts have no runs and stay as they are; a null doc_id comes first of all; rows
-that repeat an id and a text are one document, whose runs are not repeated by themselves; other columns are not read.
+Defined results: null, blank or short texts have no runs and stay as they are; a null doc_id comes first of all; a
+document is an id and a text (told apart by a 32-bit hash within the id), so rows that repeat both are not repeated by
+themselves and rows of one id with different texts lose only what each repeats; other columns are not read.
 """
 
 from __future__ import annotations
@@ -106,12 +107,12 @@ def runs(hashes: np.ndarray, words: np.ndarray, doc: np.ndarray, least_units: in
 
 
 def run_rows(docs: DataFrame) -> DataFrame:
-    """(h, doc_id, i, k): a row for every run of (doc_id, text)."""
+    """(h, doc_id, p, k): a row for every run of (doc_id, x, text); p is x * 2 ** 32 + unit."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, ids, i = b.column("text").to_pylist(), b.column("doc_id"), 0
+            texts, ids, x, i = b.column("text").to_pylist(), b.column("doc_id"), b.column("x").to_numpy().astype(np.int64), 0
             while i < len(texts):
                 w, lens, doc, size = [], [], [], 0
                 while i < len(texts) and (size == 0 or size + len(texts[i] or "") < 2_000_000):
@@ -132,26 +133,31 @@ def run_rows(docs: DataFrame) -> DataFrame:
                     of = np.concatenate(doc)[first]
                     at, k, h = runs(units_h, words, of, RUN_UNITS, RUN_WORDS)
                     begin = np.searchsorted(of, of[at])
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(of[at])), pa.array((at - begin).astype(np.int32)), pa.array(k.astype(np.int32))], names=["h", "doc_id", "i", "k"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(of[at])), pa.array((x[of[at]] << 32) + at - begin), pa.array(k.astype(np.int32))], names=["h", "doc_id", "p", "k"])
 
-    return docs.mapInArrow(run, f"h bigint, doc_id {kind}, i int, k int")
+    return docs.mapInArrow(run, f"h bigint, doc_id {kind}, p bigint, k int")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, spans): for documents with a repeated run that isn't the first; spans: sorted (i, k, first_id), units i to i + k."""
+def told_apart(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.hash(text_col).alias("x"), F.col(text_col).alias("text"))
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, x, spans): for documents (doc_id, x, text) with a repeated run that isn't the first; spans: sorted (i, k, first_id), units i to i + k."""
     ship(docs.sparkSession)
-    rows = stored(run_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
-    first = rows.groupBy("h").agg(F.min(F.struct("doc_id", "i")).alias("f"), F.max(F.struct("doc_id", "i")).alias("l")).filter(~F.col("f").eqNullSafe(F.col("l"))).select("h", "f")
+    rows = stored(run_rows(docs))
+    first = rows.groupBy("h").agg(F.min(F.struct("doc_id", "p")).alias("f"), F.max(F.struct("doc_id", "p")).alias("l")).filter(~F.col("f").eqNullSafe(F.col("l"))).select("h", "f")
     first = stored(first)  # so that the join on a hot passage's hash can be split
-    late = rows.join(first, "h").filter(~F.struct("doc_id", "i").eqNullSafe(F.col("f")))
-    return late.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("i", "k", F.col("f.doc_id").alias("first_id")))).alias("spans"))
+    late = rows.join(first, "h").filter(~F.struct("doc_id", "p").eqNullSafe(F.col("f")))
+    late = late.select("doc_id", F.shiftright("p", 32).cast("int").alias("x"), F.col("p").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("i"), "k", F.col("f.doc_id").alias("first_id"))
+    return late.groupBy("doc_id", "x").agg(F.array_sort(F.collect_set(F.struct("i", "k", "first_id"))).alias("spans"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of documents that lose units: doc_id, n_units, n_removed, removed_words, first_ids (sorted), text (what stays)."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    r = repeats(docs, id_col, text_col).withColumnRenamed("doc_id", "r_id")
-    both = own.join(r, own["doc_id"].eqNullSafe(r["r_id"])).select("doc_id", "text", "spans")
+    own = told_apart(docs, id_col, text_col)
+    r = repeats(own).withColumnsRenamed({"doc_id": "r_id", "x": "r_x"})
+    both = own.join(r, own["doc_id"].eqNullSafe(r["r_id"]) & (own["x"] == r["r_x"])).select("doc_id", "text", "spans")
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

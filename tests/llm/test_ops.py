@@ -318,7 +318,8 @@ def test_suffix_matches_equal_brute_force(spark, passages):
     got = {x["doc_id"]: x for x in suffixes.repeated(docs(spark, passages, True)).collect()}
     assert set(got) == set(want)
     for d, x in got.items():
-        assert abs(x["n_dup_words"] - len(want[d])) <= suffixes.WINDOW
+        assert x["n_dup_words"] == len(want[d])
+        assert {i for s in x["spans"] for i in range(s["start"], s["start"] + s["length"])} == want[d]
         w = words(passages[d])
         for s in x["spans"]:
             o = words(passages[s["other_id"]])
@@ -339,6 +340,38 @@ def test_suffix_matches_are_not_shadowed(spark):
     assert got == {d: len(w) for d, w in covered(texts, suffixes.MIN_WORDS).items()}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_suffix_matches_of_overlapping_partial_copies(spark, seed):
+    r = random.Random(100 + seed)
+    text = lambda n: [f"z{r.randrange(20000)}" for _ in range(n)]
+    pool, texts = [text(r.choice((60, 90, 300))) for _ in range(12)], []
+    for i in range(150):
+        p = pool[r.randrange(len(pool))]
+        n = r.randrange(30, len(p) + 1)
+        a = r.randrange(0, len(p) - n + 1)
+        texts.append(" ".join(text(r.randrange(0, 25)) + p[a : a + n] + text(r.randrange(0, 25)) + (p[:48] if i % 7 == 0 else [])))
+    texts += [" ".join(pool[0][:45] + text(3)), " ".join(text(2) + pool[0][15:]), " ".join(pool[0])]
+    r.shuffle(texts)
+    want = covered(texts, suffixes.MIN_WORDS)
+    got = suffixes.repeated(docs(spark, texts)).collect()
+    assert {x["doc_id"]: {i for s in x["spans"] for i in range(s["start"], s["start"] + s["length"])} for x in got} == dict(want)
+    assert all((s["other_id"], s["other_start"]) < (x["doc_id"], s["start"]) for x in got for s in x["spans"])
+
+
+def test_repeats_of_rows_that_share_an_id(spark):
+    r = random.Random(31)
+    text = lambda n: " ".join(f"g{r.randrange(20000)}" + ("." if i % 9 == 8 else "") for i in range(n))
+    long, other, third = text(120), text(130), text(140)
+    rows = [(1, long), (2, long), (2, other), (2, long), (3, third), (3, third), (None, other), (5, f"{third} {other}")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x["doc_id"], x["n_words"], x["n_dup_words"], tuple(x["other_ids"])) for x in suffixes.repeated(d).collect())
+    assert got == [(2, 120, 120, (1,)), (2, 130, 130, ()), (5, 270, 270, (2, 3))]
+    got = sorted((x["doc_id"], x["n_removed"] == x["n_units"], len(words(x["text"])) < 60) for x in spans.dedup(d).collect())
+    assert got == [(2, False, True)] * 3 + [(5, False, True)]  # the last units of a text start no run
+    left = spans.dedup(spark.createDataFrame([(1, long), (2, long), (2, other)], "doc_id long, text string")).collect()
+    assert [x["doc_id"] for x in left] == [2] and words(left[0]["text"]) == words(long)[-len(words(left[0]["text"])) :]
+
+
 def run_keys(t):
     u = [" ".join(words(t[a:b])) for a, b, _ in spans.units(t)]
     n = [len(x.split()) for x in u]
