@@ -1,15 +1,18 @@
 """Chat formatting (native): budgeted, turn-aligned windows over conversations.
 
-Prefix sums of turn tokens choose the spans: with a stride of half the budget, a turn belongs to the stride that holds
-its last token, and a turn longer than a stride stands alone. So a window's own turns fit the budget unless a single
-turn exceeds it, no turn is cut, and no loop is needed. Every later window repeats the system turn and up to HISTORY
-turns before it (within HISTORY_TOKENS); what is repeated is context, and its targets are masked.
+Tokens of a turn are those of its formatted piece, template included: a quarter of its characters and one. The budget
+holds whole windows: the system turn and the repeated history (at most HISTORY_TOKENS, and at most a quarter of what the
+system turn leaves) are taken off first, and half of the rest is a conversation's stride. Prefix sums of turn tokens choose
+the spans: a turn belongs to the stride that holds its last token, and a turn longer than a stride stands alone. So own
+turns that share a window fit, no turn is cut, and no loop is needed. Every later window repeats the system turn and up to
+HISTORY turns before it, as far as they fit; what is repeated is context, and its targets are masked. Only a single turn
+that does not fit beside the system turn exceeds the budget; it stands with that turn alone.
 
 Template: an assistant's turn is <s>role\\ntext</s>, any other [INST]role\\ntext[/INST]; these strings inside texts or
 roles are escaped with & entities, and newlines in roles too, so that reading back is exact.
 
-Defined results: null text or role is empty; turns order by number (nulls first), role, text; repeated rows are turns of
-their own; a null conv_id is a conversation of its own; empty tables give empty results; other columns are not read.
+Defined results: null text or role is empty; turns order by number (nulls first), role, text, so ties are settled by these
+and equal rows are turns of their own; the first system turn is the one repeated, later ones are turns as others; a null conv_id is a conversation of its own; empty tables give empty results; other columns are not read.
 The contract's digest makes each conversation one string, so a conversation is bounded by a string's 2 GB; its turns
 meet in one task by streaming, spillable windows.
 """
@@ -36,26 +39,31 @@ def unescape(text: Column) -> Column:
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_tokens: int = HISTORY_TOKENS, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, window_id, formatted, n_context, loss_spans): spans are 0-based (start, length) in code points of formatted."""
-    stride = max(1, budget // 2)
     t = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     target = F.col("role") == TARGET
     head = F.concat(F.when(target, "<s>").otherwise("[INST]"), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("&#10;")), F.lit("\n"))
-    t = t.select("conv_id", "turn", "role", "text", (F.length("text") / 4).cast("long").alias("q"), head.alias("head"), escape(F.col("text")).alias("body"), F.when(target, "</s>").otherwise("[/INST]").alias("tail"))
-    t = t.select("conv_id", "turn", "role", "text", (F.col("q") + 1).alias("tok"), F.concat("head", "body", "tail").alias("piece"), F.length("head").alias("at"), F.length("body").alias("len"))
+    t = t.select("conv_id", "turn", "role", "text", head.alias("head"), escape(F.col("text")).alias("body"), F.when(target, "</s>").otherwise("[/INST]").alias("tail"))
+    t = t.select("conv_id", "turn", "role", "text", F.concat("head", "body", "tail").alias("piece"), F.length("head").alias("at"), F.length("body").alias("len"))
+    t = t.withColumn("tok", F.expr("length(piece) div 4 + 1"))
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    sofar = w.rowsBetween(Window.unboundedPreceding, 0)
-    t = t.select("*", F.row_number().over(w).alias("i"), F.sum("tok").over(sofar).alias("cum"), F.first(F.when(F.col("role") == SYSTEM, F.struct("piece")), True).over(sofar).alias("sys"), F.sum(F.when(F.col("role") == SYSTEM, 1).otherwise(0)).over(sofar).alias("nsys"))
-    t = t.withColumn("win", F.expr(f"((cum - 1) div {stride}) * 2 + if(tok > {stride}, 0, 1)"))
+    sofar, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    system = F.when(F.col("role") == SYSTEM, F.struct("piece", "tok"))
+    t = t.select("*", F.row_number().over(w).alias("i"), F.sum("tok").over(sofar).alias("cum"), F.first(system, True).over(sofar).alias("sys"), F.sum(F.when(F.col("role") == SYSTEM, 1).otherwise(0)).over(sofar).alias("nsys"), F.coalesce(F.first(system["tok"], True).over(whole), F.lit(0)).alias("systok"))
+    t = t.withColumn("room", F.greatest(F.lit(budget) - F.col("systok"), F.lit(0)))
+    t = t.withColumn("past", F.least(F.lit(history_tokens), F.expr("room div 4"))).withColumn("stride", F.expr("greatest(1, (room - past) div 2)"))
+    t = t.withColumn("win", F.expr("((cum - 1) div stride) * 2 + if(tok > stride, 0, 1)"))
     t = t.withColumn("is_sys", (F.col("role") == SYSTEM) & (F.col("nsys") == 1))
     t = t.withColumn("starts", F.coalesce(F.lag("win").over(w) != F.col("win"), F.lit(True)))
-    ahead = [(F.lead("starts", h).over(w), F.lead("win", h).over(w), F.lead(F.col("cum") - F.col("tok"), h).over(w)) for h in range(1, history + 1)]
-    t = t.select("*", *[c.alias(f"{k}{h}") for h, cs in enumerate(ahead, 1) for k, c in zip(("s", "w", "c"), cs, strict=True)])
+    # a window starts h turns ahead: its number, the tokens before it from this turn on, and what its own turns leave to history
+    left = F.when(F.col("tok") > F.col("stride"), F.col("room") - F.col("tok")).otherwise(F.col("past"))
+    ahead = [(F.lead("starts", h).over(w), F.lead("win", h).over(w), F.lead(F.col("cum") - F.col("tok"), h).over(w), F.lead(left, h).over(w)) for h in range(1, history + 1)]
+    t = t.select("*", *[c.alias(f"{k}{h}") for h, cs in enumerate(ahead, 1) for k, c in zip(("s", "w", "c", "l"), cs, strict=True)])
     part = lambda win, i, fresh, loss, piece, at, n: F.struct(win.cast("long").alias("win"), i.cast("long").alias("i"), fresh.alias("fresh"), loss.alias("loss"), piece.alias("piece"), at.alias("at"), n.alias("len"))
     no, zero = F.lit(False), F.lit(0)
     parts = [part(F.col("win"), F.col("i"), F.lit(True), F.col("role") == TARGET, F.col("piece"), F.col("at"), F.col("len"))]
     parts.append(F.when(F.col("starts") & F.col("sys").isNotNull() & ~F.col("is_sys"), part(F.col("win"), zero, no, no, F.col("sys.piece"), zero, zero)))
     for h in range(1, history + 1):
-        near = F.col(f"s{h}") & ~F.col("is_sys") & (F.col(f"c{h}") - (F.col("cum") - F.col("tok")) <= history_tokens)
+        near = F.col(f"s{h}") & ~F.col("is_sys") & (F.col(f"c{h}") - (F.col("cum") - F.col("tok")) <= F.least("past", f"l{h}"))
         parts.append(F.when(near, part(F.col(f"w{h}"), F.col("i"), no, no, F.col("piece"), zero, zero)))
     rows = t.select("conv_id", F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("x")).select("conv_id", "x.*")
     g = rows.groupBy("conv_id", "win").agg(F.sort_array(F.collect_list(F.struct("i", "fresh", "loss", "piece", "at", "len"))).alias("xs"))

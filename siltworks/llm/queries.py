@@ -72,23 +72,23 @@ _OP1 = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
-), e AS (
-  SELECT *, length(text) // 4 + 1 AS tok,
-    CASE WHEN role = 'assistant' THEN 7 ELSE 13 END + 1
+), e0 AS (
+  SELECT *, CASE WHEN role = 'assistant' THEN 7 ELSE 13 END + 1
       + length(replace(regexp_replace(regexp_replace(replace(role, '&', '&amp;'), '<(/?s>)', '&lt;\1', 'g'), '\[(/?INST\])', '&#91;\1', 'g'), chr(10), '&#10;'))
       + length(regexp_replace(regexp_replace(replace(text, '&', '&amp;'), '<(/?s>)', '&lt;\1', 'g'), '\[(/?INST\])', '&#91;\1', 'g')) AS piece
   FROM t
-), p AS (
+), e AS (SELECT *, piece // 4 + 1 AS tok FROM e0), p AS (
   SELECT *, row_number() OVER w AS i, sum(tok) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS cum,
     sum((role = 'system')::INT) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS nsys
   FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
-), v AS (
-  SELECT *, ((cum - 1) // 512) * 2 + CASE WHEN tok > 512 THEN 0 ELSE 1 END AS win, role = 'system' AND nsys = 1 AS is_sys FROM p
-), s AS (
-  SELECT *, coalesce(lag(win) OVER (PARTITION BY conv_id ORDER BY i) <> win, true) AS starts,
-    max(CASE WHEN is_sys THEN piece END) OVER (PARTITION BY conv_id) AS syspiece FROM v
-), h AS (
-  SELECT *, lead(starts, 1) OVER w AS s1, lead(starts, 2) OVER w AS s2, lead(cum - tok, 1) OVER w AS c1, lead(cum - tok, 2) OVER w AS c2
+), v0 AS (
+  SELECT *, role = 'system' AND nsys = 1 AS is_sys, max(CASE WHEN role = 'system' AND nsys = 1 THEN piece END) OVER (PARTITION BY conv_id) AS syspiece FROM p
+), v1 AS (SELECT *, greatest(1024 - coalesce(syspiece // 4 + 1, 0), 0) AS room FROM v0),
+v2 AS (SELECT *, least(256, room // 4) AS past FROM v1), v3 AS (SELECT *, greatest(1, (room - past) // 2) AS stride FROM v2),
+v AS (SELECT *, ((cum - 1) // stride) * 2 + CASE WHEN tok > stride THEN 0 ELSE 1 END AS win, CASE WHEN tok > stride THEN room - tok ELSE past END AS lft FROM v3),
+s AS (SELECT *, coalesce(lag(win) OVER (PARTITION BY conv_id ORDER BY i) <> win, true) AS starts FROM v), h AS (
+  SELECT *, lead(starts, 1) OVER w AS s1, lead(starts, 2) OVER w AS s2, lead(cum - tok, 1) OVER w AS c1, lead(cum - tok, 2) OVER w AS c2,
+    lead(lft, 1) OVER w AS l1, lead(lft, 2) OVER w AS l2
   FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY i)
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
@@ -96,8 +96,8 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(piece + CASE WHEN starts AND nsys > 0 AND NOT is_sys THEN syspiece ELSE 0 END
-    + CASE WHEN s1 AND NOT is_sys AND c1 - (cum - tok) <= 256 THEN piece ELSE 0 END
-    + CASE WHEN s2 AND NOT is_sys AND c2 - (cum - tok) <= 256 THEN piece ELSE 0 END)::BIGINT AS formatted_chars
+    + CASE WHEN s1 AND NOT is_sys AND c1 - (cum - tok) <= least(past, l1) THEN piece ELSE 0 END
+    + CASE WHEN s2 AND NOT is_sys AND c2 - (cum - tok) <= least(past, l2) THEN piece ELSE 0 END)::BIGINT AS formatted_chars
 FROM h GROUP BY conv_id
 """
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import random
+import re
 import string
 import zlib
 
@@ -20,8 +21,6 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def words(t):
-    import re
-
     return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
 
 
@@ -69,13 +68,44 @@ def test_chat_round_trip_and_masks(spark):
         assert (g["n_turns"], g["loss_chars"]) == (len(own), len(said))
         assert g["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
         assert g["turns_sha256"] == hashlib.sha256(turns.encode()).hexdigest()
-    for x in w.collect():  # system turn first, spans inside, budget kept unless one turn exceeds it
+    for x in w.collect():  # system turn first, spans inside; budgets have a test of their own
         assert all(0 <= s["start"] and s["start"] + s["length"] <= len(x["formatted"]) for s in x["loss_spans"])
         if x["conv_id"] % 2:
             assert x["formatted"].startswith("[INST]system\n")
     assert max(x["n_context"] for x in w.collect()) == 3
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_chat_windows_keep_the_budget(spark, seed):
+    r = random.Random(40 + seed)
+    rows = []
+    for c in range(30):
+        if c % 3:
+            rows.append((c, 0 if c % 5 else 4, "system", "s" * r.choice((40, 1000, 1500, 3000, 4100))))
+        rows += [(c, i, r.choice(["user", "assistant"]), "t" * int(r.choice((30, 200, 600, 1500, 5000)) * r.random())) for i in range(1, r.randrange(2, 40))]
+    budget, tok = 1024, lambda n: n // 4 + 1
+    w = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget).collect()
+    many = 0
+    for x in w:
+        pieces = re.findall(chat.TURN, x["formatted"])
+        sizes = [tok(len("".join(p)) + 1) for p in pieces]
+        own, said = len(pieces) - x["n_context"], sum(p[1] == "system" for p in pieces)
+        if sum(sizes) > budget:  # a turn that doesn't fit beside the system turn: no history, nothing else
+            assert own == 1 and x["n_context"] == said - (pieces[-1][1] == "system")
+        many += own > 1 and x["n_context"] > 1
+    assert many > 10 and any(len(re.findall(chat.TURN, x["formatted"])) == 1 for x in w)
+
+
+def test_chat_ties_repeats_and_nulls(spark):
+    rows = [(1, 1, "user", "b"), (1, 1, "user", "a"), (1, 1, "assistant", "a"), (1, None, "user", "first"), (1, 1, "user", "a"), (None, 1, "user", "n"), (None, 1, "assistant", None), (2, 1, "assistant", "x" * 9000), (2, 2, "assistant", "y" * 9000)]
+    w = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {x["conv_id"]: x for x in chat.read_back(w).collect()}
+    order = [("user", "first"), ("assistant", "a"), ("user", "a"), ("user", "a"), ("user", "b")]
+    assert got[1]["n_turns"] == 5 and got[1]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in order).encode()).hexdigest()
+    assert got[None]["n_turns"] == 2 and got[None]["loss_chars"] == 0
+    assert (got[2]["n_turns"], got[2]["loss_chars"], w.filter("conv_id = 2").count()) == (2, 18000, 2)
+
+
 def test_chat_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.windows(df)).count() == 0
@@ -100,8 +130,6 @@ def test_phrases_equal_brute_force():
     texts = ["".join(r.choice("abcdZ ") for _ in range(r.randrange(1, 1800))) for _ in range(60)]
     c, lens, _ = m.encode(texts)
     got = m.phrases(c, lens)
-    import re
-
     clean = lambda t: re.sub(r"[^a-z]+", " ", f" {t} ".lower())
     for t, row in zip(texts, got, strict=True):
         for lang, n in zip(m.langs, row, strict=True):
