@@ -10,7 +10,7 @@ The index is built from blocks of items of at most BLOCK shingles, each broadcas
 so its size has a bound whatever the benchmark's size.
 
 Defined results: a text or item of fewer than k words is one shingle; null or blank ones have none and never match; rows
-that repeat an id give a match each; with no items nothing matches; other columns pass through untouched.
+that repeat an id give a match each; items that repeat an id and a set count once; with no items nothing matches; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import cut, ship
 from .neardup import mixed, with_words
-from .words import shingle_hashes
+from .words import free, shingle_hashes
 
 K, SHARE = 5, 0.8
 #: Partitions: items of up to so many shingles have so many hash functions.
@@ -76,37 +76,37 @@ class Index:
 
 def blocks(bench: DataFrame, share: float, k: int, id_col: str, text_col: str) -> Iterator[Index]:
     items = with_words(bench.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"))).select("i", F.array_distinct(shingle_hashes(F.col("w"), k)).alias("s"))
-    items = cut(items.filter(F.size("s") > 0))
+    items = cut(items.filter(F.size("s") > 0).dropDuplicates(["i", "s"]))
     total = items.agg(F.coalesce(F.sum(F.size("s")), F.lit(0)).alias("n")).first()["n"]
     parts = -(-total // BLOCK)
     for b in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("s"), F.lit(parts)) == b).collect()  # a block of bounded size
+        rows = items.filter(F.pmod(F.xxhash64("i", "s"), F.lit(parts)) == b).collect()  # a block of bounded size
         if rows:
             yield Index([(r["i"], r["s"]) for r in sorted(rows, key=lambda r: (str(r["i"]), len(r["s"])))], share)
 
 
-def search(docs: DataFrame, index: Index, carry: list[str], item_type: str, k: int = K, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` (columns ``carry``) with __dc_items: array of struct (item, shared, size), empty where nothing matches."""
+def search(docs: DataFrame, index: Index, carry: list[str], item_type: str, k: int = K, text_col: str = "text", into: str = "items") -> DataFrame:
+    """Rows of ``docs`` (columns ``carry``) with ``into``: array of struct (item, shared, size), empty where nothing matches."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    rows = docs.select(*carry, F.col(text_col).alias("__dc_text"))
-    rows = with_words(rows, "__dc_text", "__dc_w").select(*carry, shingle_hashes(F.col("__dc_w"), k).alias("__dc_s"))
-    schema = rows.select(*carry).withColumn("__dc_items", F.expr(f"cast(array() as array<struct<item:{item_type},shared:bigint,size:bigint>>)")).schema
+    text, w, s = free([*docs.columns, into], "text", "w", "s")
+    rows = with_words(docs.select(*carry, F.col(text_col).alias(text)), text, w).select(*carry, shingle_hashes(F.col(w), k).alias(s))
+    schema = rows.select(*carry).withColumn(into, F.expr(f"cast(array() as array<struct<item:{item_type},shared:bigint,size:bigint>>)")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = shared.value
         for b in batches:
-            s = b.column(b.schema.get_field_index("__dc_s"))
-            lens = np.diff(s.offsets.to_numpy())
-            h = s.flatten().to_numpy()
+            sets = b.column(b.num_columns - 1)
+            lens = np.diff(sets.offsets.to_numpy())
+            h = sets.flatten().to_numpy()
             out: list[list] = [[] for _ in range(b.num_rows)]
             for d, i, n in x.search(h, np.repeat(np.arange(lens.size), lens)):
                 out[d].append({"item": x.ids[i], "shared": n, "size": int(x.sets[i].size)})
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, kinds)], names=[*b.schema.names[:-1], "__dc_items"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, kinds)], names=[*b.schema.names[:-1], into])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kinds = to_arrow_type(schema["__dc_items"].dataType)
+    kinds = to_arrow_type(schema[-1].dataType)
     return rows.mapInArrow(run, schema)
 
 
@@ -116,7 +116,7 @@ def matches(docs: DataFrame, bench: DataFrame, k: int = K, share: float = SHARE,
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = docs.sparkSession.createDataFrame([], f"doc_id {own.dtypes[0][1]}, item_id {kind}, n_shared bigint, n_item bigint")
     for index in blocks(bench, share, k, item_col, text_col):
-        found = search(own, index, ["doc_id"], kind, k).select("doc_id", F.explode("__dc_items").alias("x"))
+        found = search(own, index, ["doc_id"], kind, k).select("doc_id", F.explode("items").alias("x"))
         out = out.unionByName(found.select("doc_id", F.col("x.item").alias("item_id"), F.col("x.shared").alias("n_shared"), F.col("x.size").alias("n_item")))
     return out
 
@@ -124,6 +124,7 @@ def matches(docs: DataFrame, bench: DataFrame, k: int = K, share: float = SHARE,
 def clean(docs: DataFrame, bench: DataFrame, k: int = K, share: float = SHARE, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that contain an item; one narrow pass a block, nothing is shuffled."""
     kind, names = bench.select(item_col).dtypes[0][1], docs.columns
+    (items,) = free(names, "items")
     for index in blocks(bench, share, k, item_col, text_col):
-        docs = search(docs, index, names, kind, k, text_col).filter(F.size("__dc_items") == 0).select(*names)
+        docs = search(docs, index, names, kind, k, text_col, items).filter(F.size(items) == 0).select(*names)
     return docs
