@@ -7,12 +7,14 @@ digits, punctuation stays; a card number keeps its checksum's state, an address
 phone its country code, an e-mail its top-level domain. Being permutations, they keep distinct entities distinct and
 equal ones equal over the whole corpus with no table of names, and none maps to itself: the permutation is a shift
 conjugated by a keyed Feistel cipher, which has no fixed point. Entities compare by their normal form (10.0.0.01 is 10.0.0.1); should two in
-a text still share a surrogate, the later takes the next one.
+a text still share a surrogate, the later takes the next one. Whoever has the key can undo the surrogates, so it must be
+given and kept secret; without it they can't be told from any others of their format.
 Coreference: a name is found after its title, and wherever in the text one of its parts stands by itself, with or without
 title, that mention gets the same stand-in.
 
-Defined results: null text stays null, with no entities; texts of any length are scanned whole; overlapping finds go to
-the first and then the longest; repeated rows give equal results; other columns pass through ``redact`` untouched.
+Defined results: null text stays null, with no entities; texts of any length are scanned whole, in time proportional to
+their length; overlapping finds go to the first and then the longest; repeated rows give equal results; other columns, of
+any name, pass through untouched; an empty key is refused.
 """
 
 from __future__ import annotations
@@ -23,13 +25,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shared import ship
 
 TYPES = ("email", "secret", "ip", "phone", "card", "ssn", "person")
-KEY = b"siltworks-surrogates"
+KEY_SETTING, DEMO_KEY = "spark.siltworks.pii.key", "no secret: for synthetic test tables only"
 #: Titles by gender. Fixed values.
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame", "Mme", "Don", "Doña", "Sr", "Sra", "г-н", "г-жа")
 LETTER, UPPER = r"[^\W\d_]", r"[^\W\d_a-zß-öø-ÿа-я]"
@@ -39,19 +41,22 @@ PARTICLES = ("van", "von", "der", "den", "de", "da", "di", "del", "della", "dos"
 NAME = rf"(?:(?:{'|'.join(PARTICLES)}) )*{PART}(?:-{LETTER}+)*"
 MENTION = re.compile(rf"(?<!\w){PART}")
 RULES = {
-    "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     "secret": re.compile(r"""(?:(?<=["'= :])|(?<![0-9A-Za-z]))(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])|(?<=[tTyYdD][ =:]["'])[^"'\s]{8,}(?=["'])|(?<=[nNyYtTdD] = ["'])[^"'\s]{8,}(?=["'])"""),
     "ip": re.compile(r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d]|\.\d)"),
     "phone": re.compile(r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d]|[.-]\d)"),
     "card": re.compile(r"(?<![\d.+-])\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?![\d])|(?<![\d.+])\d{13,19}(?!\d)"),
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    "person": re.compile(rf"(?<=\b(?:XX)\b )XX"),
 }
+#: An address around its @: at most LOCAL characters before it are looked at.
+LOCAL, LOCAL_CHARS = 256, re.compile(r"[A-Za-z0-9._%+-]")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 RULES["person"] = re.compile(rf"\b(?:{'|'.join(TITLES)})\b\.? ((?:{UPPER}\. ?)*{NAME}(?: (?:{UPPER}\. ?)*{NAME}){{0,3}})")
 ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "àáâãäåæèéêëìíîïòóôõöøùúûüýÿ", "çñðþšžœß"]
 VOWELS = set("aeiouyаеиоуыэюяαεηιουω")
 #: Values up to which a permutation is a table.
 FEW = 5000
+#: Characters of one class that are permuted as one number; longer runs in parts.
+CHUNK = 64
 #: Further surrogates tried where one is another entity's already.
 TRIES = 16
 CJK = (0x4E00, 0x9FFF)
@@ -60,7 +65,7 @@ CJK = (0x4E00, 0x9FFF)
 def prf(key: bytes, tweak: str, r: int, x: int, n: int) -> int:
     """An even number below n that depends on all arguments."""
     h = hashlib.blake2b(f"{tweak}|{r}|{x}".encode(), key=key, digest_size=32)
-    return int.from_bytes(h.digest() if n < 1 << 192 else b"".join(hashlib.blake2b(h.digest() + bytes([i]), key=key).digest() for i in range(1 + n.bit_length() // 400)), "big") % n
+    return int.from_bytes(h.digest() if n < 1 << 192 else b"".join(hashlib.blake2b(h.digest() + bytes([i]), key=key).digest() for i in range(1 + n.bit_length() // 400)), "big") % n  # at most CHUNK characters
 
 
 def cipher(x: int, a: int, b: int, key: bytes, tweak: str, back: bool = False) -> int:
@@ -98,6 +103,8 @@ def permuted(digits: list[int], radix: int, key: bytes, tweak: str) -> list[int]
     n = len(digits)
     if not n or radix < 2:
         return digits
+    if n > CHUNK:
+        return [d for i in range(0, n, CHUNK) for d in permuted(digits[i : i + CHUNK], radix, key, f"{tweak}|{i}")]
     x = 0
     for d in digits:
         x = x * radix + d
@@ -202,11 +209,27 @@ def surrogate(kind: str, text: str, key: bytes) -> str:
     return formatted(text, key, kind)
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of addresses, each looked for from its @ to both sides."""
+    at, end = text.find("@"), 0
+    while at >= 0:
+        if m := DOMAIN.match(text, at + 1):
+            a, least = at, max(end, at - LOCAL)
+            while a > least and LOCAL_CHARS.match(text, a - 1):
+                a -= 1
+            while a < at and text[a] in "._%+-":
+                a += 1
+            if a < at:
+                yield a, m.end()
+                end = m.end()
+        at = text.find("@", max(at + 1, end))
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
     """Spans (start, end, type) that don't overlap."""
     found = []
     if "@" in text:
-        found += [(*m.span(), "email") for m in RULES["email"].finditer(text)]
+        found += [(*x, "email") for x in emails(text)]
     if re.search(r"\d", text):
         found += [(*m.span(), k) for k in ("ip", "phone", "card", "ssn") for m in RULES[k].finditer(text)]
         found += [(*m.span(), "secret") for m in RULES["secret"].finditer(text)]
@@ -265,18 +288,32 @@ def replaced(text: str | None, key: bytes) -> tuple[str | None, list[int]]:
     return "".join(out) + text[at:], n
 
 
-def redact(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
-    """``docs`` with surrogates in ``text_col`` and __pii_n (array of bigint by TYPES); one narrow pass."""
+def ready(key: bytes) -> bytes:
+    """A key of any length as the permutations take it."""
+    if not key:
+        raise ValueError("surrogates need a secret key")
+    return hashlib.blake2b(key, digest_size=32).digest()
+
+
+def redact(docs: DataFrame, key: bytes, text_col: str = "text", counts: str | None = None) -> DataFrame:
+    """``docs`` with surrogates in ``text_col`` and, where named, a column ``counts`` (array of bigint by TYPES); one narrow pass."""
     ship(docs.sparkSession)
-    names = docs.columns
-    at = names.index(text_col)
-    schema = docs.withColumn("__pii_n", F.array().cast("array<bigint>")).schema
+    key = ready(key)
+    at, more = docs.columns.index(text_col), [counts] if counts else []
+    schema = (docs.withColumn(counts, F.array().cast("array<bigint>")) if counts else docs).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done = [replaced(t, key) for t in b.column(at).to_pylist()]
             cols = list(b.columns)
             cols[at] = pa.array([t for t, _ in done], b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([n for _, n in done], pa.list_(pa.int64()))], names=[*b.schema.names, "__pii_n"])
+            if counts:
+                cols.append(pa.array([n for _, n in done], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *more])
 
     return docs.mapInArrow(run, schema)
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key in the session's setting KEY_SETTING; DEMO_KEY, which protects nothing, where it isn't set, as on the synthetic test tables."""
+    return spark.conf.get(KEY_SETTING, DEMO_KEY).encode()

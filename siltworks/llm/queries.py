@@ -59,8 +59,8 @@ def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pii.redact(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return p.select("doc_id", "text", *[F.get("__pii_n", F.lit(i)).alias(f"n_{k}") for i, k in enumerate(pii.TYPES)])
+    p = pii.redact(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark), counts="n")
+    return p.select("doc_id", "text", *[F.get("n", F.lit(i)).alias(f"n_{k}") for i, k in enumerate(pii.TYPES)])
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language, op3_mixing, op4_minhash, op5_suffixes, op6_tokens, op7_quality, op8_decontamination, op9_sentence_spans, op10_pii)}
