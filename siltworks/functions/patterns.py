@@ -40,3 +40,35 @@ STOP = ("the", "a", "an", "of", "in", "on", "at", "to", "and", "or", "is", "was"
 # --- fixed values: stream priorities -----------------------------------------------------------
 STREAMS = {"deaths": 0, "wiki": 1, "hn": 2, "docs": 3}
 UNKNOWN_PRIORITY = 9
+
+# --- fixed values: what generators say before a document, whole lines -------------------------
+PREAMBLE = r"(?i)^(?:\s*(?:here (?:is|'s)[^\n]*\n+|certainly[^\n]*\n+|sure[^\n]*\n+|```[a-z]*\n|\*\*?document\*\*?:?\s*\n+|document:\s*\n+))+"
+
+# --- fixed values: what answers trained on are dropped for ------------------------------------
+HYGIENE_TRAINED = r"(?i)provided (context|reports?|text|material|snippets?|headlines|list|news)|the user has (provided|given|supplied)|news snippets|these headlines|the (article|document) (says|states|mentions)"
+
+# --- fixed values: words of an article on a death ---------------------------------------------
+DEATH = r"(?i)\b(died|dies|death|dead|passed away|obituar\w*|funeral)\b"
+
+# --- fixed values: an entry of a list of deaths, and its steps from markup to prose --------------
+DEATH_ENTRY = r"^\*\s*\[\[([^\]|]+)(?:\|[^\]]*)?\]\]\s*,?\s*(.*)$"
+ENTRY = ((r"(?s)<ref[^>]*>.*?</ref>", ""), (r"<ref[^>]*/>", ""), (r"\[\[([^\]|]+)\|([^\]]+)\]\]", r"$2"), (r"\[\[([^\]]+)\]\]", r"$1"), (r"\{\{[^{}]*\}\}", ""), (r"'''?", ""), (r"\s+", " "))
+
+# --- fixed values: steps from wiki markup to prose, as (pattern, replacement) --------------------
+WIKI = (
+    (r"^\{\{Current events[^\n]*\n", ""), (r"(?s)<!--.*?-->", ""), (r"\[https?://[^\s\]]+\s*([^\]]*)\]", r"$1"), (r"\{\{ship\|[^}]*?\|([^|}]+)\|[^}]*\}\}", r"$1"),
+    (r"\{\{[^{}]*\}\}", ""), (r"\{\{[^{}]*\}\}", ""), (r"\[\[[^\]|]*\|([^\]]*)\]\]", r"$1"), (r"\[\[([^\]]*)\]\]", r"$1"), (r"'''?", ""), (r"</?[a-zA-Z][^>]*>", ""),
+)
+
+# --- fixed values: outlets that come first when a quota is filled ------------------------------
+PREFERRED = (
+    "apnews.com", "reuters.com", "bbc.com", "bbc.co.uk", "npr.org", "cnn.com", "nytimes.com", "washingtonpost.com", "theguardian.com", "aljazeera.com", "cbsnews.com", "nbcnews.com", "abcnews.go.com",
+    "politico.com", "axios.com", "time.com", "usatoday.com", "newsweek.com", "thehill.com", "pbs.org", "japantimes.co.jp", "kyodonews.net", "nhk.or.jp", "asahi.com", "mainichi.jp", "timesofisrael.com",
+    "jpost.com", "haaretz.com", "france24.com", "dw.com", "variety.com", "deadline.com", "hollywoodreporter.com", "billboard.com", "en.wikipedia.org", "sky.com", "news.sky.com", "independent.co.uk", "ft.com",
+)
+
+# --- fixed values: the least lengths of texts, and whether a text of that very length stays ------
+LEAST = {
+    "news": (400, True), "stories": (500, True), "articles": (600, True), "training": (350, True), "cleaned": (300, True), "short": (200, True),
+    "source": (400, False), "formats": (300, False), "generated": (250, False), "summary": (800, False),
+}

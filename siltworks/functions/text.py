@@ -75,15 +75,8 @@ def tags(text: Column, named: dict[str, str] = P.CONTAMINATION) -> Column:
     return F.filter(F.array(*[F.when(text.rlike(p), F.lit(k)) for k, p in named.items()]), lambda x: x.isNotNull())
 
 
-#: Steps from wiki markup to prose, as (pattern, replacement).
-WIKI = (
-    (r"^\{\{Current events[^\n]*\n", ""), (r"(?s)<!--.*?-->", ""), (r"\[https?://[^\s\]]+\s*([^\]]*)\]", r"$1"), (r"\{\{ship\|[^}]*?\|([^|}]+)\|[^}]*\}\}", r"$1"),
-    (r"\{\{[^{}]*\}\}", ""), (r"\{\{[^{}]*\}\}", ""), (r"\[\[[^\]|]*\|([^\]]*)\]\]", r"$1"), (r"\[\[([^\]]*)\]\]", r"$1"), (r"'''?", ""), (r"</?[a-zA-Z][^>]*>", ""),
-)
-
-
 def wiki_strip(text: Column) -> Column:
-    for p, r in WIKI:
+    for p, r in P.WIKI:
         text = F.regexp_replace(text, p, r)
     lines = F.transform(F.split(text, "\n"), lambda x: strip(F.regexp_replace(x, r"^\*+\s*", "")))
     return F.array_join(F.filter(lines, lambda x: (x != "") & (x != "}}")), "\n")
@@ -98,7 +91,8 @@ def citations(text: Column) -> Column:
 
 #: Steps from HTML to text: what is dropped whole, what breaks lines, other tags, entities.
 HTML = (
-    (r"(?is)<(script|style|nav|header|footer|aside|noscript|form)\b.*?</\1\s*>", " "), (r"(?s)<!--.*?-->", " "), (r"(?is)<head\b.*?</head\s*>", " "), (r'(?is)<div class="(?:ad|ads|menu|sidebar|cookie)[^"]*">.*?</div\s*>', " "),
+    *((rf"(?is)<{tag}\b.*?</{tag}\s*>", " ") for tag in ("script", "style", "nav", "header", "footer", "aside", "noscript", "form")),
+    (r"(?s)<!--.*?-->", " "), (r"(?is)<head\b.*?</head\s*>", " "), (r'(?is)<div class="(?:ad|ads|menu|sidebar|cookie)[^"]*">.*?</div\s*>', " "),
     (r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|blockquote|pre)\b[^>]*>", "\n"), (r"(?s)<[^>]+>", ""),
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), (r"[ \t]+", " "), (r" ?\n[ \n]*", "\n"),
 )
@@ -113,6 +107,6 @@ def html_text(html: Column) -> Column:
 
 def html_title(html: Column) -> Column:
     t = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1)
-    for p, r in HTML[6:12]:
+    for p, r in [x for x in HTML if x[0].startswith("&")]:
         t = F.replace(t, F.lit(p), F.lit(r))
     return squeeze(t)

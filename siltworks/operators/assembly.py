@@ -131,3 +131,39 @@ def _suffix(t):
     many = known.groupBy(stem(F.col("tool")).alias("stem")).agg(F.count("*").alias("n")).filter("n > 1").select("stem", F.lit(True).alias("many"))
     out = d.join(known.withColumn("known", F.lit(True)), F.col("named") == F.col("tool"), "left").withColumn("st", stem(F.col("named"))).join(many, F.col("st") == F.col("stem"), "left")
     return out.select("doc_id", "named", F.col("known").isNull().alias("invented"), ((F.col("named") != F.col("own")) & F.col("known").isNotNull() & F.col("many").isNotNull()).alias("wrong_suffix"))
+
+
+def pack_rows(docs: DataFrame, ids: str, block: int, eos: int, pad: int) -> DataFrame:
+    """One document a row of ``block`` ids: its ids, cut to leave room for the separator, the separator, padding; labels are the ids, -100 where padded.
+
+    Adds input_ids, labels and truncated; a narrow pass. A null or empty document is a separator and padding.
+    """
+    own = F.concat(F.slice(F.coalesce(F.col(ids), F.array().cast("array<int>")), 1, block - 1), F.array(F.lit(eos)))
+    out = docs.withColumn("__own", own).withColumn("__fill", F.lit(block) - F.size("__own"))
+    filled = lambda v: F.concat("__own", F.array_repeat(F.lit(v), F.col("__fill")))
+    return out.withColumns({"input_ids": filled(pad), "labels": filled(-100), "truncated": F.coalesce(F.size(F.col(ids)), F.lit(0)) > block - 1}).drop("__own", "__fill")
+
+
+@query("pack_rows", "WITH k AS (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) + 2) AS k FROM documents), o AS (SELECT doc_id, len(k) > 63 AS truncated, list_append(k[1:63], 1) AS own FROM k) SELECT doc_id, truncated, array_to_string(list_concat(own, list_transform(range(0, 64 - len(own)), lambda x: 0)), ' ') AS input_ids, array_to_string(list_concat(own, list_transform(range(0, 64 - len(own)), lambda x: -100)), ' ') AS labels FROM o")
+def _rows(t):
+    """Word lengths stand for token ids."""
+    k = t("documents").select("doc_id", F.transform(X.tokens(F.col("text")), lambda x: F.length(x) + 2).alias("k"))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+    return pack_rows(k, "k", 64, 1, 0).select("doc_id", "truncated", joined("input_ids").alias("input_ids"), joined("labels").alias("labels"))
+
+
+def with_sources(docs: DataFrame, pages: DataFrame, ids: str = "source_ids") -> DataFrame:
+    """(doc_id, i, page_id, title, content): a row for every source of a document that is in the knowledge base, in its order."""
+    x = docs.select("doc_id", F.posexplode(ids).alias("i", "page_id"))
+    return x.join(pages.select("page_id", "title", "content"), "page_id").select("doc_id", "i", "page_id", "title", "content")
+
+
+@query("kb_sources", rf"WITH s AS (SELECT doc_id, unnest([doc_id % 40, doc_id % 41 + 20, 1000000]) AS page_id, generate_subscripts([1, 2, 3], 1) AS i FROM documents), k AS (SELECT page_id, url AS title, {_TD.replace('doc_id', 'page_id')} AS tool FROM pages), j AS (SELECT doc_id, i, title, tool FROM s JOIN k USING (page_id)), g AS (SELECT doc_id, string_agg('--- page: ' || title || ' ---' || chr(10) || 'call ' || tool, chr(10) || chr(10) ORDER BY i) AS context, array_to_string(list_sort(list(DISTINCT tool)), ' ') AS tools FROM j GROUP BY doc_id) SELECT doc_id, context, tools FROM g")
+def _sources(t):
+    """What a document may cite: its sources' pages in order, and the tools they name."""
+    d = t("documents").select("doc_id", F.array(F.col("doc_id") % 40, F.col("doc_id") % 41 + 20, F.lit(1000000).cast("long")).alias("source_ids"))
+    k = t("pages").select("page_id", F.col("url").alias("title"), F.concat(F.lit("call "), F.expr(_TS.replace("doc_id", "page_id"))).alias("content"))
+    s = with_sources(d, k)
+    page = F.concat(F.lit("--- page: "), "title", F.lit(" ---\n"), "content")
+    g = s.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("i", page.alias("x")))).alias("xs"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(tool_names(F.col("content")))))), " ").alias("tools"))  # a document's own few sources
+    return g.select("doc_id", F.array_join(F.transform("xs", lambda x: x["x"]), "\n\n").alias("context"), "tools")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.catalog import query
-from ..plans.shared import cut, ship
+from ..plans.shared import cut, shared_dir, ship
+from ..sources.writers import exists
 
 
 class StubClient:
@@ -72,3 +74,83 @@ def _plan(t):
     g = t("documents").select("source").distinct().withColumn("rd", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("kind", F.explode(F.array(F.lit("news"), F.lit("memo"), F.lit("faq"))))
     done = g.filter("rd = 0 and source in ('src1', 'src2')").select("source", "rd", "kind")
     return g.join(done, ["source", "rd", "kind"], "left_anti").select(F.concat_ws(":", "source", F.col("rd").cast("string"), "kind").alias("call_id"))
+
+
+class JobTable:
+    """Write-ahead state of batch jobs at an outside service, as an append-only table of (batch_id, round, state, at, docs, tokens).
+
+    ``submit`` records a batch before it is sent on for collecting, so that a run that dies leaves it pending; ``pending`` is
+    what the next run adopts; ``harvest`` records what was collected, once. The latest state of a batch counts.
+    """
+
+    SCHEMA = "batch_id string, round int, state string, at bigint, docs bigint, tokens bigint"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def log(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path) if exists(self.spark, self.path) else self.spark.createDataFrame([], self.SCHEMA)
+
+    def states(self) -> DataFrame:
+        """One row a batch: a harvest outweighs what was recorded before it, however often it was submitted."""
+        rank = F.struct((F.col("state") == "done").alias("done"), "at")
+        return self.log().groupBy("batch_id").agg(F.max_by(F.struct("round", "state", "docs", "tokens"), rank).alias("s")).select("batch_id", "s.*")
+
+    def append(self, rows: DataFrame, state: str) -> None:
+        now = time.time_ns()
+        zero = F.lit(0).cast("long")
+        get = lambda c: F.col(c).cast("long") if c in rows.columns else zero
+        rows.select(F.col("batch_id").cast("string"), F.col("round").cast("int"), F.lit(state).alias("state"), F.lit(now).alias("at"), get("docs").alias("docs"), get("tokens").alias("tokens")).write.mode("append").parquet(self.path)
+
+    def submit(self, batches: DataFrame) -> None:
+        """Batches (batch_id, round) that aren't known yet become pending."""
+        known = self.states().select("batch_id")
+        self.append(cut(batches.join(known, "batch_id", "left_anti")), "pending")
+
+    def pending(self) -> DataFrame:
+        return self.states().filter("state = 'pending'").select("batch_id", "round")
+
+    def harvest(self, results: DataFrame) -> None:
+        """Results (batch_id, docs, tokens) of pending batches; of others they are not counted again."""
+        self.append(cut(results.join(self.pending(), "batch_id")), "done")
+
+    def next_round(self, target: int) -> int | None:
+        """The round to submit next; none once the tokens collected reach the target or while a round is pending."""
+        s = self.states().agg(F.coalesce(F.max("round"), F.lit(-1)).alias("round"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count_if(F.col("state") == "pending").alias("open")).first()
+        return None if s["tokens"] >= target or s["open"] else s["round"] + 1
+
+
+@query("job_state", "WITH d AS (SELECT source || ':' || (doc_id % 3) AS batch_id, (doc_id % 3)::INT AS round, length(text) // 4 AS tok FROM documents WHERE source IS NOT NULL) SELECT batch_id, round, CASE WHEN round < 2 THEN 'done' ELSE 'pending' END AS state, CASE WHEN round < 2 THEN count(*) ELSE 0 END::BIGINT AS docs, CASE WHEN round < 2 THEN sum(tok) ELSE 0 END::BIGINT AS tokens FROM d GROUP BY batch_id, round")
+def _jobs(t):
+    """Two rounds are submitted, one is collected and the run dies; the next adopts what is pending, submits a third round and dies."""
+    d = t("documents").filter("source is not null").select(F.concat_ws(":", "source", (F.col("doc_id") % 3).cast("string")).alias("batch_id"), (F.col("doc_id") % 3).cast("int").alias("round"), F.expr("length(text) div 4").alias("tok"))
+    batches, path = d.select("batch_id", "round").distinct(), f"{shared_dir(d.sparkSession).rstrip('/')}/jobs-{uuid.uuid4().hex}"
+    results = d.groupBy("batch_id").agg(F.count("*").alias("docs"), F.sum("tok").alias("tokens"))
+    first, second = JobTable(d.sparkSession, path), JobTable(d.sparkSession, path)
+    first.submit(batches.filter("round < 2"))
+    first.harvest(results.join(batches.filter("round = 0"), "batch_id").drop("round"))
+    second.harvest(results.join(second.pending(), "batch_id").drop("round"))
+    second.submit(batches)
+    return second.states()
+
+
+def untried(candidates: DataFrame, key: str, *seen: DataFrame) -> DataFrame:
+    """Candidates whose key neither the documents there are nor the log of rejects holds."""
+    for s in seen:
+        candidates = candidates.join(s.select(key), key, "left_anti")
+    return candidates
+
+
+@query("reject_log", "WITH c AS (SELECT doc_id, length(text) >= 500 AS long FROM documents) SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END::INT AS run FROM c WHERE long")
+def _rejects(t):
+    """Two runs over growing candidates: what was too short is logged, and neither it nor what was taken is tried again."""
+    d = t("documents").select("doc_id", "text")
+    path = f"{shared_dir(d.sparkSession).rstrip('/')}/sink-{uuid.uuid4().hex}"
+    read = lambda part, schema: d.sparkSession.read.schema(schema).parquet(f"{path}/{part}")
+    for run, tried in ((1, d.filter("doc_id % 2 = 0")), (2, d)):
+        if run > 1:
+            tried = untried(tried, "doc_id", read("docs", "doc_id long, run int"), read("rejects", "doc_id long"))
+        tried = cut(tried.select("doc_id", (F.length("text") >= 500).alias("long")))
+        tried.filter("long").select("doc_id", F.lit(run).alias("run")).write.mode("append").parquet(f"{path}/docs")
+        tried.filter("long is null or not long").select("doc_id").write.mode("append").parquet(f"{path}/rejects")
+    return read("docs", "doc_id long, run int")

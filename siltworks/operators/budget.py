@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -11,17 +11,32 @@ from ..plans.prefix import DIGITS, hashed, prefix_sum
 from ..plans.shared import ship
 from ..sources.derived import DATED, dated
 from .dedup import priority
+from .filters import preferred
 
 
-def ranked(df: DataFrame, by: list[str], order: list, name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+#: Ids of a bucket, where ids in order are ranked by prefix sums.
+ID_BUCKET = 65_536
+
+
+def ranked(df: DataFrame, by: list[str], order: list[str], bucket: Column, name: str = "rank") -> DataFrame:
+    """Places from 1 within each group, by exact prefix sums, so that a hot group isn't one task's; ``order`` refines ``bucket``."""
+    return prefix_sum(df.withColumn("__one", F.lit(1)), "", "__one", order, name, by, bucket).withColumn(name, F.col(name) + 1).drop("__one")
+
+
+def by_id(column: str = "doc_id") -> Column:
+    return F.expr(f"{column} div {ID_BUCKET}")
+
+
+def by_hash(column: str = "h") -> Column:
+    return F.substring(column, 1, DIGITS)
 
 
 def cap_per_group(df: DataFrame, by: list[str], order: list, n: int, exempt=None) -> DataFrame:
-    """The first n rows of each group; exempt rows always stay and don't count."""
-    free = F.lit(False) if exempt is None else exempt
-    out = ranked(df.withColumn("__free", free), [*by, "__free"], order, "__rank")
-    return out.filter(F.col("__free") | (F.col("__rank") <= n)).drop("__free", "__rank")
+    """The first n rows of each group; exempt rows always stay and don't count. Each task passes on n rows a group at most."""
+    free = None if exempt is None else F.coalesce(exempt, F.lit(False))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    capped = (df if free is None else df.filter(~free)).withColumn("__rank", rank).filter(F.col("__rank") <= n).drop("__rank")
+    return capped if free is None else capped.unionByName(df.filter(free))
 
 
 @query("domain_cap", f"WITH {DATED} SELECT doc_id, substr(date, 1, 7) AS month, source FROM d QUALIFY source = 'src1' OR row_number() OVER (PARTITION BY substr(date, 1, 7), source, source = 'src1' ORDER BY doc_id) <= 3")
@@ -49,7 +64,8 @@ def capped_pick(pdf, n: int = 40, per: int = 3):
 @query("capped_pick")
 def _pick(t):
     """Order-dependent: a repeated title doesn't use up its domain's places. A topic's candidates are a search result, so small."""
-    d = dated(t("documents")).select((F.col("doc_id") % 25).alias("topic"), "doc_id", F.substring("text", 1, 12).alias("title"), F.col("source").alias("domain"), (F.col("doc_id") % 3 == 0).alias("preferred"), "date")
+    site = F.element_at(F.array(*map(F.lit, ("news.example", "apnews.com", "blog.example", "bbc.co.uk", "ft.com"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    d = dated(t("documents")).select((F.col("doc_id") % 25).alias("topic"), "doc_id", F.substring("text", 1, 12).alias("title"), site.alias("domain"), preferred(site).alias("preferred"), "date")
     schema = d.schema
     ship(d.sparkSession)
 
@@ -92,13 +108,17 @@ def _trim(t):
     return budget_trim(dated(t("documents")), 300_000).select("doc_id", "stream")
 
 
-def cyclic_fill(pool: DataFrame, budget, key: str, value: str, order: list[str], most: int = 51) -> DataFrame:
-    """The pool repeated in its own order until the running total reaches ``budget`` (a one-row DataFrame with column goal)."""
+def cyclic_fill(pool: DataFrame, budget, key: str, value: str, order: list[str], most: int | None = 51) -> DataFrame:
+    """The pool repeated in its own order until the running total reaches ``budget`` (a one-row DataFrame with column goal), at most ``most`` times; a pool that adds up to nothing stays empty where there is no such bound."""
     one = prefix_sum(pool, key, value, order, "__cum")
     total = pool.agg(F.coalesce(F.sum(value), F.lit(0)).alias("__one"))
     out = one.crossJoin(F.broadcast(total.crossJoin(budget)))  # one row
-    reps = F.least(F.lit(most), F.ceil(F.col("goal") / F.greatest(F.col("__one"), F.lit(1)))).cast("int")
-    out = out.withColumn("rep", F.explode(F.sequence(F.lit(0), F.greatest(reps, F.lit(1)) - 1)))
+    reps = F.ceil(F.col("goal") / F.greatest(F.col("__one"), F.lit(1)))
+    if most is None:
+        out = out.filter("__one > 0")
+    else:
+        reps = F.least(F.lit(most), reps)
+    out = out.withColumn("rep", F.explode(F.sequence(F.lit(0), F.greatest(reps.cast("int"), F.lit(1)) - 1)))
     return out.filter(F.col("rep") * F.col("__one") + F.col("__cum") < F.col("goal")).drop("__cum", "__one", "goal")
 
 
@@ -113,7 +133,7 @@ def _replay(t):
 def _curriculum(t):
     """Random within a day: the place within its day; a range-partitioned sort on (date, place) writes it out."""
     d = dated(t("documents")).select("doc_id", "date", hashed("7", F.col("doc_id")).alias("h"))
-    return ranked(d, ["date"], ["h", "doc_id"], "place").select("doc_id", "date", F.col("place").cast("long").alias("place"))
+    return ranked(d, ["date"], ["h", "doc_id"], by_hash(), "place").select("doc_id", "date", F.col("place").cast("long").alias("place"))
 
 
 @query("seeded_sample", f"SELECT doc_id FROM documents ORDER BY {_H}, doc_id LIMIT 50")
@@ -137,7 +157,7 @@ def _robin(t):
 
 @query("group_chunk", f"WITH {DATED}, a AS (SELECT doc_id, date, row_number() OVER (PARTITION BY date ORDER BY doc_id) - 1 AS i FROM d WHERE stream <> 'deaths') SELECT date, (i // 2)::BIGINT AS chunk, count(*)::BIGINT AS n, min(doc_id) AS first_id FROM a GROUP BY 1, 2")
 def _chunk(t):
-    a = ranked(dated(t("documents")).filter("stream <> 'deaths'").select("doc_id", "date"), ["date"], ["doc_id"])
+    a = ranked(dated(t("documents")).filter("stream <> 'deaths'").select("doc_id", "date"), ["date"], ["doc_id"], by_id())
     return a.withColumn("chunk", F.expr("cast((rank - 1) div 2 as bigint)")).groupBy("date", "chunk").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
@@ -145,7 +165,7 @@ def _chunk(t):
 def _context(t):
     """Contexts of a day, four texts each: its summaries first, then its articles, cut and joined in order."""
     d = dated(t("documents")).select("date", (F.col("doc_id") % 9 != 0).alias("o"), "doc_id", F.when(F.col("doc_id") % 9 == 0, F.substring("text", 1, 2500)).otherwise(F.substring("text", 1, 2000)).alias("x"))
-    d = ranked(d, ["date"], ["o", "doc_id"]).withColumn("chunk", F.expr("cast((rank - 1) div 4 as bigint)"))
+    d = ranked(d, ["date"], ["o", "doc_id"], F.struct("o", by_id())).withColumn("chunk", F.expr("cast((rank - 1) div 4 as bigint)"))
     g = d.groupBy("date", "chunk").agg(F.sort_array(F.collect_list(F.struct("o", "doc_id", "x"))).alias("xs"), F.count("*").alias("n"))
     return g.select("date", "chunk", F.md5(F.array_join(F.transform("xs", lambda s: s["x"]), "\n---\n")).alias("context_md5"), "n")
 
@@ -155,22 +175,41 @@ def _regroup(t):
     """Rotating groups: a new shuffle within each category a round, cut by four."""
     d = t("documents").select("doc_id", "source", F.explode(F.array(F.lit(0), F.lit(1))).alias("rd"))
     d = d.withColumn("h", F.md5(F.concat(F.lit("5:"), F.col("rd").cast("string"), F.lit(":"), F.col("doc_id").cast("string"))))
-    return ranked(d, ["rd", "source"], ["h", "doc_id"]).select("rd", "source", "doc_id", F.expr("cast((rank - 1) div 4 as bigint)").alias("grp"))
+    return ranked(d, ["rd", "source"], ["h", "doc_id"], by_hash()).select("rd", "source", "doc_id", F.expr("cast((rank - 1) div 4 as bigint)").alias("grp"))
 
 
 @query("oversample_share", "WITH p AS (SELECT doc_id, doc_id % 4 = 0 AS tool, row_number() OVER (PARTITION BY doc_id % 4 = 0 ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY doc_id % 4 = 0) AS n FROM documents), c AS (SELECT unnest(range(0, 200)) AS call) SELECT call, a.doc_id AS lead_id, b.doc_id AS with_id FROM c JOIN p a ON a.tool = (call % 5 < 3) AND a.i = call % a.n JOIN p b ON NOT b.tool AND b.i = (call * 7 + 1) % b.n")
 def _oversample(t):
-    """Three of five calls lead with a tool page; each is paired with a page that isn't one. Joins on places, not on all pairs."""
-    p = t("documents").select("doc_id", (F.col("doc_id") % 4 == 0).alias("tool"))
-    p = ranked(p, ["tool"], ["doc_id"], "i")
+    """Three of five calls lead with a tool page; each is paired with a page that isn't one. Pages get places, and only those called for are fetched."""
+    p = ranked(t("documents").select("doc_id", (F.col("doc_id") % 4 == 0).alias("tool")), ["tool"], ["doc_id"], by_id(), "i")
     n = p.groupBy("tool").agg(F.max("i").alias("n"))
-    calls = p.sparkSession.range(200).select(F.col("id").alias("call"), (F.col("id") % 5 < 3).alias("tool")).join(F.broadcast(n), "tool")
-    lead = calls.withColumn("i", (F.col("call") % F.col("n") + 1).cast("int")).join(p, ["tool", "i"]).select("call", F.col("doc_id").alias("lead_id"))
-    other = calls.select("call").crossJoin(F.broadcast(n.filter("not tool"))).withColumn("i", ((F.col("call") * 7 + 1) % F.col("n") + 1).cast("int")).join(p, ["tool", "i"]).select("call", F.col("doc_id").alias("with_id"))
-    return lead.join(other, "call")
+    calls = p.sparkSession.range(200).withColumnRenamed("id", "call")
+    wanted = lambda c, tool, place: c.withColumn("tool", tool).join(F.broadcast(n), "tool").withColumn("i", place + 1)  # noqa: E731  (two totals)
+    fetch = lambda w, name: p.join(F.broadcast(w.select("call", "tool", "i")), ["tool", "i"]).select("call", F.col("doc_id").alias(name))  # noqa: E731  (the calls)
+    lead = fetch(wanted(calls, F.col("call") % 5 < 3, F.col("call") % F.col("n")), "lead_id")
+    return lead.join(fetch(wanted(calls, F.lit(False), (F.col("call") * 7 + 1) % F.col("n")), "with_id"), "call")
 
 
 @query("hash_route")
 def _route(t):
     """Rows only: crc32 has no counterpart in the other engine."""
     return t("documents").select("doc_id", F.pmod(F.crc32(F.concat(F.lit("call-"), F.col("doc_id").cast("string")).cast("binary")), F.lit(3)).cast("int").alias("model"))
+
+
+def replicate(df: DataFrame, n: int, copy: str = "copy") -> DataFrame:
+    """Each row n times, numbered from 0; a narrow pass."""
+    return df.withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) if n > 0 else df.withColumn(copy, F.lit(0)).limit(0)
+
+
+@query("replicate", "SELECT page_id, c.copy::INT AS copy, url || chr(10) || chr(10) || length(html) AS text FROM pages, (SELECT unnest(range(0, 3)) AS copy) c")
+def _replicate(t):
+    p = t("pages").select("page_id", F.concat("url", F.lit("\n\n"), F.length("html").cast("string")).alias("text"))
+    return replicate(p, 3).select("page_id", "copy", "text")
+
+
+@query("replay_cycle", f"WITH k AS (SELECT doc_id, length(text) AS q, {_H} AS h FROM documents WHERE source = 'src1'), g AS (SELECT sum(length(text)) * 0.35::DOUBLE AS goal FROM documents), c AS (SELECT *, coalesce(sum(q) OVER (ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum, sum(q) OVER () AS one FROM k), r AS (SELECT doc_id, cum, one, goal, unnest(range(0, 1000)) AS rep FROM c, g) SELECT doc_id, rep::INT AS rep FROM r WHERE rep * one + cum < goal")
+def _cycle(t):
+    """The pool over and over in its one order until a share of all tokens is reached, however often that takes; quarters of characters add up exactly as characters."""
+    d = t("documents").select("doc_id", "source", F.length("text").cast("long").alias("q"), hashed("0", F.col("doc_id")).alias("h"))
+    goal = d.agg((F.sum("q") * F.lit(0.35)).alias("goal"))
+    return cyclic_fill(d.filter("source = 'src1'"), goal, "h", "q", ["h", "doc_id"], most=None).select("doc_id", "rep")

@@ -81,3 +81,12 @@ def _hygiene(t):
     h = t("conversations").select("role", F.expr(_HY).alias("t")).withColumn("m", F.regexp_extract("t", P.HYGIENE, 0))
     hit = F.col("m") != ""
     return h.groupBy("role").agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"), F.round(F.count_if(hit) / F.count("*"), 6).alias("rate"), F.max(F.when(hit, F.substring(F.col("t"), F.greatest(F.lit(1), F.instr(F.col("t"), F.col("m")) - 60), F.lit(140)))).alias("excerpt"))
+
+
+_HT = "CASE WHEN turn % 9 = 1 THEN concat(text, ' The Article says so.') ELSE text END"
+
+
+@query("hygiene_drop", f"SELECT conv_id, turn FROM conversations WHERE NOT regexp_matches({_HT}, {lit(P.HYGIENE_TRAINED)})")
+def _hygiene_drop(t):
+    """What is trained on: turns without the wording that the hygiene rate counts, by the second, wider pattern."""
+    return t("conversations").filter(~F.expr(_HT).rlike(P.HYGIENE_TRAINED)).select("conv_id", "turn")

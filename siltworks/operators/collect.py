@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import text as X
 from ..plans.catalog import lit, query
 from ..sources.derived import DATED, dated
 from .dedup import first_by
 
-#: Words that an article on a death has. Fixed values.
-DEATH = r"(?i)\b(died|dies|death|dead|passed away|obituar\w*|funeral)\b"
-
-
 def surname(person: Column) -> Column:
     """The last word of more than one character, in lower case."""
     parts = F.filter(F.split(F.lower(X.squeeze(person)), " "), lambda w: F.length(w) > 1)
@@ -23,24 +20,20 @@ def surname(person: Column) -> Column:
 def relevant(person: Column, text: Column, head: int = 4000) -> Column:
     """Names the person anywhere and has a death word in its first ``head`` characters."""
     s = surname(person)
-    return s.isNotNull() & F.contains(F.lower(text), F.coalesce(s, F.lit(""))) & F.substring(text, 1, head).rlike(DEATH)
+    return s.isNotNull() & F.contains(F.lower(text), F.coalesce(s, F.lit(""))) & F.substring(text, 1, head).rlike(P.DEATH)
 
 
 _RT = "CASE WHEN doc_id % 3 = 0 THEN concat('He died. ', text) ELSE text END"
 
 
-@query("relevance_filter", rf"WITH d AS (SELECT doc_id, {_RT} AS t, CASE WHEN doc_id % 2 = 0 THEN 'Jo X Ing' ELSE 'Ann Nowhere-Else J' END AS person FROM documents), s AS (SELECT *, list_filter(string_split(lower(person), ' '), lambda w: length(w) > 1)[-1] AS sn FROM d) SELECT doc_id, sn AS surname FROM s WHERE contains(lower(t), sn) AND regexp_matches(substr(t, 1, 4000), {lit(DEATH)})")
+@query("relevance_filter", rf"WITH d AS (SELECT doc_id, {_RT} AS t, CASE WHEN doc_id % 2 = 0 THEN 'Jo X Ing' ELSE 'Ann Nowhere-Else J' END AS person FROM documents), s AS (SELECT *, list_filter(string_split(lower(person), ' '), lambda w: length(w) > 1)[-1] AS sn FROM d) SELECT doc_id, sn AS surname FROM s WHERE contains(lower(t), sn) AND regexp_matches(substr(t, 1, 4000), {lit(P.DEATH)})")
 def _relevance(t):
     d = t("documents").select("doc_id", F.expr(_RT).alias("t"), F.when(F.col("doc_id") % 2 == 0, "Jo X Ing").otherwise("Ann Nowhere-Else J").alias("person"))
     return d.filter(relevant(F.col("person"), F.col("t"))).select("doc_id", surname(F.col("person")).alias("surname"))
 
 
-#: Steps from a wiki list entry to prose.
-ENTRY = ((r"(?s)<ref[^>]*>.*?</ref>", ""), (r"<ref[^>]*/>", ""), (r"\[\[([^\]|]+)\|([^\]]+)\]\]", r"$2"), (r"\[\[([^\]]+)\]\]", r"$1"), (r"\{\{[^{}]*\}\}", ""), (r"'''?", ""), (r"\s+", " "))
-
-
 def entry_clean(text: Column) -> Column:
-    for p, r in ENTRY:
+    for p, r in P.ENTRY:
         text = F.regexp_replace(text, p, r)
     return F.regexp_replace(text, r"^[ ,.;]+|[ ,.;]+$", "")
 
@@ -54,20 +47,40 @@ def _duck(t: str, steps) -> str:
     return t
 
 
-@query("entry_clean", f"SELECT doc_id, md5(regexp_replace({_duck(_EN, ENTRY)}, '^[ ,.;]+|[ ,.;]+$', '', 'g')) AS prose_md5 FROM documents")
+@query("entry_clean", f"SELECT doc_id, md5(regexp_replace({_duck(_EN, P.ENTRY)}, '^[ ,.;]+|[ ,.;]+$', '', 'g')) AS prose_md5 FROM documents")
 def _entry(t):
     return t("documents").select("doc_id", F.md5(entry_clean(F.expr(_EN))).alias("prose_md5"))
 
 
-#: What generators say before a document. Fixed values.
-PREAMBLE = r"(?i)^(?:\s*(?:sure[,!.]?|certainly[,!.]?|here is (?:the|a) document:?|here's (?:the|a) document:?|```\w*))+\s*"
+def preamble_strip(text: Column) -> Column:
+    """Drops announcing lines and opening fences at the top until none is left, then a closing fence; outer white space goes."""
+    return X.strip(F.regexp_replace(X.strip(F.regexp_replace(X.strip(text), P.PREAMBLE, "")), "```$", ""))
+
 
+_PR = "concat(CASE doc_id % 5 WHEN 0 THEN concat('Sure! Here it is.', chr(10), chr(10), '```text', chr(10)) WHEN 1 THEN concat('Here is an article about rain:', chr(10)) WHEN 2 THEN 'Certainly, ' WHEN 3 THEN concat('**Document**:', chr(10), ' document: ', chr(10), chr(10)) ELSE '' END, text, CASE WHEN doc_id % 5 = 0 THEN concat(chr(10), '```', chr(10)) ELSE '' END)"
+_ST = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_P1 = _ST.format(f"regexp_replace(t, {lit(P.PREAMBLE)}, '')")
 
-@query("preamble_strip", rf"WITH p AS (SELECT doc_id, concat(CASE doc_id % 3 WHEN 0 THEN concat('Sure! Here is the document:', chr(10), '```text', chr(10)) WHEN 1 THEN 'Certainly, ' ELSE '' END, text, CASE WHEN doc_id % 3 = 0 THEN concat(chr(10), '```') ELSE '' END) AS t FROM documents) SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(t, {lit(PREAMBLE)}, ''), '\s*```\s*$', ''), '^\s+|\s+$', '', 'g')) AS clean_md5 FROM p")
+
+@query("preamble_strip", f"WITH a AS (SELECT doc_id, {_ST.format(_PR)} AS t FROM documents), b AS (SELECT doc_id, {_P1} AS t FROM a) SELECT doc_id, md5(CASE WHEN ends_with(t, '```') THEN {_ST.format('left(t, length(t) - 3)')} ELSE t END) AS clean_md5 FROM b")
 def _preamble(t):
-    """Prefixes go until none is left, in one anchored pattern; a closing fence goes too."""
-    c = F.expr("concat(CASE doc_id % 3 WHEN 0 THEN concat('Sure! Here is the document:', chr(10), '```text', chr(10)) WHEN 1 THEN 'Certainly, ' ELSE '' END, text, CASE WHEN doc_id % 3 = 0 THEN concat(chr(10), '```') ELSE '' END)")
-    return t("documents").select("doc_id", F.md5(X.strip(F.regexp_replace(F.regexp_replace(c, PREAMBLE, ""), r"\s*```\s*$", ""))).alias("clean_md5"))
+    """Whole lines only: a text that merely begins with such a word keeps it unless its line ends there."""
+    return t("documents").select("doc_id", F.md5(preamble_strip(F.expr(_PR))).alias("clean_md5"))
+
+
+def death_entry(line: Column) -> tuple[Column, Column]:
+    """Name and cleaned rest of a list entry; null where a line is none."""
+    name = F.nullif(F.regexp_extract(line, P.DEATH_ENTRY, 1), F.lit(""))
+    return X.strip(name), F.when(name.isNotNull(), entry_clean(F.regexp_extract(line, P.DEATH_ENTRY, 2)))
+
+
+_DE = "CASE WHEN doc_id % 4 = 0 THEN 'no entry' ELSE concat('* [[Ann ', cast(doc_id % 50 AS STR), CASE WHEN doc_id % 2 = 0 THEN '|Annie' ELSE '' END, ']], ', cast(doc_id % 90 AS STR), ', [[', lang, ']] poet, {{x}} fall.<ref name=a/>') END"
+
+
+@query("death_entry", rf"WITH l AS (SELECT doc_id, {_DE.replace('STR', 'VARCHAR')} AS line FROM documents), m AS (SELECT doc_id, nullif(regexp_extract(line, {lit(P.DEATH_ENTRY)}, 1), '') AS name, regexp_extract(line, {lit(P.DEATH_ENTRY)}, 2) AS rest FROM l) SELECT doc_id, name, CASE WHEN name IS NOT NULL THEN regexp_replace({_duck('rest', P.ENTRY)}, '^[ ,.;]+|[ ,.;]+$', '', 'g') END AS rest FROM m")
+def _deaths(t):
+    name, rest = death_entry(F.expr(_DE.replace("STR", "STRING")))
+    return t("documents").select("doc_id", name.alias("name"), rest.alias("rest"))
 
 
 @query("blank_out", r"WITH l AS (SELECT doc_id, split_part(text, ' ', 3) AS k, list_filter(string_split(text, chr(10)), lambda x: length(x) > 40 AND contains(x, split_part(text, ' ', 3)))[1] AS line FROM documents) SELECT doc_id, k, replace(line, k, '________') AS cloze FROM l WHERE line IS NOT NULL AND k <> ''")
@@ -97,6 +110,32 @@ def _months(t):
     return month_windows(t("events").agg(F.min("ts").cast("date").alias("lo"), F.max("ts").cast("date").alias("hi")), "lo", "hi")
 
 
+def day_range(df: DataFrame, low: str, high: str) -> DataFrame:
+    """One row a day between two columns of dates, both included; none where the first is after the second."""
+    return df.filter(F.col(low) <= F.col(high)).select(F.explode(F.sequence(F.to_date(low), F.to_date(high))).alias("day")).distinct()
+
+
+@query("day_range", "WITH r AS (SELECT min(ts)::DATE AS lo, (min(ts)::DATE + 40) AS hi FROM events) SELECT unnest(generate_series(lo::TIMESTAMP, hi::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM r")
+def _days(t):
+    r = t("events").agg(F.min("ts").cast("date").alias("lo"))
+    return day_range(r.withColumn("hi", F.date_add("lo", 40)), "lo", "hi")
+
+
+def split_windows(windows: DataFrame, days: int, low: str = "start", high: str = "stop") -> DataFrame:
+    """Windows (dates, the second excluded) cut into windows of at most ``days``, so that each stays under a search's cap of hits."""
+    w = windows.withColumn("since", F.explode(F.expr(f"sequence({low}, date_sub({high}, 1), interval {days} days)")))
+    return w.withColumn("till", F.least(F.date_add("since", days), F.col(high)))
+
+
+@query("split_windows", "WITH m AS (SELECT DISTINCT date_trunc('month', ts)::DATE AS start FROM events), s AS (SELECT start, (start + INTERVAL 1 MONTH)::DATE AS stop FROM m), w AS (SELECT start, unnest(generate_series(start::TIMESTAMP, (stop - 1)::TIMESTAMP, INTERVAL 5 DAY))::DATE AS since, stop FROM s), x AS (SELECT since, least(since + 5, stop)::DATE AS till FROM w) SELECT since, till, count(e.event_id)::BIGINT AS hits, count(e.event_id) > 1000 AS capped FROM x LEFT JOIN events e ON e.ts::DATE >= since AND e.ts::DATE < till GROUP BY ALL")
+def _split(t):
+    """Hits of each window, and whether one exceeds the cap; days are counted first, then joined by the windows' days."""
+    e = t("events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"))
+    m = e.select(F.trunc("day", "month").alias("start")).distinct().withColumn("stop", F.add_months("start", 1))
+    x = split_windows(m, 5).select("since", "till", F.explode(F.expr("sequence(since, date_sub(till, 1))")).alias("day"))
+    return x.join(e, "day", "left").groupBy("since", "till").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("hits")).withColumn("capped", F.col("hits") > 1000)
+
+
 @query("fetch_windows", f"WITH {DATED} SELECT doc_id, (date::DATE - 2)::DATE AS since, (date::DATE + 14)::DATE AS till FROM d")
 def _fetch(t):
     d = dated(t("documents")).select("doc_id", F.to_date("date").alias("d"))

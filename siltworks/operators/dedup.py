@@ -125,3 +125,55 @@ def _exact(t):
 def _title(t):
     s = t("pages").select("page_id", title_key(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title", 1)).alias("k"))
     return first_by(s, ["k"], ["page_id"], mark="f").filter((F.col("k") == "") | F.col("f")).select("page_id", "k")
+
+
+def news_key(title: Column, text: Column) -> Column:
+    """Key of near copies among news: title and first 300 characters, each lower-cased with single spaces."""
+    part = lambda c: X.squeeze(F.lower(F.coalesce(c, F.lit(""))))
+    return F.md5(F.concat(part(title), F.lit("|"), part(F.substring(text, 1, 300))))
+
+
+def dedup_then_cap(rows: DataFrame, order: list[str], key: str, group: str, capped: Column, cap: int) -> DataFrame:
+    """Exact replay of: drop a row whose key a row that stays has; else, of capped rows, drop one whose group has ``cap`` that stay.
+
+    A dropped row uses up neither a key nor a place. Each round decides, of the undecided rows, those at the head of their
+    group as far as they are the first of their key (and the group has room), and the uncapped that are the first of their
+    key; then what shares a key with them, and the rest of full groups. Rounds are cut by checkpoints; within a group one round
+    takes all rows up to the first that waits for another group. Needs ``order`` to be unique; adds ``stays``.
+    """
+    left = cut(rows.select(F.struct(*order).alias("o"), F.col(key).alias("k"), F.col(group).alias("g"), F.coalesce(capped, F.lit(False)).alias("b"), F.lit(cap).alias("room")))
+    kept = None
+    while left.limit(1).count():
+        least = left.groupBy("k").agg(F.min("o").alias("least"))
+        t = left.join(least, "k").withColumn("clear", F.col("o") == F.col("least")).drop("least")
+        waits = t.filter("b and not clear").groupBy(F.col("g").alias("wg")).agg(F.min("o").alias("wait"))
+        head = t.filter("b and clear").join(waits, F.col("g").eqNullSafe(F.col("wg")), "left").filter("wait is null or o < wait")
+        rank = F.row_number().over(Window.partitionBy("g").orderBy("o"))
+        head = head.withColumn("r", rank).filter(F.col("r") <= cap).filter(F.col("r") <= F.col("room"))  # tasks pass on ``cap`` rows a group
+        now = cut(head.select("o", "k", "g", "b").unionByName(t.filter("clear and not b").select("o", "k", "g", "b")))
+        kept = now.select("o") if kept is None else kept.unionByName(now.select("o"))
+        used = now.filter("b").groupBy(F.col("g").alias("ug")).agg(F.count("*").cast("int").alias("used"))
+        left = left.join(now.select("k").distinct(), "k", "left_anti").join(used, F.col("g").eqNullSafe(F.col("ug")), "left")
+        left = left.select("o", "k", "g", "b", (F.col("room") - F.when(F.col("b"), F.coalesce("used", F.lit(0))).otherwise(0)).alias("room"))
+        left = cut(left.filter("not b or room > 0"))
+    done = (left.select("o") if kept is None else kept).select(F.col("o").alias("__o"), F.lit(True).alias("stays"))
+    return rows.join(done, F.struct(*order) == F.col("__o"), "left").drop("__o").withColumn("stays", F.coalesce("stays", F.lit(False)))
+
+
+_NT = "concat('Title ', cast(doc_id % 400 AS STR))"
+
+
+def _news(t) -> DataFrame:
+    d = t("documents").select("doc_id", news_key(F.expr(_NT.replace("STR", "STRING")), F.concat(F.lit("lead "), (F.col("doc_id") % 900).cast("string"))).alias("k"), "source", (F.col("doc_id") % 5 != 0).alias("tier_b"))
+    return d.withColumn("domain", F.concat_ws(".", "source", (F.col("doc_id") % 7).cast("string")))
+
+
+@query("news_key", r"SELECT doc_id, md5(regexp_replace(regexp_replace(lower(concat('  The  Title ', doc_id % 90)), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') || '|' || regexp_replace(regexp_replace(lower(substr(text, 1, 300)), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS k FROM documents")
+def _news_key(t):
+    return t("documents").select("doc_id", news_key(F.concat(F.lit("  The  Title "), (F.col("doc_id") % 90).cast("string")), F.col("text")).alias("k"))
+
+
+@query("news_dedup_cap")
+def _news_cap(t):
+    """Rows only: a loop over rows in order; the test replays it."""
+    return dedup_then_cap(_news(t), ["doc_id"], "k", "domain", F.col("tier_b"), 9).select("doc_id", "domain", "stays")

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.catalog import query
+from ..plans.prefix import hashed, prefix_sum
+from ..plans.shared import spread
 
 WORDS = "[a-z0-9_]+"
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """n-grams as joined strings; ``tokens`` must be a plain column."""
+def gram_hashes(tokens: Column, n: int) -> Column:
+    """64-bit hashes of the n-grams (one wrong equality is expected among 6e9 distinct grams); ``tokens`` must be a plain column."""
     size = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
-    return F.transform(F.arrays_zip(*[F.slice(tokens, i + 1, size).alias(f"w{i}") for i in range(n)]), lambda r: F.concat_ws(" ", *[r[f"w{i}"] for i in range(n)]))
+    return F.transform(F.arrays_zip(*[F.slice(tokens, i + 1, size).alias(f"w{i}") for i in range(n)]), lambda r: F.xxhash64(*[r[f"w{i}"] for i in range(n)]))
 
 
 _T = "t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS k FROM documents{})"
@@ -24,8 +26,8 @@ _G = "list_transform(range(1, len(k) - {m} + 1), lambda i: array_to_string(k[i:i
 @query("distinct_n", " UNION ALL ".join(f"SELECT {n}::INT AS n, count(DISTINCT g)::BIGINT AS distinct_grams, count(*)::BIGINT AS grams, round(count(DISTINCT g)::DOUBLE / count(*), 6) AS ratio FROM (WITH {_T.format('')} SELECT unnest({_G.format(m=n - 1)}) AS g FROM t)" for n in (1, 3)))
 def _distinct(t):
     """Grams are counted per gram first, so that the distinct count is a sum over partial aggregates."""
-    k = t("documents").select(X.tokens(F.col("text"), WORDS).alias("k"))
-    g = k.select(F.explode(F.array(*[F.struct(F.lit(n).alias("n"), ngrams(F.col("k"), n).alias("g")) for n in (1, 3)])).alias("x")).select("x.n", F.explode("x.g").alias("g"))
+    k = spread(t("documents").select("text")).select(X.tokens(F.col("text"), WORDS).alias("k"))
+    g = k.select(F.explode(F.array(*[F.struct(F.lit(n).alias("n"), gram_hashes(F.col("k"), n).alias("g")) for n in (1, 3)])).alias("x")).select("x.n", F.explode("x.g").alias("g"))
     c = g.groupBy("n", "g").agg(F.count("*").alias("c")).groupBy("n").agg(F.count("*").alias("distinct_grams"), F.sum("c").alias("grams"))
     return c.select("n", "distinct_grams", "grams", F.round(F.col("distinct_grams") / F.col("grams"), 6).alias("ratio"))
 
@@ -37,25 +39,29 @@ def overlap(pairs: DataFrame, grams: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.sum(F.least(F.col("ca"), F.coalesce("cb", F.lit(0)))).alias("hits"), F.sum("ca").alias("n"))
 
 
+def partners(ids: DataFrame, seed: str, n: int) -> DataFrame:
+    """(a, b): every id with the n ids after it in a hashed order, around; places are exact prefix sums. Fewer ids than n + 1 have fewer partners, none themselves."""
+    place = prefix_sum(ids.select("id", hashed(seed, F.col("id")).alias("h"), F.lit(1).alias("one")), "h", "one", ["h", "id"], "i").select("id", "i")
+    total = place.agg(F.count("*").alias("n"))
+    here = place.crossJoin(F.broadcast(total)).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n)))).filter("k < n")  # one row
+    return here.select(F.col("id").alias("a"), ((F.col("i") + F.col("k")) % F.col("n")).alias("i")).join(place.withColumnRenamed("id", "b"), "i").select("a", "b")
+
+
 @query("self_bleu", f"WITH {_T.format('')}, g AS (SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, unnest({_G.format(m=3)}) AS g FROM t) GROUP BY ALL), p AS (SELECT doc_id AS a, coalesce(lead(doc_id) OVER (ORDER BY md5('9:' || doc_id), doc_id), first_value(doc_id) OVER (ORDER BY md5('9:' || doc_id), doc_id)) AS b FROM t), o AS (SELECT a, sum(least(x.c, coalesce(y.c, 0)))::DOUBLE / sum(x.c) AS s FROM p JOIN g x ON x.doc_id = a LEFT JOIN g y ON y.doc_id = b AND y.g = x.g GROUP BY a) SELECT round((SELECT sum(s) FROM o) / (SELECT count(*) FROM t), 6) AS self_bleu, (SELECT count(*) FROM t)::BIGINT AS n")
 def _bleu(t):
     """Four-gram precision against one hashed partner each, over all documents, those too short included."""
-    from ..plans.prefix import hashed, prefix_sum
-
-    d = t("documents").select(F.col("doc_id").alias("id"), X.tokens(F.col("text"), WORDS).alias("k"), hashed("9", F.col("doc_id")).alias("h"), F.lit(1).alias("one"))
-    place = prefix_sum(d.select("id", "h", "one"), "h", "one", ["h", "id"], "i").select("id", "i")
-    n = place.agg(F.count("*").alias("n"))
-    here = place.crossJoin(F.broadcast(n))  # one row
-    pairs = here.select(F.col("id").alias("a"), ((F.col("i") + 1) % F.col("n")).alias("i")).join(place.withColumnRenamed("id", "b"), "i").select("a", "b")
-    grams = d.select("id", F.explode(ngrams(F.col("k"), 4)).alias("g")).groupBy("id", "g").agg(F.count("*").alias("c"))
+    d = spread(t("documents").select(F.col("doc_id").alias("id"), "text")).select("id", X.tokens(F.col("text"), WORDS).alias("k"))
+    n = d.agg(F.count("*").alias("n"))
+    grams = d.select("id", F.explode(gram_hashes(F.col("k"), 4)).alias("g")).groupBy("id", "g").agg(F.count("*").alias("c"))
+    pairs = partners(d.select("id"), "9", 1)
     o = overlap(pairs, grams).agg(F.coalesce(F.sum(F.col("hits") / F.col("n")), F.lit(0.0)).alias("s"))
     return o.crossJoin(n).select(F.round(F.col("s") / F.col("n"), 6).alias("self_bleu"), "n")
 
 
-@query("jaccard_pairs", f"WITH {_T.format('')}, s AS (SELECT doc_id, list_distinct(k) AS k FROM t) SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.k, b.k))::DOUBLE / greatest(len(list_distinct(list_concat(a.k, b.k))), 1), 6) AS jaccard FROM s a JOIN s b ON b.doc_id = a.doc_id + 1 OR b.doc_id = a.doc_id + 2")
+@query("jaccard_pairs", f"WITH {_T.format('')}, s AS (SELECT doc_id, list_distinct(k) AS k, row_number() OVER (ORDER BY md5('4:' || doc_id), doc_id) - 1 AS i, count(*) OVER () AS n FROM t), p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.k, b.k))::DOUBLE / greatest(len(list_distinct(list_concat(a.k, b.k))), 1) AS j FROM s a JOIN s b ON b.i = (a.i + 1) % a.n OR b.i = (a.i + 2) % a.n) SELECT count(*)::BIGINT AS pairs, round(avg(j), 6) AS mean_jaccard FROM p")
 def _jaccard(t):
-    """Sampled pairs, each document with its next two by id; joined on the partner's id, so pairs grow with the documents."""
-    s = t("documents").select("doc_id", F.array_distinct(X.tokens(F.col("text"), WORDS)).alias("k"))
-    a = s.select(F.col("doc_id").alias("a"), F.col("k").alias("ka"), F.explode(F.array(F.col("doc_id") + 1, F.col("doc_id") + 2)).alias("b"))
-    p = a.join(s.select(F.col("doc_id").alias("b"), F.col("k").alias("kb")), "b")
-    return p.select("a", "b", F.round(F.size(F.array_intersect("ka", "kb")) / F.greatest(F.size(F.array_union("ka", "kb")), F.lit(1)), 6).alias("jaccard"))
+    """The mean over sampled pairs, each document with two others by a hashed order; joined on the partner's id, so pairs grow with the documents."""
+    s = spread(t("documents").select(F.col("doc_id").alias("id"), "text")).select("id", F.array_distinct(X.tokens(F.col("text"), WORDS)).alias("k"))
+    p = partners(s, "4", 2).join(s.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(s.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
+    j = F.size(F.array_intersect("ka", "kb")) / F.greatest(F.size(F.array_union("ka", "kb")), F.lit(1))
+    return p.agg(F.count("*").alias("pairs"), F.round(F.avg(j), 6).alias("mean_jaccard"))

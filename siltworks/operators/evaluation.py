@@ -92,10 +92,11 @@ def _pass(t):
 def sign_p(w: Column, losses: Column) -> Column:
     """Exact two-sided sign test: min(1, 2 * sum of C(n, i) / 2^n up to the smaller count), 1 without decided pairs."""
     n, m = (w + losses).cast("int"), F.least(w, losses).cast("int")
-    start = F.struct(F.pow(F.lit(0.5), n).alias("c"), F.pow(F.lit(0.5), n).alias("s"))
-    step = lambda a, i: F.struct((a["c"] * (n - i + 1) / i).alias("c"), (a["s"] + a["c"] * (n - i + 1) / i).alias("s"))
-    tail = F.aggregate(F.filter(F.sequence(F.lit(0), m), lambda i: i > 0), start, step)["s"]
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+    ways = F.aggregate(F.filter(F.sequence(F.lit(0), m), lambda i: i > 0), F.lit(0.0), lambda s, i: s + F.ln((n - i + 1) / i))  # ln C(n, m)
+    start = F.struct(F.lit(1.0).alias("c"), F.lit(1.0).alias("s"))  # terms from the largest, C(n, m), down, as shares of it
+    step = lambda a, j: F.struct((a["c"] * (m - j + 1) / (n - m + j)).alias("c"), (a["s"] + a["c"] * (m - j + 1) / (n - m + j)).alias("s"))
+    tail = F.aggregate(F.filter(F.sequence(F.lit(0), m), lambda j: j > 0), start, step)["s"]
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail * F.exp(ways - n * F.ln(F.lit(2.0)))))
 
 
 @query("sign_test", f"{_TR}, c AS (SELECT count(*) FILTER (mb > ma) AS w, count(*) FILTER (mb < ma) AS l, count(*) FILTER (mb = ma) AS t FROM s), i AS (SELECT unnest(range(0, least(w, l) + 1)) AS i FROM c) SELECT w::BIGINT AS wins, l::BIGINT AS losses, t::BIGINT AS ties, round(least(1.0, 2 * (SELECT sum(exp(lgamma(w + l + 1.0) - lgamma(i + 1.0) - lgamma(w + l - i + 1.0) - (w + l) * ln(2.0))) FROM i)), 6)::DOUBLE AS p FROM c")
@@ -264,9 +265,10 @@ def _topics(t):
     return t("documents").groupBy(F.coalesce(F.nullif(s, F.lit("")), F.nullif(k, F.lit("")), F.lit("unknown")).alias("topic")).agg(F.count("*").alias("n"))
 
 
-@query("median_by_kind", "SELECT label AS kind, round(median(embedding[1]::DOUBLE), 6) AS median, round(max(embedding[1]::DOUBLE), 6) AS most, count(*)::BIGINT AS n FROM embeddings GROUP BY label")
+@query("median_by_kind", "SELECT label AS kind, round(median(embedding[1]::DOUBLE), 6) AS median, round(percentile_disc(0.5) WITHIN GROUP (ORDER BY embedding[1]::DOUBLE DESC), 6) AS upper_median, round(max(embedding[1]::DOUBLE), 6) AS most, count(*)::BIGINT AS n FROM embeddings GROUP BY label")
 def _median(t):
-    return t("embeddings").groupBy(F.col("label").alias("kind")).agg(F.round(F.median(F.get("embedding", F.lit(0)).cast("double")), 6).alias("median"), F.round(F.max(F.get("embedding", F.lit(0)).cast("double")), 6).alias("most"), F.count("*").alias("n"))
+    """The median, and the upper one: the element at half the count."""
+    return t("embeddings").groupBy(F.col("label").alias("kind")).agg(F.round(F.median(F.get("embedding", F.lit(0)).cast("double")), 6).alias("median"), F.round(F.expr("percentile_disc(0.5) within group (order by cast(get(embedding, 0) as double) desc)"), 6).alias("upper_median"), F.round(F.max(F.get("embedding", F.lit(0)).cast("double")), 6).alias("most"), F.count("*").alias("n"))
 
 
 def l2(a: Column) -> Column:
@@ -293,3 +295,10 @@ def _failed(t):
     """Semi-join: rows whose question the base failed in every sample."""
     bad = t("documents").select("doc_id", "source", "lang").join(t("labels"), "doc_id").groupBy("source", "lang").agg(F.max("quality").alias("q")).filter("q = 0")
     return t("documents").select("doc_id", "source", "lang").join(bad, ["source", "lang"], "left_semi").select("doc_id")
+
+
+@query("chain_rollup", "SELECT conv_id % 40 AS chain, conv_id % 3 + 1 AS hops, count(*)::BIGINT AS runs, count(*) FILTER (turn % 2 = 0)::BIGINT AS correct, round(avg(length(text) % 5), 6) AS searches, count(*) FILTER (role = 'user')::BIGINT AS bridge_first FROM conversations GROUP BY 1, 2")
+def _rollup(t):
+    """A row a chain and its hops: runs, right ones, mean searches, runs with the bridge in the first query."""
+    c = t("conversations").select((F.col("conv_id") % 40).alias("chain"), (F.col("conv_id") % 3 + 1).alias("hops"), (F.col("turn") % 2 == 0).alias("right"), (F.length("text") % 5).alias("searches"), (F.col("role") == "user").alias("bridge"))
+    return c.groupBy("chain", "hops").agg(F.count("*").alias("runs"), F.count_if("right").alias("correct"), F.round(F.avg("searches"), 6).alias("searches"), F.count_if("bridge").alias("bridge_first"))

@@ -99,3 +99,45 @@ def iso_date(c: Column) -> Column:
     """Epoch seconds (within 9.4e8 .. 2.2e9) or a text that starts with an ISO date; null else."""
     n = c.try_cast("double")
     return F.coalesce(F.when((n > 9.4e8) & (n < 2.2e9), F.date_format(F.timestamp_seconds(n), "yyyy-MM-dd")), F.nullif(F.regexp_extract(c, r"^\d{4}-\d{2}-\d{2}", 0), F.lit("")))
+
+
+def long_enough(text: Column, site: str) -> Column:
+    """A text's least length at one of the places that set one (fixed values)."""
+    n, included = P.LEAST[site]
+    return F.length(text) >= n if included else F.length(text) > n
+
+
+@query("min_lengths", "SELECT doc_id, " + ", ".join(f"length(text) {'>=' if i else '>'} {n} AS {k}_ok" for k, (n, i) in P.LEAST.items()) + " FROM documents")
+def _least(t):
+    return t("documents").select("doc_id", *[long_enough(F.col("text"), k).alias(f"{k}_ok") for k in P.LEAST])
+
+
+@query("temporal_strict", f"WITH {DATED}, e AS (SELECT *, CASE WHEN doc_id % 10 = 0 THEN NULL WHEN doc_id % 10 = 1 THEN '' ELSE date END AS dd FROM d) SELECT doc_id, dd FROM e WHERE dd BETWEEN '2026-02-01' AND '2026-06-30'")
+def _strict(t):
+    """The window that drops what has no date."""
+    d = dated(t("documents")).withColumn("dd", F.when(F.col("doc_id") % 10 == 0, None).when(F.col("doc_id") % 10 == 1, "").otherwise(F.col("date")))
+    return date_window(d, "2026-02-01", "2026-06-30", undated=False, date_col="dd").select("doc_id", "dd")
+
+
+def dated_rows(docs: DataFrame, date: str, published: str, text: str) -> DataFrame:
+    """Rows with a text and a date of the form YYYY-MM-DD, the first ten characters of the date or else of the time of publication."""
+    d = F.substring(F.coalesce(F.nullif(F.col(date), F.lit("")), F.col(published), F.lit("")), 1, 10)
+    return docs.withColumn(date, d).filter((F.coalesce(F.col(text), F.lit("")) != "") & F.col(date).rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"))
+
+
+_VD = "CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '2026-1-5' WHEN 3 THEN concat(date, 'T10:00:00Z') ELSE date END"
+
+
+@query("valid_dates", rf"WITH {DATED}, e AS (SELECT doc_id, text, substr(coalesce(nullif({_VD}, ''), CASE WHEN doc_id % 2 = 0 THEN date || ' 09:00' END, ''), 1, 10) AS date FROM d) SELECT doc_id, date FROM e WHERE coalesce(text, '') <> '' AND regexp_matches(date, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$')")
+def _valid(t):
+    d = dated(t("documents")).withColumn("published", F.when(F.col("doc_id") % 2 == 0, F.concat("date", F.lit(" 09:00")))).withColumn("date", F.expr(_VD))
+    return dated_rows(d, "date", "published", "text").select("doc_id", "date")
+
+
+def preferred(host: Column) -> Column:
+    return host.isin(*P.PREFERRED)
+
+
+@query("preferred_outlet", f"SELECT page_id, lower(replace(regexp_extract({_SITE}, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1), 'www.', '')) IN ({', '.join(map(lit, P.PREFERRED))}) AS preferred FROM pages")
+def _preferred(t):
+    return t("pages").select("page_id", preferred(X.url_host(F.expr(_SITE))).alias("preferred"))

@@ -8,11 +8,27 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 from ..plans.catalog import lit, query
+from ..plans.shared import BROADCAST_ROWS, cut
 
 
-@query("html_text")
+def _duck_html() -> str:
+    t = "html"
+    for p, r in X.HTML:
+        t = f"regexp_replace({t}, {lit(p)}, {lit(r)}, 'g')"
+    return rf"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
+
+
+def _duck_title() -> str:
+    t = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)"
+    for p, r in X.HTML:
+        if p.startswith("&"):
+            t = f"replace({t}, {lit(p)}, {lit(r)})"
+    return rf"regexp_replace(regexp_replace({t}, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query("html_text", f"SELECT page_id, {_duck_title()} AS title, {_duck_html()} AS text FROM pages")
 def _html(t):
-    """Rows only: the approximation is tested by what must and must not be left."""
+    """An approximation of main-content extraction; what must and must not be left is tested too."""
     return t("pages").select("page_id", X.html_title(F.col("html")).alias("title"), X.html_text(F.col("html")).alias("text"))
 
 
@@ -21,7 +37,7 @@ _WIKI = "concat('{{Current events|x}}', chr(10), '* [[Foo bar|', text, ']] said
 
 def _duck_wiki() -> str:
     t = "w"
-    for p, r in X.WIKI:
+    for p, r in P.WIKI:
         t = f"regexp_replace({t}, {lit(p)}, {lit(r.replace('$1', chr(92) + '1'))}, 'g')"
     return t
 
@@ -82,6 +98,14 @@ def parse_qa(df: DataFrame, text: str, sep: str = P.QA_SEP) -> DataFrame:
     return out.filter((F.length("q") > 10) & (F.size(F.split("a", r"\s+")) >= 4)).drop("p")
 
 
+def parse_qa_v2(df: DataFrame, text: str, sep: str = P.QA_SEP) -> DataFrame:
+    """Question-answer pairs of the second rule: an answer's line begins with A:, questions are over 10 characters, answers over 15."""
+    out = df.select(*[c for c in df.columns if c != text], F.posexplode(F.split(F.col(text), sep)).alias("ix", "p")).withColumn("p", X.strip(F.col("p")))
+    pat = r"(?s)Q:\s*(.+?)\n+A:\s*(.+)"
+    out = out.withColumn("q", X.strip(F.regexp_extract("p", pat, 1))).withColumn("a", X.strip(F.regexp_extract("p", pat, 2)))
+    return out.filter((F.length("q") > 10) & (F.length("a") > 15)).drop("p")
+
+
 _QA = "concat('Q: what is ', cast(item_id AS STR), ' about?', chr(10), 'A: ', text, '<<<QA>>> Q: short', chr(10), 'A: no', '<<<QA>>>nothing', '<<<QA>>>Q: is this one kept too?', chr(10), ' A: it is four words', chr(10))"
 _QS = _QA.replace("STR", "VARCHAR")
 
@@ -96,18 +120,63 @@ _N = r"regexp_replace(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')
 
 @query("quote_grounded", f"WITH d AS (SELECT doc_id, {_N.format('text')} AS t FROM documents), b AS (SELECT item_id, substr({_N.format('text')}, 1, 120) AS q FROM benchmark) SELECT item_id, doc_id FROM b JOIN d ON contains(d.t, b.q) WHERE q <> ''")
 def _quote(t):
-    """Quotes are a stated query set, broadcast behind a check of its size, against all texts."""
+    """Joined by an anchor inside each quote, then held against the whole text."""
     b = t("benchmark").select("item_id", F.substring(X.norm(F.col("text")), 1, 120).alias("q")).filter("q <> ''")
     d = t("documents").select("doc_id", X.norm(F.col("text")).alias("t"))
     return grounded(b, d).select("item_id", "doc_id")
 
 
-def grounded(quotes: DataFrame, docs: DataFrame, most: int = 100_000) -> DataFrame:
-    """Pairs of quotes (item_id, q) and texts (doc_id, t) that hold them: broadcast in blocks of at most ``most`` quotes."""
-    blocks = max(1, -(-quotes.count() // most))
-    out = None
-    for i in range(blocks):
-        q = quotes if blocks == 1 else quotes.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
-        found = docs.join(F.broadcast(q), F.contains(docs["t"], q["q"]))
-        out = found if out is None else out.unionByName(found)
+#: Words of an anchor, which must be whole words of a text that holds the quote, so the quote's own first and last word don't count.
+ANCHOR = 3
+
+
+def runs(words: Column) -> Column:
+    """Hashes of all runs of ANCHOR words; ``words`` must be a plain column."""
+    n = F.greatest(F.size(words) - (ANCHOR - 1), F.lit(0))
+    return F.transform(F.arrays_zip(*[F.slice(words, i + 1, n).alias(f"w{i}") for i in range(ANCHOR)]), lambda r: F.xxhash64(*[r[f"w{i}"] for i in range(ANCHOR)]))
+
+
+def grounded(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs of quotes (item_id, q) and texts (doc_id, t) that hold them, both of words with single spaces.
+
+    A quote's least run hash is its anchor; texts give their distinct run hashes, so quotes and texts meet by an equi-join,
+    and only what meets is compared. Quotes too short for an anchor are searched for in a pass of their own.
+    """
+    q = quotes.select("item_id", "q", F.split("q", " ").alias("w"))
+    q = q.select("item_id", "q", F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))).alias("w")).select("item_id", "q", F.array_min(runs(F.col("w"))).alias("anchor"))
+    q = cut(q)
+    n = {r["short"]: r["n"] for r in q.groupBy(F.col("anchor").isNull().alias("short")).agg(F.count("*").alias("n")).collect()}  # two rows
+    sized = lambda df, rows: F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    d = docs.select("doc_id", F.split("t", " ").alias("w")).select("doc_id", F.explode(F.array_distinct(runs(F.col("w")))).alias("anchor"))
+    met = d.join(sized(q.filter("anchor is not null"), n.get(False, 0)), "anchor").select("doc_id", "item_id", "q")
+    out = docs.join(met, "doc_id").filter(F.contains("t", F.col("q"))).select("item_id", "doc_id")
+    if n.get(True):
+        out = out.unionByName(docs.join(sized(q.filter("anchor is null").select("item_id", "q"), n[True]), F.contains("t", F.col("q"))).select("item_id", "doc_id"))
     return out
+
+
+@query("parse_qa_v2", rf"WITH p AS (SELECT item_id, regexp_replace(unnest(string_split({_QS}, '<<<QA>>>')), '^\s+|\s+$', '', 'g') AS p, generate_subscripts(string_split({_QS}, '<<<QA>>>'), 1) - 1 AS ix FROM benchmark), q AS (SELECT item_id, ix, regexp_replace(regexp_extract(p, '(?s)Q:\s*(.+?)\n+A:\s*(.+)', 1), '^\s+|\s+$', '', 'g') AS q, regexp_replace(regexp_extract(p, '(?s)Q:\s*(.+?)\n+A:\s*(.+)', 2), '^\s+|\s+$', '', 'g') AS a FROM p) SELECT item_id, ix::INT AS ix, q, a FROM q WHERE length(q) > 10 AND length(a) > 15")
+def _qa2(t):
+    return parse_qa_v2(t("benchmark").select("item_id", F.expr(_QA.replace("STR", "STRING")).alias("t")), "t").select("item_id", "ix", "q", "a")
+
+
+def answers(df: DataFrame, text: str) -> DataFrame:
+    """One row a question of a JSON reply {questions: [...]}, with its kind: text, yes_no or invalid.
+
+    A question counts if it and its quote are there; its answer must be a non-empty text or, for yes-no questions, true or
+    false as such, not as text. Replies that don't parse have no questions.
+    """
+    keep, field = [c for c in df.columns if c != text], lambda k: F.get_json_object("x", f"$.{k}")
+    x = df.select(*keep, F.posexplode(F.from_json(F.get_json_object(F.col(text), "$.questions"), "array<string>")).alias("ix", "x"))
+    x = x.select("*", X.strip(field("question")).alias("question"), X.strip(field("quote")).alias("quote"), field("answer").alias("answer"), F.regexp_extract("x", r'"answer"\s*:\s*(true|false)\b', 1).alias("bare"))
+    shaped = (F.coalesce("question", F.lit("")) != "") & (F.coalesce("quote", F.lit("")) != "")
+    kind = F.when(shaped & (F.col("bare") != ""), "yes_no").when(shaped & (F.coalesce("answer", F.lit("")) != ""), "text").otherwise("invalid")
+    return x.select(*keep, "ix", "question", "answer", kind.alias("kind"))
+
+
+_AN = """concat('{"questions": [{"question": "Is it ', cast(item_id AS STRING), '?", "answer": true, "quote": "so"}, {"question": "Who?", "answer": "Ann", "quote": "Ann said"}, {"question": "What?", "answer": "", "quote": "q"}, {"question": null, "answer": false, "quote": "q"}, {"question": "Why?", "answer": "because"}]}')"""
+
+
+@query("answer_shape", "SELECT item_id, k.ix::INT AS ix, CASE k.ix WHEN 0 THEN 'Is it ' || item_id || '?' WHEN 1 THEN 'Who?' WHEN 2 THEN 'What?' WHEN 4 THEN 'Why?' END AS question, ['yes_no', 'text', 'invalid', 'invalid', 'invalid'][k.ix + 1] AS kind FROM benchmark, (SELECT unnest(range(0, 5)) AS ix) k")
+def _answers(t):
+    return answers(t("benchmark").select("item_id", F.expr(_AN).alias("t")), "t").select("item_id", "ix", "question", "kind")

@@ -55,7 +55,7 @@ def _clean(t):
 
 @query("stream_hourly", "SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def _hourly(t):
-    """An extra: tumbling windows under a watermark, in append mode with a closing row far in the future."""
+    """An extra: tumbling windows under a watermark; what is still open comes from a batch."""
     e = t("events").select("event_id", "ts", "event_type", "value")
     path = _folder(e)
     e.write.parquet(path + "/in")

@@ -41,9 +41,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or the context's own; set only where neither is (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or the context's own; one of this machine where neither is set and the master is local, as in tests."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = tempfile.mkdtemp(prefix="siltworks-")
         spark.conf.set("spark.checkpoint.dir", known)
     if not spark.sparkContext.getCheckpointDir():
@@ -79,6 +81,12 @@ def release(spark: SparkSession) -> int:
     return n
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where the scan has fewer tasks than these; a table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def same(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]) -> Column:
     return reduce(lambda a, b: a & b, (left[a].eqNullSafe(right[b]) for a, b in keys))
 

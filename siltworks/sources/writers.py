@@ -5,6 +5,10 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: The folder of rows without a value.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
@@ -18,28 +22,37 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def append_new(df: DataFrame, path: str, key: list[str]) -> DataFrame:
+def append_new(df: DataFrame, path: str, key: list[str], order: list[str] | None = None) -> DataFrame:
     """Appends the rows whose key isn't in the table at ``path`` and returns the whole table.
 
-    The table read is the state before the write, so a run that was broken off resumes where it stopped.
+    Of rows that share a key the first by ``order`` (all columns unless given) is taken. The table read is the state before
+    the write, so a run that was broken off resumes where it stopped.
     """
     spark = df.sparkSession
-    new = df.dropDuplicates(key)
+    new = df.groupBy(*key).agg(F.min_by(F.struct(*df.columns), F.struct(*(order or df.columns))).alias("__row")).select("__row.*")
     if exists(spark, path):
-        new = new.join(spark.read.schema(df.schema).parquet(path).select(*key), key, "left_anti")
+        new = new.join(spark.read.schema(df.schema).parquet(path).select(*key), key, "left_anti").select(*df.columns)
     new.write.mode("append").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folders(spark: SparkSession, path: str, by: str) -> list[str]:
+    """Values of the partition folders of ``by`` below ``path``, by a listing alone."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p) if s.isDirectory()]
+    unescape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    return [unescape(n.partition("=")[2]) for n in names if n.startswith(f"{by}=")]
+
+
 def write_shards(df: DataFrame, path: str, by: str = "month", redo: bool = False) -> None:
     """One folder a month; months that are there stay untouched unless ``redo``, which overwrites just those written."""
     spark = df.sparkSession
     if redo:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).json(path)
         return
-    if exists(spark, path):
-        done = spark.read.json(path).select(by).distinct()
-        df = df.join(done.withColumn(by, done[by].cast(df.schema[by].dataType)), by, "left_anti")
+    if exists(spark, path) and (done := folders(spark, path, by)):
+        df = df.filter(~F.coalesce(F.col(by).cast("string"), F.lit(NO_VALUE)).isin(done))
     df.write.mode("append").partitionBy(by).json(path)
 
 

@@ -38,10 +38,15 @@ def windowed(events: DataFrame, every: str = "1 hour", late: str = "10 minutes")
 
 
 def hourly(spark: SparkSession, source: str, schema: StructType, path: str) -> DataFrame:
-    """Append mode emits a window once the watermark has passed it: availableNow ends with a batch that emits what is left open only after a later row."""
-    s = spark.readStream.schema(schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = run_to_end(windowed(s), path)
-    mark = spark.createDataFrame([("9999",)], "x string").select(F.lit(-1).cast("long").alias("event_id"), F.lit("2999-01-01").cast("timestamp_ntz").alias("ts"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
-    mark.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.mode("append").parquet(source)
-    out = run_to_end(windowed(s), path)
-    return out.filter("event_type <> 'end'").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """All windows so far: those the watermark has closed, as the stream wrote them, and those still open, as they stand.
+
+    Append mode emits a window once the watermark has passed it, and emitted windows start before all open ones; so the open
+    ones are a batch aggregate of the rows after the last emitted window, and nothing is written to the source.
+    """
+    read = lambda df: df.withColumn("ts", F.col("ts").cast("timestamp"))
+    out = run_to_end(windowed(read(spark.readStream.schema(schema).parquet(source))), path)
+    closed = out.agg(F.max("start").alias("m")).first()["m"]
+    rows = read(spark.read.schema(schema).parquet(source))
+    if closed is not None:
+        rows = rows.filter(F.col("ts") >= F.lit(closed) + F.expr("interval 1 hour"))
+    return out.unionByName(windowed(rows)).withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -5,9 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siltworks.operators.budget import budget_trim, cap_per_group, capped_pick
+from siltworks.operators.budget import budget_trim, by_id, cap_per_group, capped_pick, ranked
 from siltworks.operators.assembly import pack_stream
-from siltworks.operators.dedup import first_by, greedy_priority
+from siltworks.operators.dedup import dedup_then_cap, first_by, greedy_priority
+from siltworks.operators.evaluation import sign_p
 from siltworks.operators.parsing import parse_qa, split_docs
 from siltworks.plans.prefix import hashed, prefix_sum
 from siltworks.plans.shared import join_checked, release, stored
@@ -114,3 +115,72 @@ def test_stored_tables_can_be_released(spark):
     t = stored(spark.range(5))
     assert t.count() == 5
     assert release(spark) >= 1 and release(spark) == 0
+
+
+def replay(rows, cap):
+    seen, per, kept = set(), {}, set()
+    for i, k, g, b in sorted(rows):
+        if k in seen:
+            continue
+        if b:
+            if per.get(g, 0) >= cap:
+                continue
+            per[g] = per.get(g, 0) + 1
+        seen.add(k)
+        kept.add(i)
+    return kept
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_dedup_then_cap_replays_the_loop(spark, seed):
+    r = random.Random(seed)
+    rows = [(i, f"k{r.randrange(60)}", r.choice(["d0", "d1", "d2", None]), r.random() < 0.8) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, k string, g string, b boolean")
+    got = dedup_then_cap(df, ["id"], "k", "g", F.col("b"), 5)
+    assert {x["id"] for x in got.filter("stays").collect()} == replay(rows, 5) and got.count() == len(rows)
+
+
+def test_a_capped_row_uses_up_no_key(spark):
+    rows = [(1, "a", "d", True), (2, "b", "d", True), (3, "b", "e", True), (4, "a", "e", False)]
+    df = spark.createDataFrame(rows, "id long, k string, g string, b boolean")
+    assert {x["id"] for x in dedup_then_cap(df, ["id"], "k", "g", F.col("b"), 1).filter("stays").collect()} == {1, 3}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_capped_pick_replays_the_loop(seed):
+    import pandas as pd
+
+    r = random.Random(seed)
+    rows = [(r.choice(["", "t1", "t2", "t3", f"u{i}"]), f"d{r.randrange(4)}") for i in range(60)]
+    want, per, titles = [], {}, set()
+    for i, (t, d) in enumerate(rows):
+        if len(want) < 9 and per.get(d, 0) < 3 and not (t and t in titles):
+            want.append(i)
+            per[d] = per.get(d, 0) + 1
+            titles.add(t)
+    assert list(capped_pick(pd.DataFrame(rows, columns=["title", "domain"]), 9, 3).index) == want
+
+
+def test_exempt_rows_do_not_count(spark):
+    df = spark.createDataFrame([(i, "g" if i % 4 else "h", None if i == 3 else i % 3 == 0) for i in range(24)], "i int, g string, e boolean")
+    got = {x["i"] for x in cap_per_group(df, ["g"], ["i"], 2, F.col("e")).collect()}
+    assert got == {i for i in range(24) if i != 3 and i % 3 == 0} | {1, 2} | {4, 8}
+
+
+def test_groups_are_ranked_over_buckets(spark):
+    df = spark.range(0, 400_000, 1000).select("id", (F.col("id") % 3000 == 0).alias("g"))
+    seen = {}
+    for x in sorted(ranked(df, ["g"], ["id"], by_id("id")).collect()):
+        assert x["rank"] == seen.get(x["g"], 0) + 1
+        seen[x["g"]] = x["rank"]
+
+
+def test_signs_of_many_pairs(spark):
+    import math
+
+    pairs = [(0, 0), (1, 0), (3, 9), (60, 27), (600, 600), (700, 500), (5000, 5200), (0, 2000)]
+    exact = lambda w, n: 1.0 if w + n == 0 else min(1.0, 2 * sum(math.comb(w + n, i) for i in range(min(w, n) + 1)) / 2 ** (w + n))
+    got = {(x["w"], x["l"]): x["p"] for x in spark.createDataFrame(pairs, "w long, l long").select("w", "l", sign_p(F.col("w"), F.col("l")).alias("p")).collect()}
+    for w, n in pairs:
+        assert got[w, n] == pytest.approx(exact(w, n), rel=1e-8, abs=1e-300)
+

@@ -27,3 +27,10 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_hash_route(spark):
+    import zlib
+
+    for r in QUERIES["hash_route"](spark, SF).collect():
+        assert r["model"] == zlib.crc32(f"call-{r['doc_id']}".encode()) % 3

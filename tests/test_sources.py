@@ -1,13 +1,15 @@
 """Sources, sinks, streams and the model boundary."""
 
+import datetime
 import gzip
 
 import pytest
 from pyspark.sql import functions as F
 
-from siltworks.operators.boundary import ai_map, refuse_above
+from siltworks.operators.boundary import JobTable, ai_map, refuse_above
+from siltworks.plans.shared import shared_dir
 from siltworks.sources import readers, writers
-from siltworks.streaming.jobs import clean, first_seen
+from siltworks.streaming.jobs import clean, first_seen, hourly
 
 
 def test_jsonl(spark, tmp_path):
@@ -32,16 +34,18 @@ def test_atom(spark, tmp_path):
     assert [(r["title"], r["s"]) for r in rows][0] == ("A", "x y z") and len(rows) == 2
 
 
-def test_warc(spark, tmp_path):
+@pytest.mark.parametrize("packed", [True, False])
+def test_warc(spark, tmp_path, packed):
     def record(kind, uri, body):
         head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {uri}\r\nWARC-Date: 2026-01-02T00:00:00Z\r\nContent-Length: {len(body)}\r\n\r\n"
         return head.encode() + body + b"\r\n\r\n"
 
-    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>WARC/1.0 in a body \xc3\xa9</p>"
-    blob = record("warcinfo", "", b"x") + record("response", "http://a/1", page) + record("response", "http://a/2", page)
-    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(blob))
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>WARC/1.0 in a body \xc3\xa9</p>\r\n\r\n<p>more</p>"
+    parts = [record("warcinfo", "", b"x"), record("response", "http://a/1", page), record("response", "http://a/2", page), record("request", "http://a/3", page), record("response", "http://a/4", b"bare")]
+    (tmp_path / f"x.warc{'.gz' if packed else ''}").write_bytes(b"".join(map(gzip.compress, parts)) if packed else b"".join(parts))
     rows = readers.read_warc(spark, str(tmp_path)).orderBy("url").collect()
-    assert [(r["url"], r["date"], r["html"]) for r in rows] == [(f"http://a/{i}", "2026-01-02", "<p>WARC/1.0 in a body é</p>") for i in (1, 2)]
+    html = "<p>WARC/1.0 in a body é</p>\r\n\r\n<p>more</p>"
+    assert [(r["url"], r["date"], r["html"]) for r in rows] == [("http://a/1", "2026-01-02", html), ("http://a/2", "2026-01-02", html), ("http://a/4", "2026-01-02", "bare")]
 
 
 def test_paths(spark, tmp_path):
@@ -58,6 +62,12 @@ def test_shards_and_appends(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.json(str(tmp_path / "s")).collect()) == [1, 4, 9]
     assert writers.append_new(df, str(tmp_path / "a"), ["id"]).count() == 2
     assert writers.append_new(df, str(tmp_path / "a"), ["id"]).count() == 2
+    nothing = spark.createDataFrame([(7, None), (8, "2026-03")], "id int, month string")
+    writers.write_shards(nothing, str(tmp_path / "s"))
+    writers.write_shards(nothing, str(tmp_path / "s"))
+    assert sorted(r["id"] for r in spark.read.json(str(tmp_path / "s")).collect()) == [1, 4, 7, 9]
+    twice = spark.createDataFrame([(5, "b"), (5, "a"), (6, "z"), (1, "no")], "id int, month string")
+    assert sorted(map(tuple, writers.append_new(twice, str(tmp_path / "a"), ["id"], ["month"]).filter("id > 4").collect())) == [(5, "a"), (6, "z")]
     assert '"n": 2' in writers.report(df.agg(F.count("*").alias("n")))
 
 
@@ -91,3 +101,47 @@ def test_first_seen(spark, tmp_path):
     q = first_seen(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "k", "ts").writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("seen").count() == 2
+
+
+def test_hourly_windows_go_on_after_a_run(spark, tmp_path):
+    schema = "event_id long, ts timestamp_ntz, event_type string, value double"
+    at = lambda h, m: datetime.datetime(2026, 1, 1, h, m)
+    first = [(1, at(0, 5), "a", 1.0), (2, at(0, 50), "a", 2.0), (3, at(2, 10), "b", 4.0), (4, at(2, 20), "a", 1.5)]
+    later = [(5, at(2, 30), "b", 1.0), (6, at(5, 0), "a", 8.0)]
+    source, seen = str(tmp_path / "in"), []
+    for new in (first, later, [], [(7, at(9, 0), "c", 1.0)]):
+        df = spark.createDataFrame(new, schema)
+        if new:
+            df.coalesce(1).write.mode("append").parquet(source)
+        seen += new
+        want = {}
+        for _, ts, kind, v in seen:
+            n, total = want.get((ts.hour, kind), (0, 0.0))
+            want[ts.hour, kind] = (n + 1, total + v)
+        got = hourly(spark, source, df.schema, str(tmp_path / "state")).collect()
+        assert {(x["start"].hour, x["event_type"]): (x["n"], x["total"]) for x in got} == want and len(got) == len(want)
+        assert spark.read.parquet(source).count() == len(seen)
+
+
+def test_jobs_are_adopted_once(spark, tmp_path):
+    table = lambda: JobTable(spark, str(tmp_path / "jobs"))
+    batches = spark.createDataFrame([("x", 0), ("y", 0)], "batch_id string, round int")
+    results = spark.createDataFrame([("x", 3, 100), ("y", 1, 50), ("other", 9, 900)], "batch_id string, docs long, tokens long")
+    assert table().next_round(120) == 0
+    table().submit(batches)
+    table().submit(batches)
+    assert table().log().count() == 2 and table().next_round(120) is None
+    table().harvest(results.filter("batch_id <> 'y'"))
+    assert [x["batch_id"] for x in table().pending().collect()] == ["y"]  # what the next run adopts
+    table().harvest(results)
+    table().harvest(results)
+    assert table().log().count() == 4 and table().next_round(120) is None and table().next_round(151) == 1
+    assert sorted((x["batch_id"], x["state"], x["docs"]) for x in table().states().collect()) == [("x", "done", 3), ("y", "done", 1)]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    nowhere = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(nowhere)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from siltworks.functions import patterns as P
 from siltworks.functions import text as X
+from siltworks.operators.collect import death_entry, preamble_strip
+from siltworks.operators.parsing import grounded
 
 
 def one(spark, value, fn):
@@ -71,3 +73,36 @@ def test_pages_keep_articles_and_lose_scripts(spark):
         assert "track(" not in r["t"] and "margin:0" not in r["t"]
         words = re.findall(r"\w{4,}", re.sub(r"<[^>]+>", " ", (re.findall(r"(?s)<article>.*?<p>(.*?)</p>", r["html"]) or [""])[0].split("&")[0]))
         assert all(w in r["t"] for w in words[:5])
+
+
+def test_preambles_are_whole_lines(spark):
+    cases = {
+        "Surely the price rose.": "Surely the price rose.",
+        "Sure, I can write that.\nBody": "Body",
+        "Here is an article about rain:\n\nBody": "Body",
+        "Here's one:\nBody": "Here's one:\nBody",
+        " Certainly!\n```text\nDocument:\nBody\n```": "Body",
+        "**Document**:\nSure thing": "Sure thing",
+        "Body\nSure thing\nmore ```": "Body\nSure thing\nmore",
+        "Certainly, the end": "Certainly, the end",
+        "": "",
+    }
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "t string, want string")
+    for x in df.select("t", "want", preamble_strip(F.col("t")).alias("got")).collect():
+        assert x["got"] == x["want"], x["t"]
+
+
+def test_death_entries(spark):
+    lines = ["*[[Ann Lee]], 90, Welsh [[poet|writer]].<ref>x</ref>", "* [[Bo|Bo B.]] 71, {{x}}''painter''", "no entry", "==1=="]
+    name, rest = death_entry(F.col("t"))
+    got = [(x["n"], x["r"]) for x in spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string").select("i", name.alias("n"), rest.alias("r")).orderBy("i").collect()]
+    assert got == [("Ann Lee", "90, Welsh writer"), ("Bo", "71, painter"), (None, None), (None, None)]
+
+
+def test_quotes_need_whole_words_only_inside(spark):
+    quotes = ["cat sat on the mat tod", "he fat cat sat on", "sat on", "cat sat on the rug", "", "x"]
+    texts = ["a fat cat sat on the mat today", "the fat cat sat on", "nothing"]
+    q = spark.createDataFrame([(i, t) for i, t in enumerate(quotes) if t], "item_id int, q string")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, t string")
+    want = {(i, j) for i, a in enumerate(quotes) for j, b in enumerate(texts) if a and a in b}
+    assert {(x["item_id"], x["doc_id"]) for x in grounded(q, d).collect()} == want and len(want) == 4
