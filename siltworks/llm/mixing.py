@@ -5,7 +5,7 @@ each document is emitted floor(rate) times plus one hash-seeded Bernoulli copy w
 fraction, rate being target / source size.
 
 Defined results: null or blank text has size 0 and rate as its source; a null source is a source of its own, last
-in order; repeated doc_ids draw alike; a source of size 0 has target 0 and rate 0; empty tables give empty results;
+in order; repeated doc_ids draw alike, null ones by their texts; a source of size 0 has target 0 and rate 0; empty tables give empty results;
 further columns, whatever their names, pass through ``mix`` untouched.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import cut, join_checked
-from .words import word_count
+from .words import free, word_count
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, "mix-1"
 
@@ -44,9 +44,10 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return per.select("__mix_src", "__mix_source_size", F.when(F.col("__mix_capped"), F.col("__mix_c").cast("double")).otherwise(share).alias("__mix_target"))
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """An even number in [0, 1) of 52 bits that depends on the id and the seed alone."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
+def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """An even number in [0, 1) of 52 bits that depends on the seed and the id alone, or on the text where there is no id."""
+    own = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), own)), 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
@@ -54,11 +55,13 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     per = cut(source_targets(docs.select(F.col(source_col).alias("__mix_src"), word_count(F.col(text_col)).alias("__mix_size")), weights, cap))
     out = join_checked(docs.withColumn("__mix_size", word_count(F.col(text_col))), per, [(source_col, "__mix_src")], F.struct(F.col(id_col), F.col("__mix_size")))
     rate = F.coalesce(F.col("__mix_target") / F.nullif(F.col("__mix_source_size"), F.lit(0)).cast("double"), F.lit(0.0))
-    copies = F.floor(rate) + F.when(draw(F.col(id_col), seed) < rate - F.floor(rate), 1).otherwise(0)
+    copies = F.floor(rate) + F.when(draw(F.col(id_col), F.col(text_col), seed) < rate - F.floor(rate), 1).otherwise(0)
     return out.withColumn("__mix_copies", copies.cast("long"))
 
 
 def mix(docs: DataFrame, **kw) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs`` alone."""
-    chosen = plan(docs, **kw)
-    return chosen.filter("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).select(*[chosen[c] for c in docs.columns])
+    away = {c: free(docs.columns, f"kept{i}")[0] for i, c in enumerate(docs.columns) if c.lower().startswith("__mix_")}
+    chosen = plan(docs.withColumnsRenamed(away), **kw)
+    out = chosen.filter("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies"))))
+    return out.select(*[chosen[away.get(c, c)].alias(c) for c in docs.columns])

@@ -102,7 +102,7 @@ FROM h GROUP BY conv_id
 """
 
 _OP3 = rf"""
-WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, text, len({_WORDS})::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS sz, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),
 w AS (SELECT *, CASE (r - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 3 * sz AS c FROM s),
 o AS (
@@ -114,7 +114,7 @@ u AS (SELECT *, coalesce(sum(c) FILTER (capped) OVER (), 0) AS uc, coalesce(sum(
 g AS (SELECT source, sz, CASE WHEN capped THEN c::DOUBLE ELSE (w * (al - uc))::DOUBLE / nullif(aw - uw, 0)::DOUBLE END AS target FROM u),
 x AS (
   SELECT doc_id, size, sz AS source_size, target, coalesce(target / nullif(sz, 0)::DOUBLE, 0) AS rate,
-    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS draw
+    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS draw
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
 )
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM x

@@ -6,7 +6,8 @@ sequences without a pair that merges are done, and their surviving symbols are c
 sorted array of pair keys. Counts of pre-tokens already seen are kept per Python worker, up to KEPT of them.
 
 Defined results: null or empty text counts 0 tokens; special strings inside a text count as the one token that the
-tokenizer's library makes of them; texts of any length are counted whole, in pieces of bounded memory.
+tokenizer's library makes of them; texts of any length are counted whole, in pieces of bounded memory; a vocabulary file
+with another split, a normaliser or further rules is refused, not miscounted.
 """
 
 from __future__ import annotations
@@ -37,12 +38,26 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def unsupported(spec: dict) -> str:
+    """What in a tokenizer's file would be counted otherwise than its library does; empty if nothing."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    wanted = {
+        "normalizer": spec.get("normalizer") is None, "model.type": model.get("type", "BPE") == "BPE",
+        "pre_tokenizer": pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True),
+        **{f"model.{k}": not model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")},
+        "added_tokens": not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")),
+    }
+    return ", ".join(k for k, fits in wanted.items() if not fits)
+
+
 class RankMerger:
     """Vocabulary as arrays: ids of single bytes, sorted pair keys, their ranks and merged ids."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if wrong := unsupported(spec):
+            raise ValueError(f"not a plain byte-level BPE file: {wrong}")
         model, chars = spec["model"], byte_symbols()
         vocab = model["vocab"]
         self.n = max(vocab.values()) + 1

@@ -206,6 +206,12 @@ def test_mix_edges(spark):
     assert p.count() == len(ODD)
     assert sorted(map(tuple, p.select("doc_id", "__mix_copies").collect())) == sorted(map(tuple, mixing.plan(d.repartition(3)).select("doc_id", "__mix_copies").collect()))
     assert mixing.mix(docs(spark, [])).count() == 0
+    clash = d.withColumns({c: F.lit("c") for c in ("__mix_size", "__mix_copies", "__MIX_target", "kept0")})
+    assert mixing.mix(clash).columns == clash.columns and mixing.mix(clash).count() == out.count()
+    assert mixing.mix(clash).filter("`__mix_size` <> 'c' or kept0 <> 'c'").count() == 0
+    nameless = docs(spark, [f"a b c d {i}" for i in range(300)] + ["p q r"] * 40).withColumn("doc_id", F.lit(None).cast("long"))
+    share = mixing.plan(nameless.withColumn("source", F.when(F.length("text") > 5, "big").otherwise("small"))).groupBy("source").agg((F.sum(F.col("__mix_size") * F.col("__mix_copies")) / F.max("__mix_target")).alias("x")).collect()
+    assert all(0.8 < r["x"] < 1.2 for r in share if r["source"] == "big")  # null ids draw by their texts, not as one
     assert mixing.plan(docs(spark, [None, ""])).agg(F.sum("__mix_copies")).first()[0] == 0
 
 
@@ -455,6 +461,26 @@ def test_tokens_equal_the_library(spark):
     assert [x["n_bytes"] for x in got[1:]] == [len(x.encode()) for x in texts]
 
 
+def test_long_texts_are_counted_in_slices(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    r = random.Random(22)
+    texts = ["".join(r.choice(["word ", "it's ", "\n\n", "  ", "é", "12", "<|endoftext|>", "x" * 50]) for _ in range(4000)), "a", None]
+    want = [len(t.encode(x or "", add_special_tokens=False).ids) for x in texts]
+    monkeypatch.setattr(tokens, "SLICE", 700)
+    monkeypatch.setattr(tokens, "KEPT", 50)
+    monkeypatch.setattr(tokens, "BATCH_CHARS", 900)
+    assert tokens.Counter(tokens.RankMerger(P.path("byte_bpe_50k.json"))).texts(texts) == want
+
+
+def test_other_tokenizer_files_are_refused():
+    P = pytest.importorskip("public_tokenizers")
+    with pytest.raises(ValueError, match="normalizer, pre_tokenizer"):
+        tokens.RankMerger(P.path("word_bpe_49k.json"))
+
+
 # ---- 7 quality ---------------------------------------------------------------------------------------
 def test_quality_edges(spark):
     got = quality.judge(docs(spark, ODD)).orderBy("doc_id").collect()
@@ -463,6 +489,53 @@ def test_quality_edges(spark):
     assert quality.judge(docs(spark, [])).count() == 0
 
 
+def judged(rows):
+    """The whole operator by plain loops: measures, sketches by group, fences, verdicts."""
+    measures = []
+    for _, text, lang, source in rows:
+        text = text or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        grams = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        repeat = len({i + j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in range(3)})
+        chars, symbols, dups = sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines))
+        failed = len(w) < 50 or 100 * repeat > 50 * len(w)
+        m = {"q_sym": 10000 * symbols // max(chars, 1), "q_dup": 10000 * max(dups - quality.DUPS, 0) // max(len(lines), 1), "q_rep": 10000 * max(repeat - quality.REPEATS, 0) // max(len(w), 1), "q_len": 100 * chars // max(len(w), 1)}
+        measures.append((lang, source, failed, m, (len(w), chars, symbols, dups, repeat)))
+    floor6 = lambda v: (v >> max(v.bit_length() - 6, 0)) << max(v.bit_length() - 6, 0) if v else 0
+    out = []
+    for lang, source, failed, m, own in measures:
+        fine = not failed
+        if fine:
+            for k, (up, low) in quality.SLACK.items():
+                good = [x for x in measures if not x[2]]
+                group = [x for x in good if x[:2] == (lang, source)]
+                group = group if len(group) >= quality.MIN_GROUP else [x for x in good if x[0] == lang]
+                group = group if len(group) >= quality.MIN_GROUP else good
+                v = sorted(floor6(x[3][k]) for x in group)
+                q1, q3 = v[-(-len(v) // 4) - 1], v[-(-3 * len(v) // 4) - 1]
+                slack = max(3 * (q3 - q1), up)
+                fine = fine and m[k] <= q3 + slack and (low is None or m[k] >= q1 - slack)
+        out.append((*own, failed, fine))
+    return out
+
+
+def test_quality_equals_plain_loops(spark):
+    r = random.Random(14)
+    rows = []
+    for i in range(260):
+        word = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+        w = [word(r.randrange(2, 9)) for _ in range(r.choice((20, 60, 90, 200)))]
+        w += [r.choice(["###", "<b>", "$%"]) for _ in range(r.choice((0, 0, 0, 2, 30, 80)))]
+        w += w[: r.choice((0, 0, 5, 40, 200))]
+        text = "".join(x + r.choice([" ", " ", " ", "\n", "\t "]) for x in w) + "\nsame line" * r.choice((0, 0, 3, 30))
+        rows.append((i, None if i % 50 == 7 else text, r.choice(["en", "en", "de", None]), r.choice(["s0", "s1", None])))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit("x") for c in ("q_words", "kept", "m", "b", "g_n", "t_lang", "base_failed")})
+    got = [tuple(x)[3:] for x in quality.judge(df).orderBy("doc_id").collect()]
+    want = judged(rows)
+    assert got == want and 20 < sum(x[-1] for x in want) < 250 and any(not x[-2] and not x[-1] for x in want)
+
+
 def test_quality_keeps_clean_and_drops_junk(spark):
     r = random.Random(4)
     clean = [" ".join("".join(r.choice("etaoinshr") for _ in range(r.randrange(2, 9))) for _ in range(r.randrange(60, 300))) for _ in range(120)]
@@ -661,10 +734,40 @@ def test_pipeline(spark):
 
 
 def test_pipeline_edges(spark):
+    """Nulls in every column, empties, a long text, repeats, ties, near copies under one id and clashing columns, stage by stage."""
     import corpus_pipeline as P
 
-    for texts in ([], ODD):
-        df = docs(spark, texts, bool(texts))
-        for _, stage in P.STAGES:
-            df = stage(spark, df, SF)
-            df.count()
+    r = random.Random(50)
+    d = spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en' and length(text) between 400 and 900")
+    clean = [x["text"] for x in d.orderBy("doc_id").limit(12).collect()]
+    items = [x["text"] for x in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect()]
+    clean = [t for t in clean if not any(len(shingle_set(i, 5) & shingle_set(t, 5)) >= 0.8 * len(shingle_set(i, 5)) for i in items)]
+    long = " ".join(r.choice(" ".join(clean).split()) for _ in range(30_000))
+    rows = [(100 + i, t, "en", "s") for i, t in enumerate(clean)]
+    rows += [(1, None, None, None), (2, "", "en", "s"), (3, " \n\t", "en", None), (4, "12 34 !!", "en", "s"), (5, long, "en", "s"), (None, clean[0], None, None), (100, clean[0], "en", "s"), (100, clean[1], "en", "s"), (6, "漢字" * 200, "en", "s")]
+    rows += [(200, clean[2] + " one more word", "en", "s"), (300, f"A letter of its own begins here and then goes on so: {items[0]}", "en", "s"), (301, "Please write to Mrs Anna Lindt at anna@lindt.org about the matter and tell her that the letter of last week has reached us all.", "en", "s")]
+    names = ("w", "x", "s", "row", "items", "lid_pred", "lid_odd", "pii_n", "__lid_pred", "__pii_n", "__dc_text", "__mix_size", "rep", "first", "stays", "target")
+    learn = [(10_000 + i, t, "en", "s") for i, t in enumerate(x["text"] for x in d.limit(40).collect())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long")).withColumns({c: F.lit(c) for c in names})
+    known = lambda x: sorted((r["doc_id"] for r in x.select("doc_id").collect() if r["doc_id"] is None or r["doc_id"] < 10_000), key=str)
+    more = spark.createDataFrame(learn, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.lit(1).cast("long")).withColumns({c: F.lit(c) for c in names})
+    stages = [df.unionByName(more)]
+    for name, stage in P.STAGES:
+        stages.append(stage(spark, stages[-1], SF).cache())
+        assert stages[-1].columns == df.columns, name
+        assert stages[-1].filter(" or ".join(f"`{c}` <> '{c}'" for c in names)).count() == 0, name
+    ids = [known(x) for x in stages]
+    assert ids[1] == sorted((x[0] for x in rows if x[0] not in (1, 2, 3, 4, 6)), key=str)
+    into = [(x["doc_id"], x["text"]) for x in stages[1].collect()]
+    comp = components_of([shingle_set(t, 5) for _, t in into], 80)
+    least = {c: min(i for (i, _), o in zip(into, comp, strict=True) if o == c and i is not None) for c in set(comp)}
+    want = sorted([i for i in least.values() if i < 10_000] + [i for i, _ in into if i is None], key=str)
+    assert ids[2] == want and want.count(100) == 2 and not {101, 200} & set(want)  # two texts under 100 lead a group each
+    assert ids[3] == [i for i in want if i != 300] and 300 in want and ids[4] == ids[3]
+    text = {x["doc_id"]: x["text"] for x in stages[4].collect()}
+    assert "Lindt" not in text[301] and "anna@" not in text[301] and len(text[5]) > 100_000
+    assert set(ids[5]) <= set(ids[4])
+    empty = df.limit(0)
+    for _, stage in P.STAGES:
+        empty = stage(spark, empty, SF)
+        assert empty.count() == 0 and empty.columns == df.columns
