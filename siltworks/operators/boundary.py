@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import time
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.catalog import query
-from ..plans.shared import cut, shared_dir, ship
+from ..plans.shared import cut, scratch, ship
 from ..sources.writers import exists
 
 
@@ -124,7 +123,7 @@ class JobTable:
 def _jobs(t):
     """Two rounds are submitted, one is collected and the run dies; the next adopts what is pending, submits a third round and dies."""
     d = t("documents").filter("source is not null").select(F.concat_ws(":", "source", (F.col("doc_id") % 3).cast("string")).alias("batch_id"), (F.col("doc_id") % 3).cast("int").alias("round"), F.expr("length(text) div 4").alias("tok"))
-    batches, path = d.select("batch_id", "round").distinct(), f"{shared_dir(d.sparkSession).rstrip('/')}/jobs-{uuid.uuid4().hex}"
+    batches, path = d.select("batch_id", "round").distinct(), scratch(d.sparkSession, "jobs")
     results = d.groupBy("batch_id").agg(F.count("*").alias("docs"), F.sum("tok").alias("tokens"))
     first, second = JobTable(d.sparkSession, path), JobTable(d.sparkSession, path)
     first.submit(batches.filter("round < 2"))
@@ -145,7 +144,7 @@ def untried(candidates: DataFrame, key: str, *seen: DataFrame) -> DataFrame:
 def _rejects(t):
     """Two runs over growing candidates: what was too short is logged, and neither it nor what was taken is tried again."""
     d = t("documents").select("doc_id", "text")
-    path = f"{shared_dir(d.sparkSession).rstrip('/')}/sink-{uuid.uuid4().hex}"
+    path = scratch(d.sparkSession, "sink")
     read = lambda part, schema: d.sparkSession.read.schema(schema).parquet(f"{path}/{part}")
     for run, tried in ((1, d.filter("doc_id % 2 = 0")), (2, d)):
         if run > 1:

@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.catalog import query
-from ..plans.prefix import DIGITS, hashed, prefix_sum
+from ..plans.prefix import DIGITS, by_hash, by_id, hashed, prefix_sum, ranked
 from ..plans.shared import ship
 from ..sources.derived import DATED, dated
 from .dedup import priority
 from .filters import preferred
 
 
-#: Ids of a bucket, where ids in order are ranked by prefix sums.
-ID_BUCKET = 65_536
-
-
-def ranked(df: DataFrame, by: list[str], order: list[str], bucket: Column, name: str = "rank") -> DataFrame:
-    """Places from 1 within each group, by exact prefix sums, so that a hot group isn't one task's; ``order`` refines ``bucket``."""
-    return prefix_sum(df.withColumn("__one", F.lit(1)), "", "__one", order, name, by, bucket).withColumn(name, F.col(name) + 1).drop("__one")
-
-
-def by_id(column: str = "doc_id") -> Column:
-    return F.expr(f"{column} div {ID_BUCKET}")
-
-
-def by_hash(column: str = "h") -> Column:
-    return F.substring(column, 1, DIGITS)
-
-
 def cap_per_group(df: DataFrame, by: list[str], order: list, n: int, exempt=None) -> DataFrame:
     """The first n rows of each group; exempt rows always stay and don't count. Each task passes on n rows a group at most."""
     free = None if exempt is None else F.coalesce(exempt, F.lit(False))

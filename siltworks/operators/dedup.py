@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 from ..plans.catalog import query
-from ..plans.shared import cut
+from ..plans.components import components
+from ..plans.shared import cut, ship
 from ..sources.derived import DATED, URL, dated
 
 
@@ -40,16 +41,58 @@ def first_by(df: DataFrame, keys: list[str], order: list, mark: str | None = Non
     return out.drop(*drop).withColumnRenamed("__first", mark) if mark else out.filter("__first").drop(*drop, "__first")
 
 
+#: Rounds after which small groups of conflicting rows are replayed at once, and how many rows such a group may have.
+ROUNDS, AT_ONCE = 5, 50_000
+
+
+def replayed(left: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, o, keys) that stay of small connected groups, each replayed by the plain loop in one task, and the rows of other groups."""
+    links = None
+    for k in keys:
+        some = left.filter(F.col(k) != "").select(F.col("id").alias("a"), F.col(k).alias("k"))
+        own = some.join(some.groupBy("k").agg(F.min("a").alias("b")), "k").select("a", "b")
+        links = own if links is None else links.unionByName(own)
+    comp = components(links).withColumnRenamed("id", "c_id")
+    t = left.join(comp, F.col("id") == F.col("c_id"), "left").withColumn("c", F.coalesce("comp", "id"))
+    t = cut(t.select("id", "o", "c", *keys))
+    few = t.groupBy("c").agg(F.count("*").alias("n")).filter(F.col("n") <= AT_ONCE).select("c")
+    small = t.join(few, "c")
+    parts = [f"o{i}" for i in range(len(left.schema["o"].dataType.fields))]
+    flat = small.select("id", "c", *keys, *[F.col("o")[f.name].alias(p) for f, p in zip(left.schema["o"].dataType.fields, parts, strict=True)])
+
+    def loop(pdf):
+        seen, stays = [set() for _ in keys], []
+        for row in pdf.sort_values(parts, na_position="first").itertuples(index=False):
+            own = [getattr(row, k) for k in keys]
+            if any(k and k in s for k, s in zip(own, seen, strict=True)):
+                continue
+            for k, s in zip(own, seen, strict=True):
+                if k:
+                    s.add(k)
+            stays.append(row.id)
+        return pdf[pdf["id"].isin(stays)][["id"]]
+
+    ship(left.sparkSession)
+    now = flat.groupBy("c").applyInPandas(loop, f"id {left.schema['id'].dataType.simpleString()}")
+    return cut(left.join(now, "id", "left_semi")), cut(t.join(few, "c", "left_anti").select("id", "o", *keys))
+
+
 def greedy_priority(rows: DataFrame, order: list[str], keys: list[str]) -> DataFrame:
     """Exact greedy replay: a row stays iff no earlier row that stays shares one of its non-empty keys.
 
     Each round keeps every undecided row without an earlier undecided conflict, then drops what conflicts with kept rows;
-    rounds are cut by checkpoints. Adds ``stays``.
+    rounds are cut by checkpoints. After ROUNDS of them long chains of conflicts that lie in small groups are replayed at
+    once, so only chains through very large groups take a round a link. Adds ``stays``.
     """
-    n = len(keys)
+    n, done = len(keys), 0
     left = cut(rows.select("id", F.struct(*order).alias("o"), *keys))
     kept = None
     while left.limit(1).count():
+        done += 1
+        if done == ROUNDS:
+            now, left = replayed(left, keys)
+            kept = now if kept is None else kept.unionByName(now)
+            continue
         t = left
         for i, k in enumerate(keys):
             least = left.filter(F.col(k).isNotNull() & (F.col(k) != "")).groupBy(F.col(k).alias(f"__k{i}")).agg(F.min("o").alias(f"__o{i}"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 from ..plans.catalog import query
+from ..plans.prefix import ranked
+from ..plans.shared import cut, join_checked
 from ..sources.derived import DATED, dated
 
 # ---- forecasts: arm x topic x probability --------------------------------------------------------
@@ -208,12 +210,12 @@ def _tally(t):
     return c.crossJoin(F.broadcast(graded)).select("verdict", "n", F.when(F.col("verdict") != "fail", F.round(F.col("n") / F.col("all"), 6)).alias("share"))  # one row
 
 
-@query("verbatim_recall", "WITH r AS (SELECT item_id, split_part(b.text, ' ', 2) AS k, contains(d.text, split_part(b.text, ' ', 2)) AS hit FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 3) SELECT count(*) FILTER (hit)::BIGINT AS recalled, count(*)::BIGINT AS total, coalesce(string_agg(k, ' ' ORDER BY k) FILTER (hit), '') AS hits, coalesce(string_agg(k, ' ' ORDER BY k) FILTER (NOT hit), '') AS misses FROM r")
+@query("verbatim_recall", "WITH r AS (SELECT item_id, split_part(b.text, ' ', 2) AS k, contains(d.text, split_part(b.text, ' ', 2)) AS hit FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 3) SELECT item_id, k, hit, count(*) FILTER (hit) OVER ()::BIGINT AS recalled, count(*) OVER ()::BIGINT AS total FROM r")
 def _recall(t):
-    b = t("benchmark").select((F.col("item_id") * 3).alias("doc_id"), F.split_part("text", F.lit(" "), F.lit(2)).alias("k"))
-    r = b.join(t("documents").select("doc_id", "text"), "doc_id").withColumn("hit", F.contains("text", F.col("k")))
-    words = lambda c: F.array_join(F.sort_array(F.collect_list(F.when(c, F.col("k")))), " ")
-    return r.agg(F.count_if("hit").alias("recalled"), F.count("*").alias("total"), words(F.col("hit")).alias("hits"), words(~F.col("hit")).alias("misses"))
+    """A row a key, so that the lists of hits and misses may be of any length, each with the totals."""
+    b = t("benchmark").select("item_id", (F.col("item_id") * 3).alias("doc_id"), F.split_part("text", F.lit(" "), F.lit(2)).alias("k"))
+    r = b.join(t("documents").select("doc_id", "text"), "doc_id").select("item_id", "k", F.contains("text", F.col("k")).alias("hit"))
+    return r.crossJoin(F.broadcast(r.agg(F.count_if("hit").alias("recalled"), F.count("*").alias("total"))))  # one row
 
 
 @query("mode_gap", "WITH m AS (SELECT source, CASE WHEN doc_id % 2 = 0 THEN 'think' ELSE 'plain' END AS mode, quality AS ok FROM documents JOIN labels USING (doc_id)) SELECT source, round(avg(ok) FILTER (mode = 'think'), 6) AS think, round(avg(ok) FILTER (mode = 'plain'), 6) AS plain, round(avg(ok) FILTER (mode = 'plain') - avg(ok) FILTER (mode = 'think'), 6) AS gap FROM m GROUP BY source")
@@ -265,10 +267,24 @@ def _topics(t):
     return t("documents").groupBy(F.coalesce(F.nullif(s, F.lit("")), F.nullif(k, F.lit("")), F.lit("unknown")).alias("topic")).agg(F.count("*").alias("n"))
 
 
+def medians(df: DataFrame, by: str, value: str, bucket: Column) -> DataFrame:
+    """Per group of non-null values: n, median, upper median (the element at half the count) and the most; exact, by ranks, so that no group is held in memory.
+
+    ``bucket`` is any coarser order of the values, for ranks over many tasks.
+    """
+    v = df.filter(F.col(value).isNotNull()).select(by, F.col(value).alias("v"), bucket.alias("at"))
+    g = cut(v.groupBy(F.col(by).alias("g_by")).agg(F.count("*").alias("n"), F.max("v").alias("most")))
+    r = ranked(v, [by], ["v"], F.col("at"), "r").select(by, "v", "r")
+    low, high = F.expr("(n + 1) div 2"), F.expr("n div 2 + 1")
+    r = join_checked(r, g, [(by, "g_by")], F.col("r")).filter((F.col("r") == low) | (F.col("r") == high))  # two rows a group at most
+    return r.groupBy(by).agg(F.first("n").alias("n"), F.avg("v").alias("median"), F.max("v").alias("upper_median"), F.first("most").alias("most"))
+
+
 @query("median_by_kind", "SELECT label AS kind, round(median(embedding[1]::DOUBLE), 6) AS median, round(percentile_disc(0.5) WITHIN GROUP (ORDER BY embedding[1]::DOUBLE DESC), 6) AS upper_median, round(max(embedding[1]::DOUBLE), 6) AS most, count(*)::BIGINT AS n FROM embeddings GROUP BY label")
 def _median(t):
-    """The median, and the upper one: the element at half the count."""
-    return t("embeddings").groupBy(F.col("label").alias("kind")).agg(F.round(F.median(F.get("embedding", F.lit(0)).cast("double")), 6).alias("median"), F.round(F.expr("percentile_disc(0.5) within group (order by cast(get(embedding, 0) as double) desc)"), 6).alias("upper_median"), F.round(F.max(F.get("embedding", F.lit(0)).cast("double")), 6).alias("most"), F.count("*").alias("n"))
+    v = t("embeddings").select(F.col("label").alias("kind"), F.get("embedding", F.lit(0)).cast("double").alias("v"))
+    m = medians(v, "kind", "v", F.floor(F.col("v") * 64))
+    return m.select("kind", *[F.round(c, 6).alias(c) for c in ("median", "upper_median", "most")], "n")
 
 
 def l2(a: Column) -> Column:

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..plans.catalog import query
-from ..plans.shared import shared_dir
+from ..plans.shared import scratch
 from ..sources import readers, writers
 from ..sources.derived import DATED, dated
 from ..streaming.jobs import clean_stream, hourly
 
 
 def _folder(df) -> str:
-    return f"{shared_dir(df.sparkSession).rstrip('/')}/sink-{uuid.uuid4().hex}"
+    return scratch(df.sparkSession, "sink")
 
 
 @query("jsonl_roundtrip", f"WITH {DATED} SELECT doc_id, date, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE source END AS source, md5(text) AS text_md5 FROM d")
@@ -60,3 +58,23 @@ def _hourly(t):
     path = _folder(e)
     e.write.parquet(path + "/in")
     return hourly(e.sparkSession, path + "/in", e.schema, path)
+
+
+@query("benchmark_join", f"WITH {DATED} SELECT substr(date, 1, 7) AS month, count(*)::BIGINT AS n, round(avg(logprob), 6) AS mean_logprob, round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS right_share, count(*) FILTER (quality IS NULL)::BIGINT AS ungraded FROM (SELECT date, -(doc_id % 97) / 10.0::DOUBLE AS logprob, quality FROM d LEFT JOIN labels l USING (doc_id)) GROUP BY 1")
+def _benchmark(t):
+    """Runs and their grades, each a JSON line file under its own schema, joined by event; what has no grade is told."""
+    d, path = dated(t("documents")), _folder(t("documents"))
+    writers.write_jsonl(d.select(F.col("doc_id").cast("string").alias("event_id"), "date", (-(F.col("doc_id") % 97) / F.lit(10.0)).alias("logprob")), path + "/runs")
+    writers.write_jsonl(t("labels").select(F.col("doc_id").cast("string").alias("event_id"), (F.col("quality") == 1).alias("correct")), path + "/graded")
+    runs, graded = readers.read_jsonl(d.sparkSession, path + "/runs", readers.RUN), readers.read_jsonl(d.sparkSession, path + "/graded", readers.GRADE)
+    j = runs.join(graded, "event_id", "left")
+    return j.groupBy(F.substring("date", 1, 7).alias("month")).agg(F.count("*").alias("n"), F.round(F.avg("logprob"), 6).alias("mean_logprob"), F.round(F.avg(F.coalesce(F.col("correct").cast("int"), F.lit(0)).cast("double")), 6).alias("right_share"), F.count_if(F.col("correct").isNull()).alias("ungraded"))
+
+
+@query("kb_scan", "SELECT 'kb_bank_' || (item_id % 3) || '_' || item_id AS id, 'bank_' || (item_id % 3) AS category, length(text)::BIGINT AS n FROM benchmark")
+def _kb(t):
+    """A knowledge base of one JSON page a file, read back with each page's category."""
+    b = t("benchmark").select(F.concat(F.lit("kb_bank_"), (F.col("item_id") % 3).cast("string"), F.lit("_"), F.col("item_id").cast("string")).alias("id"), F.lit("T").alias("title"), F.col("text").alias("content"))
+    path = _folder(b)
+    b.repartitionByRange(8, "id").write.option("maxRecordsPerFile", 1).json(path)
+    return readers.read_kb(b.sparkSession, path).select("id", "category", F.length("content").cast("long").alias("n"))

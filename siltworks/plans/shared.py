@@ -61,19 +61,23 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """Like cut, but as a compressed, column-pruned Parquet table in the shared folder."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
-    _tables.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Paths of the tables that stored() wrote in this process.
+#: Paths below the shared folder that this process wrote.
 _tables: list[str] = []
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted by release()."""
+    _tables.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _tables[-1]
+
+
 def release(spark: SparkSession) -> int:
-    """Deletes the tables stored() wrote; to be called once the results that read them are written. Returns how many."""
+    """Deletes what stored() and sinks wrote to the shared folder; to be called once the results that read them are written. Returns how many."""
     n = 0
     while _tables:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables.pop())

@@ -16,6 +16,6 @@ DATED = "d AS (SELECT doc_id, text, lang, source, strftime(DATE '2026-01-01' + c
 SCAFFOLD = "concat(CASE doc_id % 7 WHEN 0 THEN concat('**Document 3: Market Note**', chr(10)) WHEN 1 THEN concat('### 6. Local Newspaper Coverage', chr(10)) WHEN 2 THEN concat(chr(10), chr(10), '**Wire brief**', chr(10)) ELSE '' END, text)"
 CONTAMINATED = "concat(text, CASE WHEN doc_id % 11 = 0 THEN ' according to the provided material' WHEN doc_id % 11 = 5 THEN ' the text states research notes' ELSE '' END)"
 BOILER = "concat(text, CASE WHEN doc_id % 13 = 0 THEN concat(chr(10), 'Sign up redirectUrl=%2Fworld now', chr(10), chr(10), chr(10), 'tail') ELSE '' END)"
-METAED = "concat(text, CASE WHEN doc_id % 17 = 0 THEN ' as mentioned in the provided text.' WHEN doc_id % 17 = 1 THEN ' Sangiorgi provided context on the drought.' ELSE '' END)"
+METAED = "concat(text, CASE WHEN doc_id % 17 = 0 THEN ' as mentioned in the provided text.' WHEN doc_id % 17 = 1 THEN ' Her letter provided context on the harvest.' ELSE '' END)"
 TOOL = "concat({a}[cast(doc_id % 9 {div} 4 AS INT) + {one}], '_account_', cast(1000 + doc_id % 9 AS {s}))"
 URL = "concat('https://h', cast(page_id % 5 AS {s}), '.example/a/', cast(page_id % 40 AS {s}), CASE WHEN page_id % 3 = 0 THEN '/' ELSE '' END, CASE WHEN page_id % 2 = 0 THEN '?utm=x' ELSE '' END)"

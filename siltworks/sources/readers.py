@@ -13,6 +13,8 @@ SYNTHETIC = "call_id STRING, doc_ix INT, kind STRING, gen STRING, date STRING, `
 KB_PAGE = "id STRING, title STRING, content STRING"
 CHAT = "messages ARRAY<STRUCT<role: STRING, content: STRING>>"
 SCORE = "question STRING, answer STRING, month STRING, logprob DOUBLE, n_answer_tokens INT"
+RUN = "event_id STRING, date STRING, logprob DOUBLE"
+GRADE = "event_id STRING, correct BOOLEAN"
 FORECAST = "model STRING, label STRING, search BOOLEAN, rq STRING, rows ARRAY<STRUCT<topic: STRING, band: STRING, domain: STRING, n: INT, n_searches: INT, queries: ARRAY<STRING>, brier: DOUBLE, score: DOUBLE, probs: ARRAY<DOUBLE>, notes_chars: INT>>"
 SIMULATION = "simulations ARRAY<STRUCT<task_id: STRING, reward_info: STRUCT<reward: DOUBLE, action_checks: ARRAY<STRUCT<action_match: BOOLEAN>>>, messages: ARRAY<STRUCT<role: STRING, content: STRING, tool_calls: ARRAY<STRUCT<name: STRING>>>>, termination_reason: STRING>>"
 

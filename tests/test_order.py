@@ -5,12 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siltworks.operators.budget import budget_trim, by_id, cap_per_group, capped_pick, ranked
+from siltworks.operators.budget import budget_trim, cap_per_group, capped_pick
 from siltworks.operators.assembly import pack_stream
 from siltworks.operators.dedup import dedup_then_cap, first_by, greedy_priority
-from siltworks.operators.evaluation import sign_p
+from siltworks.operators.evaluation import medians, sign_p
 from siltworks.operators.parsing import parse_qa, split_docs
-from siltworks.plans.prefix import hashed, prefix_sum
+from siltworks.plans.prefix import by_id, hashed, prefix_sum, ranked
 from siltworks.plans.shared import join_checked, release, stored
 
 
@@ -35,6 +35,28 @@ def test_greedy_priority_replays_the_loop(spark, seed):
     assert got == greedy(rows)
 
 
+def test_long_chains_are_replayed_at_once(spark, monkeypatch):
+    from siltworks.operators import dedup
+
+    rows = [(i, i, f"t{i // 2}", f"u{(i + 1) // 2}") for i in range(60)] + [(100 + i, 0, f"x{i}", "") for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, prio int, tk string, uk string")
+    for most in (1000, 10):  # small groups at once, larger ones go on in rounds
+        monkeypatch.setattr(dedup, "AT_ONCE", most)
+        assert {x["id"] for x in greedy_priority(df, ["prio", "id"], ["tk", "uk"]).filter("stays").collect()} == greedy(rows)
+
+
+def test_exact_medians(spark):
+    import statistics
+
+    r = random.Random(3)
+    rows = [(r.choice(["a", "b", None]), None if r.random() < 0.1 else r.uniform(-3, 3)) for _ in range(301)] + [("one", 2.0), ("none", None)]
+    got = {x["k"]: (x["n"], x["median"], x["upper_median"], x["most"]) for x in medians(spark.createDataFrame(rows, "k string, v double"), "k", "v", F.floor(F.col("v"))).collect()}
+    for k in {k for k, v in rows if v is not None}:
+        v = sorted(v for g, v in rows if g == k and v is not None)
+        assert got[k] == (len(v), pytest.approx(statistics.median(v)), v[len(v) // 2], v[-1])
+    assert "none" not in got
+
+
 def test_greedy_differs_from_two_passes(spark):
     rows = [(1, 0, "t1", "u1"), (2, 1, "t2", "u1"), (3, 2, "t2", "u3")]
     df = spark.createDataFrame(rows, "id long, prio int, tk string, uk string")
