@@ -2,8 +2,9 @@
 
 Each language has a suffix automaton of labelled text. A text is parsed into the longest phrases that occur in the
 language's text (a phrase ends where its longest match does); the language that needs the fewest phrases per character
-wins. The edges of all automata stand in one hash table (state, character) -> state, so the model grows with the sample
-and not with the number of scripts; numpy parses thousands of pieces of texts in step, PIECE characters each, so that a
+wins. States with one edge, which are most, hold it as such; others have a row of all characters, or, where scripts make
+these rows more than CELLS, the edges of all automata stand in one hash table (state, character) -> state, so the model
+grows with the sample and not with the number of scripts. Numpy parses thousands of pieces of texts in step, PIECE characters each, so that a
 piece's end adds at most one phrase; whole texts count.
 
 Fit: per language a bounded sample of SAMPLE_CHARS characters, for many languages TOTAL_CHARS over all, but MIN_CHARS each
@@ -31,12 +32,13 @@ from .words import free
 
 SAMPLE_CHARS, TOTAL_CHARS, MIN_CHARS, DOC_CHARS, SAMPLE_DOCS = 40_000, 2_000_000, 2_000, 2_000, 200
 #: Characters of a piece; (piece, language) pairs parsed in step; characters of texts held at once.
-PIECE, LANES, BATCH = 512, 1 << 14, 1_000_000
+PIECE, LANES, BATCH = 512, 1 << 15, 1_000_000
+#: Cells of four bytes that rows may have.
+CELLS = 8_000_000
 #: Character classes besides the letters of the sample: what is no letter, a letter that no sample has.
 GAP, OTHER = 0, 1
 UND = "und"
 U = np.uint64
-_MUL = U(0x9E3779B97F4A7C15)
 
 
 @cache
@@ -74,14 +76,14 @@ def automaton(classes: list[int]) -> list[dict[int, int]]:
 
 
 class Edges:
-    """Hash table from int64 keys to int32 values; keys whose place is taken stand in a next, smaller table."""
+    """Hash table from int64 keys to int32 values; keys whose place is taken stand in a next table, the emptier the fewer they are."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.levels: list[tuple[np.ndarray, np.ndarray, np.uint64]] = []
         while keys.size:
-            bits = max(4, int(2 * keys.size - 1).bit_length())
+            bits = max(4, int(2 * 4 ** len(self.levels) * keys.size - 1).bit_length())
             shift = U(64 - bits)
-            slot, own = np.unique((keys.view(U) * _MUL) >> shift, return_index=True)
+            slot, own = np.unique((keys.view(U) * self.multiplier(len(self.levels))) >> shift, return_index=True)
             k, v = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
             k[slot], v[slot] = keys[own], values[own]
             self.levels.append((k, v, shift))
@@ -89,11 +91,15 @@ class Edges:
             rest[own] = False
             keys, values = keys[rest], values[rest]
 
+    @staticmethod
+    def multiplier(level: int) -> np.uint64:
+        return U(0x9E3779B97F4A7C15 * (2 * level + 1) % (1 << 64))
+
     def into(self, out: np.ndarray, keys: np.ndarray) -> None:
         """Puts the values of the keys that are there into ``out``."""
         at = None
-        for k, v, shift in self.levels:
-            slot = ((keys.view(U) * _MUL) >> shift).astype(np.int64)
+        for level, (k, v, shift) in enumerate(self.levels):
+            slot = ((keys.view(U) * self.multiplier(level)) >> shift).astype(np.int64)
             found = k[slot]
             hit = found == keys
             where = np.flatnonzero(hit)
@@ -118,17 +124,47 @@ class Model:
         self.width = OTHER + 1 + len(known)
         self.roots = np.zeros(len(self.langs), np.int32)
         self.first = np.zeros((len(self.langs), self.width), np.int32)  # from the roots; entries are next state * 4 + phrases ended by the step
-        keys, values, n = [], [], 0
+        states, classes, targets, n = [], [], [], 0
         for j, x in enumerate(self.langs):
             nxt = automaton(self.encode([samples[x]])[0].tolist())
             self.roots[j] = n
             self.first[j] = n * 4 + 1  # an unknown character is a phrase of its own
             for c, to in nxt[0].items():
                 self.first[j, c] = (n + to) * 4
-            keys.append(np.fromiter(((n + s) * self.width + c for s, row in enumerate(nxt) if s for c in row), np.int64))
-            values.append(np.fromiter(((n + to) * 4 for s, row in enumerate(nxt) if s for to in row.values()), np.int32))
+            states.append(np.fromiter((n + s for s, row in enumerate(nxt) if s for _ in row), np.int64))
+            classes.append(np.fromiter((c for row in nxt[1:] for c in row), np.int32))
+            targets.append(np.fromiter(((n + to) * 4 for row in nxt[1:] for to in row.values()), np.int32))
             n += len(nxt)
-        self.edges = Edges(np.concatenate(keys), np.concatenate(values)) if keys else None
+        self.edges, self.rows = None, None
+        if self.langs:
+            self.lay_out(np.concatenate(states), np.concatenate(classes), np.concatenate(targets), n)
+
+    def lay_out(self, states: np.ndarray, classes: np.ndarray, targets: np.ndarray, n: int) -> None:
+        """Edges of states other than roots: rows of all classes for states with several, if these are few cells, else a hash table."""
+        several = np.bincount(states, minlength=n) > 1
+        if (several.sum() + 2 * len(self.langs)) * self.width > CELLS:
+            self.edges = Edges(states * self.width + classes, targets)
+            return
+        lang = np.searchsorted(self.roots, np.arange(n), "right") - 1
+        self.row = lang.astype(np.int32)  # the row of a language where the phrase so far ends and the next one starts
+        self.row[self.roots] += len(self.langs)
+        self.row[several] = 2 * len(self.langs) + np.arange(several.sum())
+        self.rows = np.concatenate([self.first + 1, self.first, self.first[lang[several]] + 1])
+        many = several[states]
+        self.rows[self.row[states[many]], classes[many]] = targets[many]
+        self.only, self.only_to = np.full(n, -1, np.int32), np.zeros(n, np.int32)  # the edge of states that have one
+        self.only[states[~many]], self.only_to[states[~many]] = classes[~many], targets[~many]
+
+    def step(self, own: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Next states * 4 + phrases ended, of states (pieces x languages) on reading a class a piece."""
+        if self.edges is None:
+            to = self.rows.ravel()[self.row[own] * self.width + x].ravel()
+            at = np.flatnonzero((self.only[own] == x).ravel())
+            to[at] = self.only_to[own.ravel()[at]]
+        else:
+            to = (self.first.ravel()[x + np.arange(len(self.langs)) * self.width] + (own != self.roots)).ravel()
+            self.edges.into(to, (own.astype(np.int64) * self.width + x).ravel())
+        return to.reshape(own.shape)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Classes of all texts in a row, each between gaps, runs of non-letters as one; the length and the letters of each text."""
@@ -152,8 +188,7 @@ class Model:
         order = np.argsort(-left, kind="stable")
         of, first, left = of[order], first[order], left[order]
         n_lang = len(self.langs)
-        rows, lanes = np.arange(n_lang) * self.width, max(64, LANES // n_lang)
-        table = self.first.ravel()
+        lanes = max(64, LANES // n_lang)
         out = np.zeros((lens.size, n_lang), np.int64)
         for i in range(0, of.size, lanes):
             a, n = first[i : i + lanes], left[i : i + lanes]
@@ -161,11 +196,7 @@ class Model:
             count = np.zeros_like(state)
             ends = np.searchsorted(-n, -np.arange(int(n[0])), "left")  # pieces longer than each step
             for step, m in enumerate(ends.tolist()):
-                x = c[a[:m] + step][:, None]
-                own = state[:m]
-                to = (table[x + rows] + (own != self.roots)).ravel()  # the phrase so far ends, the next one starts
-                self.edges.into(to, (own.astype(np.int64) * self.width + x).ravel())
-                to = to.reshape(own.shape)
+                to = self.step(state[:m], c[a[:m] + step][:, None])
                 count[:m] += to & 3
                 state[:m] = to >> 2
             np.add.at(out, of[i : i + lanes], count + (state != self.roots))
