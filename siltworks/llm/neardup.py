@@ -8,10 +8,11 @@ prime, so each rank goes to each slot alike and P(equal slot) is the similarity.
 Copies: documents with equal shingle sets (a 128-bit sum over the set) are one class; only its first (id, text hash) goes
 on. Banding: BANDS x ROWS slots; at a similarity of 0.85 a pair is missed with a chance below 1e-6. Candidates of small
 buckets are compared pairwise (below SMALL members, a constant). In larger ones every member is compared with the
-bucket's densest member (the one with most company over all bands), and what the grouping still leaves apart is compared
-exactly in blocks of bounded size, links alone leaving the task; so no group is expanded into pairs of rows, and none is
-cut off. A bucket of more than BLOCK shingles is first dealt out by a second common band (a pair at 0.85 has two with a
-chance of all but 1e-5), so that members which share but a passage don't meet. A signature estimate more than five
+bucket's densest member (the one with most company over all bands), and what the grouping still leaves apart of a bucket's
+largest component is compared with it, and among itself, exactly, in blocks of bounded size, links alone leaving the task;
+so no group is expanded into pairs of rows, and none is cut off. Where more than BLOCK shingles are apart, the bucket is first
+dealt out by a second common band (a pair at 0.85 has two with a chance of all but 1e-5), so that members which share but a
+passage don't meet. A signature estimate more than five
 standard deviations below the threshold saves a comparison. Shingle sets, not words, go through joins.
 
 Defined results: null or blank text has an empty set, is linked with nothing and is kept; rows that repeat a doc_id go by
@@ -33,7 +34,7 @@ from .graph import components
 from .words import ascii_lower, shingle_hashes, word_array
 
 SLOTS, BANDS, ROWS = 127, 25, 5
-SMALL, BLOCK = 12, 1_000_000
+SMALL, BLOCK = 12, 250_000
 U = np.uint64
 _A, _B, _C = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 
@@ -128,12 +129,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def linked_within(percent: int, floor: int):
-    """For a block pair of a large bucket: exact links between members the grouping so far leaves apart."""
+    """For two blocks of a large bucket, or one with itself: exact links between members the grouping so far leaves apart."""
 
     def run(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
         ids, side = t["rep"].combine_chunks(), t["side"].to_numpy()
-        band, before, other = (int(t[c][0].as_py()) for c in ("band", "before", "pair"))
+        band, before, rest, lo, hi = (int(t[c][0].as_py()) for c in ("band", "before", "rest", "lo", "hi"))
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(ids), SLOTS)
         bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)[:, :band]
         sets = [x.values.to_numpy() for x in t["s"].combine_chunks()]  # sorted
@@ -148,11 +149,11 @@ def linked_within(percent: int, floor: int):
                 x = root[x]
             return x
 
-        most = np.argmax(np.bincount(group))
         a, b = [], []
-        for x in np.flatnonzero(group != most):  # members of the largest group meet each other in no other way
-            y = np.flatnonzero((group != group[x]) & ((side != side[x]) if other else True) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])))
-            y = y[(group[y] == most) | (y > x)]
+        crossed = not rest or lo != hi
+        for x in np.flatnonzero(side == 0) if crossed else range(len(ids)):
+            y = np.flatnonzero((group != group[x]) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])))
+            y = y[side[y] == 1] if crossed else y[y > x]
             y = y[(sig[y] == sig[x]).sum(1) >= floor]
             y = y[(bands[y] == bands[x]).sum(1) == before]  # pairs that share earlier bands are compared there
             for z in y:
@@ -171,18 +172,28 @@ def linked_within(percent: int, floor: int):
 
 
 def links_in_blocks(at: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, floor: int) -> DataFrame:
-    """Links (a, b) between members of large buckets, ``at`` (key, band, rep, n, all, comp), that are in different components."""
-    apart = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    at = at.join(apart, "key").join(nodes.select("rep", "sig", "bands"), "rep")
-    one = at.filter(F.col("all") <= BLOCK).withColumn("before", F.lit(0))
-    two = at.filter(F.col("all") > BLOCK).select("*", F.posexplode("bands").alias("band2", "key2")).filter("band2 > band")
-    two = two.withColumns({"key": F.xxhash64("key", "key2"), "band": F.col("band2"), "before": F.lit(1)}).drop("band2", "key2")
-    met = two.groupBy("key").agg(F.sum("n").alias("all"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", "all")
-    rest = one.unionByName(two.drop("all").join(met, "key")).withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int"))
-    rest = rest.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", "band", "before", "rep", "comp", "sig", "bands", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), (F.col("own") <= F.col("with")).cast("int").alias("side"), (F.col("own") != F.col("with")).cast("int").alias("pair"))
+    """Links (a, b) between members of large buckets, ``at`` (key, band, rep, n, comp), that are in different components.
+
+    A bucket's largest component needs no comparison within, so its members lie in blocks of their own, each met by the
+    blocks of the rest, and the rest's blocks meet one another: what is copied over blocks is the rest alone, mostly little.
+    """
+    per = at.groupBy("key", "comp").agg(F.sum("n").alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"))
+    per = cut(per.select("key", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.m")).alias("few"), F.col("top.m").alias("many")).filter("few > 0"))
+    at = at.join(per, "key").withColumn("apart", F.col("comp") != F.col("main")).join(nodes.select("rep", "sig", "bands"), "rep")
+    one = at.filter(F.col("few") <= BLOCK).withColumn("before", F.lit(0))
+    two = at.filter(F.col("few") > BLOCK).select("*", F.posexplode("bands").alias("band2", "key2")).filter("band2 > band")
+    two = two.withColumns({"key": F.xxhash64("key", "key2"), "band": F.col("band2"), "before": F.lit(1)}).drop("band2", "key2", "few", "many")
+    share = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    met = two.groupBy("key").agg(share(F.col("apart")).alias("few"), share(~F.col("apart")).alias("many")).filter("few > 0")
+    rows = one.unionByName(two.join(met, "key")).withColumns({"mine": F.ceil(F.col("few") / BLOCK).cast("int"), "theirs": F.ceil(F.col("many") / BLOCK).cast("int"), "h": F.xxhash64("rep")})
+    own = F.pmod(F.col("h"), F.when(F.col("apart"), F.col("mine")).otherwise(F.col("theirs"))).cast("int")
+    place = lambda rest, lo, hi, side: F.struct(F.lit(rest).alias("rest"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), side.cast("int").alias("side"))
+    over = lambda n, fn: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), fn)).otherwise(F.array().cast("array<struct<rest:int,lo:int,hi:int,side:int>>"))
+    of_rest = F.concat(over(F.col("theirs"), lambda i: place(0, F.col("own"), i, F.lit(0))), over(F.col("mine"), lambda i: place(1, F.least("own", i), F.greatest("own", i), F.col("own") > i)))
+    rows = rows.withColumn("own", own).withColumn("p", F.explode(F.when(F.col("apart"), of_rest).otherwise(over(F.col("mine"), lambda i: place(0, i, F.col("own"), F.lit(1))))))
+    rows = rows.select("key", "band", "before", "rep", "comp", "sig", "bands", "p.*")
     kind = nodes.schema["rep"].dataType.simpleString()
-    return rest.join(sets, "rep").groupBy("key", "lo", "hi").applyInArrow(linked_within(percent, floor), f"a {kind}, b {kind}")
+    return rows.join(sets, "rep").groupBy("key", "rest", "lo", "hi").applyInArrow(linked_within(percent, floor), f"a {kind}, b {kind}")
 
 
 def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:

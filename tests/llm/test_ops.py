@@ -124,10 +124,13 @@ def phrases(text, sample):
     return n
 
 
-def test_phrases_equal_brute_force():
+@pytest.mark.parametrize("cells", [1 << 30, 0])
+def test_phrases_equal_brute_force(monkeypatch, cells):
+    monkeypatch.setattr(language, "CELLS", cells)
     r = random.Random(5)
     samples = {"a": "".join(r.choice("abc ") for _ in range(300)), "b": "".join(r.choice("bcd ") for _ in range(300))}
     m = language.Model(samples)
+    assert (m.edges is None) == (cells > 0)
     texts = ["".join(r.choice("abcdZ ") for _ in range(r.randrange(1, 1800))) for _ in range(60)]
     c, lens, _ = m.encode(texts)
     got = m.phrases(c, lens)
@@ -260,7 +263,7 @@ def test_near_duplicates_equal_brute_force(spark, k, percent, each):
     assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in got)
 
 
-@pytest.mark.parametrize(("block", "small"), [(2_000, 3), (1_000_000, 2), (300, 100)])
+@pytest.mark.parametrize(("block", "small"), [(2_000, 3), (1_000_000, 2), (300, 100), (150, 2)])
 def test_large_buckets_equal_brute_force(spark, monkeypatch, block, small):
     monkeypatch.setattr(neardup, "BLOCK", block)
     monkeypatch.setattr(neardup, "SMALL", small)
