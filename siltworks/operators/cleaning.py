@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 from ..plans.catalog import lit, query
+from ..plans.shared import spread
 from ..sources.derived import BOILER, CONTAMINATED, DATED, METAED, SCAFFOLD, dated
 
 
@@ -40,7 +41,7 @@ _TAGS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, {lit(p)}) THEN
 
 @query("contamination_tags", f"SELECT doc_id, array_to_string({_TAGS}, '; ') AS tags FROM (SELECT doc_id, {CONTAMINATED} AS t FROM documents) WHERE len({_TAGS}) > 0")
 def _tags(t):
-    c = t("documents").select("doc_id", F.expr(CONTAMINATED).alias("t")).select("doc_id", X.tags(F.col("t")).alias("g"))
+    c = spread(t("documents").select("doc_id", "text")).select("doc_id", F.expr(CONTAMINATED).alias("t")).select("doc_id", X.tags(F.col("t")).alias("g"))
     return c.filter(F.size("g") > 0).select("doc_id", F.array_join("g", "; ").alias("tags"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 from ..plans.catalog import lit, query
-from ..plans.shared import BROADCAST_ROWS, cut
+from ..plans.shared import BROADCAST_ROWS, cut, spread
 
 
 def _duck_html() -> str:
@@ -47,7 +47,7 @@ _WQ = _WIKI.replace("STR", "VARCHAR")
 
 @query("wiki_strip", rf"WITH a AS (SELECT doc_id, {_WQ} AS w FROM documents) SELECT doc_id, array_to_string(list_filter(list_transform(string_split({_duck_wiki()}, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\*+\s*', ''), '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND x <> '}}}}'), chr(10)) AS prose FROM a")
 def _wiki(t):
-    return t("documents").select("doc_id", X.wiki_strip(F.expr(_WIKI.replace("STR", "STRING"))).alias("prose"))
+    return spread(t("documents").select("doc_id", "text", "source")).select("doc_id", X.wiki_strip(F.expr(_WIKI.replace("STR", "STRING"))).alias("prose"))
 
 
 _BLK = "[" + ", ".join(map(lit, P.BLOCKED_SUBSTRINGS)) + "]"

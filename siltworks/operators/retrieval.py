@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.catalog import query
-from ..plans.shared import BROADCAST_ROWS, cut
+from ..plans.shared import BROADCAST_ROWS, cut, spread
 from ..sources.derived import DATED, dated
 
 SIZE, OVERLAP, LEAST = 500, 100, 120
@@ -29,7 +29,7 @@ _CH = r"WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', ' '
 
 @query("chunk_overlap", f"{_CH} SELECT doc_id, ix, md5(chunk) AS chunk_md5 FROM k")
 def _chunk(t):
-    return chunks(t("documents").select("doc_id", "text"), "text").select("doc_id", "ix", F.md5("chunk").alias("chunk_md5"))
+    return chunks(spread(t("documents").select("doc_id", "text")), "text").select("doc_id", "ix", F.md5("chunk").alias("chunk_md5"))
 
 
 def bm25(items: DataFrame, queries: DataFrame, item: str, text: str, qid: str, qtext: str, k: int, k1: float = K1, b: float = B) -> DataFrame:
@@ -65,7 +65,7 @@ r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORD
 
 @query("bm25_topk", f"WITH {_bm(5).strip()} SELECT * FROM r")
 def _topk(t):
-    return bm25(t("documents"), t("benchmark").select("item_id", F.col("text").alias("qt")), "doc_id", "text", "item_id", "qt", 5)
+    return bm25(spread(t("documents").select("doc_id", "text")), t("benchmark").select("item_id", F.col("text").alias("qt")), "doc_id", "text", "item_id", "qt", 5)
 
 
 @query("leak_rate", rf"WITH {_bm(3).strip()}, h AS (SELECT r.item_id, bool_or(contains(lower(d.text), lower(substr(b.text, 1, 40)))) AS leaks FROM r JOIN documents d ON d.doc_id = r.doc_id JOIN benchmark b ON b.item_id = r.item_id GROUP BY 1) SELECT count(*)::BIGINT AS n, count(*) FILTER (leaks)::BIGINT AS leaked, round(avg(leaks::INT), 6) AS rate FROM h")

@@ -86,7 +86,10 @@ def release(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores, where the scan has fewer tasks than these; a table of many files stays as it is."""
+    """Rows of a narrow scan over all cores, where its files make fewer tasks than these; anything else stays as it is."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if any(x in plan for x in ("Exchange", "Join", "Aggregate", "Adaptive")):
+        return df  # asking for its tasks would run it
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
