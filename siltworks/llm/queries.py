@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import spread
 from . import chat, decontam, language, mixing, neardup, pii, quality, spans, suffixes, tokens, words
 
 
@@ -12,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The named columns of all documents, over all cores even where one small file holds them."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -20,7 +26,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     p = language.predict(docs, language.fit(docs))
     return p.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
@@ -31,35 +37,35 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return neardup.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), k=3, percent=85)
 
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.repeated(table(spark, sf_dir, "documents"))
+    return suffixes.repeated(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers  # its files come with the installation; the path is the operator's parameter
 
-    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.count_tokens(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = quality.judge(table(spark, sf_dir, "documents"))
+    j = quality.judge(documents(spark, sf_dir, "doc_id", "lang", "source", "text"))
     names = {"q_words": "n_words", "q_chars": "word_chars", "q_symbols": "n_symbols", "q_dups": "n_dup_lines", "q_repeat": "n_repeat_words"}
     return j.select("doc_id", *[F.col(a).alias(b) for a, b in names.items()], "base_failed", "kept")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.matches(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.dedup(table(spark, sf_dir, "documents"))
+    return spans.dedup(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pii.redact(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark), counts="n")
+    p = pii.redact(documents(spark, sf_dir, "doc_id", "text"), pii.session_key(spark), counts="n")
     return p.select("doc_id", "text", *[F.get("n", F.lit(i)).alias(f"n_{k}") for i, k in enumerate(pii.TYPES)])
 
 
