@@ -44,10 +44,20 @@ def capped_pick(pdf, n: int = 40, per: int = 3):
     return pdf.iloc[keep]
 
 
-@query("capped_pick")
+_SITES = ("news.example", "apnews.com", "blog.example", "bbc.co.uk", "ft.com")
+_PICK = f"""WITH RECURSIVE {DATED}, c AS (SELECT doc_id % 25 AS topic, doc_id, substr(text, 1, 12) AS title, {list(_SITES)}[cast(doc_id % 5 AS INT) + 1] AS domain, date FROM d),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY domain NOT IN ('apnews.com', 'bbc.co.uk', 'ft.com'), date, doc_id) AS i FROM c),
+r AS (SELECT topic, 0::BIGINT AS i, []::VARCHAR[] AS titles, []::VARCHAR[] AS domains, false AS picked, -1::BIGINT AS doc_id FROM (SELECT DISTINCT topic FROM o) UNION ALL
+  SELECT topic, i, CASE WHEN ok THEN list_append(titles, title) ELSE titles END, CASE WHEN ok THEN list_append(domains, domain) ELSE domains END, ok, doc_id FROM (
+    SELECT o.topic, o.i, titles, domains, title, domain, o.doc_id, len(titles) < 40 AND len(list_filter(domains, lambda x: x = domain)) < 3 AND (title = '' OR NOT list_contains(titles, title)) AS ok
+    FROM r JOIN o ON o.topic = r.topic AND o.i = r.i + 1))
+SELECT topic, doc_id FROM r WHERE picked"""
+
+
+@query("capped_pick", _PICK)
 def _pick(t):
     """Order-dependent: a repeated title doesn't use up its domain's places. A topic's candidates are a search result, so small."""
-    site = F.element_at(F.array(*map(F.lit, ("news.example", "apnews.com", "blog.example", "bbc.co.uk", "ft.com"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    site = F.element_at(F.array(*map(F.lit, _SITES)), (F.col("doc_id") % 5 + 1).cast("int"))
     d = dated(t("documents")).select((F.col("doc_id") % 25).alias("topic"), "doc_id", F.substring("text", 1, 12).alias("title"), site.alias("domain"), preferred(site).alias("preferred"), "date")
     schema = d.schema
     ship(d.sparkSession)
@@ -173,9 +183,12 @@ def _oversample(t):
     return lead.join(fetch(wanted(calls, F.lit(False), (F.col("call") * 7 + 1) % F.col("n")), "with_id"), "call")
 
 
-@query("hash_route")
+_CRC = """tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+@query("hash_route", f"WITH {_CRC}, s AS (SELECT doc_id, list_concat([4294967295], list_transform(string_split('call-' || doc_id, ''), lambda x: ord(x)::BIGINT)) AS b FROM documents) SELECT doc_id, (xor(list_reduce(b, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 3)::INT AS model FROM s, tab")
 def _route(t):
-    """Rows only: crc32 has no counterpart in the other engine."""
+    """By crc32, which the other engine spells out from its polynomial."""
     return t("documents").select("doc_id", F.pmod(F.crc32(F.concat(F.lit("call-"), F.col("doc_id").cast("string")).cast("binary")), F.lit(3)).cast("int").alias("model"))
 
 

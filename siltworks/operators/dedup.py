@@ -159,7 +159,16 @@ def _two_pass(t):
     return k.select(F.col("id").alias("doc_id"), "stream", F.when(~F.col("a"), "dup_text").when((F.col("uk") != "") & ~F.col("b"), "dup_url").otherwise("kept").alias("reason"))
 
 
-@query("dedup_priority_exact")
+#: The loop itself, a row a step.
+_GREEDY = f"""WITH RECURSIVE {DATED}, k AS (SELECT doc_id, stream, {_PRIO} AS prio, {_K} AS tk, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'https://h.example/' || (doc_id % 600) END AS uk FROM d),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY prio, doc_id) AS i FROM k),
+r AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS seen, false AS stays, NULL::BIGINT AS doc_id, NULL::VARCHAR AS stream UNION ALL
+  SELECT i, CASE WHEN ok THEN list_concat(seen, CASE WHEN uk = '' THEN [tk] ELSE [tk, uk] END) ELSE seen END, ok, doc_id, stream FROM (
+    SELECT o.i, seen, tk, uk, o.doc_id, o.stream, NOT list_contains(seen, tk) AND (uk = '' OR NOT list_contains(seen, uk)) AS ok FROM r JOIN o ON o.i = r.i + 1))
+SELECT doc_id, stream, stays FROM r WHERE i > 0"""
+
+
+@query("dedup_priority_exact", _GREEDY)
 def _exact(t):
     return greedy_priority(_linked(t), ["prio", "id"], ["tk", "uk"]).select(F.col("id").alias("doc_id"), "stream", "stays")
 
@@ -216,7 +225,15 @@ def _news_key(t):
     return t("documents").select("doc_id", news_key(F.concat(F.lit("  The  Title "), (F.col("doc_id") % 90).cast("string")), F.col("text")).alias("k"))
 
 
-@query("news_dedup_cap")
+_CAP = """WITH RECURSIVE k AS (SELECT doc_id, md5(regexp_replace('title ' || (doc_id % 400), ' +', ' ', 'g') || '|lead ' || (doc_id % 900)) AS k, concat_ws('.', source, doc_id % 7) AS domain, doc_id % 5 <> 0 AS b FROM documents),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM k),
+r AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS seen, []::VARCHAR[] AS domains, false AS stays, NULL::BIGINT AS doc_id, NULL::VARCHAR AS domain UNION ALL
+  SELECT i, CASE WHEN ok THEN list_append(seen, k) ELSE seen END, CASE WHEN ok AND b THEN list_append(domains, domain) ELSE domains END, ok, doc_id, domain FROM (
+    SELECT o.i, seen, domains, k, b, o.doc_id, o.domain, NOT list_contains(seen, k) AND (NOT b OR len(list_filter(domains, lambda x: x = o.domain)) < 9) AS ok FROM r JOIN o ON o.i = r.i + 1))
+SELECT doc_id, domain, stays FROM r WHERE i > 0"""
+
+
+@query("news_dedup_cap", _CAP)
 def _news_cap(t):
-    """Rows only: a loop over rows in order; the test replays it."""
+    """A loop over rows in order, distributed; the SQL takes a row a step."""
     return dedup_then_cap(_news(t), ["doc_id"], "k", "domain", F.col("tier_b"), 9).select("doc_id", "domain", "stays")

@@ -78,3 +78,33 @@ def _kb(t):
     path = _folder(b)
     b.repartitionByRange(8, "id").write.option("maxRecordsPerFile", 1).json(path)
     return readers.read_kb(b.sparkSession, path).select("id", "category", F.length("content").cast("long").alias("n"))
+
+
+@query("warc_scan", "SELECT url, '2026-03-04' AS date, md5(html) AS html_md5 FROM pages")
+def _warc(t):
+    """Pages written as response records among others, and read back."""
+    p, nl = t("pages").select("url", "html"), "\r\n"
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{nl}Content-Type: text/html{nl}{nl}"), "html")
+    record = lambda kind, body: F.concat(F.lit(f"WARC/1.0{nl}WARC-Type: {kind}{nl}WARC-Target-URI: "), "url", F.lit(f"{nl}WARC-Date: 2026-03-04T05:06:07Z{nl}Content-Length: "), F.octet_length(body).cast("string"), F.lit(nl + nl), body, F.lit(nl))
+    path = _folder(p)
+    p.select(F.concat(record("request", F.col("url")), F.lit(nl), record("response", http)).alias("value")).write.option("lineSep", nl).option("compression", "gzip").text(path)
+    return readers.read_warc(p.sparkSession, path).select("url", "date", F.md5("html").alias("html_md5"))
+
+
+@query("atom_scan", "SELECT page_id, url AS title, 'a b' || (page_id % 9) || ' c' AS summary FROM pages")
+def _atom(t):
+    """Feed entries with marked-up content, and their plain text."""
+    p = t("pages").select(F.col("page_id").cast("string").alias("id"), F.col("url").alias("title"), F.concat(F.lit("<p>a  <b>b"), (F.col("page_id") % 9).cast("string"), F.lit("</b> </p> c")).alias("summary"))
+    path = _folder(p)
+    p.write.format("xml").option("rootTag", "feed").option("rowTag", "entry").save(path)
+    a = readers.read_atom(p.sparkSession, path, "id string, title string, summary string")
+    return a.select(F.col("id").cast("long").alias("page_id"), "title", readers.xml_text(F.col("summary")).alias("summary"))
+
+
+@query("path_list", "SELECT 'crawl/' || page_id || '.warc.gz' AS path FROM pages WHERE page_id % 3 <> 0")
+def _paths(t):
+    """Packed lists of paths; blank lines don't count."""
+    p = t("pages").select(F.when(F.col("page_id") % 3 == 0, "  ").otherwise(F.concat(F.lit("crawl/"), F.col("page_id").cast("string"), F.lit(".warc.gz"))).alias("value"))
+    path = _folder(p)
+    p.write.option("compression", "gzip").text(path)
+    return readers.read_paths(p.sparkSession, path)
