@@ -10,7 +10,7 @@ on. Banding: BANDS x ROWS slots; at a similarity of 0.85 a pair is missed with a
 buckets are compared pairwise (below SMALL members, a constant). In larger ones every member is compared with the
 bucket's densest member (the one with most company over all bands), and what the grouping still leaves apart of a bucket's
 largest component is compared with it, and among itself, exactly, in blocks of bounded size, links alone leaving the task;
-so no group is expanded into pairs of rows, and none is cut off. Where more than BLOCK shingles are apart, the bucket is first
+so no group is expanded into pairs of rows, and none is cut off. Where more than APART shingles are apart, the bucket is first
 dealt out by a second common band (a pair at 0.85 has two with a chance of all but 1e-5), so that members which share but a
 passage don't meet. A signature estimate more than five
 standard deviations below the threshold saves a comparison. Shingle sets, not words, go through joins.
@@ -34,7 +34,8 @@ from .graph import components
 from .words import ascii_lower, shingle_hashes, word_array
 
 SLOTS, BANDS, ROWS = 127, 25, 5
-SMALL, BLOCK = 12, 250_000
+#: Members of buckets compared pairwise; shingles of a block; shingles apart in a bucket from which a second band counts.
+SMALL, BLOCK, APART = 12, 100_000, 1_000_000
 U = np.uint64
 _A, _B, _C = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 
@@ -180,8 +181,8 @@ def links_in_blocks(at: DataFrame, nodes: DataFrame, sets: DataFrame, percent: i
     per = at.groupBy("key", "comp").agg(F.sum("n").alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"))
     per = cut(per.select("key", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.m")).alias("few"), F.col("top.m").alias("many")).filter("few > 0"))
     at = at.join(per, "key").withColumn("apart", F.col("comp") != F.col("main")).join(nodes.select("rep", "sig", "bands"), "rep")
-    one = at.filter(F.col("few") <= BLOCK).withColumn("before", F.lit(0))
-    two = at.filter(F.col("few") > BLOCK).select("*", F.posexplode("bands").alias("band2", "key2")).filter("band2 > band")
+    one = at.filter(F.col("few") <= APART).withColumn("before", F.lit(0))
+    two = at.filter(F.col("few") > APART).select("*", F.posexplode("bands").alias("band2", "key2")).filter("band2 > band")
     two = two.withColumns({"key": F.xxhash64("key", "key2"), "band": F.col("band2"), "before": F.lit(1)}).drop("band2", "key2", "few", "many")
     share = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     met = two.groupBy("key").agg(share(F.col("apart")).alias("few"), share(~F.col("apart")).alias("many")).filter("few > 0")

@@ -32,8 +32,8 @@ from ..plans.shared import ship
 
 TYPES = ("email", "secret", "ip", "phone", "card", "ssn", "person")
 KEY_SETTING, DEMO_KEY = "spark.siltworks.pii.key", "no secret: for synthetic test tables only"
-#: Titles by gender. Fixed values.
-TITLES = ("Mr", "Mrs", "Ms", "Miss", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame", "Mme", "Don", "Doña", "Sr", "Sra", "г-н", "г-жа")
+#: Titles. Fixed values.
+TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame", "Mme", "Don", "Doña", "Sr", "Sra", "г-н", "г-жа")
 LETTER, UPPER = r"[^\W\d_]", r"[^\W\d_a-zß-öø-ÿа-я]"
 #: A part of a name: inner capitals, and apostrophes before a capital or after the first letter; not a possessive's.
 PART = rf"{UPPER}(?:['’](?={LETTER}{LETTER}))?(?:{LETTER}|['’](?={UPPER}))+"

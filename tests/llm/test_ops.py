@@ -263,9 +263,10 @@ def test_near_duplicates_equal_brute_force(spark, k, percent, each):
     assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in got)
 
 
-@pytest.mark.parametrize(("block", "small"), [(2_000, 3), (1_000_000, 2), (300, 100), (150, 2)])
-def test_large_buckets_equal_brute_force(spark, monkeypatch, block, small):
+@pytest.mark.parametrize(("block", "apart", "small"), [(2_000, 2_000, 3), (1_000_000, 1_000_000, 2), (300, 300, 100), (150, 1_000_000, 2), (1_000, 100, 2)])
+def test_large_buckets_equal_brute_force(spark, monkeypatch, block, apart, small):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "APART", apart)
     monkeypatch.setattr(neardup, "SMALL", small)
     texts = copies(21, 3, 45) + [f"{' '.join(f'p{i}' for i in range(60))} {' '.join(f'x{j}y{i}' for i in range(20 + j % 30))}" for j in range(40)]
     want = components_of([shingle_set(t, 3) for t in texts], 85)
