@@ -72,3 +72,11 @@ LEAST = {
     "news": (400, True), "stories": (500, True), "articles": (600, True), "training": (350, True), "cleaned": (300, True), "short": (200, True),
     "source": (400, False), "formats": (300, False), "generated": (250, False), "summary": (800, False),
 }
+
+# --- fixed values: frequent words that vote for a text's language -------------------------------
+FREQUENT = {
+    "en": ("the", "of", "and", "to", "in", "is", "that", "for", "with", "was", "on", "are", "by", "this", "from"),
+    "de": ("der", "die", "und", "das", "ist", "nicht", "ein", "eine", "mit", "von", "zu", "den", "auf", "im", "für"),
+    "fr": ("le", "la", "les", "des", "et", "est", "une", "dans", "pour", "que", "qui", "sur", "pas", "au", "du"),
+    "es": ("el", "la", "los", "las", "que", "en", "y", "una", "por", "con", "para", "del", "se", "es", "un"),
+}

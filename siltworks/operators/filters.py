@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 from ..plans.catalog import lit, query
+from ..plans.shared import spread
 from ..sources.derived import DATED, URL, dated
 
 FLOORS = {"deaths": 40}
@@ -48,6 +49,27 @@ def _lang(t):
     return t("documents").filter("lang = 'en'").select("doc_id", "source")
 
 
+def lang_vote(words: Column) -> Column:
+    """The language whose frequent words a text has most of, and how many; ties go to the first listed, no vote is `und`. ``words`` must be a plain column."""
+    n = [F.size(F.filter(words, lambda w, v=v: w.isin(*v))) for v in P.FREQUENT.values()]
+    best = F.greatest(*n)
+    lang = F.when(best == 0, "und")
+    for k, c in zip(P.FREQUENT, n, strict=True):
+        lang = lang.when(c == best, k)
+    return F.struct(lang.alias("lang"), best.cast("long").alias("votes"))
+
+
+_VOTES = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(map(lit, v))}))) AS n_{k}" for k, v in P.FREQUENT.items())
+_BEST = f"greatest({', '.join(f'n_{k}' for k in P.FREQUENT)})"
+
+
+@query("lang_vote", rf"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{{L}}+') AS w FROM documents), n AS (SELECT doc_id, {_VOTES} FROM w) SELECT doc_id, CASE WHEN {_BEST} = 0 THEN 'und' {' '.join(f"WHEN n_{k} = {_BEST} THEN '{k}'" for k in P.FREQUENT)} END AS lang, {_BEST}::BIGINT AS votes FROM n")
+def _vote(t):
+    """A language filter that reads the text: over whole texts, by built-in expressions alone."""
+    w = spread(t("documents").select("doc_id", "text")).select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)).alias("w"))
+    return w.select("doc_id", lang_vote(F.col("w")).alias("v")).select("doc_id", "v.lang", "v.votes")
+
+
 @query("url_domain", r"SELECT page_id, CASE WHEN contains(url, '://') THEN split_part(url, '/', 3) ELSE '' END AS domain, lower(replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1), 'www.', '')) AS host FROM pages")
 def _domain(t):
     return t("pages").select("page_id", X.url_domain(F.col("url")).alias("domain"), X.url_host(F.col("url")).alias("host"))

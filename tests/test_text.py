@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltworks.functions import patterns as P
 from siltworks.functions import text as X
 from siltworks.operators.collect import death_entry, preamble_strip
+from siltworks.operators.filters import lang_vote
 from siltworks.operators.parsing import grounded
 
 
