@@ -51,7 +51,8 @@ def _lang(t):
 
 def lang_vote(words: Column) -> Column:
     """The language whose frequent words a text has most of, and how many; ties go to the first listed, no vote is `und`. ``words`` must be a plain column."""
-    n = [F.size(F.filter(words, lambda w, v=v: w.isin(*v))) for v in P.FREQUENT.values()]
+    among = lambda listed: F.size(F.filter(words, lambda w: w.isin(*listed)))
+    n = [among(v) for v in P.FREQUENT.values()]
     best = F.greatest(*n)
     lang = F.when(best == 0, "und")
     for k, c in zip(P.FREQUENT, n, strict=True):

@@ -107,3 +107,10 @@ def test_quotes_need_whole_words_only_inside(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, t string")
     want = {(i, j) for i, a in enumerate(quotes) for j, b in enumerate(texts) if a and a in b}
     assert {(x["item_id"], x["doc_id"]) for x in grounded(q, d).collect()} == want and len(want) == 4
+
+
+def test_language_votes(spark):
+    rows = [("The end of the road is in sight.", "en"), ("Der Hund und die Katze sind nicht im Haus.", "de"), ("Les enfants et le chien dans la rue", "fr"), ("El perro y los gatos en la calle", "es"), ("xyz 123", "und"), ("", "und"), (None, "und"), ("la", "fr")]
+    w = spark.createDataFrame(rows, "t string, want string").withColumn("w", F.regexp_extract_all(F.lower(F.coalesce("t", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)))
+    for x in w.select("t", "want", lang_vote(F.col("w"))["lang"].alias("got")).collect():
+        assert x["got"] == x["want"], x["t"]
