@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from pathlib import Path
 
@@ -53,16 +55,30 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+@contextmanager
+def used_once(spark: SparkSession) -> Iterator[None]:
+    """Within, shuffle files go as soon as the rows they lead to are written, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: rows are written once to the shared folder and survive lost executors."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with used_once(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, made under the setting
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Like cut, but as a compressed, column-pruned Parquet table in the shared folder."""
     path = scratch(df.sparkSession, "table")
-    df.write.parquet(path)
+    with used_once(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
