@@ -18,12 +18,10 @@ themselves and rows of one id with different texts lose only what each repeats;
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,27 +29,45 @@ from ..plans.shared import ship, stored
 from .neardup import mixed
 
 CUT_WINDOW, RUN_UNITS, RUN_WORDS = 12, 3, 24
-SENTENCE = re.compile(r"[^\n.!?]+[.!?]*|[.!?]+")
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Bytes of text whose words are hashed at once.
+HASHED = 1 << 20
 U = np.uint64
 _C = U(0x9E3779B97F4A7C15)
-
-
-class Hashes(dict):
-    """Hashes of words, those of late kept."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass").lower())
-        return h
-
-
-known = Hashes()
-
-
-def hashed(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), U, len(words))
+_INVERSE = U(pow(int(_C), -1, 1 << 64))
+#: By byte: white space, sentence ends, and a number that ignores ASCII case.
+BLANK, STOP = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b" \t\n\v\f\r", b".!?"))
+NUMBER = mixed(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(U) + U(1))
+
+
+class Words:
+    """The words of a row of texts, ``data`` in bytes of ``lens``: start, end, hash, text, and the words of each sentence.
+
+    A sentence ends after full stops, exclamation and question marks and at a line's end; a word ends at white space and
+    where its sentence does. A word's hash is a polynomial in its bytes, from prefix sums that are scaled back.
+    """
+
+    def __init__(self, data: np.ndarray, lens: np.ndarray):
+        first = np.zeros(data.size + 1, bool)
+        first[np.cumsum(lens) - lens] = True
+        first = first[:-1]
+        blank, stop = BLANK[data], STOP[data]
+        last = lambda x: np.r_[False, x[:-1]] if x.size else x
+        sentence = first | last(data == 10) | (last(stop) & ~stop)
+        begins = ~blank & (first | last(blank) | sentence)
+        self.start = np.flatnonzero(begins)
+        edges = np.r_[np.flatnonzero(blank | begins | first), data.size]
+        self.end = edges[np.searchsorted(edges, self.start, "right")]
+        self.text = np.searchsorted(np.cumsum(lens), self.start, "right")
+        of = np.cumsum(sentence)[self.start]
+        self.sentences = np.diff(np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), of.size]) if of.size else np.zeros(0, np.int64)
+        self.hash, i = np.zeros(self.start.size, U), 0
+        while i < self.start.size:  # whole words, HASHED bytes or one word at a time
+            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + HASHED, "right")))
+            a, z = self.start[i:j] - self.start[i], self.end[i:j] - self.start[i]
+            x = NUMBER[data[self.start[i] : self.end[j - 1]]]
+            sums = np.r_[U(0), np.cumsum(x * np.cumprod(np.full(x.size, _C)))]
+            self.hash[i:j] = mixed((sums[z] - sums[a]) * np.cumprod(np.full(x.size, _INVERSE))[a] + (z - a).astype(U))
+            i = j
 
 
 def cut(h: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -68,18 +84,31 @@ def cut(h: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+class Units:
+    """The units of all texts of a column: start and end in bytes of their texts, words, hash, text; and the texts' bytes."""
+
+    def __init__(self, texts: pa.Array):
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+        data = texts.buffers()[2] if len(texts) else None
+        self.data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        self.at = offsets - offsets[0]
+        w = Words(self.data, np.diff(self.at))
+        first = cut(w.hash, w.sentences)
+        last = np.r_[first[1:], w.hash.size][: first.size] - 1
+        self.words, self.text = last - first + 1, w.text[first]
+        self.start, self.end = w.start[first] - self.at[self.text], w.end[last] - self.at[self.text]
+        place = np.arange(w.hash.size) - np.repeat(first, self.words)
+        self.hash = mixed(np.add.reduceat(mixed(w.hash * _C + place.astype(U) + U(1)), first)) if first.size else np.zeros(0, U)
+
+    def of(self, i: int) -> slice:
+        return slice(*np.searchsorted(self.text, [i, i + 1]))
+
+
 def units(text: str | None) -> list[tuple[int, int, int]]:
-    """(start, end, words) of each unit in code points."""
-    w, lens = [], []
-    for s in SENTENCE.finditer(text or ""):
-        own = [m.span() for m in WORD.finditer(text, s.start(), s.end())]
-        if own:
-            w += own
-            lens.append(len(own))
-    if not w:
-        return []
-    at = [*cut(hashed([text[a:b] for a, b in w]), np.array(lens)).tolist(), len(w)]
-    return [(w[a][0], w[b - 1][1], b - a) for a, b in zip(at, at[1:], strict=False)]
+    """(start, end, words) of each unit of a text, in code points."""
+    u = Units(pa.array([text], pa.string()))
+    point = np.r_[0, np.cumsum((u.data & 0xC0) != 0x80)]
+    return list(zip(point[u.start].tolist(), point[u.end].tolist(), u.words.tolist(), strict=True))
 
 
 def runs(hashes: np.ndarray, words: np.ndarray, doc: np.ndarray, least_units: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,28 +141,11 @@ def run_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, ids, x, i = b.column("text").to_pylist(), b.column("doc_id"), b.column("x").to_numpy().astype(np.int64), 0
-            while i < len(texts):
-                w, lens, doc, size = [], [], [], 0
-                while i < len(texts) and (size == 0 or size + len(texts[i] or "") < 2_000_000):
-                    t, before = texts[i] or "", len(w)
-                    for s in SENTENCE.findall(t):
-                        if own := WORD.findall(s):
-                            w += own
-                            lens.append(len(own))
-                    doc.append(np.full(len(w) - before, i))
-                    size += len(t) + 1
-                    i += 1
-                if w:
-                    h = hashed(w)
-                    first = cut(h, np.array(lens))
-                    words = np.diff(first, append=h.size)
-                    place = np.arange(h.size) - np.repeat(first, words)
-                    units_h = mixed(np.add.reduceat(mixed(h * _C + place.astype(U) + U(1)), first))
-                    of = np.concatenate(doc)[first]
-                    at, k, h = runs(units_h, words, of, RUN_UNITS, RUN_WORDS)
-                    begin = np.searchsorted(of, of[at])
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(of[at])), pa.array((x[of[at]] << 32) + at - begin), pa.array(k.astype(np.int32))], names=["h", "doc_id", "p", "k"])
+            ids, x, u = b.column("doc_id"), b.column("x").to_numpy().astype(np.int64), Units(b.column("text"))
+            at, k, h = runs(u.hash, u.words, u.text, RUN_UNITS, RUN_WORDS)
+            if at.size:
+                of = u.text[at]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(of)), pa.array((x[of] << 32) + at - np.searchsorted(u.text, of)), pa.array(k.astype(np.int32))], names=["h", "doc_id", "p", "k"])
 
     return docs.mapInArrow(run, f"h bigint, doc_id {kind}, p bigint, k int")
 
@@ -150,7 +162,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     first = stored(first)  # so that the join on a hot passage's hash can be split
     late = rows.join(first, "h").filter(~F.struct("doc_id", "p").eqNullSafe(F.col("f")))
     late = late.select("doc_id", F.shiftright("p", 32).cast("int").alias("x"), F.col("p").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("i"), "k", F.col("f.doc_id").alias("first_id"))
-    return late.groupBy("doc_id", "x").agg(F.array_sort(F.collect_set(F.struct("i", "k", "first_id"))).alias("spans"))
+    return stored(late.groupBy("doc_id", "x").agg(F.array_sort(F.collect_set(F.struct("i", "k", "first_id"))).alias("spans")))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,17 +175,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in range(5)]
-            for t, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                u = units(t)
-                gone = np.zeros(len(u), bool)
+            u = Units(b.column("text"))
+            for i, spans in enumerate(b.column("spans").to_pylist()):
+                own, t = u.of(i), u.data[u.at[i] : u.at[i + 1]]
+                start, words = u.start[own], u.words[own]
+                gone = np.zeros(start.size, bool)
                 for s in spans:
                     gone[s["i"] : s["i"] + s["k"]] = True
-                kept, at = [], 0
-                for (x, _, _), g, following in zip(u, gone, [*(x[0] for x in u[1:]), len(t or "")], strict=True):
-                    kept.append(t[at:x])
-                    at = following if g else x
-                kept.append((t or "")[at:])
-                for c, v in zip(cols, (len(u), int(gone.sum()), sum(n for (_, _, n), g in zip(u, gone, strict=True) if g), sorted({s["first_id"] for s in spans if s["first_id"] is not None}), "".join(kept)), strict=True):
+                change = np.flatnonzero(np.diff(np.r_[False, gone, False]))  # first unit of each removed stretch, and the next that stays
+                bounds = np.r_[start, t.size][change]
+                kept = b"".join(t[x:y].tobytes() for x, y in np.r_[0, bounds, t.size].reshape(-1, 2))
+                for c, v in zip(cols, (start.size, int(gone.sum()), int(words[gone].sum()), sorted({s["first_id"] for s in spans if s["first_id"] is not None}), kept.decode("utf-8", "surrogatepass")), strict=True):
                     c.append(v)
             ids = b.column("doc_id")
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.list_(ids.type)), pa.array(cols[4], pa.string())], names=["doc_id", "n_units", "n_removed", "removed_words", "first_ids", "text"])
