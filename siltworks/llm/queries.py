@@ -1,12 +1,13 @@
-"""The queries op1_ ... op10_ over the test tables, and their SQL where SQL can express them."""
+"""The queries op1_ ... op13_ over the test tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.shared import spread
-from . import chat, decontam, language, mixing, neardup, pii, quality, spans, suffixes, tokens, words
+from ..operators.budget import _CRC
+from ..plans.shared import scratch, spread
+from . import chat, decontam, language, mixing, neardup, negatives, periodic, pii, quality, spans, suffixes, token_files, tokens, words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +70,42 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "text", *[F.get("n", F.lit(i)).alias(f"n_{k}") for i, k in enumerate(pii.TYPES)])
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language, op3_mixing, op4_minhash, op5_suffixes, op6_tokens, op7_quality, op8_decontamination, op9_sentence_spans, op10_pii)}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = scratch(spark, "token_files")
+    token_files.write(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return token_files.read(spark, path).select("doc_id", "start", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label").cast("bigint"))
+    return negatives.mine(v, F.col("vec_id") % 50 == 0, label)
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth text by its id's hash with its tail repeated, as the contract of op13 has it."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    d = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words.word_array(F.col("text"))).alias("w"))
+    d = d.select("doc_id", "text", "w", F.expr("h div 10").alias("g"), F.size("w").cast("bigint").alias("n"))
+    d = d.select("*", F.expr("if(n > 0, g % n, null)").alias("a"))
+    d = d.select("*", F.expr("1 + (n - a) div (3 + g % 8)").alias("p"))
+    tail = F.transform(F.expr("sequence(0L, n - 1)"), lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + F.pmod(i - F.col("a"), F.col("p"))).cast("int")))
+    return d.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(tail, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = periodic.collapse(made_periodic(documents(spark, sf_dir, "doc_id", "text")))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), x["period"].cast("string")), F.lit("\n"))), "")
+    top = F.col("top")
+    return r.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), top["start"].alias("start"), top["length"].alias("length"), top["period"].alias("period"), F.expr("(1000 * top.length) div top.period").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_chat_format, op2_language, op3_mixing, op4_minhash, op5_suffixes, op6_tokens, op7_quality, op8_decontamination, op9_sentence_spans, op10_pii, op11_token_files, op12_hard_negatives, op13_periodic_runs)
+}
 
 _WORDS = r"string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+')"
 _WORDS = f"list_filter({_WORDS}, lambda w: w <> '')"
@@ -192,4 +228,34 @@ n AS (SELECT id, count(*) AS n FROM b GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, count(*)::BIGINT AS n_shared, max(n.n)::BIGINT AS n_item FROM d JOIN b ON d.g = b.g JOIN n ON n.id = b.id GROUP BY d.id, b.id HAVING count(*) >= 0.8 * max(n.n)
 """
 
-ORACLES = {"op8_decontamination": _OP8, "op4_minhash": _OP4, "op1_chat_format": _OP1, "op3_mixing": _OP3, "op7_quality": _op7()}
+_OP12 = """
+WITH v0 AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS a, a.label = b.label AS alike, b.vec_id AS b, list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::BIGINT AS s FROM v0 a JOIN v0 b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), p AS (SELECT a, b AS p, s AS ps FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+n AS (SELECT a, p, ps, b, s, row_number() OVER (PARTITION BY a, p ORDER BY s DESC, b) AS r FROM p JOIN s USING (a) WHERE NOT alike AND 100 * s BETWEEN 50 * ps AND 95 * ps)
+SELECT a AS anchor_id, p AS positive_id, r::INT AS rank, b AS negative_id, ps AS positive_score, s AS negative_score FROM n WHERE r <= 3
+"""
+
+_OP13 = rf"""
+WITH {_CRC}, d0 AS (
+  SELECT doc_id, row_number() OVER () AS u, {_WORDS} AS w, xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM documents, tab
+), d1 AS (SELECT doc_id, u, w, len(w) AS n, h // 10 AS g, h % 10 = 0 AND len(w) > 0 AS made FROM d0),
+d2 AS (SELECT *, CASE WHEN made THEN g % n ELSE 0 END AS a FROM d1), d3 AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS pp FROM d2),
+d AS (SELECT doc_id, u, n, CASE WHEN made THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % pp END]) ELSE w END AS w FROM d3),
+x AS (SELECT u, n, unnest(range(n)) AS i, unnest(w) AS word FROM d),
+m AS (SELECT l.u, r.i - l.i AS p, l.i FROM x l JOIN x r ON l.u = r.u AND l.word = r.word AND r.i > l.i AND 3 * (r.i - l.i) <= l.n),
+e AS (SELECT u, p, min(i) AS s, count(*) + p AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY u, p ORDER BY i) AS isle FROM m) GROUP BY u, p, isle HAVING count(*) + p >= greatest(24, 3 * p)),
+r AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.u = e.u AND f.p < e.p AND f.s <= e.s AND f.s + f.len >= e.s + e.len)),
+c AS (SELECT u, count(*) AS n_runs, string_agg(s || ',' || len || ',' || p || chr(10), '' ORDER BY s, p) AS lines FROM r GROUP BY u),
+b AS (SELECT u, s, len, p FROM r QUALIFY row_number() OVER (PARTITION BY u ORDER BY len::DOUBLE / p DESC, s, p) = 1),
+g AS (SELECT DISTINCT u, unnest(range(s + p, s + len)) AS i FROM r),
+k AS (SELECT u, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN g USING (u, i) GROUP BY u)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, b.len::BIGINT AS length, b.p::BIGINT AS period, (1000 * b.len // b.p)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN c USING (u) LEFT JOIN b USING (u) LEFT JOIN k USING (u)
+"""
+
+ORACLES = {"op12_hard_negatives": _OP12, "op13_periodic_runs": _OP13, "op8_decontamination": _OP8, "op4_minhash": _OP4, "op1_chat_format": _OP1, "op3_mixing": _OP3, "op7_quality": _op7()}
