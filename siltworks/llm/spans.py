@@ -1,8 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
 A text is a row of units: sentences, cut before each word that has the least hash (the first of equals) in some window of
-CUT_WINDOW words of its sentence, so that a passage is cut alike wherever in a sentence it starts. From every unit starts one
-run, the shortest of at least RUN_UNITS units and RUN_WORDS words; its hash joins globally with all others. A passage of 48
+CUT_WINDOW words of its sentence, so that a passage is cut alike wherever in a sentence it starts. Two runs belong to every unit,
+the shortest of at least RUN_UNITS units and RUN_WORDS words that starts there and the shortest that ends there; their hashes
+join globally with all others. Together they cover every unit of every repeated run of any length: what no run from a unit on
+reaches, the run up to the passage's last unit holds. A passage of 48
 words or more holds a whole run: both its first and its last CUT_WINDOW words hold a cut or a sentence's start, all cuts
 between them agree, and a run takes at most 36 words from its first. Of runs with equal hashes the first by (doc_id, place)
 stays; units covered by any other are removed. Hashes are aggregated before they are joined, the least (doc_id, place) per
@@ -112,27 +114,21 @@ def units(text: str | None) -> list[tuple[int, int, int]]:
 
 
 def runs(hashes: np.ndarray, words: np.ndarray, doc: np.ndarray, least_units: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, units, hash) of the run from each unit that has one; ``doc`` tells texts apart."""
-    at = np.arange(hashes.size)
-    acc, got, starts, sizes, out = np.zeros(hashes.size, U), np.zeros(hashes.size, np.int64), [], [], []
-    k = 0
-    while at.size:
-        inside = at + k < hashes.size
-        at, acc, got = at[inside], acc[inside], got[inside]
-        same = doc[at + k] == doc[at]
-        at, acc, got = at[same], acc[same], got[same]
-        acc = mixed(acc * _C + hashes[at + k] + U(1))
-        got = got + words[at + k]
-        k += 1
-        if k >= least_units:
-            full = got >= least_words
-            starts.append(at[full])
-            sizes.append(np.full(full.sum(), k))
-            out.append(acc[full])
-            at, acc, got = at[~full], acc[~full], got[~full]
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
-    return np.concatenate(starts), np.concatenate(sizes), np.concatenate(out)
+    """(start, units, hash) of the shortest run from each unit and of the shortest up to each unit, where there is one; ``doc`` tells texts apart."""
+    at, sums = np.arange(hashes.size), np.r_[0, np.cumsum(words)]
+    bounds = np.r_[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]), hashes.size] if hashes.size else np.zeros(1, np.int64)
+    of = np.searchsorted(bounds, at, "right")
+    after = np.maximum(at + least_units, np.searchsorted(sums, sums[:-1] + least_words))
+    fits = after <= bounds[of] if hashes.size else np.zeros(0, bool)
+    first = np.minimum(at + 1 - least_units, np.searchsorted(sums, sums[1:] - least_words, "right") - 1)
+    begun = first >= bounds[of - 1] if hashes.size else np.zeros(0, bool)
+    both = np.unique(np.stack([np.r_[at[fits], first[begun]], np.r_[after[fits], at[begun] + 1]], 1), axis=0)
+    start, size = both[:, 0], both[:, 1] - both[:, 0]
+    acc, order = np.zeros(start.size, U), np.argsort(-size, kind="stable")
+    for k, n in enumerate(np.searchsorted(-size[order], -np.arange(1, size.max(initial=0) + 1), "right").tolist()):  # runs of more than k units
+        now = order[:n]
+        acc[now] = mixed(acc[now] * _C + hashes[start[now] + k] + U(1))
+    return start, size, acc
 
 
 def run_rows(docs: DataFrame) -> DataFrame:
