@@ -1,14 +1,14 @@
 """Language ID by cross-parsing entropy.
 
 Each language has a suffix automaton of labelled text. A text is parsed into the longest phrases that occur in the
-language's text (a phrase ends where its longest match does); the language that needs the fewest phrases per character
-wins. States with one edge, which are most, hold it as such; others have a row of all characters, or, where scripts make
+language's text (a phrase ends where its longest match does). A longer sample has longer matches by chance, so a phrase counts
+the logarithm of its language's sample length, which makes phrases per character a cross entropy; the least wins. States with one edge, which are most, hold it as such; others have a row of all characters, or, where scripts make
 these rows more than CELLS, the edges of all automata stand in one hash table (state, character) -> state, so the model
 grows with the sample and not with the number of scripts. Numpy parses thousands of pieces of texts in step, PIECE characters each, so that a
 piece's end adds at most one phrase; whole texts count.
 
 Fit: per language a bounded sample of SAMPLE_CHARS characters, for many languages TOTAL_CHARS over all, but MIN_CHARS each
-at least; taken whole or cut to DOC_CHARS from the labelled documents that come first by a hash of their id. Every
+at least; up to MOST_LABELS labels, more are refused, as they are no languages; texts are taken whole or cut to DOC_CHARS from the labelled documents that come first by a hash of their id. Every
 labelled language is learned, and every letter of its sample.
 
 Defined results: `und` with score 0 for a null text or one without a letter; a text of characters that no language knows
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..plans.shared import ship
 from .words import free
 
-SAMPLE_CHARS, TOTAL_CHARS, MIN_CHARS, DOC_CHARS, SAMPLE_DOCS = 40_000, 2_000_000, 2_000, 2_000, 200
+SAMPLE_CHARS, TOTAL_CHARS, MIN_CHARS, DOC_CHARS, SAMPLE_DOCS, MOST_LABELS = 40_000, 2_000_000, 2_000, 2_000, 200, 2_000
 #: Characters of a piece; (piece, language) pairs parsed in step; characters of texts held at once.
 PIECE, LANES, BATCH = 512, 1 << 15, 1_000_000
 #: Cells of four bytes that rows may have.
@@ -124,9 +124,12 @@ class Model:
         self.width = OTHER + 1 + len(known)
         self.roots = np.zeros(len(self.langs), np.int32)
         self.first = np.zeros((len(self.langs), self.width), np.int32)  # from the roots; entries are next state * 4 + phrases ended by the step
+        self.price = np.ones(len(self.langs))  # of a phrase, 1 for a sample of SAMPLE_CHARS
         states, classes, targets, n = [], [], [], 0
         for j, x in enumerate(self.langs):
-            nxt = automaton(self.encode([samples[x]])[0].tolist())
+            own = self.encode([samples[x]])[0].tolist()
+            self.price[j] = np.log(len(own) + 1) / np.log(SAMPLE_CHARS)
+            nxt = automaton(own)
             self.roots[j] = n
             self.first[j] = n * 4 + 1  # an unknown character is a phrase of its own
             for c, to in nxt[0].items():
@@ -203,19 +206,19 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
-        """Language, score and strangeness: the best language's phrases beyond the first, per letter."""
+        """Language, score and strangeness: the best language's phrases beyond the first, at their price, per letter."""
         if not self.langs:
             return [UND] * len(texts), [0.0] * len(texts), [1.0] * len(texts)
         c, lens, letters_of = self.encode([t or "" for t in texts])
-        p = self.phrases(c, lens)
+        p = self.phrases(c, lens) * self.price
         best = p.argmin(1)
         if len(self.langs) > 1:
             low = np.partition(p, 1, axis=1)
-            score = 1 - low[:, 0] / np.maximum(low[:, 1], 1)
+            score = 1 - low[:, 0] / np.maximum(low[:, 1], self.price.min())
         else:
             score = np.ones(len(texts))
         some = letters_of > 0
-        return [self.langs[b] if s else UND for b, s in zip(best, some, strict=True)], np.where(some, score, 0.0).tolist(), np.where(some, np.maximum(p.min(1) - 1, 0) / np.maximum(letters_of, 1), 1.0).tolist()
+        return [self.langs[b] if s else UND for b, s in zip(best, some, strict=True)], np.where(some, score, 0.0).tolist(), np.where(some, np.maximum(p.min(1) - self.price[best], 0) / np.maximum(letters_of, 1), 1.0).tolist()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -231,7 +234,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     spark = docs.sparkSession
     may = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).filter(F.col("i").isNotNull() & F.col("l").isNotNull() & ~held_out(F.col("i")))
     draw = F.pmod(F.xxhash64(F.lit("fit"), F.col("i")), F.lit(1 << 30))
-    n = {r["l"]: r["n"] for r in may.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row a language
+    n = {r["l"]: r["n"] for r in may.groupBy("l").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()}  # a row a language
+    if len(n) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     if not n:
         return Model({})
     chars = min(SAMPLE_CHARS, max(MIN_CHARS, TOTAL_CHARS // len(n)))
