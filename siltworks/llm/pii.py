@@ -7,7 +7,7 @@ digits, punctuation stays; a card number keeps its checksum's state, an address
 phone its country code, an e-mail its top-level domain. Being permutations, they keep distinct entities distinct and
 equal ones equal over the whole corpus with no table of names, and none maps to itself: the permutation is a shift
 conjugated by a keyed Feistel cipher, which has no fixed point. Entities compare by their normal form (10.0.0.01 is 10.0.0.1); should two in
-a text still share a surrogate, the later takes the next one. Whoever has the key can undo the surrogates, so it must be
+a text still share a surrogate, the later takes the next one, up to TRIES times, and then an error says so. Whoever has the key can undo the surrogates, so it must be
 given and kept secret; without it they can't be told from any others of their format.
 Coreference: a name is found after its title, and wherever in the text one of its parts stands by itself, with or without
 title, that mention gets the same stand-in.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -282,6 +283,8 @@ def replaced(text: str | None, key: bytes) -> tuple[str | None, list[int]]:
             if of.setdefault((kind, normal(kind, new)), own) == own:
                 break
             new = surrogate(kind, new, key)
+        else:
+            raise ValueError(f"no free surrogate of type {kind} after {TRIES} tries")
         out += [text[at:a], new]
         at = b
         n[TYPES.index(kind)] += 1
@@ -314,6 +317,12 @@ def redact(docs: DataFrame, key: bytes, text_col: str = "text", counts: str | No
     return docs.mapInArrow(run, schema)
 
 
-def session_key(spark: SparkSession) -> bytes:
-    """The key in the session's setting KEY_SETTING; DEMO_KEY, which protects nothing, where it isn't set, as on the synthetic test tables."""
-    return spark.conf.get(KEY_SETTING, DEMO_KEY).encode()
+def session_key(spark: SparkSession, unset: str | None = None) -> bytes:
+    """The key in the session's setting KEY_SETTING, or ``unset`` where it isn't set; refused without either. DEMO_KEY protects nothing: who passes it says so."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if key is None:
+        if unset is None:
+            raise ValueError(f"surrogates need a secret key in {KEY_SETTING}")
+        if unset == DEMO_KEY:
+            warnings.warn("surrogates under the public key can be undone by anyone", stacklevel=2)
+    return (key or unset or "").encode()

@@ -66,7 +66,7 @@ def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pii.redact(documents(spark, sf_dir, "doc_id", "text"), pii.session_key(spark), counts="n")
+    p = pii.redact(documents(spark, sf_dir, "doc_id", "text"), pii.session_key(spark, pii.DEMO_KEY), counts="n")
     return p.select("doc_id", "text", *[F.get("n", F.lit(i)).alias(f"n_{k}") for i, k in enumerate(pii.TYPES)])
 
 

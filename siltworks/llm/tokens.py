@@ -3,7 +3,7 @@
 Pre-tokens of a batch are held as one ragged numpy array of symbol ids. In each round every sequence finds the lowest
 rank among its adjacent pairs and merges all occurrences of that pair at once (from the left, where they overlap);
 sequences without a pair that merges are done, and their surviving symbols are counted. Ranks are looked up in the
-sorted array of pair keys. Counts of pre-tokens already seen are kept per Python worker, up to KEPT of them.
+sorted array of pair keys. Counts of pre-tokens already seen are kept per task, up to KEPT of them.
 
 Defined results: null or empty text counts 0 tokens; special strings inside a text count as the one token that the
 tokenizer's library makes of them; texts of any length are counted whole, in pieces of bounded memory; a vocabulary file

@@ -156,6 +156,25 @@ def test_every_language_and_letter_is_learned(spark):
     assert got.filter("lang_pred <> lang").count() == 0
 
 
+@pytest.mark.parametrize("chars", [400, 1000, 4000, 40_000])
+def test_samples_of_unequal_length_are_priced(spark, chars):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter(F.col("lang").isNotNull() & (F.length("text") > 200))
+    texts = collections.defaultdict(list)
+    for x in d.orderBy("doc_id").select("lang", F.substring("text", 1, 3000).alias("t")).collect():
+        texts[x["lang"]].append(x["t"])
+    for rare in texts:
+        m = language.Model({k: " ".join(v)[: chars if k == rare else 40_000] for k, v in texts.items()})
+        for k, v in texts.items():
+            got = m.predict(v[-60:])[0]
+            assert got.count(k) >= 0.97 * len(got), (rare, k, got.count(k))
+
+
+def test_too_many_labels_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LABELS", 3)
+    with pytest.raises(ValueError, match="labels"):
+        language.fit(spark.createDataFrame([(i, "some text", f"l{i}") for i in range(30)], DOCS.split(", n_chars")[0].replace(", source string", "")))
+
+
 def test_language_held_out_accuracy_and_edges(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     m = language.fit(d)
@@ -405,23 +424,29 @@ def test_repeats_of_rows_that_share_an_id(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((x["doc_id"], x["n_words"], x["n_dup_words"], tuple(x["other_ids"])) for x in suffixes.repeated(d).collect())
     assert got == [(2, 120, 120, (1,)), (2, 130, 130, ()), (5, 270, 270, (2, 3))]
-    got = sorted((x["doc_id"], x["n_removed"] == x["n_units"], len(words(x["text"])) < 60) for x in spans.dedup(d).collect())
-    assert got == [(2, False, True)] * 3 + [(5, False, True)]  # the last units of a text start no run
+    got = sorted((x["doc_id"], x["n_removed"] == x["n_units"], words(x["text"])) for x in spans.dedup(d).collect())
+    seam = words(third)[-5:] + words(other)[:9]  # one sentence where the two texts meet, which neither has
+    assert got == [(2, True, [])] * 3 + [(5, False, seam)]
     left = spans.dedup(spark.createDataFrame([(1, long), (2, long), (2, other)], "doc_id long, text string")).collect()
-    assert [x["doc_id"] for x in left] == [2] and words(left[0]["text"]) == words(long)[-len(words(left[0]["text"])) :]
+    assert [(x["doc_id"], words(x["text"])) for x in left] == [(2, [])]
 
 
 def run_keys(t):
+    """Every run of enough units and words, of any length."""
     u = [" ".join(words(t[a:b])) for a, b, _ in spans.units(t)]
     n = [len(x.split()) for x in u]
-    out = []
-    for i in range(len(u)):
-        k = spans.RUN_UNITS
-        while i + k <= len(u) and sum(n[i : i + k]) < spans.RUN_WORDS:
-            k += 1
-        if i + k <= len(u):
-            out.append((tuple(u[i : i + k]), i, k))
-    return len(u), out
+    return len(u), [(tuple(u[i:j]), i, j - i) for i in range(len(u)) for j in range(i + spans.RUN_UNITS, len(u) + 1) if sum(n[i:j]) >= spans.RUN_WORDS]
+
+
+def test_repeated_passages_of_sentences_vanish_wholly(spark):
+    r = random.Random(41)
+    sentence = lambda n: " ".join(f"s{r.randrange(10**6)}" for _ in range(n)) + "."
+    shared = [[sentence(n) for n in sizes] for sizes in ((8, 8, 8, 2, 2), (2, 2, 8, 8, 8), (9, 1, 1, 9, 4), (1, 1, 1, 30, 1, 1), (40, 2, 2))]
+    texts = [" ".join([sentence(20), *shared[i % 5], sentence(20)]) for i in range(25)]
+    got = {x["doc_id"]: x["text"] for x in spans.dedup(docs(spark, texts)).collect()}
+    assert set(got) == set(range(5, 25))
+    for i, t in got.items():
+        assert not set(words(" ".join(shared[i % 5]))) & set(words(t)) and len(words(t)) == 40
 
 
 def test_sentence_spans_equal_brute_force(spark, passages):
@@ -695,6 +720,13 @@ def test_long_texts_take_linear_time(text):
     assert time.perf_counter() - began < 20
 
 
+def test_a_key_is_required(spark):
+    with pytest.raises(ValueError, match="secret key"):
+        pii.session_key(spark)
+    with pytest.warns(UserWarning, match="public key"):
+        assert pii.session_key(spark, pii.DEMO_KEY) == pii.DEMO_KEY.encode()
+
+
 def test_keys_and_local_parts():
     with pytest.raises(ValueError):
         pii.ready(b"")
@@ -731,7 +763,7 @@ def test_pipeline(spark):
     dirty = {i for i in ids[2] if any(s and len(s & shingle_set(rows[i]["text"], 5)) >= 0.8 * len(s) for s in items)}
     assert dirty and ids[3] == sorted(set(ids[2]) - dirty) and ids[4] == ids[3]
     for r in stages[4].collect():
-        assert r["text"] == pii.replaced(rows[r["doc_id"]]["text"], pii.ready(pii.session_key(spark)))[0] and r["n_chars"] == len(r["text"])
+        assert r["text"] == pii.replaced(rows[r["doc_id"]]["text"], pii.ready(pii.session_key(spark, pii.DEMO_KEY)))[0] and r["n_chars"] == len(r["text"])
     n = collections.Counter(ids[5])
     assert set(n) <= set(ids[4]) and max(n.values()) <= 3
     assert sorted(r["doc_id"] for r in P.run(spark, SF).select("doc_id").collect()) == ids[5]
