@@ -48,7 +48,7 @@ PREAMBLE = r"(?i)^(?:\s*(?:here (?:is|'s)[^\n]*\n+|certainly[^\n]*\n+|sure[^\n]*
 HYGIENE_TRAINED = r"(?i)provided (context|reports?|text|material|snippets?|headlines|list|news)|the user has (provided|given|supplied)|news snippets|these headlines|the (article|document) (says|states|mentions)"
 
 # --- fixed values: words of an article on a death ---------------------------------------------
-DEATH = r"(?i)\b(died|dies|death|dead|passed away|obituar\w*|funeral)\b"
+DEATH = r"(?i)\b(died|death|dies|passed away|obituary|dead|posthum)"
 
 # --- fixed values: an entry of a list of deaths, and its steps from markup to prose --------------
 DEATH_ENTRY = r"^\*\s*\[\[([^\]|]+)(?:\|[^\]]*)?\]\]\s*,?\s*(.*)$"

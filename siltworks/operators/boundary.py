@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.catalog import query
-from ..plans.shared import cut, scratch, ship
+from ..plans.shared import cut, same, scratch, ship
 from ..sources.writers import exists
 
 
@@ -156,11 +156,15 @@ def _rejects(t):
 
 
 def cached(keys: DataFrame, key: str, path: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Results of the keys by a lookup table at ``path``: what isn't there is computed, each key once, and appended before it is read."""
+    """Results of the keys, null included, by a lookup table at ``path``: what isn't there is computed, each key once, and appended before it is read."""
     spark, asked = keys.sparkSession, keys.select(key).distinct()
-    new = cut(compute(asked.join(spark.read.parquet(path).select(key), key, "left_anti") if exists(spark, path) else asked))
+    if exists(spark, path):
+        old = spark.read.parquet(path).select(F.col(key).alias("__old"))
+        asked = asked.join(old, same(asked, old, [(key, "__old")]), "left_anti")
+    new = cut(compute(asked))
     new.write.mode("append").parquet(path)
-    return keys.join(spark.read.schema(new.schema).parquet(path), key, "left")
+    table = spark.read.schema(new.schema).parquet(path).withColumnRenamed(key, "__key")
+    return keys.join(table, same(keys, table, [(key, "__key")]), "left").drop("__key")
 
 
 @query("cached_lookup", "WITH q AS (SELECT doc_id, split_part(text, ' ', 1) AS q FROM documents), f AS (SELECT DISTINCT q FROM q WHERE doc_id % 3 = 0) SELECT doc_id, q, 'r:' || md5(q) AS result, CASE WHEN q IN (SELECT q FROM f) THEN 1 ELSE 2 END::INT AS run FROM q")

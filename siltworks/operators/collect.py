@@ -12,9 +12,9 @@ from ..sources.derived import DATED, dated
 from .dedup import first_by
 
 def surname(person: Column) -> Column:
-    """The last word of more than one character, in lower case."""
+    """The last word of more than one character, in lower case; the whole name where there is none."""
     parts = F.filter(F.split(F.lower(X.squeeze(person)), " "), lambda w: F.length(w) > 1)
-    return F.when(F.size(parts) > 0, F.element_at(parts, -1))
+    return F.when(F.size(parts) > 0, F.element_at(parts, -1)).otherwise(F.lower(person))
 
 
 def relevant(person: Column, text: Column, head: int = 4000) -> Column:
@@ -23,12 +23,12 @@ def relevant(person: Column, text: Column, head: int = 4000) -> Column:
     return s.isNotNull() & F.contains(F.lower(text), F.coalesce(s, F.lit(""))) & F.substring(text, 1, head).rlike(P.DEATH)
 
 
-_RT = "CASE WHEN doc_id % 3 = 0 THEN concat('He died. ', text) ELSE text END"
+_RT = "CASE WHEN doc_id % 3 = 0 THEN concat('He died. ', text) WHEN doc_id % 7 = 0 THEN concat('Known posthumously, after a funeral. ', text) WHEN doc_id % 7 = 1 THEN concat('A funeral; two deaths. ', text) ELSE text END"
 
 
-@query("relevance_filter", rf"WITH d AS (SELECT doc_id, {_RT} AS t, CASE WHEN doc_id % 2 = 0 THEN 'Jo X Ing' ELSE 'Ann Nowhere-Else J' END AS person FROM documents), s AS (SELECT *, list_filter(string_split(lower(person), ' '), lambda w: length(w) > 1)[-1] AS sn FROM d) SELECT doc_id, sn AS surname FROM s WHERE contains(lower(t), sn) AND regexp_matches(substr(t, 1, 4000), {lit(P.DEATH)})")
+@query("relevance_filter", rf"WITH d AS (SELECT doc_id, {_RT} AS t, CASE doc_id % 4 WHEN 1 THEN 'Ann Nowhere-Else J' WHEN 3 THEN 'E' ELSE 'Jo X Ing' END AS person FROM documents), s AS (SELECT *, coalesce(list_filter(string_split(lower(person), ' '), lambda w: length(w) > 1)[-1], lower(person)) AS sn FROM d) SELECT doc_id, sn AS surname FROM s WHERE contains(lower(t), sn) AND regexp_matches(substr(t, 1, 4000), {lit(P.DEATH)})")
 def _relevance(t):
-    d = t("documents").select("doc_id", F.expr(_RT).alias("t"), F.when(F.col("doc_id") % 2 == 0, "Jo X Ing").otherwise("Ann Nowhere-Else J").alias("person"))
+    d = t("documents").select("doc_id", F.expr(_RT).alias("t"), F.when(F.col("doc_id") % 4 == 1, "Ann Nowhere-Else J").when(F.col("doc_id") % 4 == 3, "E").otherwise("Jo X Ing").alias("person"))
     return d.filter(relevant(F.col("person"), F.col("t"))).select("doc_id", surname(F.col("person")).alias("surname"))
 
 

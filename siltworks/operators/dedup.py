@@ -191,9 +191,11 @@ def dedup_then_cap(rows: DataFrame, order: list[str], key: str, group: str, capp
     A dropped row uses up neither a key nor a place. Each round decides, of the undecided rows, those at the head of their
     group as far as they are the first of their key (and the group has room), and the uncapped that are the first of their
     key; then what shares a key with them, and the rest of full groups. Rounds are cut by checkpoints; within a group one round
-    takes all rows up to the first that waits for another group. Needs ``order`` to be unique; adds ``stays``.
+    takes all rows up to the first that waits for another group. A null key is no key: its row is like no other. Needs ``order``
+    to be unique, and raises where a round decides nothing because it isn't; adds ``stays``.
     """
-    left = cut(rows.select(F.struct(*order).alias("o"), F.col(key).alias("k"), F.col(group).alias("g"), F.coalesce(capped, F.lit(False)).alias("b"), F.lit(cap).alias("room")))
+    own = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.concat(F.lit("o"), F.to_json(F.struct(*order))))
+    left = cut(rows.select(F.struct(*order).alias("o"), own.alias("k"), F.col(group).alias("g"), F.coalesce(capped, F.lit(False)).alias("b"), F.lit(cap).alias("room")).filter("not b or room > 0"))
     kept = None
     while left.limit(1).count():
         least = left.groupBy("k").agg(F.min("o").alias("least"))
@@ -203,6 +205,8 @@ def dedup_then_cap(rows: DataFrame, order: list[str], key: str, group: str, capp
         rank = F.row_number().over(Window.partitionBy("g").orderBy("o"))
         head = head.withColumn("r", rank).filter(F.col("r") <= cap).filter(F.col("r") <= F.col("room"))  # tasks pass on ``cap`` rows a group
         now = cut(head.select("o", "k", "g", "b").unionByName(t.filter("clear and not b").select("o", "k", "g", "b")))
+        if not now.limit(1).count():
+            raise ValueError("a round that decides nothing")
         kept = now.select("o") if kept is None else kept.unionByName(now.select("o"))
         used = now.filter("b").groupBy(F.col("g").alias("ug")).agg(F.count("*").cast("int").alias("used"))
         left = left.join(now.select("k").distinct(), "k", "left_anti").join(used, F.col("g").eqNullSafe(F.col("ug")), "left")

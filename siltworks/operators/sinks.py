@@ -8,6 +8,7 @@ from ..plans.catalog import query
 from ..plans.shared import scratch
 from ..sources import readers, writers
 from ..sources.derived import DATED, dated
+from ..sources.warc import register
 from ..streaming.jobs import clean_stream, hourly
 
 
@@ -80,15 +81,32 @@ def _kb(t):
     return readers.read_kb(b.sparkSession, path).select("id", "category", F.length("content").cast("long").alias("n"))
 
 
-@query("warc_scan", "SELECT url, '2026-03-04' AS date, md5(html) AS html_md5 FROM pages")
+_QUOTED = "'WARC/1.0', NL, 'WARC-Type: response', NL, 'WARC-Target-URI: http://no/', NL, 'Content-Length: 2', NL, NL, 'no', NL, NL"
+_PAGE = f"CASE WHEN page_id % 6 = 0 THEN concat(html, NL, NL, {_QUOTED}, 'end') WHEN page_id % 6 = 1 THEN concat(html, NL, NL) WHEN page_id % 6 = 2 THEN concat('WARC/1.0', NL, html) ELSE html END"
+_WESTERN = "page_id % 6 = 3 AND NOT {}(html, '[^\\x00-\\x7F\\xA0-\\xFF]')"
+
+
+@query("warc_scan", f"WITH p AS (SELECT url, page_id, html, {_PAGE.replace('NL', 'chr(13) || chr(10)')} AS page FROM pages) SELECT url, '2026-03-04' AS date, CASE WHEN {_WESTERN.format('regexp_matches')} THEN 'cp1252' ELSE 'utf-8' END AS charset, md5(page) AS html_md5 FROM p")
 def _warc(t):
-    """Pages written as response records among others, and read back."""
-    p, nl = t("pages").select("url", "html"), "\r\n"
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{nl}Content-Type: text/html{nl}{nl}"), "html")
-    record = lambda kind, body: F.concat(F.lit(f"WARC/1.0{nl}WARC-Type: {kind}{nl}WARC-Target-URI: "), "url", F.lit(f"{nl}WARC-Date: 2026-03-04T05:06:07Z{nl}Content-Length: "), F.octet_length(body).cast("string"), F.lit(nl + nl), body, F.lit(nl))
+    """Pages written as response records among others, plain and packed, and read back: pages that quote records or end in blank lines, Latin-1, chunked ones."""
+    p, nl = t("pages").select("page_id", "url", "html"), "\r\n"
+    western = F.expr(_WESTERN.format("regexp_like").replace("\\", "\\\\"))
+    page = F.expr(_PAGE.replace("NL", "'\\r\\n'"))
+    body = F.when(western, F.encode(F.when(western, page).otherwise(F.lit("")), "ISO-8859-1")).otherwise(F.encode(page, "UTF-8"))
+    raw = lambda *parts: F.concat(*[F.lit(x).cast("binary") if isinstance(x, str) else x.cast("binary") for x in parts])
+    p = p.select("page_id", "url", "html", western.alias("western"), body.alias("body"))
+    chunked = raw(F.lower(F.hex(F.octet_length("body"))), nl, F.col("body"), f"{nl}0{nl}{nl}")
+    head = F.when(F.col("western"), F.lit("; charset=ISO-8859-1")).otherwise(F.lit("; charset=utf-8"))
+    transfer = F.col("page_id") % 6 == 4
+    http = raw(f"HTTP/1.1 200 OK{nl}Content-Type: text/html", head, F.when(transfer, F.lit(f"{nl}Transfer-Encoding: chunked")).otherwise(F.lit("")), nl + nl, F.when(transfer, chunked).otherwise(F.col("body")))
+    record = lambda kind, b: raw(f"WARC/1.0{nl}WARC-Type: {kind}{nl}WARC-Target-URI: ", F.col("url"), f"{nl}WARC-Date: 2026-03-04T05:06:07Z{nl}Content-Length: ", F.octet_length(b).cast("string"), nl + nl, b, nl)
+    both = p.select("page_id", raw(record("request", F.col("url")), nl, record("response", http)).cast("string").alias("value"))
     path = _folder(p)
-    p.select(F.concat(record("request", F.col("url")), F.lit(nl), record("response", http)).alias("value")).write.option("lineSep", nl).option("compression", "gzip").text(path)
-    return readers.read_warc(p.sparkSession, path).select("url", "date", F.md5("html").alias("html_md5"))
+    for packed, part in (("gzip", both.filter("page_id % 2 = 0")), ("none", both.filter("page_id % 2 = 1"))):
+        part.select("value").write.option("lineSep", nl).option("compression", packed).text(f"{path}/{packed}")
+    register(p.sparkSession)
+    w = p.sparkSession.read.format("warc").option("splitBytes", 1 << 20).load(path)
+    return w.select("url", "date", "charset", F.md5(F.encode("html", "UTF-8")).alias("html_md5"))
 
 
 @query("atom_scan", "SELECT page_id, url AS title, 'a b' || (page_id % 9) || ' c' AS summary FROM pages")

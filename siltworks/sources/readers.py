@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .warc import register
+
 #: Fields of a crawled document, in the order of the record.
 DOCUMENT = "tier STRING, date STRING, url STRING, domain STRING, title STRING, text STRING, est_tokens BIGINT, src STRING"
 LINKED = DOCUMENT + ", points BIGINT, hn_url STRING"
@@ -54,18 +56,7 @@ def read_paths(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter("trim(value) <> ''").withColumnRenamed("value", "path")
 
 
-def read_warc(spark: SparkSession, path: str, version: str = "1.0") -> DataFrame:
-    """url, date and html of all response records of WARC files, packed or not.
-
-    Spark's text reader streams a file, gzip members included, and splits it before each record's first line, so a task holds
-    one record at a time and plain files are split among tasks. A record counts if its body has the bytes its head
-    states; a body that itself holds a record's first line after a blank one is thereby left out, not cut.
-    """
-    r = spark.read.option("lineSep", f"WARC/{version}\r\n").text(path)
-    r = r.select(F.substring_index("value", "\r\n\r\n", 1).alias("head"), "value")
-    field = lambda k: F.trim(F.regexp_extract("head", rf"(?im)^{k}:[ \t]*(.*?)[ \t]*\r?$", 1))
-    r = r.select(field("WARC-Type").alias("kind"), field("WARC-Target-URI").alias("url"), F.substring(field("WARC-Date"), 1, 10).alias("date"), field("Content-Length").try_cast("long").alias("size"), F.expr("substring(value, length(head) + 5)").alias("body"))
-    r = r.filter((F.col("kind") == "response") & F.col("size").isNotNull() & (F.octet_length("body") >= F.col("size")))
-    body = F.regexp_replace("body", r"(?s)(?:\r\n)+$", "")
-    html = F.when(F.instr(body, "\r\n\r\n") > 0, F.expr("substring(body, instr(body, '\r\n\r\n') + 4)")).otherwise(F.col("body"))
-    return r.select("url", "date", F.make_valid_utf8(F.regexp_replace(html, r"\r\n\r\n$", "")).alias("html"))
+def read_warc(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """url, date and html of all response records of WARC files, packed or not; options as in ``warc``."""
+    register(spark)
+    return spark.read.format("warc").options(**options).load(path).select("url", "date", "html")

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import same
+
 #: The folder of rows without a value.
 NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
@@ -23,7 +25,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def append_new(df: DataFrame, path: str, key: list[str], order: list[str] | None = None) -> DataFrame:
-    """Appends the rows whose key isn't in the table at ``path`` and returns the whole table.
+    """Appends the rows whose key, nulls included, isn't in the table at ``path`` and returns the whole table.
 
     Of rows that share a key the first by ``order`` (all columns unless given) is taken. The table read is the state before
     the write, so a run that was broken off resumes where it stopped.
@@ -31,7 +33,8 @@ def append_new(df: DataFrame, path: str, key: list[str], order: list[str] | None
     spark = df.sparkSession
     new = df.groupBy(*key).agg(F.min_by(F.struct(*df.columns), F.struct(*(order or df.columns))).alias("__row")).select("__row.*")
     if exists(spark, path):
-        new = new.join(spark.read.schema(df.schema).parquet(path).select(*key), key, "left_anti").select(*df.columns)
+        old = spark.read.schema(df.schema).parquet(path).select(*[F.col(k).alias(f"__old_{k}") for k in key])
+        new = new.join(old, same(new, old, [(k, f"__old_{k}") for k in key]), "left_anti")
     new.write.mode("append").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -37,16 +37,21 @@ def windowed(events: DataFrame, every: str = "1 hour", late: str = "10 minutes")
     return g.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
+def watermark(spark: SparkSession, path: str) -> int:
+    """Milliseconds of the watermark of the last batch that the checkpoint of run_to_end has; 0 before any."""
+    logged = spark.read.text(path + "/state/offsets").select(F.get_json_object("value", "$.batchWatermarkMs").cast("long").alias("ms"))
+    return logged.agg(F.max("ms")).first()[0] or 0
+
+
 def hourly(spark: SparkSession, source: str, schema: StructType, path: str) -> DataFrame:
     """All windows so far: those the watermark has closed, as the stream wrote them, and those still open, as they stand.
 
-    Append mode emits a window once the watermark has passed it, and emitted windows start before all open ones; so the open
-    ones are a batch aggregate of the rows after the last emitted window, and nothing is written to the source.
+    The stream emits a window once its watermark has passed the window's end, and drops rows of such windows that come later;
+    so the open ones are a batch aggregate of the rows of windows that end after the last batch's watermark. A row too late for its window
+    counts in no run, and a window once shown closed stays as it is.
     """
     read = lambda df: df.withColumn("ts", F.col("ts").cast("timestamp"))
     out = run_to_end(windowed(read(spark.readStream.schema(schema).parquet(source))), path)
-    closed = out.agg(F.max("start").alias("m")).first()["m"]
-    rows = read(spark.read.schema(schema).parquet(source))
-    if closed is not None:
-        rows = rows.filter(F.col("ts") >= F.lit(closed) + F.expr("interval 1 hour"))
+    ms = watermark(spark, path)
+    rows = read(spark.read.schema(schema).parquet(source)).filter(F.col("ts") >= F.timestamp_millis(F.lit(ms - ms % 3_600_000)))
     return out.unionByName(windowed(rows)).withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -206,3 +206,19 @@ def test_signs_of_many_pairs(spark):
     for w, n in pairs:
         assert got[w, n] == pytest.approx(exact(w, n), rel=1e-8, abs=1e-300)
 
+
+
+def test_null_keys_are_no_keys(spark):
+    rows = [(1, None, "g"), (2, None, "g"), (3, "a", "g"), (4, "a", "h"), (5, None, None)]
+    got = dedup_then_cap(spark.createDataFrame(rows, "i long, k string, g string"), ["i"], "k", "g", F.lit(True), 2)
+    assert {r["i"]: r["stays"] for r in got.collect()} == {1: True, 2: True, 3: False, 4: True, 5: True}
+    got = dedup_then_cap(spark.createDataFrame(rows, "i long, k string, g string"), ["i"], "k", "g", F.col("i") > 2, 0)
+    assert {r["i"]: r["stays"] for r in got.collect()} == {1: True, 2: True, 3: False, 4: False, 5: False}
+
+
+@pytest.mark.parametrize("name,text,want", [("Jo X", "jo, known posthumously", True), ("Jo X", "Jo's deaths", True), ("Jo X", "Jo's funeral", False), ("E", "e died", True), (None, "died", None), ("A. Li", "LI IS DEAD", True)])
+def test_relevance(spark, name, text, want):
+    from siltworks.operators.collect import relevant
+
+    d = spark.createDataFrame([(name, text)], "p string, t string")
+    assert d.select(relevant(F.col("p"), F.col("t")).alias("r")).first()["r"] in ((want,) if want is not None else (None, False))

@@ -1,14 +1,18 @@
 """Sources, sinks, streams and the model boundary."""
 
+import collections
 import datetime
 import gzip
+import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from siltworks.operators.boundary import JobTable, ai_map, refuse_above
+from siltworks.operators.boundary import JobTable, ai_map, cached, refuse_above
 from siltworks.plans.shared import shared_dir
 from siltworks.sources import readers, writers
+from siltworks.sources.warc import register
 from siltworks.streaming.jobs import clean, first_seen, hourly
 
 
@@ -48,6 +52,67 @@ def test_warc(spark, tmp_path, packed):
     assert [(r["url"], r["date"], r["html"]) for r in rows] == [("http://a/1", "2026-01-02", html), ("http://a/2", "2026-01-02", html), ("http://a/4", "2026-01-02", "bare")]
 
 
+def warc_record(kind, uri, body, eol=b"\r\n"):
+    head = f"WARC/1.1\nWARC-Type: {kind}\nWARC-Target-URI: <{uri}>\nWARC-Date: 2026-01-02T00:00:00Z\nX-Folded: a\n b\nContent-Length: {len(body)}\n\n"
+    return head.encode().replace(b"\n", eol) + body + b"\r\n\r\n"
+
+
+def http(body, *heads):
+    return b"\r\n".join([b"HTTP/1.1 200 OK", *heads, b"", b""]) + body
+
+
+@pytest.mark.parametrize("share,eol", [(500, b"\r\n"), (1 << 27, b"\n")])
+def test_warc_records_come_whole_from_every_share(spark, tmp_path, share, eol):
+    r = random.Random(4)
+    bodies = []
+    for i in range(18):
+        inner = warc_record("response", "http://fake/", http(b"inner")) * r.randrange(3)
+        bodies.append(r.choice([b"", b"\r\n\r\n", b"x" * r.randrange(900)]) + inner + r.choice([b"", b"\r\n\r\n\r\n", b"\r\n\r\nWARC/1.1\r\n"]))
+    parts = [warc_record("response" if i % 3 else "metadata", f"http://a/{i}", http(b) if i % 3 else b, eol) for i, b in enumerate(bodies)]
+    (tmp_path / "plain.warc").write_bytes(b"".join(parts))
+    (tmp_path / "packed.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in parts[:10]) + gzip.compress(b"".join(parts[10:])) + b"\0" * 5)
+    register(spark)
+    w = spark.read.format("warc").option("splitBytes", share).option("types", "").option("body", "true").load(str(tmp_path))
+    got = collections.Counter((x["file"].rsplit("/", 1)[-1], x["url"], bytes(x["body"])) for x in w.collect())
+    assert got == collections.Counter((f, f"http://a/{i}", b) for f in ("plain.warc", "packed.warc.gz") for i, b in enumerate(bodies))
+    if share == 500:
+        assert w.rdd.getNumPartitions() > 10
+
+
+def test_warc_payloads(spark, tmp_path):
+    text = "caf\u00e9 \u20ac " * 50
+    packed = gzip.compress(text.encode())
+    chunks = b"".join(f"{len(packed[i:i + 40]):X};x=y\r\n".encode() + packed[i : i + 40] + b"\r\n" for i in range(0, len(packed), 40)) + b"0\r\n\r\n"
+    cases = {
+        "chunked-gzip": (http(chunks, b"Transfer-Encoding: chunked", b"Content-Encoding: gzip"), text),
+        "deflate": (http(zlib.compress(text.encode()), b"Content-Encoding: deflate"), text),
+        "raw-deflate": (http(zlib.compress(text.encode())[2:-4], b"content-encoding: Deflate"), text),
+        "not-gzip": (http(text.encode(), b"Content-Encoding: gzip"), text),
+        "not-chunked": (http(text.encode(), b"Transfer-Encoding: chunked"), text),
+        "western": (http("\u20ac\u00e9".encode("cp1252"), b"Content-Type: text/html; charset=latin1"), "\u20ac\u00e9"),
+        "meta": (http('<meta charset="windows-1251">\u0416'.encode("cp1251")), '<meta charset="windows-1251">\u0416'),
+        "unknown": (http(b"ok", b"Content-Type: text/html; charset=none-such"), "ok"),
+        "mark": (http("\ufeffz\u00e9".encode("utf-16-le"), b"Content-Type: text/html; charset=ascii"), "z\u00e9"),
+        "broken": (http(b"a\xff\0b"), "a\ufffd\ufffdb"),
+        "bare": (b"no head", "no head"),
+    }
+    (tmp_path / "x.warc").write_bytes(b"".join(warc_record("response", k, v) for k, (v, _) in cases.items()))
+    got = {x["url"]: x["html"] for x in readers.read_warc(spark, str(tmp_path / "*.warc")).collect()}
+    assert got == {k: v for k, (_, v) in cases.items()}
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_broken_warc_files_are_told(spark, tmp_path, packed):
+    whole = [warc_record("response", f"http://a/{i}", http(b"y" * 300)) for i in range(3)]
+    broken = b"".join(map(gzip.compress, whole))[:-20] if packed else b"".join(whole)[:-100]
+    (tmp_path / "x").write_bytes(broken)
+    with pytest.raises(Exception, match="shorter|without an end"):
+        readers.read_warc(spark, str(tmp_path)).collect()
+    assert readers.read_warc(spark, str(tmp_path), strict="false").count() == 2
+    (tmp_path / "x").write_bytes(b"")
+    assert readers.read_warc(spark, str(tmp_path)).count() == 0
+
+
 def test_paths(spark, tmp_path):
     (tmp_path / "l.gz").write_bytes(gzip.compress(b"a/1\n\nb/2\n"))
     assert sorted(r["path"] for r in readers.read_paths(spark, str(tmp_path / "l.gz")).collect()) == ["a/1", "b/2"]
@@ -123,6 +188,27 @@ def test_hourly_windows_go_on_after_a_run(spark, tmp_path):
         assert spark.read.parquet(source).count() == len(seen)
 
 
+def test_late_rows_neither_appear_nor_vanish(spark, tmp_path):
+    at = lambda h, m: datetime.datetime(2026, 1, 1, h, m)
+    shown = []
+    for i, ts in enumerate([[at(1, 5), at(6, 5)], [at(4, 30), at(6, 10)], [at(9, 5)], [at(5, 59)]]):
+        df = spark.createDataFrame([(i, x, "a", 1.0) for x in ts], "event_id long, ts timestamp_ntz, event_type string, value double")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        got = hourly(spark, str(tmp_path / "in"), df.schema, str(tmp_path / "state")).collect()
+        shown.append({x["start"].hour: x["n"] for x in got})
+    assert shown == [{1: 1, 6: 1}, {1: 1, 6: 2}, {1: 1, 6: 2, 9: 1}, {1: 1, 6: 2, 9: 1}]
+
+
+def test_null_keys_are_appended_and_looked_up_once(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), (None, 2)], "k string, v int")
+    for _ in range(3):
+        assert writers.append_new(df, str(tmp_path / "t"), ["k"]).count() == 2
+    for run in range(3):
+        got = cached(df, "k", str(tmp_path / "c"), lambda x, run=run: x.withColumn("run", F.lit(run)))
+        assert sorted((x["v"], x["run"]) for x in got.collect()) == [(1, 0), (2, 0)]
+    assert spark.read.parquet(str(tmp_path / "c")).count() == 2
+
+
 def test_jobs_are_adopted_once(spark, tmp_path):
     table = lambda: JobTable(spark, str(tmp_path / "jobs"))
     batches = spark.createDataFrame([("x", 0), ("y", 0)], "batch_id string, round int")
