@@ -13,8 +13,8 @@ all: a lost or repeated task leaves files that no index row names, which ``write
 reach the folder by pyarrow's file systems (local and shared mounts, HDFS, S3, GCS).
 
 Encoding is the tokenizer library's own. Texts are cut before single spaces that a visible character follows, where every byte-level
-vocabulary starts a new pre-token, and each distinct piece is encoded once and kept, up to KEPT pieces a worker; files of other kinds
-encode whole texts.
+vocabulary starts a new pre-token. Distinct pieces are encoded once and kept, up to KEPT a worker, and so are the pre-tokens of
+new pieces, by the library's model; pieces with special strings, and texts for vocabularies of other kinds, go to the library whole.
 
 Defined results: a null text counts as empty, so it holds the end id alone; a null id comes first; rows of one id come in the
 order of their texts' hashes, then texts; repeated rows stand there as often; texts of any length are encoded piece by
@@ -24,15 +24,17 @@ piece; other columns are not read; an empty table gives an empty index and no fi
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import uuid
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -40,66 +42,102 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import join_checked, ship
-from .tokens import unsupported
+from .tokens import PATTERN, QUICK, byte_symbols, unlike, unsupported
 
 #: Ids of a frame and of a file.
 FRAME_IDS, SHARD_IDS = 1 << 18, 1 << 26
 #: The published format's magic numbers: of the skippable frame, and of a seek table's footer; its flag for checksums.
 SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x80
-#: Distinct pieces a worker keeps, characters of texts it encodes at once, characters of a slice of a long text.
-KEPT, BATCH_CHARS, SLICE = 500_000, 1_000_000, 1_000_000
+#: Distinct pieces, and pre-tokens, that a worker keeps; characters of texts it encodes at once, characters of a slice of a long text.
+KEPT, BATCH_CHARS, SLICE = 500_000, 500_000, 500_000
 #: A piece starts at a space that no white space follows.
 CUT = re.compile(r"(?= [^\s])")
 PLAIN = re.compile(r" (?:\s|$)")
 
 
+class Pool:
+    """Ids of strings already seen, in one array; empties itself beyond ``most`` strings."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.used, self.start, self.size = np.zeros(1 << 20, np.uint32), 0, np.zeros(self.most, np.int64), np.zeros(self.most, np.int64)
+
+    def put(self, new: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        while self.used + ids.size > self.ids.size:
+            self.ids = np.r_[self.ids, np.zeros(self.ids.size, np.uint32)]
+        self.ids[self.used : self.used + ids.size] = ids
+        k = len(self.known)
+        if k + len(new) > self.start.size:
+            self.start, self.size = (np.r_[x, np.zeros(len(new), np.int64)] for x in (self.start, self.size))
+        self.start[k : k + len(new)], self.size[k : k + len(new)] = self.used + np.cumsum(n) - n, n
+        self.known.update(zip(new, range(k, k + len(new)), strict=True))
+        self.used += ids.size
+
+    def rows(self, rows: list[list[str]], learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all strings in a row, and how many each of ``rows`` has; ``learn`` gives those of new ones."""
+        flat = list(chain.from_iterable(rows))
+        find = lambda x: np.fromiter(map(self.known.get, x, repeat(-1)), np.int64, len(x))
+        at = find(flat)
+        lacking = np.flatnonzero(at < 0)
+        if lacking.size:
+            if len(self.known) + lacking.size > self.most:
+                self.forget()
+                lacking = np.arange(len(flat))
+            seen = [flat[i] for i in lacking.tolist()]
+            self.put(new := list(dict.fromkeys(seen)), *learn(new))
+            at[lacking] = find(seen)
+        first, n = self.start[at], self.size[at]
+        ends = np.cumsum(n)
+        ids = self.ids[np.arange(int(n.sum())) + np.repeat(first - ends + n, n)]
+        return ids, np.diff(np.r_[0, np.r_[0, ends][np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))]])
+
+
+def ragged(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.fromiter(map(len, rows), np.int64, len(rows))
+    return np.fromiter(chain.from_iterable(rows), np.uint32, int(n.sum())), n
+
+
 class Encoder:
-    """A tokenizer's library, with the ids of pieces already seen in one pool."""
+    """A tokenizer's library, asked once for each piece of text, and of byte-level files once for each pre-token."""
 
     def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are as many as cores
         from tokenizers import Tokenizer
 
         self.own, parsed = Tokenizer.from_str(spec), json.loads(spec)
         self.own.no_truncation()
         self.own.no_padding()
-        self.by_piece = not unsupported(parsed) and not any(" " in t["content"] for t in parsed.get("added_tokens", []))
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool, self.used, self.start, self.size = np.zeros(1 << 20, np.uint32), 0, np.zeros(KEPT + 1, np.int64), np.zeros(KEPT + 1, np.int64)
+        special = [t["content"] for t in parsed.get("added_tokens", [])]
+        self.by_piece = not unsupported(parsed) and not any(" " in t for t in special)
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.model, self.table = self.own.model, {b: c for c, b in byte_symbols().items()}
+        self.pieces, self.tokens = Pool(KEPT), Pool(KEPT)
+        self.find, self.quick, self.odd = regex.compile(PATTERN), re.compile(QUICK), unlike()
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            ids = self.whole(part)
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            while self.used + n.sum() > self.pool.size:
-                self.pool = np.r_[self.pool, np.zeros(self.pool.size, np.uint32)]
-            self.pool[self.used : self.used + n.sum()] = np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))
-            k = len(self.known)
-            self.start[k : k + len(part)], self.size[k : k + len(part)] = self.used + np.cumsum(n) - n, n
-            self.known.update(zip(part, range(k, k + len(part)), strict=True))
-            self.used += int(n.sum())
-
-    def pieces(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of rows of pieces, and how many each row has."""
-        new = list(set(chain.from_iterable(texts)).difference(self.known))
-        if len(self.known) + len(new) > KEPT:
-            self.forget()
-            new = list(set(chain.from_iterable(texts)))
-            if len(new) > KEPT:
-                raise ValueError("more pieces than a batch may have")  # BATCH_CHARS rules it out
-        self.learn(new)
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), np.int64)
-        first, n = self.start[at], self.size[at]
-        ends = np.cumsum(n)
-        ids = self.pool[np.arange(int(n.sum())) + np.repeat(first - ends + n, n)]
-        rows = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-        return ids, np.diff(np.r_[0, np.r_[0, ends][rows]])
+    def of_tokens(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        spelt = (t.encode().decode("latin-1").translate(self.table) for t in new)
+        return ragged([[x.id for x in self.model.tokenize(t)] for t in spelt])
+
+    def of_pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces that hold a special string go to the library whole."""
+        if self.special and any(map(self.special.search, new)):
+            odd = [bool(self.special.search(w)) for w in new]
+            ids, n = self.tokens.rows([[] if o else self.split_tokens(w) for w, o in zip(new, odd, strict=True)], self.of_tokens)
+            parts = np.split(ids, np.cumsum(n)[:-1])
+            for i in np.flatnonzero(odd).tolist():
+                parts[i] = np.array(self.whole([new[i]])[0], np.uint32)
+            return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        return self.tokens.rows(list(map(self.split_tokens, new)), self.of_tokens)
+
+    def split_tokens(self, piece: str) -> list[str]:
+        return (self.find if self.odd.search(piece) else self.quick).findall(piece)
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -119,10 +157,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
         if self.by_piece:
-            return self.pieces([self.split(t) for t in texts])
-        ids = self.whole(texts)
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())), n
+            return self.pieces.rows([self.split(t) for t in texts], self.of_pieces)
+        return ragged(self.whole(texts))
 
     def rows(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, bool]]:
         """(text's number, ids, whether they end it), in order."""
