@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.catalog import query
-from ..plans.shared import scratch
+from ..plans.prefix import DIGITS, hashed
+from ..plans.shared import join_checked, scratch
 from ..sources import readers, writers
 from ..sources.derived import DATED, dated
+from ..sources.ordered import read_ordered, write_ordered
 from ..sources.warc import register
 from ..streaming.jobs import clean_stream, hourly
 
@@ -126,3 +128,16 @@ def _paths(t):
     path = _folder(p)
     p.write.option("compression", "gzip").text(path)
     return readers.read_paths(p.sparkSession, path)
+
+
+_ROOM = 100_000
+
+
+@query("ordered_shards", f"WITH {DATED}, o AS (SELECT doc_id, text, date, md5('7:' || doc_id) AS h, coalesce(est_tokens, 0) AS tok FROM d), c AS (SELECT *, row_number() OVER w - 1 AS place, coalesce(sum(tok) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o WINDOW w AS (ORDER BY date, h, doc_id)) SELECT doc_id, (before // {_ROOM})::BIGINT AS shard, place::BIGINT AS place, md5(concat('Date: ', date, chr(10), text)) AS record_md5 FROM c")
+def _ordered(t):
+    """The training file: dated records in order of days, shuffled within each, as numbered shards; places come from the manifest."""
+    d = dated(t("documents")).select("doc_id", "date", F.col("est_tokens").alias("tok"), hashed("7", F.col("doc_id")).alias("h"), F.concat(F.lit("Date: "), F.col("date"), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("record"))
+    path = _folder(d)
+    shards = write_ordered(d, path, ["date", "h", "doc_id"], "tok", _ROOM, F.concat("date", F.substring("h", 1, DIGITS)))
+    rows = join_checked(read_ordered(d.sparkSession, path, d.schema), shards.select(F.col("shard").alias("__of"), "rows_before"), [("shard", "__of")], F.col("row"))
+    return rows.select("doc_id", F.col("shard").cast("long").alias("shard"), (F.col("rows_before") + F.col("row")).alias("place"), F.md5("record").alias("record_md5"))
