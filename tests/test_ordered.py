@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 from siltworks.sources.ordered import read_ordered, write_ordered
 
 ORDER = ["day", "tie", "id"]
-SCHEMA = StructType.fromDDL("day string, tie string, id long, size long")
+SCHEMA = StructType().add("day", "string").add("tie", "string").add("id", "long").add("size", "long")
 
 
 def rows(n=600):
