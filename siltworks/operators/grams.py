@@ -20,12 +20,17 @@ LABELS = 200
 MIX = (7919, 127, 1)
 
 
-def grams(df: DataFrame, text: str) -> DataFrame:
-    """The other columns and __g, a row for each trigram of each word with a blank on either side; a text without letters is one row of null."""
+def words(df: DataFrame, text: str) -> DataFrame:
+    """The other columns and __w, a row a word; a text without letters is one row of null."""
     rest = [c for c in df.columns if c != text]
-    words = df.select(*rest, F.explode_outer(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("__w"))
-    words = words.select(*rest, F.concat(F.lit(" "), F.col("__w"), F.lit(" ")).alias("__p"))
-    at = words.select(*rest, "__p", F.explode_outer(F.sequence(F.lit(1), F.length("__p") - 2)).alias("__i"))
+    return df.select(*rest, F.explode_outer(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("__w"))
+
+
+def grams(df: DataFrame) -> DataFrame:
+    """The columns but __w and __g, a row for each trigram of the word with a blank on either side; null for a null word."""
+    rest = [c for c in df.columns if c != "__w"]
+    at = df.select(*rest, F.concat(F.lit(" "), F.col("__w"), F.lit(" ")).alias("__p"))
+    at = at.select(*rest, "__p", F.explode_outer(F.sequence(F.lit(1), F.length("__p") - 2)).alias("__i"))
     code = [F.ascii(F.substring(F.col("__p"), F.col("__i") + k, F.lit(1))) * m for k, m in enumerate(MIX)]
     return at.select(*rest, F.pmod(code[0] + code[1] + code[2], F.lit(BUCKETS)).alias("__g"))
 
@@ -35,9 +40,11 @@ def fit(docs: DataFrame, text: str, label: str) -> tuple[DataFrame, list[str]]:
 
     A weight is a thousand times the logarithm of the trigram's share in the label's texts, mixed with PRIOR trigrams of the mean
     language, over its share in the mean language, in which all labels weigh the same however much text they have. Rows without
-    a label or a letter teach nothing.
+    a label or a letter teach nothing. Equal words of a label are counted before they are cut, so most text never becomes trigrams.
     """
-    c = stored(grams(docs.filter(F.col(label).isNotNull()).select(F.col(label).alias("__l"), F.col(text).alias("__t")), "__t").filter("__g is not null").groupBy("__l", "__g").agg(F.count("*").alias("__n")))
+    said = words(docs.filter(F.col(label).isNotNull()).select(F.col(label).alias("__l"), F.col(text).alias("__t")), "__t").filter("__w is not null")
+    said = said.groupBy("__l", "__w").agg(F.count("*").alias("__times"))
+    c = stored(grams(said).groupBy("__l", "__g").agg(F.sum("__times").alias("__n")))
     sizes = c.groupBy("__l").agg(F.sum("__n").alias("n")).orderBy("__l").limit(LABELS + 1).collect()
     if len(sizes) > LABELS:
         raise ValueError(f"more than {LABELS} labels")
@@ -60,7 +67,7 @@ def predict(docs: DataFrame, model: tuple[DataFrame, list[str]], key: str, text:
     weights, labels = model
     if not labels:
         return docs.select(key).distinct().select(key, F.lit("und").alias("lang"), F.lit(0).cast("long").alias("margin"))
-    hits = grams(docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")), "__t").join(F.broadcast(weights), "__g", "left")
+    hits = grams(words(docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")), "__t")).join(F.broadcast(weights), "__g", "left")
     sums = hits.groupBy("__k").agg(*[F.sum(f"__w{i}").alias(f"__s{i}") for i in range(len(labels))])
     places = F.array_sort(F.array(*[F.struct((-F.col(f"__s{i}")).alias("cost"), F.lit(x).alias("lang")) for i, x in enumerate(labels)]))
     got = sums.select("__k", F.col("__s0").isNull().alias("__none"), places.alias("__p"))
