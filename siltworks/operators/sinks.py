@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.catalog import query
-from ..plans.prefix import DIGITS, hashed
+from ..plans.prefix import hashed
 from ..plans.shared import join_checked, scratch
 from ..sources import readers, writers
 from ..sources.derived import DATED, dated
@@ -138,6 +138,6 @@ def _ordered(t):
     """The training file: dated records in order of days, shuffled within each, as numbered shards; places come from the manifest."""
     d = dated(t("documents")).select("doc_id", "date", F.col("est_tokens").alias("tok"), hashed("7", F.col("doc_id")).alias("h"), F.concat(F.lit("Date: "), F.col("date"), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("record"))
     path = _folder(d)
-    shards = write_ordered(d, path, ["date", "h", "doc_id"], "tok", _ROOM, F.concat("date", F.substring("h", 1, DIGITS)))
+    shards = write_ordered(d, path, ["date", "h", "doc_id"], "tok", _ROOM, F.concat("date", F.substring("h", 1, 1)))  # sixteen buckets a day of the calendar
     rows = join_checked(read_ordered(d.sparkSession, path, d.schema), shards.select(F.col("shard").alias("__of"), "rows_before"), [("shard", "__of")], F.col("row"))
     return rows.select("doc_id", F.col("shard").cast("long").alias("shard"), (F.col("rows_before") + F.col("row")).alias("place"), F.md5("record").alias("record_md5"))

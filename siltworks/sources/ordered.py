@@ -15,7 +15,8 @@ def plan_shards(df: DataFrame, order: list[str], size: str, room: int, bucket: C
     """(bucket, cuts): the shards that have rows in each bucket of the order, and each one's first key there.
 
     A row's shard is the sum of ``size`` over all rows before it, in units of ``room``. Sums are exact, over the columns of the order
-    alone; ``order`` must refine ``bucket``. Rows that share a whole key go to one shard, the last that any of them reaches.
+    alone; ``order`` must refine ``bucket``, whose values should be thousands, however many rows there are: their totals meet in one
+    task, and while the cuts are few the whole plan is broadcast. Rows that share a whole key go to one shard, the last that any of them reaches.
     """
     narrow = df.select(*order, F.coalesce(F.col(size), F.lit(0)).alias("__size"), bucket.alias("__bucket"))
     at = prefix_sum(narrow, "", "__size", [*order, "__size"], "__at", None, F.col("__bucket"))
@@ -34,7 +35,8 @@ def write_ordered(df: DataFrame, path: str, order: list[str], size: str, room: i
     if not exists(spark, f"{path}/plan/_SUCCESS"):
         plan_shards(df, order, size, room, bucket).write.mode("overwrite").parquet(f"{path}/plan")
     plan = spark.read.parquet(f"{path}/plan").withColumnRenamed("bucket", "__of")
-    rows = join_checked(df.withColumn("__bucket", bucket), plan, [("__bucket", "__of")], F.struct(*order))
+    cuts = plan.agg(F.coalesce(F.sum(F.size("cuts")), F.lit(0))).first()[0]
+    rows = join_checked(df.withColumn("__bucket", bucket), plan, [("__bucket", "__of")], F.struct(*order), cuts)
     key = F.struct(*order)
     shard = F.element_at(F.filter("cuts", lambda c: c["key"] <= key), -1)["shard"]
     rows = rows.select(*df.columns, shard.alias("shard"))
