@@ -12,6 +12,8 @@ from ..sources.derived import DATED, dated
 from ..sources.ordered import read_ordered, write_ordered
 from ..sources.warc import register
 from ..streaming.jobs import clean_stream, hourly
+from ..streaming.seen import seen_files
+from .dedup import _K, prefix_key
 
 
 def _folder(df) -> str:
@@ -63,6 +65,18 @@ def _hourly(t):
     return hourly(e.sparkSession, path + "/in", e.schema, path)
 
 
+_PLACES = 20
+
+
+@query("seen_files", rf"WITH k AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 'o' || doc_id ELSE 'k' || {_K} END AS k FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS nth FROM k), p AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM f WHERE nth = 1) SELECT doc_id, source, place::BIGINT AS place FROM p WHERE place <= {_PLACES}")
+def _seen(t):
+    """First of each text key over all files, and its place in its source up to a cap, by state that a later run would go on from."""
+    d = t("documents").select("doc_id", "source", prefix_key(F.col("text")).alias("k"))
+    path = _folder(d)
+    d.write.parquet(path + "/in")
+    return seen_files(d.sparkSession.readStream.schema(d.schema).parquet(path + "/in"), path, "k", "source", "doc_id", _PLACES).select("doc_id", "source", "place")
+
+
 @query("benchmark_join", f"WITH {DATED} SELECT substr(date, 1, 7) AS month, count(*)::BIGINT AS n, round(avg(logprob), 6) AS mean_logprob, round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS right_share, count(*) FILTER (quality IS NULL)::BIGINT AS ungraded FROM (SELECT date, -(doc_id % 97) / 10.0::DOUBLE AS logprob, quality FROM d LEFT JOIN labels l USING (doc_id)) GROUP BY 1")
 def _benchmark(t):
     """Runs and their grades, each a JSON line file under its own schema, joined by event; what has no grade is told."""

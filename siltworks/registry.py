@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import assembly, boundary, budget, cleaning, collect, content, dedup, diversity, evaluation, filters, grams, needles, parsing, retrieval, sinks, windows  # noqa: F401
+from .operators import assembly, boundary, budget, cleaning, collect, content, dedup, diversity, evaluation, filters, grams, index, needles, parsing, retrieval, sinks, windows  # noqa: F401
 from .plans.catalog import ORACLES, QUERIES, query
 from .sources.derived import DATED, dated
 
