@@ -13,10 +13,12 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..plans.shared import ship
 from .jobs import run_to_end
 
-#: State lives on the executors' disks and, by batch, in the query's checkpoint; only changes are uploaded.
+#: State lives on the executors' disks and, by batch, in the query's checkpoint; only changes are uploaded, and no space is
+#: taken ahead, which many small stores would multiply.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 KEY, GROUP = "__key", "__group"
 
