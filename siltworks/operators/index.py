@@ -73,9 +73,9 @@ def append(items: DataFrame, path: str, item: str, text: str, block: Column) ->
 def _postings(rows: DataFrame, path: str, name: str) -> None:
     """Blocks with what bounds them: their largest count and shortest document, which no later segment changes."""
     least = lambda f, of: of(F.transform("posts", lambda p: p[f]))
-    out = rows.select("block", "term", F.size("posts").alias("n"), least("tf", F.array_max).alias("most"), least("len", F.array_min).alias("least"), "posts")
-    out = out.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int"))
+    out = rows.select("block", "term", "posts", F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int").alias("part"))
     out = out.repartition("part", F.expr(f"block div {GROUP}")).sortWithinPartitions("part", "term", "block")
+    out = out.select("block", "term", F.size("posts").alias("n"), least("tf", F.array_max).alias("most"), least("len", F.array_min).alias("least"), "posts", "part")
     out.write.partitionBy("part").parquet(f"{path}/posts/segment={name}")
 
 
@@ -123,7 +123,9 @@ def search(queries: DataFrame, path: str, qid: str, qtext: str, k: int, item: st
 
     def score(pairs: DataFrame) -> DataFrame:
         """Of (q, segment, block): the k best documents of each query there."""
-        t = pairs.select("q", "segment", "block").join(small(asked), "q").join(posts, ["segment", "block", "term"])
+        wanted = pairs.select("q", "segment", "block").join(small(asked), "q")
+        few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # then postings stay where they are
+        t = (F.broadcast(wanted) if few else wanted).join(posts, ["segment", "block", "term"])
         t = t.select("q", "times", "idf", F.explode("posts").alias("p"))
         t = t.groupBy("q", F.col("p.i").alias("i")).agg(F.round(F.sum(_weight(F.col("p.tf"), F.col("p.len"), F.col("idf"), mean) * F.col("times")), 6).alias("score"))
         return best(t.filter("score > 0"))
