@@ -1,17 +1,16 @@
 """Hard negatives by two-dimensional block products.
 
-Rows are placed by label and shard into blocks of ROWS rows, anchors into blocks of ANCHORS, each block into chunks of its
-dimensions. A tile (anchor block, row block) is the sum over chunks of the products of the two blocks' chunks: every chunk pair
-gives a partial int64 tile in a task of its own, partial tiles meet by a shuffle and add up, and the tile is reduced at once
-to a few rows per anchor. No score leaves a tile but the best ones; no task holds more than the partial tiles of one tile, at
-most CHUNKS of them.
+Anchors and rows are dealt by hash into stripes of bounded bytes. Every pair of stripes is a task's share: it multiplies blocks of
+ANCHORS anchors with blocks of ROWS rows, whole vectors each, and keeps a few rows an anchor and window as it goes, so that no score
+leaves a task but its best ones. What moves are copies of the vectors, rows once for each stripe of anchors (65,536 anchors of 64
+dimensions) and anchors once for each stripe of rows; the products, which are anchors times rows, move nothing.
 
-Two rounds: tiles whose labels overlap give each anchor its positives, the best ``positives`` rows of its label; their scores
-set the windows, and tiles of different labels give per anchor and positive the best ``negatives`` rows within its window. As
-blocks hold rows by label, nearly every tile is needed in one round only. A hot label is many blocks.
+Two rounds over the pairs: blocks of equal labels give each anchor its positives, the best ``positives`` rows of its label; their
+scores set the windows, and rows of different labels give per anchor and positive the best ``negatives`` rows within its window.
+A hot label is dealt out like any other.
 
 Scores are integer inner products of components floor(scale * x), computed exactly: in floating point where every partial sum is
-below 2**53, else in int64. Components saturate where scores could pass 2**55.
+exact there, else in int64. Components saturate where scores could pass 2**55.
 
 Defined results: rows without id, label or vector, or with a null or non-finite component, take no part; of rows that share an
 id the least (label, vector) counts; vectors of other lengths count as filled with zeros; ties go to the smaller id; an anchor
@@ -23,19 +22,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.prefix import ranked
 from ..plans.shared import join_checked, ship, stored
 
-#: Rows of the two kinds of blocks, dimensions of a chunk at least, chunks of a vector at most.
-ANCHORS, ROWS, DIMS, CHUNKS = 256, 1024, 32, 8
+#: Rows of the two kinds of blocks; bytes of the two kinds of stripes.
+ANCHORS, ROWS, ANCHOR_BYTES, ROW_BYTES = 256, 1024, 1 << 24, 1 << 23
 LOWEST = -(1 << 62)  # below any score
-BLOCK = "block bigint, chunk int, data binary, ids binary, labels binary, lo bigint, hi bigint, n bigint"
 
 
 def taking_part(vectors: DataFrame, id_col: str, label: Column, vector_col: str) -> DataFrame:
@@ -46,113 +42,117 @@ def taking_part(vectors: DataFrame, id_col: str, label: Column, vector_col: str)
     return v.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("m")).select("vec_id", "m.*")
 
 
-def placed(rows: DataFrame, size: int) -> DataFrame:
-    """Adds block and row: places by label and id hash, ``size`` rows a block, by prefix sums within labels; code: the label's first place."""
-    r = ranked(rows, ["label"], ["vec_id"], F.pmod(F.xxhash64("vec_id"), F.lit(4096)), "place")
-    labels = rows.groupBy("label").agg(F.count("*").alias("n"))  # a row a label
-    before = Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
-    labels = labels.select(F.col("label").alias("l"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    at = F.col("first") + F.col("place") - 1
-    return join_checked(r, labels, [("label", "l")], F.col("vec_id")).select("*", F.expr(f"(first + place - 1) div {size}").alias("block"), F.pmod(at, F.lit(size)).cast("int").alias("row")).drop("place", "first")
-
-
-def blocks(rows: DataFrame, dims: int, scale: int) -> DataFrame:
-    """BLOCK rows: a block's quantised components by chunks, and with chunk 0 its ids, label codes and their range."""
-    width = max(DIMS, -(-dims // CHUNKS))
-    most = int((2**55 / max(dims, 1)) ** 0.5)
-
-    def build(t: pa.Table) -> pa.Table:
-        order = np.argsort(t["row"].to_numpy(), kind="stable")
-        v = t["v"].combine_chunks()
-        flat = np.asarray(v.flatten().to_numpy(zero_copy_only=False), np.float64)
-        lens = np.asarray(pa.compute.list_value_length(v).to_numpy(zero_copy_only=False), np.int64)
-        q = np.zeros((t.num_rows, dims), np.int64)
-        q[np.repeat(np.arange(lens.size), lens), np.arange(flat.size) - np.repeat(np.cumsum(lens) - lens, lens)] = np.clip(np.floor(scale * flat), -most, most)
-        q = q[order]
-        ids, codes = t["vec_id"].to_numpy()[order], t["code"].to_numpy()[order]
-        out = []
-        for k, a in enumerate(range(0, max(dims, 1), width)):
-            out.append((int(t["block"][0].as_py()), k, q[:, a : a + width].tobytes(), ids.tobytes() if not k else None, codes.tobytes() if not k else None, int(codes.min()), int(codes.max()), ids.size))
-        return pa.Table.from_arrays([pa.array(c, x) for c, x in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["block", "chunk", "data", "ids", "labels", "lo", "hi", "n"])
-
-    return rows.select("block", "row", "vec_id", "code", "v").groupBy("block").applyInArrow(build, BLOCK)
-
-
-def product(a: bytes, b: bytes, n: int, m: int) -> np.ndarray:
-    """The exact tile of two chunks of n and m rows."""
+def quantised(rows: DataFrame, dims: int, scale: int) -> DataFrame:
+    """(vec_id, code, q): the components, floored and filled up to ``dims``, as 32-bit integers."""
+    most = int((2**55 / max(dims, 1)) ** 0.5)  # below 2**28
+    step = max(1, (1 << 20) // max(dims, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                t = whole.slice(at, step)
+                v = t.column("v")
+                flat = np.asarray(v.flatten().to_numpy(zero_copy_only=False), np.float64)
+                lens = np.asarray(pa.compute.list_value_length(v).to_numpy(zero_copy_only=False), np.int64)
+                q = np.zeros((t.num_rows, dims), "<i4")
+                q[np.repeat(np.arange(lens.size), lens), np.arange(flat.size) - np.repeat(np.cumsum(lens) - lens, lens)] = np.clip(np.floor(scale * flat), -most, most)
+                yield pa.RecordBatch.from_arrays([t.column("vec_id"), t.column("code"), pa.array([x.tobytes() for x in q], pa.binary())], names=["vec_id", "code", "q"])
+
+    return rows.select("vec_id", "code", "v").mapInArrow(run, "vec_id bigint, code bigint, q binary")
+
+
+def product(a: bytes | np.ndarray, b: bytes | np.ndarray, n: int, m: int) -> np.ndarray:
+    """The exact tile of two blocks of n and m rows of 64-bit integers."""
     x, y = np.frombuffer(a, np.int64).reshape(n, -1), np.frombuffer(b, np.int64).reshape(m, -1)
     if not x.size or not y.size:
         return np.zeros((n, m), np.int64)
-    if int(np.abs(x).max()) * int(np.abs(y).max()) * x.shape[1] < 1 << 53:
-        return (x.astype(np.float64) @ y.astype(np.float64).T).astype(np.int64)
+    most = int(np.abs(x).max()) * int(np.abs(y).max()) * x.shape[1]
+    if most < 1 << 53:
+        kind = np.float32 if most < 1 << 24 else np.float64
+        return (x.astype(kind) @ y.astype(kind).T).astype(np.int64)
     return x @ y.T
 
 
-def tiles(pairs: DataFrame, anchors: DataFrame, rows: DataFrame, reduce: Callable[[np.ndarray, dict], dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """What ``reduce`` makes of every tile of ``pairs`` (i, j); it gets the scores and the blocks' ids, labels and ``extra`` of the anchors' block."""
-    a = anchors.select(F.col("block").alias("i"), "chunk", F.col("data").alias("a"), F.col("ids").alias("a_ids"), F.col("labels").alias("a_labels"), "extra", F.col("n").alias("a_n"))
-    b = rows.select(F.col("block").alias("j"), "chunk", F.col("data").alias("b"), F.col("ids").alias("b_ids"), F.col("labels").alias("b_labels"), F.col("n").alias("b_n"))
-    both = pairs.join(a, "i").join(b, ["j", "chunk"])
-    names = ["a_ids", "a_labels", "extra", "b_ids", "b_labels"]
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            for r in range(t.num_rows):
-                x = {c: t.column(c)[r] for c in ("a", "b", "a_n", "b_n")}
-                tile = product(x["a"].as_py(), x["b"].as_py(), x["a_n"].as_py(), x["b_n"].as_py())
-                yield pa.RecordBatch.from_arrays([*(t.column(c).slice(r, 1) for c in ("i", "j", "chunk")), pa.array([tile.tobytes()], pa.binary()), *(t.column(c).slice(r, 1) for c in names)], names=["i", "j", "chunk", "tile", *names])
-
-    def whole(t: pa.Table) -> pa.Table:
-        first = t.filter(pa.compute.equal(t["chunk"], 0)).to_pylist()[0]
-        read = {k: np.frombuffer(first[k] or b"", np.int64) for k in names}
-        score = np.zeros((read["a_ids"].size, read["b_ids"].size), np.int64)
-        for x in t["tile"]:
-            score += np.frombuffer(x.as_buffer(), np.int64).reshape(score.shape)
-        return pa.Table.from_pandas(pd.DataFrame(reduce(score, read)), preserve_index=False)
-
-    parts = both.select("i", "j", "chunk", "a", "b", "a_n", "b_n", *names).mapInArrow(partial, "i bigint, j bigint, chunk int, tile binary, " + ", ".join(f"{c} binary" for c in names))
-    return parts.groupBy("i", "j").applyInArrow(whole, schema)
-
-
-def leading(masked: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of each row's k greatest scores above LOWEST, ties by id."""
-    by_id = np.argsort(ids, kind="stable")
-    order = by_id[np.argsort(-masked[:, by_id], axis=1, kind="stable")[:, :k]]
-    r = np.repeat(np.arange(masked.shape[0]), order.shape[1]).reshape(order.shape)
-    fine = masked[r, order] > LOWEST
-    return r[fine], order[fine]
-
-
-def best_of_label(k: int) -> Callable[[np.ndarray, dict], dict[str, np.ndarray]]:
-    def reduce(score: np.ndarray, x: dict) -> dict[str, np.ndarray]:
-        may = (x["a_labels"][:, None] == x["b_labels"]) & (x["a_ids"][:, None] != x["b_ids"])
-        r, c = leading(np.where(may, score, LOWEST), x["b_ids"], k)
-        return {"anchor_id": x["a_ids"][r], "other_id": x["b_ids"][c], "score": score[r, c]}
-
-    return reduce
-
-
-def best_in_windows(k: int, low: int, high: int) -> Callable[[np.ndarray, dict], dict[str, np.ndarray]]:
-    def reduce(score: np.ndarray, x: dict) -> dict[str, np.ndarray]:
-        masked = np.where(x["a_labels"][:, None] == x["b_labels"], LOWEST, score)
-        out = []
-        windows = x["extra"].reshape(-1, 3)  # row of the anchor, positive's id, its score
-        ids = x["b_ids"]
-        by_id = np.argsort(ids, kind="stable")
-        order = by_id[np.argsort(-masked[:, by_id], axis=1, kind="stable")]
-        ranked_scores = np.take_along_axis(masked, order, 1)
-        for r, p, s in windows.tolist():
-            least, most = -(-low * s // 100), high * s // 100
-            row = ranked_scores[r]
-            first = row.size - int(np.searchsorted(row[::-1], most, "right"))
-            for i in range(first, min(first + k, row.size)):
-                if row[i] < least or row[i] == LOWEST:
-                    break
-                out.append((x["a_ids"][r], p, s, ids[order[r, i]], row[i]))
-        t = np.array(out, np.int64).reshape(-1, 5)
-        return dict(zip(("anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"), t.T, strict=True))
-
-    return reduce
+class Stripe:
+    """One side of a pair of stripes, in the order of ``by``."""
+
+    def __init__(self, t: pa.Table, dims: int, *by: str):
+        ids, codes = t["vec_id"].to_numpy(), t["code"].to_numpy()
+        order = np.lexsort([{"vec_id": ids, "code": codes}[c] for c in reversed(by)])
+        self.ids, self.codes, self.order = ids[order], codes[order], order
+        self.q = np.frombuffer(b"".join(t["q"].to_pylist()), "<i4").reshape(len(ids), dims)[order].astype(np.int64)
+
+
+def sifted(x: np.ndarray, y: np.ndarray, least: np.ndarray, most: np.ndarray, k: int, rows: int, hidden: Callable[[int, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, window, row of y, score): the k greatest products of each row of x within each of its windows (least, most), earlier rows of y first among equals.
+
+    ``hidden(at, to)`` tells which products with y's rows from at to before ``to`` don't count. A window's k-th score is its floor for
+    the rows that follow; blocks grow from a few rows up to ``rows``, so that a floor is known before most rows are met.
+    """
+    n, width = least.shape
+    floor = least - 1
+    score_of, row_of = np.full((n, width, k), LOWEST), np.full((n, width, k), -1)
+    at, size = 0, min(32, rows)
+    while at < len(y):
+        to = min(len(y), at + size)
+        tile = product(x, y[at:to], n, to - at)
+        tile[hidden(at, to)] = LOWEST
+        for w in range(width):
+            r, c = np.nonzero((tile > floor[:, w, None]) & (tile <= most[:, w, None]))
+            if not r.size:
+                continue
+            met = np.unique(r)
+            i, j = np.nonzero(row_of[met, w] >= 0)
+            r, c, s = np.r_[met[i], r], np.r_[row_of[met[i], w, j], c + at], np.r_[score_of[met[i], w, j], tile[r, c]]
+            order = np.lexsort((c, -s, r))
+            r, c, s = r[order], c[order], s[order]
+            place = np.arange(r.size) - np.searchsorted(r, r)
+            fine = place < k
+            score_of[r[fine], w, place[fine]], row_of[r[fine], w, place[fine]] = s[fine], c[fine]
+            floor[:, w] = np.maximum(floor[:, w], score_of[:, w, k - 1])
+        at, size = to, min(2 * size, rows)
+    r, w, j = np.nonzero(row_of >= 0)
+    return r, w, row_of[r, w, j], score_of[r, w, j]
+
+
+def best_of_label(k: int, dims: int, anchors: int, rows: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The k best rows of an anchor's label, other than itself."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b, out = Stripe(left, dims, "code", "vec_id"), Stripe(right, dims, "code", "vec_id"), [np.zeros((3, 0), np.int64)]
+        for code in np.intersect1d(a.codes, b.codes):
+            first, last = np.searchsorted(b.codes, code), np.searchsorted(b.codes, code, "right")
+            ids, y, end = b.ids[first:last], b.q[first:last], int(np.searchsorted(a.codes, code, "right"))
+            for i in range(int(np.searchsorted(a.codes, code)), end, anchors):
+                own = a.ids[i : min(end, i + anchors)]
+                every = np.full((own.size, 1), LOWEST + 1)
+                r, _, c, s = sifted(a.q[i : i + own.size], y, every, -every, k, rows, lambda at, to, own=own, ids=ids: own[:, None] == ids[at:to])
+                out.append(np.stack([own[r], ids[c], s]))
+        return pa.table(list(np.concatenate(out, 1)), names=["anchor_id", "other_id", "score"])
+
+    return run
+
+
+def best_in_windows(k: int, low: int, high: int, dims: int, anchors: int, rows: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The k best rows of other labels in each window of an anchor."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b, out = Stripe(left, dims, "vec_id"), Stripe(right, dims, "vec_id"), [np.zeros((5, 0), np.int64)]
+        windows = left["windows"].take(pa.array(a.order)).to_pylist()
+        for i in range(0, a.ids.size if b.ids.size else 0, anchors):
+            own, codes, mine = a.ids[i : i + anchors], a.codes[i : i + anchors], windows[i : i + anchors]
+            width = max(map(len, mine))
+            least, most = np.zeros((own.size, width), np.int64), np.full((own.size, width), LOWEST)  # nothing is in it
+            for r, ws in enumerate(mine):
+                for w, x in enumerate(ws):  # in Python's integers: no overflow
+                    least[r, w] = min(max(-(-low * x["score"] // 100), LOWEST + 1), -LOWEST)
+                    most[r, w] = min(max(high * x["score"] // 100, LOWEST), -LOWEST)
+            r, w, c, s = sifted(a.q[i : i + anchors], b.q, least, most, k, rows, lambda at, to, codes=codes: codes[:, None] == b.codes[at:to])
+            positive = [mine[p][q] for p, q in zip(r.tolist(), w.tolist(), strict=True)]
+            out.append(np.stack([own[r], np.array([x["other_id"] for x in positive], np.int64), np.array([x["score"] for x in positive], np.int64), b.ids[c], s]))
+        return pa.table(list(np.concatenate(out, 1)), names=["anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"])
+
+    return run
 
 
 def mine(vectors: DataFrame, anchor: Column, label: Column, id_col: str = "vec_id", vector_col: str = "embedding", positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, scale: int = 256) -> DataFrame:
@@ -165,30 +165,21 @@ def mine(vectors: DataFrame, anchor: Column, label: Column, id_col: str = "vec_i
     if not n_anchors:
         return spark.createDataFrame([], "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint")
     first = v.groupBy("label").agg(F.min("vec_id").alias("code")).withColumnRenamed("label", "l")  # a label's number: its least id, a row a label
-    v = join_checked(v, first, [("label", "l")], F.col("vec_id"))
-    all_rows, of_anchors = stored(placed(v, ROWS)), stored(placed(v.filter(anchor), ANCHORS))
-    a, b = stored(blocks(of_anchors, dims, scale)), stored(blocks(all_rows, dims, scale))
-
-    labels = lambda df, k: df.select("code", F.col("block").alias(k)).distinct()
-    alike = stored(labels(of_anchors, "i").join(labels(all_rows, "j"), "code").select("i", "j").distinct())
-    found = tiles(alike, a.withColumn("extra", F.lit(None).cast("binary")), b, best_of_label(positives), "anchor_id bigint, other_id bigint, score bigint")
+    v = stored(quantised(join_checked(v, first, [("label", "l")], F.col("vec_id")), dims, scale))
+    wide = 4 * max(dims, 1)
+    n_i = -(-n_anchors * wide // ANCHOR_BYTES)
+    n_j = max(-(-n * wide // ROW_BYTES), min(2 * spark.sparkContext.defaultParallelism, -(-n // ROWS)))  # small tables go over all cores too
+
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    anchors = lambda df: df.select("*", own(n_i).alias("i"), all_of(n_j).alias("j")).groupBy("i", "j")
+    rows = v.select("*", own(n_j).alias("j"), all_of(n_i).alias("i")).groupBy("i", "j")
+    of_anchors = v.filter(anchor)
+    found = anchors(of_anchors).cogroup(rows).applyInArrow(best_of_label(positives, dims, ANCHORS, ROWS), "anchor_id bigint, other_id bigint, score bigint")
     place = F.row_number().over(Window.partitionBy("anchor_id").orderBy(F.desc("score"), "other_id"))
     positive = found.withColumn("r", place).filter(F.col("r") <= positives)
-
-    where = of_anchors.select(F.col("vec_id").alias("anchor_id"), "block", F.col("row").cast("bigint").alias("row"))
-    windows = stored(positive.join(where, "anchor_id").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("row", "other_id", "score"))).alias("w")))  # at most ANCHORS * positives a block
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            flat = [np.array([list(x.values()) for x in w], np.int64).tobytes() for w in t.column("w").to_pylist()]
-            yield pa.RecordBatch.from_arrays([t.column("block"), pa.array([0] * t.num_rows, pa.int32()), pa.array(flat, pa.binary())], names=["block", "chunk", "extra"])
-
-    with_windows = a.join(windows.mapInArrow(packed, "block bigint, chunk int, extra binary"), ["block", "chunk"], "left")
-    top = lambda df: df.filter("chunk = 0").select("block", "lo", "hi")
-    pure = "(lo = hi and lo_j = hi_j and lo = lo_j)"
-    j = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(-(-n // ROWS) - 1).cast("bigint"))).alias("j")  # every anchor block against every row block
-    every = top(a).join(windows.select("block"), "block", "left_semi").select(F.col("block").alias("i"), "lo", "hi", j)
-    unlike = stored(every.join(top(b).toDF("j", "lo_j", "hi_j"), "j").filter(f"not {pure}").select("i", "j"))
-    found = tiles(unlike, with_windows, b, best_in_windows(negatives, low, high), "anchor_id bigint, positive_id bigint, positive_score bigint, negative_id bigint, negative_score bigint")
+    windows = positive.groupBy("anchor_id").agg(F.collect_list(F.struct("other_id", "score")).alias("windows"))  # ``positives`` at most
+    with_windows = stored(of_anchors.join(windows, F.col("vec_id") == F.col("anchor_id")).drop("anchor_id"))
+    found = anchors(with_windows).cogroup(rows).applyInArrow(best_in_windows(negatives, low, high, dims, ANCHORS, ROWS), "anchor_id bigint, positive_id bigint, positive_score bigint, negative_id bigint, negative_score bigint")
     place = F.row_number().over(Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id")).alias("rank")
     return found.select("anchor_id", "positive_id", place, "negative_id", "positive_score", "negative_score").filter(F.col("rank") <= negatives)
