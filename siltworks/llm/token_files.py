@@ -29,10 +29,11 @@ import re
 import struct
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs
 import regex
 import xxhash
@@ -49,14 +50,14 @@ FRAME_IDS, SHARD_IDS = 1 << 18, 1 << 26
 #: The published format's magic numbers: of the skippable frame, and of a seek table's footer; its flag for checksums.
 SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x80
 #: Distinct pieces, and pre-tokens, that a worker keeps; characters of texts it encodes at once, characters of a slice of a long text.
-KEPT, BATCH_CHARS, SLICE = 500_000, 500_000, 500_000
+KEPT, BATCH_CHARS, SLICE = 500_000, 2_000_000, 500_000
 #: A piece starts at a space that no white space follows.
 CUT = re.compile(r"(?= [^\s])")
 PLAIN = re.compile(r" (?:\s|$)")
 
 
 class Pool:
-    """Ids of strings already seen, in one array; empties itself beyond ``most`` strings."""
+    """Ids of strings already seen, in one array; beyond ``most`` strings only those that were asked for again stay, or none if these are most of them."""
 
     def __init__(self, most: int):
         self.most = most
@@ -65,6 +66,16 @@ class Pool:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.used, self.start, self.size = np.zeros(1 << 20, np.uint32), 0, np.zeros(self.most, np.int64), np.zeros(self.most, np.int64)
+        self.again = np.zeros(self.most, bool)
+
+    def shrink(self) -> None:
+        stay = np.flatnonzero(self.again[: len(self.known)])
+        if 2 * stay.size > self.most:
+            stay = stay[:0]
+        ids, _ = self.joined(stay, np.zeros(0, np.int64))
+        names, n = list(compress(self.known, self.again.tolist())) if stay.size else [], self.size[stay]
+        self.forget()
+        self.put(names, ids, n)
 
     def put(self, new: list[str], ids: np.ndarray, n: np.ndarray) -> None:
         while self.used + ids.size > self.ids.size:
@@ -72,28 +83,38 @@ class Pool:
         self.ids[self.used : self.used + ids.size] = ids
         k = len(self.known)
         if k + len(new) > self.start.size:
-            self.start, self.size = (np.r_[x, np.zeros(len(new), np.int64)] for x in (self.start, self.size))
+            self.start, self.size, self.again = (np.r_[x, np.zeros(len(new), x.dtype)] for x in (self.start, self.size, self.again))
         self.start[k : k + len(new)], self.size[k : k + len(new)] = self.used + np.cumsum(n) - n, n
         self.known.update(zip(new, range(k, k + len(new)), strict=True))
         self.used += ids.size
 
-    def rows(self, rows: list[list[str]], learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all strings in a row, and how many each of ``rows`` has; ``learn`` gives those of new ones."""
-        flat = list(chain.from_iterable(rows))
+    def places(self, wanted: list[str], learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Where the strings are kept; ``learn`` gives the ids of new ones."""
         find = lambda x: np.fromiter(map(self.known.get, x, repeat(-1)), np.int64, len(x))
-        at = find(flat)
+        at = find(wanted)
         lacking = np.flatnonzero(at < 0)
+        self.again[at[at >= 0]] = True
         if lacking.size:
             if len(self.known) + lacking.size > self.most:
-                self.forget()
-                lacking = np.arange(len(flat))
-            seen = [flat[i] for i in lacking.tolist()]
+                self.shrink()
+                at = find(wanted)
+                lacking = np.flatnonzero(at < 0)
+            seen = [wanted[i] for i in lacking.tolist()]
+            k = len(self.known)
             self.put(new := list(dict.fromkeys(seen)), *learn(new))
-            at[lacking] = find(seen)
+            at[lacking] = find(seen) if len(new) < len(seen) else np.arange(k, k + len(new))
+        return at
+
+    def joined(self, at: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all strings at these places in a row, and how many each row of ``lens`` strings has."""
         first, n = self.start[at], self.size[at]
         ends = np.cumsum(n)
         ids = self.ids[np.arange(int(n.sum())) + np.repeat(first - ends + n, n)]
-        return ids, np.diff(np.r_[0, np.r_[0, ends][np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))]])
+        return ids, np.diff(np.r_[0, np.r_[0, ends][np.cumsum(lens)]])
+
+    def rows(self, rows: list[list[str]], learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all strings in a row, and how many each of ``rows`` has."""
+        return self.joined(self.places(list(chain.from_iterable(rows)), learn), np.fromiter(map(len, rows), np.int64, len(rows)))
 
 
 def ragged(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,12 +160,30 @@ class Encoder:
     def split_tokens(self, piece: str) -> list[str]:
         return (self.find if self.odd.search(piece) else self.quick).findall(piece)
 
-    @staticmethod
-    def split(text: str) -> list[str]:
-        if not PLAIN.search(text):  # single spaces only: the quick way
-            first, *rest = text.split(" ")
-            return [first, *[" " + w for w in rest]]
-        return CUT.split(text)
+    def split(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct pieces (a few may stand twice), which of them make up the texts, and how many each text has."""
+        odd = [bool(PLAIN.search(t)) for t in texts]
+        words = pa.compute.split_pattern(pa.array([t for t, o in zip(texts, odd, strict=True) if not o], pa.string()), " ")  # single spaces only: the quick way
+        heads = words.offsets.to_numpy()
+        at = words.flatten().dictionary_encode()
+        pieces, which = [" " + w for w in at.dictionary.to_pylist()], at.indices.to_numpy().copy()
+        first = words.flatten().take(pa.array(heads[:-1])).dictionary_encode()  # no space before a text's first
+        which[heads[:-1]] = first.indices.to_numpy() + len(pieces)
+        pieces += first.dictionary.to_pylist()
+        if not any(odd):
+            return pieces, which, np.diff(heads)
+        rows = [CUT.split(t) for t, o in zip(texts, odd, strict=True) if o]
+        rest, tails = len(pieces), np.cumsum([0, *map(len, rows)])
+        pieces += chain.from_iterable(rows)
+        plain, parts, k = 0, [], 0
+        for o in odd:
+            if o:
+                parts.append(np.arange(tails[k], tails[k + 1]) + rest)
+                k += 1
+            else:
+                parts.append(which[heads[plain] : heads[plain + 1]])
+                plain += 1
+        return pieces, np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
     def slices(self, text: str) -> Iterator[str]:
         """Parts of a text that encode by themselves, about SLICE characters each."""
@@ -157,7 +196,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
         if self.by_piece:
-            return self.pieces.rows([self.split(t) for t in texts], self.of_pieces)
+            pieces, which, lens = self.split(texts)
+            return self.pieces.joined(self.pieces.places(pieces, self.of_pieces)[which], lens)
         return ragged(self.whole(texts))
 
     def rows(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, bool]]:

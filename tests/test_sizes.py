@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from siltworks.llm import negatives
+from siltworks.llm import negatives, token_files
 
 
 def shuffled(spark, run):
@@ -29,3 +29,16 @@ def test_hard_negatives_move_vectors_not_products(spark):
 
     small, large = moved(1500), moved(6000)
     assert large < 6 * small and large < 5 * 6000 * 40 * 4
+
+
+def test_frequent_pieces_stay_when_the_pool_is_full():
+    pool, asked = token_files.Pool(100), []
+
+    def learn(new):
+        asked.extend(new)
+        return np.arange(len(new), dtype=np.uint32), np.ones(len(new), np.int64)
+
+    common = [f"c{i}" for i in range(20)]
+    for k in range(30):
+        pool.rows([common + [f"{k}-{i}" for i in range(40)]], learn)
+    assert asked.count("c0") == 1 and len(pool.known) <= 100
