@@ -3,17 +3,21 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from siltworks.llm import negatives, token_files
 
 
-def shuffled(spark, run):
-    """Bytes that ``run`` writes to shuffles."""
+SF = "/root/testdata/sf0.01"
+
+
+def shuffled(spark, run, of="shuffleWriteBytes"):
+    """Bytes, or rows, that ``run`` writes to shuffles."""
     gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
 
     def total():
         none = gateway.jvm.java.util.ArrayList()
         stages = store.stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
-        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+        return sum(getattr(stages.apply(i), of)() for i in range(stages.size()))
 
     before = total()
     run()
@@ -42,3 +46,8 @@ def test_frequent_pieces_stay_when_the_pool_is_full():
     for k in range(30):
         pool.rows([common + [f"{k}-{i}" for i in range(40)]], learn)
     assert asked.count("c0") == 1 and len(pool.known) <= 100
+
+
+def test_self_bleu_moves_texts_not_grams(spark):
+    size = spark.read.parquet(f"{SF}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+    assert shuffled(spark, lambda: entry.queries()["self_bleu"](spark, SF).collect()) < 2.5 * size
