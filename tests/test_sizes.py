@@ -51,3 +51,7 @@ def test_frequent_pieces_stay_when_the_pool_is_full():
 def test_self_bleu_moves_texts_not_grams(spark):
     size = spark.read.parquet(f"{SF}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
     assert shuffled(spark, lambda: entry.queries()["self_bleu"](spark, SF).collect()) < 2.5 * size
+
+
+def test_distinct_grams_move_in_few_rows(spark):
+    assert shuffled(spark, lambda: entry.queries()["distinct_n"](spark, SF).collect(), "shuffleWriteRecords") < 2000
