@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.catalog import query
-from ..plans.shared import BROADCAST_ROWS, cut, same, scratch, spread
+from ..plans.shared import BROADCAST_ROWS, at_least, cut, same, scratch, spread
 from ..sources.writers import exists
 from .retrieval import K1, B, _bm
 
 #: Documents of a block; folders by hash of the term; blocks whose postings of one folder make a task's share.
 BLOCK, PARTS, GROUP = 32, 32, 4096
+#: Characters and tokens of a task's share of a shuffle.
+SHARE_CHARS, SHARE_TOKENS = 4_000_000, 500_000
 #: What rounded sums in another order may differ by, with room.
 SLACK = 1e-5
 _MANIFEST = "segment string, docs long, sized long, tokens long"
@@ -59,10 +61,12 @@ def append(items: DataFrame, path: str, item: str, text: str, block: Column) ->
         new = new.join(old, F.col("i") == F.col("old"), "left_anti")
     new = new.groupBy("block", "i").agg(F.min("t").alias("t"))
     name = uuid.uuid4().hex
-    said = new.repartition("block").select("block", "i", X.tokens(F.col("t")).alias("ts")).withColumn("len", F.size("ts"))
-    said.select("block", "i", "len").write.parquet(f"{path}/docs/segment={name}")
-    tf = said.select("block", "i", "len", F.explode("ts").alias("term")).groupBy("block", "term", "i").agg(F.count("*").cast("int").alias("tf"), F.first("len").alias("len"))
-    _postings(tf.groupBy("block", "term").agg(F.sort_array(F.collect_list(F.struct("i", "tf", "len"))).alias("posts")), path, name)
+    chars = new.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    with at_least(spark, chars // SHARE_CHARS + 1):
+        said = new.repartition("block").select("block", "i", X.tokens(F.col("t")).alias("ts")).withColumn("len", F.size("ts"))
+        said.select("block", "i", "len").write.parquet(f"{path}/docs/segment={name}")
+        tf = said.select("block", "i", "len", F.explode("ts").alias("term")).groupBy("block", "term", "i").agg(F.count("*").cast("int").alias("tf"), F.first("len").alias("len"))
+        _postings(tf.groupBy("block", "term").agg(F.sort_array(F.collect_list(F.struct("i", "tf", "len"))).alias("posts")), path, name)
     size = spark.read.parquet(f"{path}/docs/segment={name}").agg(F.lit(name).alias("segment"), F.count("*").alias("docs"), F.count("len").alias("sized"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens"))
     n = size.first()["docs"]
     if n:
@@ -88,7 +92,8 @@ def merge(spark: SparkSession, path: str) -> None:
     name = uuid.uuid4().hex
     _read(spark, path, "docs", names).drop("segment").write.parquet(f"{path}/docs/segment={name}")
     posts = _read(spark, path, "posts", names).groupBy("block", "term").agg(F.sort_array(F.flatten(F.collect_list("posts"))).alias("posts"))
-    _postings(posts, path, name)
+    with at_least(spark, live.agg(F.sum("tokens")).first()[0] // SHARE_TOKENS + 1):
+        _postings(posts, path, name)
     _commit(live.agg(F.lit(name).alias("segment"), *[F.sum(c).alias(c) for c in ("docs", "sized", "tokens")]), path)
 
 
@@ -110,40 +115,41 @@ def search(queries: DataFrame, path: str, qid: str, qtext: str, k: int, item: st
         raise ValueError("no index at this path")
     n, sized, tokens = (sum(r[c] for r in live) for c in ("docs", "sized", "tokens"))
     mean = tokens / sized if tokens else 1.0
-    asked = cut(queries.select(F.col(qid).alias("q"), F.explode(X.tokens(F.col(qtext))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("times")))
-    terms = asked.select("term").distinct()
-    small = F.broadcast if asked.count() <= BROADCAST_ROWS else lambda x: x
-    parts = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int")).distinct().collect()]  # PARTS at most
-    posts = _read(spark, path, "posts", [r["segment"] for r in live]).filter(F.col("part").isin(parts) if parts else F.lit(False)).join(small(terms), "term", "left_semi")
-    df = posts.groupBy("term").agg(F.sum("n").alias("df"))
-    idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = cut(asked.join(df, "term").select("q", "term", "times", idf.alias("idf")))  # terms that no document has are gone
-    bound = _weight(F.col("most"), F.col("least"), F.col("idf"), mean) * F.col("times")
-    bounds = cut(posts.select("segment", "block", "term", "most", "least").join(small(asked), "term").groupBy("q", "segment", "block").agg(F.sum(bound).alias("bound")))
-
-    def score(pairs: DataFrame) -> DataFrame:
-        """Of (q, segment, block): the k best documents of each query there."""
-        wanted = pairs.select("q", "segment", "block").join(small(asked), "q")
-        few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # then postings stay where they are
-        t = (F.broadcast(wanted) if few else wanted).join(posts, ["segment", "block", "term"])
-        t = t.select("q", "times", "idf", F.explode("posts").alias("p"))
-        t = t.groupBy("q", F.col("p.i").alias("i")).agg(F.round(F.sum(_weight(F.col("p.tf"), F.col("p.len"), F.col("idf"), mean) * F.col("times")), 6).alias("score"))
-        return best(t.filter("score > 0"))
-
-    def best(t: DataFrame) -> DataFrame:
-        return t.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("i")))).filter(F.col("rank") <= k)
-
-    order = Window.partitionBy("q").orderBy(F.desc("bound"), "segment", "block")  # tasks pass on k blocks a query
-    tops = cut(bounds.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r"))
-    found = cut(score(tops))
-    floor = found.filter(F.col("rank") == k).select(F.col("q").alias("fq"), F.col("score").alias("floor"))
-    t = tops.select(F.col("q").alias("tq"), F.col("segment").alias("ts"), F.col("block").alias("tb"))
-    rest = bounds.join(floor, F.col("q").eqNullSafe(F.col("fq")), "left").filter(F.coalesce(F.col("bound") >= F.col("floor") - SLACK, F.lit(True)))
-    rest = cut(rest.join(t, same(rest, t, [("q", "tq"), ("segment", "ts"), ("block", "tb")]), "left_anti").select("q", "segment", "block"))
-    rows = best(found.drop("rank").unionByName(score(rest).drop("rank")))
-    seen = tops.select("q").unionByName(rest.select("q")).groupBy("q").agg(F.count("*").alias("scored"))
-    told = bounds.groupBy("q").agg(F.count("*").alias("blocks")).join(seen, "q").select(F.col("q").alias(qid), "blocks", "scored")
-    return rows.select(F.col("q").alias(qid), F.col("i").alias(item), "score", "rank"), told
+    with at_least(spark, tokens // SHARE_TOKENS + 1):
+        asked = cut(queries.select(F.col(qid).alias("q"), F.explode(X.tokens(F.col(qtext))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("times")))
+        terms = asked.select("term").distinct()
+        small = F.broadcast if asked.count() <= BROADCAST_ROWS else lambda x: x
+        parts = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int")).distinct().collect()]  # PARTS at most
+        posts = _read(spark, path, "posts", [r["segment"] for r in live]).filter(F.col("part").isin(parts) if parts else F.lit(False)).join(small(terms), "term", "left_semi")
+        df = posts.groupBy("term").agg(F.sum("n").alias("df"))
+        idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        asked = cut(asked.join(df, "term").select("q", "term", "times", idf.alias("idf")))  # terms that no document has are gone
+        bound = _weight(F.col("most"), F.col("least"), F.col("idf"), mean) * F.col("times")
+        bounds = cut(posts.select("segment", "block", "term", "most", "least").join(small(asked), "term").groupBy("q", "segment", "block").agg(F.sum(bound).alias("bound")))
+
+        def score(pairs: DataFrame) -> DataFrame:
+            """Of (q, segment, block): the k best documents of each query there."""
+            wanted = pairs.select("q", "segment", "block").join(small(asked), "q")
+            few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # then postings stay where they are
+            t = (F.broadcast(wanted) if few else wanted).join(posts, ["segment", "block", "term"])
+            t = t.select("q", "times", "idf", F.explode("posts").alias("p"))
+            t = t.groupBy("q", F.col("p.i").alias("i")).agg(F.round(F.sum(_weight(F.col("p.tf"), F.col("p.len"), F.col("idf"), mean) * F.col("times")), 6).alias("score"))
+            return best(t.filter("score > 0"))
+
+        def best(t: DataFrame) -> DataFrame:
+            return t.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("i")))).filter(F.col("rank") <= k)
+
+        order = Window.partitionBy("q").orderBy(F.desc("bound"), "segment", "block")  # tasks pass on k blocks a query
+        tops = cut(bounds.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r"))
+        found = cut(score(tops))
+        floor = found.filter(F.col("rank") == k).select(F.col("q").alias("fq"), F.col("score").alias("floor"))
+        t = tops.select(F.col("q").alias("tq"), F.col("segment").alias("ts"), F.col("block").alias("tb"))
+        rest = bounds.join(floor, F.col("q").eqNullSafe(F.col("fq")), "left").filter(F.coalesce(F.col("bound") >= F.col("floor") - SLACK, F.lit(True)))
+        rest = cut(rest.join(t, same(rest, t, [("q", "tq"), ("segment", "ts"), ("block", "tb")]), "left_anti").select("q", "segment", "block"))
+        rows = best(found.drop("rank").unionByName(cut(score(rest)).drop("rank")))
+        seen = tops.select("q").unionByName(rest.select("q")).groupBy("q").agg(F.count("*").alias("scored"))
+        told = bounds.groupBy("q").agg(F.count("*").alias("blocks")).join(seen, "q").select(F.col("q").alias(qid), "blocks", "scored")
+        return rows.select(F.col("q").alias(qid), F.col("i").alias(item), "score", "rank"), told
 
 
 @query("bm25_indexed", f"WITH {_bm(5).strip()} SELECT * FROM r")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from siltworks.llm import negatives, token_files
+from siltworks.operators import index
 
 
 SF = "/root/testdata/sf0.01"
@@ -54,4 +55,14 @@ def test_self_bleu_moves_texts_not_grams(spark):
 
 
 def test_distinct_grams_move_in_few_rows(spark):
-    assert shuffled(spark, lambda: entry.queries()["distinct_n"](spark, SF).collect(), "shuffleWriteRecords") < 2000
+    assert shuffled(spark, lambda: entry.queries()["distinct_n"](spark, SF).collect(), "shuffleWriteRecords") < 5000  # a row a gram is over 400,000
+
+
+def test_tasks_of_the_index_do_not_grow_with_the_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "SHARE_CHARS", 1000)
+    asked, postings = [], index._postings
+    monkeypatch.setattr(index, "_postings", lambda *x: (asked.append(int(spark.conf.get("spark.sql.shuffle.partitions"))), postings(*x)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    d = spark.createDataFrame([(i, "some words of a text " * 5) for i in range(100)], "i long, t string")
+    index.append(d, str(tmp_path / "i"), "i", "t", F.expr("i div 4"))
+    assert asked == [100 * 105 // 1000 + 1] and spark.conf.get("spark.sql.shuffle.partitions") == before
