@@ -11,8 +11,8 @@ buckets are compared pairwise (below SMALL members, a constant). In larger ones
 bucket's densest member (the one with most company over all bands), and what the grouping still leaves apart of a bucket's
 largest component is compared with it, and among itself, exactly, in blocks of bounded size, links alone leaving the task;
 so no group is expanded into pairs of rows, and none is cut off. Where more than APART shingles are apart, the bucket is first
-dealt out by a second common band (a pair at 0.85 has two with a chance of all but 1e-5), so that members which share but a
-passage don't meet. A signature estimate more than five
+dealt out by shingles: sets that are similar enough share one among each one's first few, its rarest in the bucket, so that members
+which share but a passage don't meet and no pair is lost; it changes the cost alone. A signature estimate more than five
 standard deviations below the threshold saves a comparison. Shingle sets, not words, go through joins.
 
 Defined results: null or blank text has an empty set, is linked with nothing and is kept; rows that repeat a doc_id go by
@@ -172,6 +172,22 @@ def linked_within(percent: int, floor: int):
     return run
 
 
+def by_rare_shingles(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``at`` with its buckets dealt out to sub-buckets in which every pair of similar sets of a bucket meets: by prefixes in the order of rarity.
+
+    Of two sets that share c shingles each one's rarest of these stands among its first n - c + 1; c is at least percent / 100 * n.
+    Shingles of one member, or of the largest component alone, lead to nothing.
+    """
+    said = at.join(sets, "rep").select("key", "rep", "n", "apart", F.explode("s").alias("shingle"))
+    times = said.groupBy("key", "shingle").agg(F.count("*").alias("times"), F.max("apart").alias("some"))
+    told = said.join(times, ["key", "shingle"])
+    first = told.groupBy("key", "rep", "n").agg(F.array_sort(F.collect_list(F.struct("times", "shingle", "some"))).alias("s"))  # a document's own set
+    kept = F.expr(f"slice(s, 1, cast(n - ceil(n * {percent} / 100) + 1 as int))")
+    first = first.select(F.col("key").alias("of"), F.col("rep").alias("r"), F.explode(F.filter(kept, lambda x: (x["times"] > 1) & x["some"])).alias("x"))
+    out = at.join(first, (F.col("key") == F.col("of")) & (F.col("rep") == F.col("r")))
+    return out.withColumn("key", F.xxhash64("key", "x.shingle")).drop("of", "r", "x")
+
+
 def links_in_blocks(at: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, floor: int) -> DataFrame:
     """Links (a, b) between members of large buckets, ``at`` (key, band, rep, n, comp), that are in different components.
 
@@ -182,8 +198,7 @@ def links_in_blocks(at: DataFrame, nodes: DataFrame, sets: DataFrame, percent: i
     per = cut(per.select("key", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.m")).alias("few"), F.col("top.m").alias("many")).filter("few > 0"))
     at = at.join(per, "key").withColumn("apart", F.col("comp") != F.col("main")).join(nodes.select("rep", "sig", "bands"), "rep")
     one = at.filter(F.col("few") <= APART).withColumn("before", F.lit(0))
-    two = at.filter(F.col("few") > APART).select("*", F.posexplode("bands").alias("band2", "key2")).filter("band2 > band")
-    two = two.withColumns({"key": F.xxhash64("key", "key2"), "band": F.col("band2"), "before": F.lit(1)}).drop("band2", "key2", "few", "many")
+    two = by_rare_shingles(at.filter(F.col("few") > APART).withColumn("before", F.lit(0)).drop("few", "many"), sets, percent)
     share = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     met = two.groupBy("key").agg(share(F.col("apart")).alias("few"), share(~F.col("apart")).alias("many")).filter("few > 0")
     rows = one.unionByName(two.join(met, "key")).withColumns({"mine": F.ceil(F.col("few") / BLOCK).cast("int"), "theirs": F.ceil(F.col("many") / BLOCK).cast("int"), "h": F.xxhash64("rep")})

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from siltworks.llm import negatives, token_files
+from siltworks.llm import neardup, negatives, token_files
 from siltworks.operators import index
 
 
@@ -66,3 +66,25 @@ def test_tasks_of_the_index_do_not_grow_with_the_text(spark, tmp_path, monkeypat
     d = spark.createDataFrame([(i, "some words of a text " * 5) for i in range(100)], "i long, t string")
     index.append(d, str(tmp_path / "i"), "i", "t", F.expr("i div 4"))
     assert asked == [100 * 105 // 1000 + 1] and spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_links_of_large_buckets_do_not_depend_on_their_size(spark, monkeypatch):
+    """Pairs that share one band: all in one bucket, compared at once or dealt out."""
+    rng = np.random.default_rng(4)
+    shared = rng.integers(0, 1 << 60, 80)
+    sets = []
+    for _ in range(20):
+        base = rng.integers(0, 1 << 60, 20)
+        for _ in range(2):
+            sets.append(np.unique(np.r_[shared, base, rng.integers(0, 1 << 60, 5)]))
+    node = lambda i: (i, i)
+    kind = "struct<doc_id:bigint,x:bigint>"
+    bands = [[1, *(100 * i + k for k in range(1, neardup.BANDS))] for i in range(len(sets))]  # the first only in common
+    at = spark.createDataFrame([(1, 0, node(i), s.size, node(i)) for i, s in enumerate(sets)], f"key bigint, band int, rep {kind}, n bigint, comp {kind}")
+    nodes = spark.createDataFrame([(node(i), bytes(neardup.SLOTS), bands[i]) for i in range(len(sets))], f"rep {kind}, sig binary, bands array<bigint>")
+    whole = spark.createDataFrame([(node(i), s.tolist()) for i, s in enumerate(sets)], f"rep {kind}, s array<bigint>")
+    want = {(i, i + 1) for i in range(0, len(sets), 2)}
+    for apart in (1_000_000, 0):
+        monkeypatch.setattr(neardup, "APART", apart)
+        got = neardup.links_in_blocks(at, nodes, whole, 85, 0).collect()
+        assert {tuple(sorted((r["a"]["doc_id"], r["b"]["doc_id"]))) for r in got} == want
