@@ -12,9 +12,10 @@ and written in one pass that holds a frame at a time; a task opens a new file af
 all: a lost or repeated task leaves files that no index row names, which ``write`` deletes at its end. Python workers
 reach the folder by pyarrow's file systems (local and shared mounts, HDFS, S3, GCS).
 
-Encoding is the tokenizer library's own. Texts are cut before single spaces that a visible character follows, where every byte-level
-vocabulary starts a new pre-token. Distinct pieces are encoded once and kept, up to KEPT a worker, and so are the pre-tokens of
-new pieces, by the library's model; pieces with special strings, and texts for vocabularies of other kinds, go to the library whole.
+Encoding is the tokenizer library's own. The pre-tokens of byte-level vocabularies are cut in the UTF-8 bytes of many texts at once, by
+array operations on the classes of their characters; equal ones of a batch are looked up once, and the library's model is asked
+for new ones, of which a worker keeps up to KEPT. Pieces with special strings, cut off before single spaces that a visible
+character follows, and texts for vocabularies of other kinds go to the library whole.
 
 Defined results: a null text counts as empty, so it holds the end id alone; a null id comes first; rows of one id come in the
 order of their texts' hashes, then texts; repeated rows stand there as often; texts of any length are encoded piece by
@@ -29,13 +30,13 @@ import re
 import struct
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pyarrow.fs
-import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -43,28 +44,31 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import join_checked, ship
-from .tokens import PATTERN, QUICK, byte_symbols, unlike, unsupported
+from .tokens import byte_symbols, unsupported
 
 #: Ids of a frame and of a file.
 FRAME_IDS, SHARD_IDS = 1 << 18, 1 << 26
 #: The published format's magic numbers: of the skippable frame, and of a seek table's footer; its flag for checksums.
 SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x80
-#: Distinct pieces, and pre-tokens, that a worker keeps; characters of texts it encodes at once, characters of a slice of a long text.
-KEPT, BATCH_CHARS, SLICE = 500_000, 2_000_000, 500_000
+#: Distinct pre-tokens that a worker keeps; characters of texts it encodes at once, characters of a slice of a long text.
+KEPT, BATCH_CHARS, SLICE = 500_000, 4_000_000, 500_000
 #: A piece starts at a space that no white space follows.
 CUT = re.compile(r"(?= [^\s])")
-PLAIN = re.compile(r" (?:\s|$)")
+#: What the byte-level pre-token pattern tells apart; all else is one class more, 0. Its white space, and the code points below which all letters and numbers are.
+LETTER, NUMBER, WHITE = 1, 2, 3
+SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+PLANES = 0x40000
 
 
 class Pool:
-    """Ids of strings already seen, in one array; beyond ``most`` strings only those that were asked for again stay, or none if these are most of them."""
+    """Ids of pre-tokens already seen, in one array; beyond ``most`` only those that were asked for again stay, or none if these are most of them."""
 
     def __init__(self, most: int):
         self.most = most
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.ids, self.used, self.start, self.size = np.zeros(1 << 20, np.uint32), 0, np.zeros(self.most, np.int64), np.zeros(self.most, np.int64)
         self.again = np.zeros(self.most, bool)
 
@@ -77,7 +81,7 @@ class Pool:
         self.forget()
         self.put(names, ids, n)
 
-    def put(self, new: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+    def put(self, new: list[bytes], ids: np.ndarray, n: np.ndarray) -> None:
         while self.used + ids.size > self.ids.size:
             self.ids = np.r_[self.ids, np.zeros(self.ids.size, np.uint32)]
         self.ids[self.used : self.used + ids.size] = ids
@@ -88,8 +92,8 @@ class Pool:
         self.known.update(zip(new, range(k, k + len(new)), strict=True))
         self.used += ids.size
 
-    def places(self, wanted: list[str], learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Where the strings are kept; ``learn`` gives the ids of new ones."""
+    def places(self, wanted: list[bytes], learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Where the pre-tokens are kept; ``learn`` gives the ids of new ones."""
         find = lambda x: np.fromiter(map(self.known.get, x, repeat(-1)), np.int64, len(x))
         at = find(wanted)
         lacking = np.flatnonzero(at < 0)
@@ -106,14 +110,14 @@ class Pool:
         return at
 
     def joined(self, at: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all strings at these places in a row, and how many each row of ``lens`` strings has."""
+        """The ids of all pre-tokens at these places in a row, and how many each row of ``lens`` pre-tokens has."""
         first, n = self.start[at], self.size[at]
         ends = np.cumsum(n)
         ids = self.ids[np.arange(int(n.sum())) + np.repeat(first - ends + n, n)]
         return ids, np.diff(np.r_[0, np.r_[0, ends][np.cumsum(lens)]])
 
-    def rows(self, rows: list[list[str]], learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all strings in a row, and how many each of ``rows`` has."""
+    def rows(self, rows: list[list[bytes]], learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pre-tokens in a row, and how many each of ``rows`` has."""
         return self.joined(self.places(list(chain.from_iterable(rows)), learn), np.fromiter(map(len, rows), np.int64, len(rows)))
 
 
@@ -122,8 +126,54 @@ def ragged(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(rows), np.uint32, int(n.sum())), n
 
 
+@cache
+def kinds() -> np.ndarray:
+    """The class of every code point in the library's own version of Unicode: what its cut leaves together is of one class."""
+    from tokenizers import pre_tokenizers
+
+    cut = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+    code = np.setdiff1d(np.r_[:0xD800, 0xE000:PLANES], SPACES)
+    text, out = code.astype("<u4").tobytes().decode("utf-32-le"), np.zeros(0x110000, np.uint8)
+    for _, (a, z) in cut(text):
+        out[code[a:z]] = next((k for k, x in ((LETTER, "a"), (NUMBER, "1")) if len(cut(x + text[a])) == 1), 0)
+    out[SPACES] = WHITE
+    return out
+
+
+def begun(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where pre-tokens begin in the UTF-8 bytes of texts in a row, which three zero bytes follow; ``first``: where each text that isn't empty begins."""
+    n, table = data.size - 3, kinds()
+    kind = table[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    b, c, d, e = (data[lead + i].astype(np.int32) for i in range(4))
+    code = np.where(b < 0xE0, (b & 31) << 6 | c & 63, np.where(b < 0xF0, (b & 15) << 12 | (c & 63) << 6 | d & 63, (b & 7) << 18 | (c & 63) << 12 | (d & 63) << 6 | e & 63))
+    wide = 2 + (b >= 0xE0) + (b >= 0xF0)
+    for i in range(4):  # a character's bytes are all of its class
+        kind[lead[wide > i] + i] = table[code[wide > i]]
+    edge = np.zeros(n + 3, bool)
+    edge[first] = edge[n:] = True
+    white = kind == WHITE
+    fresh = np.r_[True, kind[1:n] != kind[: n - 1]]
+    # one space belongs to what follows, and so the last of several is a pre-token's first; at a text's end they stay together
+    out = fresh & np.r_[True, (data[: n - 1] != 32) | white[1:n]] | white[:n] & ~white[1 : n + 1] & ~edge[1 : n + 1]
+    at, size = lead[white[lead]], wide[white[lead]]
+    out[at] = fresh[at] | ~white[at + size] & ~edge[at + size]
+    for i in (1, 2):
+        out[at[size > i] + i] = False
+    out[first] = True
+    quote = np.flatnonzero(data[:n] == 39)
+    quote = quote[out[quote] & ~edge[quote + 1]]
+    b, c = data[quote + 1], data[quote + 2]
+    short = np.isin(b, list(b"stmd"))
+    long = ~edge[quote + 2] & ((b == ord("l")) & (c == ord("l")) | ((b == ord("r")) | (b == ord("v"))) & (c == ord("e")))
+    out[quote[short | long] + 1] = False
+    after = np.r_[quote[short] + 2, quote[long] + 3]
+    out[after[after < n]] = True
+    return np.flatnonzero(out)
+
+
 class Encoder:
-    """A tokenizer's library, asked once for each piece of text, and of byte-level files once for each pre-token."""
+    """A tokenizer's library, of byte-level files asked once for each pre-token."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are as many as cores
@@ -135,55 +185,34 @@ class Encoder:
         special = [t["content"] for t in parsed.get("added_tokens", [])]
         self.by_piece = not unsupported(parsed) and not any(" " in t for t in special)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.model, self.table = self.own.model, {b: c for c, b in byte_symbols().items()}
-        self.pieces, self.tokens = Pool(KEPT), Pool(KEPT)
-        self.find, self.quick, self.odd = regex.compile(PATTERN), re.compile(QUICK), unlike()
+        self.model, self.tokens = self.own.model, Pool(KEPT)
+        self.table = np.zeros(256, "<u4")
+        self.table[list(byte_symbols().values())] = list(map(ord, byte_symbols()))
+        self.table[255] = ord(" ")  # no byte of UTF-8
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def of_tokens(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        spelt = (t.encode().decode("latin-1").translate(self.table) for t in new)
-        return ragged([[x.id for x in self.model.tokenize(t)] for t in spelt])
-
-    def of_pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces that hold a special string go to the library whole."""
-        if self.special and any(map(self.special.search, new)):
-            odd = [bool(self.special.search(w)) for w in new]
-            ids, n = self.tokens.rows([[] if o else self.split_tokens(w) for w, o in zip(new, odd, strict=True)], self.of_tokens)
-            parts = np.split(ids, np.cumsum(n)[:-1])
-            for i in np.flatnonzero(odd).tolist():
-                parts[i] = np.array(self.whole([new[i]])[0], np.uint32)
-            return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
-        return self.tokens.rows(list(map(self.split_tokens, new)), self.of_tokens)
-
-    def split_tokens(self, piece: str) -> list[str]:
-        return (self.find if self.odd.search(piece) else self.quick).findall(piece)
-
-    def split(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Distinct pieces (a few may stand twice), which of them make up the texts, and how many each text has."""
-        odd = [bool(PLAIN.search(t)) for t in texts]
-        words = pa.compute.split_pattern(pa.array([t for t, o in zip(texts, odd, strict=True) if not o], pa.string()), " ")  # single spaces only: the quick way
-        heads = words.offsets.to_numpy()
-        at = words.flatten().dictionary_encode()
-        pieces, which = [" " + w for w in at.dictionary.to_pylist()], at.indices.to_numpy().copy()
-        first = words.flatten().take(pa.array(heads[:-1])).dictionary_encode()  # no space before a text's first
-        which[heads[:-1]] = first.indices.to_numpy() + len(pieces)
-        pieces += first.dictionary.to_pylist()
-        if not any(odd):
-            return pieces, which, np.diff(heads)
-        rows = [CUT.split(t) for t, o in zip(texts, odd, strict=True) if o]
-        rest, tails = len(pieces), np.cumsum([0, *map(len, rows)])
-        pieces += chain.from_iterable(rows)
-        plain, parts, k = 0, [], 0
-        for o in odd:
-            if o:
-                parts.append(np.arange(tails[k], tails[k + 1]) + rest)
-                k += 1
-            else:
-                parts.append(which[heads[plain] : heads[plain + 1]])
-                plain += 1
-        return pieces, np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+    def of_tokens(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        spelt = self.table[np.frombuffer(b"\xff".join(new), np.uint8)].tobytes().decode("utf-32-le").split(" ")
+        ids, n = [], []
+        for t in spelt:
+            got = self.model.tokenize(t)
+            ids += [x.id for x in got]
+            n.append(len(got))
+        return np.array(ids, np.uint32), np.array(n, np.int64)
+
+    def of_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw = [t.encode() for t in texts]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        first, total = np.cumsum(size) - size, int(size.sum())
+        if not total:
+            return np.zeros(0, np.uint32), size
+        data = b"".join([*raw, bytes(3)])
+        at = begun(np.frombuffer(data, np.uint8), first[size > 0])
+        cut = pa.Array.from_buffers(pa.large_binary(), at.size, [None, pa.py_buffer(np.r_[at, total]), pa.py_buffer(data)]).dictionary_encode()
+        known = self.tokens.places(cut.dictionary.to_pylist(), self.of_tokens)
+        return self.tokens.joined(known[cut.indices.to_numpy()], np.diff(np.searchsorted(at, np.r_[first, total])))
 
     def slices(self, text: str) -> Iterator[str]:
         """Parts of a text that encode by themselves, about SLICE characters each."""
@@ -195,10 +224,19 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
-        if self.by_piece:
-            pieces, which, lens = self.split(texts)
-            return self.pieces.joined(self.pieces.places(pieces, self.of_pieces)[which], lens)
-        return ragged(self.whole(texts))
+        if not self.by_piece:
+            return ragged(self.whole(texts))
+        if not self.special or not any(map(self.special.search, texts)):
+            return self.of_texts(texts)
+        rows = [CUT.split(t) if self.special.search(t) else [t] for t in texts]
+        pieces = list(chain.from_iterable(rows))
+        odd = [bool(self.special.search(p)) for p in pieces]
+        ids, n = self.of_texts(["" if o else p for p, o in zip(pieces, odd, strict=True)])
+        parts = np.split(ids, np.cumsum(n)[:-1])
+        for i, more in zip(np.flatnonzero(odd).tolist(), self.whole(list(compress(pieces, odd))), strict=True):
+            parts[i] = np.array(more, np.uint32)
+        n = np.fromiter(map(len, parts), np.int64, len(parts))
+        return np.concatenate(parts), np.add.reduceat(n, np.cumsum([0, *map(len, rows)])[:-1])
 
     def rows(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, bool]]:
         """(text's number, ids, whether they end it), in order."""

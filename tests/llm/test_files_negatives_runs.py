@@ -3,6 +3,7 @@
 import collections
 import io
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -121,6 +122,36 @@ def test_pieces_encode_like_whole_texts(library, monkeypatch):
     assert [got[i] for i in range(len(texts))] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_every_character_is_of_the_librarys_class(library):
+    """Letters that the library's version of Unicode doesn't know are none to it."""
+    with open(VOCAB, encoding="utf-8") as f:
+        enc = token_files.Encoder(f.read())
+    texts = [chr(c) + "'s" for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    got = [ids.tolist() for _, ids, _ in enc.rows(texts)]
+    assert got == [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_work_in_python_follows_distinct_pre_tokens(library):
+    """Not pieces between spaces, which are as many as a text's sentences have ends and beginnings."""
+    with open(VOCAB, encoding="utf-8") as f:
+        enc = token_files.Encoder(f.read())
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "qrstuvwxyz"]
+    texts, calls = [" ".join(f"{a}.\n{b}" for b in words) for a in words], 0
+
+    def called(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    next(enc.rows(["warm"]))
+    sys.setprofile(called)
+    try:
+        ids, n = enc.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert calls < len(words) ** 2 // 2  # 300 distinct pre-tokens, 10,000 pieces
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_other_vocabularies_encode_whole_texts(spark, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     own, t = Tokenizer.from_file(path), "It's  A test\nof words <|endoftext|> x"
